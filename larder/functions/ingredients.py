@@ -9,6 +9,7 @@ from larder.functions.text import (
     WORD_END,
     WORD_START,
     WS,
+    bind,
     blank_to_null,
     casefold,
     squash,
@@ -115,7 +116,7 @@ def _canonical_lookup() -> Column:
 
 def canonical_of_normalized(c: Column) -> Column:
     """Canonical name of text that is normalised already."""
-    return F.coalesce(F.element_at(_canonical_lookup(), c), c)
+    return bind(c, lambda n: F.coalesce(F.element_at(_canonical_lookup(), n), n))
 
 
 def canonical_ingredient(c: Column) -> Column:
@@ -154,12 +155,10 @@ def ingredient_payload(
 
 def index_name(canonical: Column, normalized: Column, raw: Column) -> Column:
     """Name under which an ingredient line is indexed; empty when nothing is left."""
-    first = normalize_ingredient(canonical)
-    second = normalize_ingredient(normalized)
-    return (
-        F.when(first != "", first)
-        .when(second != "", canonical_ingredient(second))
-        .otherwise(canonical_ingredient(normalize_ingredient(raw)))
+    second = blank_to_null(normalize_ingredient(normalized))
+    return F.coalesce(
+        blank_to_null(normalize_ingredient(canonical)),
+        canonical_ingredient(F.coalesce(second, normalize_ingredient(raw))),
     )
 
 
@@ -174,7 +173,10 @@ def extracted_name(c: Column) -> Column:
 
 def parse_ingredient_line(raw: Column) -> Column:
     """Quantity, unit, item and preparation of one written line, as the stored struct."""
-    cleaned = squash(raw)
+    return bind(squash(raw), _parsed)
+
+
+def _parsed(cleaned: Column) -> Column:
     base = F.regexp_extract(cleaned, "^[^,]*", 0)
     preparation = strip(F.regexp_replace(cleaned, "^[^,]*,?", ""))
     quantity = F.regexp_extract(base, LEADING_QUANTITY, 0)
@@ -200,7 +202,10 @@ def source_ingredient_name(raw: Column, source: str) -> Column:
 
 def shopping_label(raw: Column, key: Column) -> Column:
     """Keep the written line where it says more than the key (decimals, commas, choices)."""
-    line = strip(text(raw))
+    return bind(strip(text(raw)), lambda line: _label_of(line, key))
+
+
+def _label_of(line: Column, key: Column) -> Column:
     same = squash(casefold(line)) == squash(casefold(key))
     telling = (
         F.rlike(line, F.lit(r"\d+\.\d+"))

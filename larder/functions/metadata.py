@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import WORD_END, WORD_START, blank_to_null, casefold, squash, strip, text, title_case
+from larder.functions.text import bind, WORD_END, WORD_START, blank_to_null, casefold, squash, strip, text, title_case
 
 # Line prefixes that carry metadata, in the order they are tried.
 METADATA_PREFIXES = {
@@ -64,7 +64,10 @@ def metadata_line(c: Column) -> Column:
 
     A value that is empty falls back to the whole line.
     """
-    line = squash(text(c))
+    return bind(squash(text(c)), _labelled)
+
+
+def _labelled(line: Column) -> Column:
     lowered = F.lower(line)
     found = F.lit(None).cast("struct<key:string,value:string>")
     for prefix, key in reversed(METADATA_PREFIXES.items()):
@@ -81,7 +84,10 @@ def is_measured(c: Column) -> Column:
 
 
 def is_ingredient_line(c: Column) -> Column:
-    line = squash(text(c))
+    return bind(squash(text(c)), _is_ingredient)
+
+
+def _is_ingredient(line: Column) -> Column:
     return (
         (line != "")
         & ~starts_with_any(F.lower(line), tuple(METADATA_PREFIXES))
@@ -91,10 +97,13 @@ def is_ingredient_line(c: Column) -> Column:
 
 
 def is_method_line(c: Column) -> Column:
-    line = squash(text(c))
+    return bind(squash(text(c)), _is_method)
+
+
+def _is_method(line: Column) -> Column:
     return (
         (line != "")
-        & ~is_ingredient_line(line)
+        & ~_is_ingredient(line)
         & (
             F.rlike(line, F.lit(METHOD_STEP))
             | starts_with_any(casefold(line), METHOD_OPENERS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import WORD_END, WORD_START, WS, blank_to_null, squash, strip, strip_chars, text
+from larder.functions.text import bind, WORD_END, WORD_START, WS, blank_to_null, squash, strip, strip_chars, text
 
 # Fixed values.
 STOPWORDS = ("a", "an", "and", "for", "fresh", "of", "or", "style", "the", "to", "with")
@@ -62,9 +62,7 @@ def meal_text(c: Column) -> Column:
 
 
 def display_title(c: Column) -> Column:
-    cleaned = strip_chars(text(c), " -:\t")
-    inner = F.when(F.rlike(cleaned, F.lit(r"(?s)^\(.*\)$")), F.regexp_replace(cleaned, r"^\(|\)$", ""))
-    return squash(F.coalesce(inner, cleaned))
+    return squash(F.regexp_replace(strip_chars(text(c), " -:\t"), r"(?s)^\((.*)\)$", "$1"))
 
 
 def clean_entry(c: Column) -> Column:
@@ -77,7 +75,7 @@ def trim_heading(c: Column) -> Column:
 
 def link_label(url: Column) -> Column:
     label = F.rtrim(F.regexp_replace(url, "^https?://", ""), F.lit("/"))
-    return F.when(F.length(label) <= 64, label).otherwise(F.concat(F.substring(label, 1, 61), F.lit("...")))
+    return F.regexp_replace(label, r"(?s)^(.{61}).{4,}$", "$1...")
 
 
 def slot_title(c: Column) -> Column:
@@ -86,9 +84,10 @@ def slot_title(c: Column) -> Column:
 
 
 def _known_label(c: Column, labels: tuple[str, ...]) -> Column:
-    cleaned = display_title(c)
-    known = F.initcap(cleaned)
-    return F.when(F.lower(cleaned).isin(*[label.lower() for label in labels]), known).otherwise(cleaned)
+    known = [label.lower() for label in labels]
+    return bind(
+        display_title(c), lambda t: F.when(F.lower(t).isin(*known), F.initcap(t)).otherwise(t)
+    )
 
 
 def weekday_label(c: Column) -> Column:
@@ -110,7 +109,10 @@ def starts_with_weekday(c: Column) -> Column:
 
 def title_variants(c: Column) -> Column:
     """Distinct normalised readings of a planned title, non-empty, in text order."""
-    base = display_title(c)
+    return bind(display_title(c), _variants_of)
+
+
+def _variants_of(base: Column) -> Column:
     after_day = F.regexp_extract(base, r"^[^-:]+[-:]\s*(.+)$", 1)
     asides = F.filter(
         F.regexp_extract_all(base, F.lit(r"\(([^)]*)\)"), F.lit(1)),
@@ -132,7 +134,10 @@ def title_variants(c: Column) -> Column:
 
 def looks_like_recipe(c: Column) -> Column:
     """False for eating out, leftovers, snacks and schedule headers."""
-    value = meal_text(c)
+    return bind(meal_text(c), _names_a_dish)
+
+
+def _names_a_dish(value: Column) -> Column:
     return ~(
         value.isin("", *NON_RECIPE_HINTS)
         | F.endswith(value, F.lit(" out"))
@@ -145,10 +150,19 @@ def looks_like_recipe(c: Column) -> Column:
 
 def week_start(c: Column, as_of_year: int) -> Column:
     """ISO date of a week heading, else empty. Dates without a year fall in ``as_of_year``."""
-    cleaned = display_title(c)
+    return bind(display_title(c), lambda cleaned: _start_of(cleaned, as_of_year))
+
+
+def _start_of(cleaned: Column, as_of_year: int) -> Column:
     rest = strip(F.regexp_replace(cleaned, rf"(?i)^week(?:{WS}+\d+)?(?:{WS}+of)?{WS}+", ""))
     names = "|".join([*MONTHS, *dict.fromkeys(m[:3] for m in MONTHS)])
     pattern = rf"(?i)^(\d{{1,2}}) ({names})(?: (\d{{4}}|\d{{2}}))?$"
+    found = bind(rest, lambda r: _day_month_year(r, pattern, as_of_year))
+    iso = F.when(F.rlike(cleaned, F.lit(r"^\d{4}-\d{2}-\d{2}$")), cleaned).otherwise(found)
+    return text(iso.try_cast("date").cast("string"))
+
+
+def _day_month_year(rest: Column, pattern: str, as_of_year: int) -> Column:
     day = F.lpad(F.regexp_extract(rest, pattern, 1), 2, "0")
     name = F.lower(F.substring(F.regexp_extract(rest, pattern, 2), 1, 3))
     month = F.lpad(
@@ -165,10 +179,7 @@ def week_start(c: Column, as_of_year: int) -> Column:
     checked = F.when((given == "") & (month == "02") & (day == "29"), None).otherwise(
         F.concat_ws("-", year, month, day)
     )
-    iso = F.when(F.rlike(cleaned, F.lit(r"^\d{4}-\d{2}-\d{2}$")), cleaned).otherwise(
-        F.when(F.rlike(rest, F.lit(pattern)), checked)
-    )
-    return text(iso.try_cast("date").cast("string"))
+    return F.when(F.rlike(rest, F.lit(pattern)), checked)
 
 
 def week_title(start_on: Column, legacy_title: Column) -> Column:
@@ -195,29 +206,41 @@ def is_group_heading(c: Column) -> Column:
 
 def schedule_parts(c: Column) -> Column:
     """``[day, lunch, dinner]`` of a schedule row, NULL for any other line."""
-    parts = F.filter(F.transform(F.split(c, SCHEDULE_GAP), strip), lambda p: p != "")
-    first = text(F.get(parts, F.lit(0)))
-    return F.when((F.size(parts) >= 3) & starts_with_weekday(first), F.slice(parts, 1, 3))
+    found = F.filter(F.transform(F.split(c, SCHEDULE_GAP), strip), lambda p: p != "")
+    return bind(
+        found,
+        lambda parts: F.when(
+            (F.size(parts) >= 3) & starts_with_weekday(text(F.get(parts, F.lit(0)))), F.slice(parts, 1, 3)
+        ),
+    )
 
 
 def build_entry(body: Column, complete: Column | None = None, day: Column | None = None) -> Column:
     """Title, link and recipe test of one written entry."""
     cleaned = clean_entry(body)
-    url = blank_to_null(F.regexp_extract(cleaned, URL, 0))
-    bare = clean_entry(F.regexp_replace(cleaned, URL, ""))
-    title = F.when(url.isNull(), cleaned).otherwise(F.coalesce(blank_to_null(bare), link_label(url)))
-    before_like = F.regexp_extract(title, rf"(?is)^(.*?){WS}like{WS}", 1)
-    title = F.when(
-        F.contains(F.lower(title), F.lit(" like ")), clean_entry(before_like)
-    ).otherwise(title)
-    shown = display_title(title)
-    return F.struct(
-        shown.alias("title"),
-        body.alias("raw_text"),
-        looks_like_recipe(shown).alias("is_recipe"),
-        (F.lit(None).cast("boolean") if complete is None else complete).alias("is_complete"),
-        (F.lit(None).cast("string") if day is None else day).alias("day"),
-        url.alias("external_url"),
+
+    def without_link(c: Column) -> Column:
+        label = link_label(F.regexp_extract(c, URL, 0))
+        bare = clean_entry(F.regexp_replace(c, URL, ""))
+        return F.when(~F.rlike(c, F.lit(URL)), c).otherwise(
+            bind(bare, lambda b: F.when(b == "", label).otherwise(b))
+        )
+
+    def before_like(title: Column) -> Column:
+        cut = clean_entry(F.regexp_extract(title, rf"(?is)^(.*?){WS}like{WS}", 1))
+        return F.when(F.contains(F.lower(title), F.lit(" like ")), cut).otherwise(title)
+
+    shown = display_title(bind(bind(cleaned, without_link), before_like))
+    return bind(
+        shown,
+        lambda title: F.struct(
+            title.alias("title"),
+            body.alias("raw_text"),
+            looks_like_recipe(title).alias("is_recipe"),
+            (F.lit(None).cast("boolean") if complete is None else complete).alias("is_complete"),
+            (F.lit(None).cast("string") if day is None else day).alias("day"),
+            blank_to_null(F.regexp_extract(cleaned, URL, 0)).alias("external_url"),
+        ),
     )
 
 

@@ -24,13 +24,18 @@ LIBRARY_BRACKET = r"(?i)[\(\[][^)\]]*" + LIBRARY_NAME + r"[^)\]]*[\)\]]"
 LIBRARY_TAIL = r"(?i)\s*[-–—,]?\s*" + LIBRARY_NAME + r".*$"
 
 
+def bind(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def text(c: Column) -> Column:
     """NULL reads as the empty string."""
     return F.coalesce(c, F.lit(""))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def squash(c: Column) -> Column:
@@ -56,8 +61,7 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    s = squash(c)
-    return F.when(s == "", 0).otherwise(F.size(F.split(s, " ")))
+    return F.size(words(c))
 
 
 def first_words(c: Column, n: int) -> Column:
@@ -130,13 +134,8 @@ def published_at(c: Column) -> Column:
         r"(?:19|20)\d{2}(?:[-/]?\d{2})?(?:[-/]?\d{2})?",
         0,
     )
-    token = F.translate(found, "/", "-")
-    compact = ~F.contains(token, F.lit("-"))
-    return (
-        F.when(compact & (F.length(token) == 8), F.regexp_replace(token, r"^(.{4})(..)(..)$", "$1-$2-$3"))
-        .when(compact & (F.length(token) == 6), F.regexp_replace(token, r"^(.{4})(..)$", "$1-$2"))
-        .otherwise(token)
-    )
+    full = F.regexp_replace(F.translate(found, "/", "-"), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return F.regexp_replace(full, r"^(\d{4})(\d{2})$", "$1-$2")
 
 
 def sort_key(c: Column) -> Column:
@@ -153,8 +152,10 @@ def excerpt(line_array: Column) -> Column:
 
 
 def inferred_title(line_array: Column) -> Column:
-    first = strip(text(F.get(line_array, F.lit(0))))
-    return F.when((first != "") & (word_count(first) <= 16), F.substring(first, 1, 160))
+    return bind(
+        strip(text(F.get(line_array, F.lit(0)))),
+        lambda first: F.when((first != "") & (word_count(first) <= 16), F.substring(first, 1, 160)),
+    )
 
 
 def json_object_text(c: Column) -> Column:
@@ -234,5 +235,8 @@ def is_ignored_chapter_label(c: Column) -> Column:
 
 
 def looks_like_chapter_label(c: Column) -> Column:
-    letters = F.regexp_replace(c, "[^A-Za-z]+", "")
-    return (letters != "") & (F.rlike(c, F.lit(CHAPTER_LABEL)) | (letters == F.upper(letters)))
+    return bind(
+        c,
+        lambda label: F.rlike(label, F.lit("[A-Za-z]"))
+        & (F.rlike(label, F.lit(CHAPTER_LABEL)) | ~F.rlike(label, F.lit("[a-z]"))),
+    )
