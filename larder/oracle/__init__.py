@@ -1,5 +1,15 @@
 """DuckDB SQL with the same result as each registered query."""
 
-from larder.oracle import network_sql, plan_sql, search_sql
+from larder.oracle import (
+    catalogue_sql,
+    network_sql,
+    plan_sql,
+    search_sql,
+)
 
-ALL_SQL = {**search_sql.SQL, **network_sql.SQL, **plan_sql.SQL}
+ALL_SQL = {
+    **search_sql.SQL,
+    **network_sql.SQL,
+    **plan_sql.SQL,
+    **catalogue_sql.SQL,
+}

@@ -1,5 +1,15 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame."""
 
-from larder.plans import network_queries, plan_queries, search_queries
+from larder.plans import (
+    catalogue_queries,
+    network_queries,
+    plan_queries,
+    search_queries,
+)
 
-ALL_QUERIES = {**search_queries.QUERIES, **network_queries.QUERIES, **plan_queries.QUERIES}
+ALL_QUERIES = {
+    **search_queries.QUERIES,
+    **network_queries.QUERIES,
+    **plan_queries.QUERIES,
+    **catalogue_queries.QUERIES,
+}
