@@ -135,13 +135,13 @@ def ingredient_payload(
     """The stored form of an ingredient line, with its defaults filled in."""
     none = F.lit(None).cast("string")
     item = none if item is None else item
-    source = F.coalesce(blank_to_null(normalized_name), blank_to_null(item), text(raw))
-    normalized = F.coalesce(blank_to_null(normalize_ingredient(source)), F.lit("ingredient"))
+    source = F.coalesce(blank_to_null(normalized_name), blank_to_null(item), strip(text(raw)))
+    name = F.coalesce(blank_to_null(normalize_ingredient(source)), F.lit("ingredient"))
 
     def optional_text(c: Column | None) -> Column:
         return none if c is None else blank_to_null(strip(c))
 
-    return F.struct(
+    return bind(name, lambda normalized: F.struct(
         strip(text(raw)).alias("raw"),
         normalized.alias("normalized_name"),
         F.coalesce(blank_to_null(canonical_ingredient(normalized)), normalized).alias("canonical_name"),
@@ -150,7 +150,7 @@ def ingredient_payload(
         optional_text(item).alias("item"),
         optional_text(preparation).alias("preparation"),
         (F.lit(False) if optional is None else F.coalesce(optional, F.lit(False))).alias("optional"),
-    )
+    ))
 
 
 def index_name(canonical: Column, normalized: Column, raw: Column) -> Column:
@@ -177,18 +177,27 @@ def parse_ingredient_line(raw: Column) -> Column:
 
 
 def _parsed(cleaned: Column) -> Column:
-    base = F.regexp_extract(cleaned, "^[^,]*", 0)
     preparation = strip(F.regexp_replace(cleaned, "^[^,]*,?", ""))
-    quantity = F.regexp_extract(base, LEADING_QUANTITY, 0)
-    remainder = F.substr(base, F.length(quantity) + 1)
-    unit = F.regexp_extract(remainder, LEADING_UNIT, 1)
-    rest = F.regexp_replace(F.substr(remainder, F.length(unit) + 1), f"^{WS}+", "")
-    item = strip_chars(F.regexp_replace(rest, WS + r"*\([^)]*\)", ""), " .;:-")
-    item = F.regexp_replace(item, f"(?i)^of{WS}+", "")
-    name = extracted_name(F.coalesce(blank_to_null(item), cleaned))
-    return ingredient_payload(
-        cleaned, name, quantity, unit, item, preparation,
-        F.contains(casefold(cleaned), F.lit("optional")),
+    optional = F.contains(casefold(cleaned), F.lit("optional"))
+
+    def with_item(quantity: Column, unit: Column, item: Column) -> Column:
+        name = extracted_name(F.coalesce(blank_to_null(item), cleaned))
+        return ingredient_payload(cleaned, name, quantity, unit, item, preparation, optional)
+
+    def with_unit(quantity: Column, remainder: Column, unit: Column) -> Column:
+        rest = F.regexp_replace(F.substr(remainder, F.length(unit) + 1), f"^{WS}+", "")
+        item = strip_chars(F.regexp_replace(rest, WS + r"*\([^)]*\)", ""), " .;:-")
+        return bind(F.regexp_replace(item, f"(?i)^of{WS}+", ""), lambda i: with_item(quantity, unit, i))
+
+    def with_quantity(base: Column, quantity: Column) -> Column:
+        return bind(
+            F.substr(base, F.length(quantity) + 1),
+            lambda rest: bind(F.regexp_extract(rest, LEADING_UNIT, 1), lambda unit: with_unit(quantity, rest, unit)),
+        )
+
+    return bind(
+        F.regexp_extract(cleaned, "^[^,]*", 0),
+        lambda base: bind(F.regexp_extract(base, LEADING_QUANTITY, 0), lambda q: with_quantity(base, q)),
     )
 
 

@@ -200,21 +200,15 @@ def recipe_page(entries: Column, title: Column, excerpt: Column) -> Column:
     )
     summary.append(F.when(timing != "", block("summary", F.lit("Timing"), F.array(timing))))
 
-    intro = paragraphs(
+    opening = paragraphs(
         F.coalesce(*[blank_to_null(text(entry(k)["text"])) for k in ("intro", "introduction", "headnote")], F.lit(""))
     )
     shown = squash(text(excerpt))
     fallback = F.when((shown != "") & (casefold(shown) != casefold(strip(title))), F.array(shown)).otherwise(
         F.array().cast("array<string>")
     )
-    has_intro = F.size(intro) > 0
-    head = F.array_compact(F.array(
-        F.when(has_intro, block("intro", F.lit("Introduction"), intro)).otherwise(
-            optional("intro", F.lit("Excerpt"), fallback)
-        )
-    ))
-    notes = list_items(entry("preparation_notes")["items"])
-    sections = F.filter(
+    remarks = list_items(entry("preparation_notes")["items"])
+    extras = F.filter(
         F.transform(
             F.coalesce(
                 entry("supplemental_sections")["sections"],
@@ -235,23 +229,35 @@ def recipe_page(entries: Column, title: Column, excerpt: Column) -> Column:
             .when(F.size(items) > 0, block("list", page_label(e["key"]), items))
         )
 
-    def unused(e: Column) -> Column:
-        used = e["key"].isin(*PAGE_PRIORITY, *PAGE_TIMING) & (squash(text(e["text"])) != "")
-        used = used | (has_intro & e["key"].isin("intro", "introduction", "headnote"))
-        used = used | ((e["key"] == "preparation_notes") & (F.size(notes) > 0))
-        return ~(used | ((e["key"] == "supplemental_sections") & (F.size(sections) > 0)))
-
-    rest = F.array_compact(F.transform(F.filter(entries, unused), leftover))
-
-    def of(kind: str) -> Column:
-        return F.filter(rest, lambda b: b["block"] == kind)
-
-    return F.concat(
-        F.array_compact(F.array(*summary)),
-        of("summary"),
-        head,
-        of("text"),
-        F.array_compact(F.array(optional("list", F.lit("Notes"), notes))),
-        of("list"),
-        sections,
-    ).cast(line_type)
+    def page(intro: Column, notes: Column, sections: Column) -> Column:
+        has_intro = F.size(intro) > 0
+        head = F.array_compact(F.array(
+            F.when(has_intro, block("intro", F.lit("Introduction"), intro)).otherwise(
+                optional("intro", F.lit("Excerpt"), fallback)
+            )
+        ))
+        def unused(e: Column) -> Column:
+            used = e["key"].isin(*PAGE_PRIORITY, *PAGE_TIMING) & (squash(text(e["text"])) != "")
+            used = used | (has_intro & e["key"].isin("intro", "introduction", "headnote"))
+            used = used | ((e["key"] == "preparation_notes") & (F.size(notes) > 0))
+            return ~(used | ((e["key"] == "supplemental_sections") & (F.size(sections) > 0)))
+
+        rest = F.array_compact(F.transform(F.filter(entries, unused), leftover))
+
+        def blocks(rest: Column) -> Column:
+            def of(kind: str) -> Column:
+                return F.filter(rest, lambda b: b["block"] == kind)
+
+            return F.concat(
+                F.array_compact(F.array(*summary)),
+                of("summary"),
+                head,
+                of("text"),
+                F.array_compact(F.array(optional("list", F.lit("Notes"), notes))),
+                of("list"),
+                sections,
+            ).cast(line_type)
+
+        return bind(rest, blocks)
+
+    return bind(opening, lambda i: bind(remarks, lambda n: bind(extras, lambda s: page(i, n, s))))

@@ -2,6 +2,7 @@
 
 from larder.oracle import (
     catalogue_sql,
+    function_sql,
     network_sql,
     plan_sql,
     search_sql,
@@ -12,4 +13,5 @@ ALL_SQL = {
     **network_sql.SQL,
     **plan_sql.SQL,
     **catalogue_sql.SQL,
+    **function_sql.SQL,
 }

@@ -43,7 +43,7 @@ def word_count(x: str) -> str:
 def title_case(x: str) -> str:
     return (
         f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+'), "
-        "lambda w: upper(w[1]) || lower(w[2:])), '')"
+        "lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || lower(w[2:])), '')"
     )
 
 

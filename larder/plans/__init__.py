@@ -2,6 +2,7 @@
 
 from larder.plans import (
     catalogue_queries,
+    function_queries,
     network_queries,
     plan_queries,
     search_queries,
@@ -12,4 +13,5 @@ ALL_QUERIES = {
     **network_queries.QUERIES,
     **plan_queries.QUERIES,
     **catalogue_queries.QUERIES,
+    **function_queries.QUERIES,
 }
