@@ -27,7 +27,6 @@ MEASUREMENT = (
     r"g|kg|ml|l|oz|lb|lbs)" + WORD_END
 )
 METHOD_STEP = r"(?i)^(?:step\s*\d+|\d+[.)])\s*"
-METHOD_OPENERS = ("first", "then", "next", "meanwhile", "finally")
 NOT_INGREDIENT_OPENERS = ("for the ", "for ", "to serve", "serve with")
 PAYLOAD_KEYS = ("intro", "serves", "makes", "yield", "prep_time", "cook_time", "total_time")
 PAGE_LABELS = {
@@ -96,22 +95,6 @@ def _is_ingredient(line: Column) -> Column:
     )
 
 
-def is_method_line(c: Column) -> Column:
-    return bind(squash(text(c)), _is_method)
-
-
-def _is_method(line: Column) -> Column:
-    return (
-        (line != "")
-        & ~_is_ingredient(line)
-        & (
-            F.rlike(line, F.lit(METHOD_STEP))
-            | starts_with_any(casefold(line), METHOD_OPENERS)
-            | F.endswith(line, F.lit("."))
-        )
-    )
-
-
 def embedding_text(title: Column, ingredients: Column, method_steps: Column) -> Column:
     """Text that is embedded for a recipe. ``ingredients`` is the array of stored structs."""
     names = F.transform(

@@ -14,6 +14,9 @@ WS = (
     r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+WS_CHARS = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)))
 # Unicode word boundaries as consuming groups (safe for search, not for replacement).
 WORD_START = r"(?:^|[^\p{L}\p{N}_])"
 WORD_END = r"(?:$|[^\p{L}\p{N}_])"
@@ -44,7 +47,7 @@ def squash(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def strip_chars(c: Column, chars: str) -> Column:

@@ -2,6 +2,7 @@
 
 from larder.oracle import (
     catalogue_sql,
+    document_sql,
     function_sql,
     network_sql,
     plan_sql,
@@ -14,4 +15,5 @@ ALL_SQL = {
     **plan_sql.SQL,
     **catalogue_sql.SQL,
     **function_sql.SQL,
+    **document_sql.SQL,
 }

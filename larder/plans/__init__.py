@@ -2,6 +2,7 @@
 
 from larder.plans import (
     catalogue_queries,
+    document_queries,
     function_queries,
     network_queries,
     plan_queries,
@@ -14,4 +15,5 @@ ALL_QUERIES = {
     **plan_queries.QUERIES,
     **catalogue_queries.QUERIES,
     **function_queries.QUERIES,
+    **document_queries.QUERIES,
 }
