@@ -35,6 +35,7 @@ from larder.functions.text import (
 )
 from larder.operators.catalogue import append_new_anchors
 from larder.operators.ordering import ranked
+from larder.session import cut_lineage
 from larder.sources.html import node_array
 
 # Fixed values.
@@ -387,7 +388,8 @@ def targeted_reextract(
 ) -> DataFrame:
     """Read only the asked anchors again and append the drafts that are new."""
     asked = sections.join(anchors.select("cookbook_id", "anchor").distinct(), ["cookbook_id", "anchor"], "left_semi")
-    return append_new_anchors(deterministic_drafts(asked), existing, order)
+    # Drafts are dear to make and are stored anyway: write them once before numbering.
+    return append_new_anchors(cut_lineage(deterministic_drafts(asked)), existing, order)
 
 
 def anchor_text(pages: DataFrame, anchors: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:

@@ -98,6 +98,24 @@ PROFILES = (
 )
 
 
+CLASS_KINDS = (
+    "title", "ingredient", "method", "text", "category", "intro", "metadata", "supplemental", "fallback_title", "ignored_image",
+)
+FLAGS = ("drop_images_after_category", "defer_images_after_method", "discard_leading_images")
+
+
+def _profile(number: Column) -> Column:
+    """The class lists and flags of a profile, as a struct looked up by its number."""
+
+    def classes(profile: dict, kind: str) -> Column:
+        return F.array(*[F.lit(c) for c in profile.get(kind, ())]).cast("array<string>").alias(kind)
+
+    known = F.array(*[
+        F.struct(*[classes(p, k) for k in CLASS_KINDS], *[F.lit(bool(p.get(f))).alias(f) for f in FLAGS]) for p in PROFILES
+    ])
+    return F.get(known, number)
+
+
 def _has(node: Column, classes: tuple[str, ...]) -> Column:
     if not classes:
         return F.lit(False)
@@ -128,11 +146,11 @@ def profile_match(pages: DataFrame, doc: str = "page_id", html: str = "html") ->
     return pages.select(doc, profile_of(node_array(F.col(html))).alias("profile"))
 
 
-def _sections(nodes: Column, profile: dict) -> Column:
+def _sections(nodes: Column, profile: Column) -> Column:
     """Runs of nodes, one per recipe; each begins at a title."""
 
     def cls(node: Column, kind: str) -> Column:
-        return _has(node, profile.get(kind, ()))
+        return F.arrays_overlap(node["classes"], profile[kind])
 
     kept = F.filter(
         nodes,
@@ -166,9 +184,9 @@ def _sections(nodes: Column, profile: dict) -> Column:
     return bind(kept, split)
 
 
-def _section(run: Column, k: Column, category: Column, lead: Column, profile: dict) -> Column:
+def _section(run: Column, k: Column, category: Column, lead: Column, profile: Column) -> Column:
     def cls(node: Column, kind: str) -> Column:
-        return _has(node, profile.get(kind, ()))
+        return F.arrays_overlap(node["classes"], profile[kind])
 
     def is_text(n: Column) -> Column:
         return n["tag"] != "img"
@@ -191,7 +209,7 @@ def _section(run: Column, k: Column, category: Column, lead: Column, profile: di
 
     def step(acc: Column, n: Column) -> Column:
         kind = (
-            F.when(~is_text(n), F.when(F.lit(bool(profile.get("defer_images_after_method"))) & acc["cooking"], "late_image").otherwise("image"))
+            F.when(~is_text(n), F.when(profile["defer_images_after_method"] & acc["cooking"], "late_image").otherwise("image"))
             .when(cls(n, "category"), "skip")
             .when(cls(n, "intro"), "intro")
             .when(cls(n, "metadata"), "metadata")
@@ -229,11 +247,7 @@ def _section(run: Column, k: Column, category: Column, lead: Column, profile: di
             F.array_compact(F.array(category, title["text"])), texts(leading),
             of("intro", "metadata", "supplemental", "ingredient", "method", "line"),
         )
-        kept_lead = F.lit(True)
-        if profile.get("discard_leading_images"):
-            kept_lead = F.lit(False)
-        elif profile.get("drop_images_after_category"):
-            kept_lead = category.isNull()
+        kept_lead = ~profile["discard_leading_images"] & (~profile["drop_images_after_category"] | category.isNull())
         meta = F.array_compact(F.transform(of("metadata"), metadata_line))
         heads = F.filter(out, lambda e: e["role"] == "supplemental")
         supplemental = F.transform(
@@ -269,14 +283,17 @@ def profile_sections(pages: DataFrame, doc: str = "page_id", html: str = "html")
     """Recipe sections of the documents that follow a profile.
 
     Titles begin sections; classes route the paragraphs. Lines before the first title join the
-    first section. One pass per profile, each over its own documents only.
+    first section.
     """
-    parsed = pages.select(doc, node_array(F.col(html)).alias("nodes")).withColumn("profile", profile_of(F.col("nodes")))
     key = F.concat(F.col(doc).cast("string"), F.lit("#"))
-    built = F.when(F.lit(False), _sections(F.col("nodes"), PROFILES[0]))
-    for number, profile in enumerate(PROFILES):
-        built = built.when(F.col("profile") == number, _sections(F.col("nodes"), profile))
-    rows = parsed.where(F.col("profile").isNotNull()).select(doc, "profile", F.explode(built).alias("s"))
+
+    def routed(nodes: Column, number: Column) -> Column:
+        built = bind(_profile(number), lambda profile: _sections(nodes, profile))
+        return F.struct(number.alias("profile"), F.when(number.isNotNull(), built).alias("sections"))
+
+    # Nodes and profile are bound, so a page is parsed once however many branches read it.
+    found = bind(node_array(F.col(html)), lambda nodes: bind(profile_of(nodes), lambda n: routed(nodes, n)))
+    rows = pages.select(doc, found.alias("f")).select(doc, "f.profile", F.explode("f.sections").alias("s"))
     return rows.select(
         doc,
         "profile",

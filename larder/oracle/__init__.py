@@ -5,8 +5,11 @@ from larder.oracle import (
     document_sql,
     function_sql,
     network_sql,
+    pdf_sql,
     plan_sql,
     search_sql,
+    stream_sql,
+    toc_sql,
 )
 
 ALL_SQL = {
@@ -16,4 +19,7 @@ ALL_SQL = {
     **catalogue_sql.SQL,
     **function_sql.SQL,
     **document_sql.SQL,
+    **toc_sql.SQL,
+    **pdf_sql.SQL,
+    **stream_sql.SQL,
 }

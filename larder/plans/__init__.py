@@ -5,8 +5,11 @@ from larder.plans import (
     document_queries,
     function_queries,
     network_queries,
+    pdf_queries,
     plan_queries,
     search_queries,
+    stream_queries,
+    toc_queries,
 )
 
 ALL_QUERIES = {
@@ -16,4 +19,7 @@ ALL_QUERIES = {
     **catalogue_queries.QUERIES,
     **function_queries.QUERIES,
     **document_queries.QUERIES,
+    **toc_queries.QUERIES,
+    **pdf_queries.QUERIES,
+    **stream_queries.QUERIES,
 }

@@ -46,6 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits, such as one small file of long texts.
+
+    A large input has more splits than the session has cores and is left as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back, so recomputing starts there."""
     ensure_checkpoint_dir(df.sparkSession)

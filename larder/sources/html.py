@@ -72,44 +72,76 @@ def _toc_navs(html: Column) -> Column:
     return F.array_join(F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).otherwise(navs), " ")
 
 
-def toc_from_html(pages: DataFrame, doc: str = "page_id", html: str = "html", base: Column | None = None) -> DataFrame:
-    """Table-of-contents rows of the nested lists in a page's ``nav``.
+def walk_toc(pieces: Column) -> Column:
+    """Entries ``(depth, label, href)`` of a walk over opening and closing tags.
 
-    Depth is the number of open lists less one. An entry without label or link drops out with
-    the entries below it: each row needs every ancestor on its path to be usable.
+    Pieces are ``struct<delta, is_item, label, href>`` in document order; ``delta`` opens or closes
+    a level. An entry without label or link drops out with the entries below it. The walk keeps
+    the open depth and the shallowest unusable entry.
     """
-    marked = F.regexp_replace(_toc_navs(F.col(html)), r"(?i)<(/?(?:ol|ul|li))\b[^>]*>", f"{MARK}$1>")
-    pieces = F.transform(F.split(marked, MARK), lambda p: F.struct(
-        F.lower(F.regexp_extract(p, "^/?[a-zA-Z]+", 0)).alias("tag"), p.alias("piece")))
-    link = r"(?is)^li>\s*<a\b[^>]*?>(.*?)</a>"
-
-    def item(p: Column) -> Column:
-        href = attribute(F.regexp_extract(p, r"(?is)<a\b[^>]*>", 0), "href")
-        label = squash(decode(F.regexp_replace(F.regexp_extract(p, link, 1), "<[^>]*>", " ")))
-        path = epub_path(F.coalesce(href, F.lit("")), base)
-        return F.struct(label.alias("label"), path.alias("href"))
-
-    # Walk the list tags of one page, keeping the open depth and the shallowest unusable entry.
     state = F.struct(
         F.lit(-1).alias("depth"), F.lit(999).alias("bad"),
         F.array().cast("array<struct<depth:int,label:string,href:string>>").alias("out"),
     )
 
     def step(acc: Column, p: Column) -> Column:
-        depth = acc["depth"] + F.when(p["tag"].isin("ol", "ul"), 1).when(p["tag"].isin("/ol", "/ul"), -1).otherwise(0)
-        is_item = p["tag"] == "li"
-
-        def add(found: Column) -> Column:
-            usable = (found["label"] != "") & (found["href"] != "")
-            under_bad = depth > acc["bad"]
-            bad = F.when(~is_item, F.when(depth < acc["bad"], 999).otherwise(acc["bad"])).when(
-                under_bad, acc["bad"]).when(usable, 999).otherwise(depth)
-            entry = F.struct(depth.alias("depth"), found["label"].alias("label"), found["href"].alias("href"))
-            out = F.when(is_item & usable & ~under_bad, F.array_append(acc["out"], entry)).otherwise(acc["out"])
-            return F.struct(depth.alias("depth"), bad.cast("int").alias("bad"), out.alias("out"))
-
-        return bind(item(p["piece"]), add)
-
-    walked = F.aggregate(pieces, state, step, lambda acc: acc["out"])
-    rows = pages.select(doc, F.posexplode(walked).alias("seq", "e"))
+        depth = acc["depth"] + p["delta"]
+        usable = (p["label"] != "") & (p["href"] != "")
+        under_bad = depth > acc["bad"]
+        entry = F.struct(depth.alias("depth"), p["label"].alias("label"), p["href"].alias("href"))
+        bad = (
+            F.when(~p["is_item"], F.when(depth < acc["bad"], 999).otherwise(acc["bad"]))
+            .when(under_bad, acc["bad"]).when(usable, 999).otherwise(depth)
+        )
+        out = F.when(p["is_item"] & usable & ~under_bad, F.array_append(acc["out"], entry)).otherwise(acc["out"])
+        return F.struct(depth.alias("depth"), bad.cast("int").alias("bad"), out.alias("out"))
+
+    return F.aggregate(pieces, state, step, lambda acc: acc["out"])
+
+
+def _piece(delta: Column, is_item: Column, label: Column, href: Column) -> Column:
+    return F.struct(
+        delta.cast("int").alias("delta"), is_item.alias("is_item"), label.alias("label"), href.alias("href")
+    )
+
+
+def _toc_rows(pages: DataFrame, doc: str, pieces: Column) -> DataFrame:
+    rows = pages.select(doc, F.posexplode(walk_toc(pieces)).alias("seq", "e"))
     return rows.select(doc, "seq", "e.depth", "e.label", "e.href")
+
+
+def toc_from_html(pages: DataFrame, doc: str = "page_id", html: str = "html", base: Column | None = None) -> DataFrame:
+    """Table-of-contents rows of the nested lists in a page's ``nav``."""
+    marked = F.regexp_replace(_toc_navs(F.col(html)), r"(?i)<(/?(?:ol|ul|li))\b[^>]*>", f"{MARK}$1>")
+
+    def piece(p: Column) -> Column:
+        tag = F.lower(F.regexp_extract(p, "^/?[a-zA-Z]+", 0))
+        href = attribute(F.regexp_extract(p, r"(?is)<a\b[^>]*>", 0), "href")
+        label = F.regexp_extract(p, r"(?is)^li>\s*<a\b[^>]*?>(.*?)</a>", 1)
+        return _piece(
+            F.when(tag.isin("ol", "ul"), 1).when(tag.isin("/ol", "/ul"), -1).otherwise(0),
+            tag == "li",
+            squash(decode(F.regexp_replace(label, "<[^>]*>", " "))),
+            epub_path(F.coalesce(href, F.lit("")), base),
+        )
+
+    return _toc_rows(pages, doc, F.transform(F.split(marked, MARK), piece))
+
+
+def toc_from_ncx(files: DataFrame, doc: str = "doc", xml: str = "xml", base: Column | None = None) -> DataFrame:
+    """Table-of-contents rows of a navigation control file; none when its tags do not balance."""
+    point = r"(?:[a-zA-Z]+:)?navPoint"
+    marked = F.regexp_replace(F.regexp_replace(xml, SKIPPED, " "), rf"<(/?){point}\b[^>]*>", f"{MARK}$1>")
+    opens = F.regexp_count(F.col(xml), F.lit(rf"<{point}\b"))
+    closes = F.regexp_count(F.col(xml), F.lit(rf"</{point}\b"))
+
+    def piece(p: Column) -> Column:
+        label = F.regexp_extract(p, r"(?s)<(?:[a-zA-Z]+:)?text\b[^>]*>(.*?)</", 1)
+        src = attribute(F.regexp_extract(p, r"(?s)<(?:[a-zA-Z]+:)?content\b[^>]*>", 0), "src")
+        opening = F.startswith(p, F.lit(">"))
+        return _piece(
+            F.when(opening, 1).otherwise(-1), opening, squash(decode(label)), epub_path(F.coalesce(src, F.lit("")), base)
+        )
+
+    pieces = F.slice(F.split(marked, MARK), 2, 1000000000)
+    return _toc_rows(files.where(opens == closes), doc, F.transform(pieces, piece))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.text import first_words, squash
+from larder.session import spread
 
 # Collection slug of each market segment of the customer table; the last has no collection.
 SEGMENT_SLUGS = {
@@ -20,8 +21,12 @@ SEGMENT_SLUGS = {
 REVIEW_OF_STATUS = {"F": "verified", "O": "pending_review", "P": "needs_review"}
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def _mapped(c: Column, names: dict[str, str]) -> Column:
