@@ -13,7 +13,7 @@ from larder.functions.ingredients import canonical_ingredient, index_name
 
 def facet_names(spark: SparkSession, values: Sequence[str]) -> list[str]:
     """Canonical, distinct facet names of a request, in request order; commas separate names."""
-    parts = [part for value in values for part in (value or "").split(",")]
+    parts = [part.strip() for value in values for part in (value or "").split(",")]
     if not parts:
         return []
     names = F.array(*[canonical_ingredient(F.lit(part)) for part in parts])

@@ -129,7 +129,7 @@ SQL = {
     "vector_upsert": with_views("""SELECT vec_id AS recipe_id, round(cast(embedding[1] AS DOUBLE), 6) AS first, 'old' AS title FROM embeddings WHERE vec_id % 2 <> 0
         UNION ALL SELECT vec_id, round(cast(embedding[2] AS DOUBLE), 6), title FROM embeddings JOIN v_docs ON recipe_id = vec_id WHERE vec_id % 2 = 0""", "v_docs"),
     "top_images": with_views("SELECT recipe_id, array_to_string(lines[1:4], '|') AS images FROM v_docs", "v_docs"),
-    "sort_cookbooks_title": sorted_by(text_order("title", "author")),
+    "sort_cookbooks": sorted_by(text_order("title", "author")),
     "sort_cookbooks_author": sorted_by(text_order("author", "title")),
     "sort_cookbooks_cuisine": sorted_by(text_order("cuisine", "title")),
     "sort_cookbooks_published_at": sorted_by(f"published_at IS NOT NULL DESC, coalesce(published_at, '') DESC, {sort_key('title')} DESC"),

@@ -103,7 +103,7 @@ SQL = {
         FROM (SELECT *, {squash('line')} AS l FROM labelled)"""),
     "merge_metadata": with_views(f"""SELECT recipe_id, array_to_string(list_sort(list_filter(['intro=' || {strip("title")}, CASE WHEN recipe_id % 2 = 0 THEN 'serves=6' ELSE 'serves=4' END,
         CASE WHEN recipe_id % 3 = 0 THEN 'yield=' || lang END, CASE WHEN recipe_id % 5 = 0 THEN 'supplemental_sections=[{{"heading":"Tip"}}]' END], lambda x: x IS NOT NULL)), '|') AS metadata FROM v_docs""", "v_docs"),
-    "recipe_page": with_views("SELECT recipe_id, row_number() OVER (PARTITION BY recipe_id ORDER BY o) - 1 AS place, block, heading, lines FROM ("
+    "recipe_page_metadata": with_views("SELECT recipe_id, row_number() OVER (PARTITION BY recipe_id ORDER BY o) - 1 AS place, block, heading, lines FROM ("
                               + " UNION ALL ".join(f"SELECT recipe_id, {i} AS o, '{b}' AS block, {h} AS heading, {ls} AS lines FROM v_docs WHERE {c}" for i, (b, h, ls, c) in enumerate(BLOCKS)) + ")", "v_docs"),
     "embedding_text": with_views(f"SELECT recipe_id, {strip('''title || chr(10) || 'Ingredients: ' || array_to_string(lines, ', ') || chr(10) || 'Method: ' || array_to_string(lines, ' ')''')} AS text FROM v_docs", "v_docs"),
     "excerpt": with_views(f"SELECT recipe_id, {strip(f'''substr(array_to_string(list_filter(list_transform(lines, lambda l: {strip('l')}), lambda l: l <> '')[1:4], ' '), 1, 420)''')} AS excerpt FROM v_docs", "v_docs"),

@@ -279,4 +279,5 @@ QUERIES = {
         new_anchor_anti, append_new_anchors, positions, cascade_delete, vector_upsert, top_images,
     )
 }
-QUERIES |= {f"sort_cookbooks_{by}": _sorted_by(by) for by in ("title", "author", "cuisine", "published_at")}
+QUERIES["sort_cookbooks"] = _sorted_by("title")
+QUERIES |= {f"sort_cookbooks_{by}": _sorted_by(by) for by in ("author", "cuisine", "published_at")}

@@ -150,7 +150,7 @@ def merge_metadata(spark, d):
     return docs.select(key, F.array_join(merged, "|").alias("metadata"))
 
 
-def recipe_page(spark, d):
+def recipe_page_metadata(spark, d):
     docs = views.documents(spark, d)
     key = F.col("recipe_id")
     none = F.lit(None)
@@ -247,7 +247,7 @@ QUERIES = {
     for f in (
         normalize_ingredient, canonical_ingredient, ingredient_payload, index_name, parse_ingredient_line,
         clean_metadata, display_title_from_file, derive_cuisine, published_at, sort_key, metadata_line,
-        merge_metadata, recipe_page, embedding_text, excerpt, inferred_title, json_in_text, epub_path,
+        merge_metadata, recipe_page_metadata, embedding_text, excerpt, inferred_title, json_in_text, epub_path,
         chapter_label_test,
     )
 }
