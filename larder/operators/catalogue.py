@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions.ingredients import index_name, ingredient_payload
 from larder.functions.text import blank_to_null, clean_metadata, published_at, sort_key, strip, text
 from larder.operators.ordering import positions, prev_next, ranked
+from larder.session import computed_once, cut_lineage
 
 # The built-in collections and the management groups, in shown order.
 COLLECTIONS = {
@@ -306,7 +307,7 @@ def group_by_chapter(recipes: DataFrame) -> DataFrame:
 def backfill_lines(lines: DataFrame) -> DataFrame:
     """Stored ingredient lines next to their recomputed names."""
     fresh = ingredient_payload(F.col("raw"), F.col("normalized_name"), item=F.col("item"))
-    return lines.withColumn("fresh", fresh).select(
+    return computed_once(lines, "fresh", fresh).select(
         "*",
         (
             ~F.col("canonical_name").eqNullSafe(F.col("fresh.canonical_name"))
@@ -321,12 +322,13 @@ def backfill_diff(lines: DataFrame, stored_names: DataFrame) -> DataFrame:
     ``stored_names`` holds the (recipe_id, name) pairs of the stored name lists. A recipe also
     counts as changed when only its name list differs.
     """
-    compared = backfill_lines(lines)
+    name = index_name(F.col("fresh.canonical_name"), F.col("fresh.normalized_name"), F.col("raw"))
+    # Canonicalising is the dear part and feeds two aggregations: keep its narrow result.
+    compared = cut_lineage(backfill_lines(lines).select("recipe_id", name.alias("name"), "changed"))
     per_recipe = compared.groupBy("recipe_id").agg(
         F.bool_or("changed").alias("changed"), F.count_if("changed").alias("lines_changed")
     )
-    name = index_name(F.col("fresh.canonical_name"), F.col("fresh.normalized_name"), F.col("raw"))
-    now = compared.select("recipe_id", name.alias("name")).where(F.col("name") != "").distinct()
+    now = compared.select("recipe_id", "name").where(F.col("name") != "").distinct()
     both = now.withColumn("new", F.lit(True)).join(
         stored_names.select("recipe_id", "name").distinct().withColumn("old", F.lit(True)), ["recipe_id", "name"], "full"
     )
@@ -391,10 +393,3 @@ def vector_upsert(current: DataFrame, recipes: DataFrame, embeddings: DataFrame)
     new = recipes.join(embeddings, "recipe_id")
     kept = current.join(embeddings.select("recipe_id"), "recipe_id", "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
-
-
-def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The last written row of each key, by aggregation rather than by sorting each key's rows."""
-    whole = F.struct(*rows.columns)
-    last = rows.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("row"))
-    return last.select("row.*")

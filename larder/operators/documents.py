@@ -35,7 +35,7 @@ from larder.functions.text import (
 )
 from larder.operators.catalogue import append_new_anchors
 from larder.operators.ordering import ranked
-from larder.session import cut_lineage
+from larder.session import computed_once, cut_lineage
 from larder.sources.html import node_array
 
 # Fixed values.
@@ -279,13 +279,15 @@ def section_fields(sections: DataFrame) -> DataFrame:
 
         return bind(place, moved)
 
-    fields = F.aggregate(F.transform(lines, classed), start, step)
-    return sections.withColumn("f", fields).select(
-        "*",
-        final_metadata(F.col("f.meta"), F.col("f.intro")).alias("metadata"),
-        dedupe_consecutive(F.col("f.ingredients")).alias("ingredient_lines"),
-        method_steps(dedupe_consecutive(F.col("f.method"))).alias("method_lines"),
-    ).drop("f")
+    def finished(f: Column) -> Column:
+        return F.struct(
+            final_metadata(f["meta"], f["intro"]).alias("metadata"),
+            dedupe_consecutive(f["ingredients"]).alias("ingredient_lines"),
+            method_steps(dedupe_consecutive(f["method"])).alias("method_lines"),
+        )
+
+    fields = bind(F.aggregate(F.transform(lines, classed), start, step), finished)
+    return computed_once(sections, "f", fields).select("*", "f.*").drop("f")
 
 
 def final_metadata(meta: Column, intro: Column) -> Column:

@@ -6,8 +6,6 @@ jobs keep a narrow state, write it to the checkpoint folder every round and stop
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,7 +189,8 @@ def hop_distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFra
         fresh = cut_lineage(step.distinct().join(reached, ["source", "node"], "left_anti"))
         if fresh.isEmpty():
             return reached
-        reached = cut_lineage(reached.union(fresh))
+        # Both parts are written already; their union needs no copy.
+        reached = reached.union(fresh)
         frontier = fresh
 
 
@@ -418,8 +417,3 @@ def network_summary(
 
 def write_network_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(path)
-
-
-def names_of(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """The rows of ``df`` whose column is among a few given values, as source nodes."""
-    return df.where(F.col(column).isin(*values)).select(F.col(column).alias("name"))

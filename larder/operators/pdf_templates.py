@@ -16,6 +16,7 @@ from larder.functions.ingredients import ingredient_payload, source_ingredient_n
 from larder.functions.metadata import starts_with_any
 from larder.functions.text import bind, blank_to_null, source_file_title, squash, strip, text, title_case, word_count
 from larder.operators.documents import no_texts, split_at
+from larder.session import computed_once
 
 MANY = 1000000000
 SECTIONS = "array<struct<heading:string,lines:array<string>>>"
@@ -170,7 +171,7 @@ def _result(
     files: DataFrame, source: str, parsed: Column, metadata: dict[str, Column], reason: Column
 ) -> DataFrame:
     """Common output: title, fields, drafts' ingredient structs and the reject reason."""
-    rows = files.withColumn("p", parsed)
+    rows = computed_once(files, "p", parsed)
     entries = F.filter(
         F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in metadata.items()]),
         lambda e: text(e["value"]) != "",

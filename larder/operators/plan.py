@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -561,8 +560,3 @@ def recipe_options(recipes: DataFrame) -> DataFrame:
         casefold(F.col("title")).alias("title_key"),
         casefold(F.col("cookbook_title")).alias("cookbook_key"),
     ).orderBy("title_key", "cookbook_key", "recipe_id")
-
-
-def needed_shares(tokens: int, least_coverage: float) -> int:
-    """How many of ``tokens`` a candidate must share (the rule of the blocking join)."""
-    return max(math.ceil(tokens * least_coverage - 1e-9), 1)

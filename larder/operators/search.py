@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import casefold
 from larder.operators.facets import facet_and, facet_names
 from larder.operators.ordering import rank_map, top_ranked
+from larder.session import computed_once, cut_lineage
 
 # Weight of each searched field, and the rank offset of the fusion.
 FIELD_WEIGHTS = {
@@ -66,8 +67,8 @@ def keyword_score(recipes: DataFrame, terms: Sequence[str]) -> DataFrame:
         matched.append(F.when(anywhere, F.lit(term)))
     if not matched:
         return recipes.limit(0).select("*", score.alias("score"), F.array().cast("array<string>").alias("matched_terms"))
-    scored = recipes.select("*", score.alias("score"), F.array_compact(F.array(*matched)).alias("matched_terms"))
-    return scored.where(F.col("score") > 0)
+    found = F.struct(score.alias("score"), F.array_compact(F.array(*matched)).alias("matched_terms"))
+    return computed_once(recipes, "k", found).where(F.col("k.score") > 0).select("*", "k.*").drop("k")
 
 
 def keyword_topk(recipes: DataFrame, q: str, limit: int = 6) -> DataFrame:
@@ -201,10 +202,14 @@ def hybrid_search(
     if not q:
         return flat(1.0 if names else 0.0)
 
-    scored = keyword_score(candidates, query_terms(q)).select("recipe_id", "scan_order", "score", "matched_terms")
+    # Both sides are read several times below. What is kept of them is narrow, so it is written
+    # once instead of scanning texts and vectors again.
+    scored = cut_lineage(
+        keyword_score(candidates, query_terms(q)).select("recipe_id", "scan_order", "score", "matched_terms")
+    )
     k = fan_out(limit if limit is not None else max(candidates.count(), 1))
     if vectors is not None and q_vec is not None and q.strip():
-        near = vector_candidate_join(vector_topk(vectors, q_vec, k), candidates).select("recipe_id", "score")
+        near = cut_lineage(vector_candidate_join(vector_topk(vectors, q_vec, k), candidates).select("recipe_id", "score"))
     else:
         near = scored.select("recipe_id", "score").limit(0)
     if limit is None:

@@ -36,9 +36,9 @@ LISTING = """listing AS (SELECT 'ebooks/' || lower(c_mktsegment) || '/the_' || l
         CASE WHEN c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 11 = 0 THEN c_custkey * 1000000000 ELSE c_custkey END AS size_bytes,
         1577836800 + (c_custkey * 7919) % 1000003 AS seen, c_custkey % 5 AS ext,
         'the_' || lower(c_name) || '-(ZLibrary.sk)' || ['.PDF', '.epub', '.txt', '', '.mobi'][c_custkey % 5 + 1] AS filename FROM customer)"""
-DRAFTS = """existing AS (SELECT o_custkey AS cookbook_id, o_orderkey AS recipe_id, 'p' || (o_orderkey % 40) AS anchor FROM orders WHERE o_orderkey % 3 <> 0),
+DRAFTS = """existing AS (SELECT o_custkey AS cookbook_id, o_orderkey AS recipe_id, 'p' || (o_orderkey % 40) AS anchor FROM orders WHERE o_orderstatus = 'F'),
     drafts AS (SELECT o_custkey AS cookbook_id, o_orderkey AS draft_no, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE ' p' || (o_orderkey % 41) || ' ' END AS anchor
-               FROM orders WHERE o_orderkey % 2 = 0),
+               FROM orders WHERE o_orderstatus <> 'F'),
     fresh AS (SELECT * FROM drafts d WHERE trim(anchor) = '' OR NOT EXISTS (SELECT 1 FROM existing e WHERE e.cookbook_id = d.cookbook_id AND e.anchor = trim(d.anchor)))"""
 PLACED = """(SELECT d.*, coalesce((SELECT count(*) FROM existing e WHERE e.cookbook_id = d.cookbook_id), 0)
     + row_number() OVER (PARTITION BY d.cookbook_id ORDER BY draft_no) AS position FROM {t} d)"""
@@ -67,7 +67,7 @@ SQL = {
         SELECT recipe_id, cookbook_title AS cookbook_id, cookbook_title, title, array_to_string(list_sort(list_distinct(list_filter(
             list_transform(lines, lambda l: {let(normalized(normalized('l')), 'n', canonical_norm('n'))}), lambda n: n <> ''))), '|') AS ingredient_names,
             {FLAGS.format(r='d.recipe_id')} FROM v_docs d""", "v_docs", "v_toggles"),
-    "recipe_references": with_views("SELECT recipe_id, cookbook_title AS cookbook_id, cookbook_title, CASE WHEN recipe_id % 3 <> 0 THEN '* ' || title ELSE title END AS title FROM v_docs", "v_docs"),
+    "recipe_references": with_views("SELECT recipe_id, cookbook_title AS cookbook_id, cookbook_title, CASE WHEN cookbook_title <> 'src1' THEN '* ' || title ELSE title END AS title FROM v_docs", "v_docs"),
     "stage_files": f"""WITH {LISTING} SELECT object_name, size_bytes, CASE
         WHEN ext = 2 THEN 'Unsupported file type ''txt''. Allowed types: azw3, epub, mobi, pdf.'
         WHEN ext = 3 THEN 'Unsupported file type ''sk)''. Allowed types: azw3, epub, mobi, pdf.'
@@ -113,11 +113,12 @@ SQL = {
         SELECT cookbook_id, priority AS label, min(position) AS first_position, count(*) AS recipes FROM v_recipes GROUP BY ALL)""", "v_recipes"),
     "backfill_diff": with_views(f""", {STORED}, lines AS (SELECT *, canonical_name <> {canonical_norm(normalized('normalized_name'))}
             OR normalized_name <> {normalized('normalized_name')} AS changed FROM stored),
-        r AS (SELECT recipe_id, bool_or(changed) AS changed, count(*) FILTER (changed) AS n FROM lines GROUP BY 1)
-        SELECT count(*) AS recipes_scanned, count(*) FILTER (changed OR recipe_id % 10 = 0) AS recipes_updated, cast(sum(n) AS BIGINT) AS ingredients_updated FROM r""", "v_ingredients"),
+        r AS (SELECT recipe_id, bool_or(changed) AS changed, bool_or(name = 'small ring') AS lacking, count(*) FILTER (changed) AS n FROM lines GROUP BY 1)
+        SELECT count(*) AS recipes_scanned, count(*) FILTER (changed OR lacking) AS recipes_updated, cast(sum(n) AS BIGINT) AS ingredients_updated FROM r""", "v_ingredients"),
     "ingredient_index": with_views(f", {STORED} SELECT DISTINCT recipe_id, {INDEX_NAME} AS name FROM stored", "v_ingredients"),
-    "replace_by_cookbook": with_views("""SELECT recipe_id, cookbook_id, position, review_status FROM v_recipes WHERE cookbook_id % 4 <> 0
-        UNION ALL SELECT recipe_id + 1000000, cookbook_id, position, 'pending_review' FROM v_recipes WHERE cookbook_id % 4 = 0""", "v_recipes"),
+    "replace_by_cookbook": with_views("""SELECT recipe_id, cookbook_id, position, review_status FROM v_recipes
+        WHERE cookbook_id NOT IN (SELECT cookbook_id FROM v_recipes WHERE priority = '1-URGENT')
+        UNION ALL SELECT recipe_id + 1000000, cookbook_id, position, 'pending_review' FROM v_recipes WHERE priority = '1-URGENT'""", "v_recipes"),
     "new_anchor_anti": f"WITH {DRAFTS} SELECT * FROM fresh",
     "append_new_anchors": f"WITH {DRAFTS} SELECT *, sha256(cookbook_id || '|' || anchor || '|' || position) AS recipe_id FROM {PLACED.format(t='fresh')}",
     "positions": f"WITH {DRAFTS} SELECT cookbook_id, draft_no, position FROM {PLACED.format(t='drafts')}",
@@ -126,8 +127,8 @@ SQL = {
         UNION ALL SELECT 'recipes', count(*) FROM v_recipes WHERE cookbook_id NOT IN (FROM gone)
         UNION ALL SELECT 'index', count(*) FROM v_index WHERE recipe_id NOT IN (FROM dead)
         UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (FROM dead)""", "v_cookbooks", "v_recipes", "v_index"),
-    "vector_upsert": with_views("""SELECT vec_id AS recipe_id, round(cast(embedding[1] AS DOUBLE), 6) AS first, 'old' AS title FROM embeddings WHERE vec_id % 2 <> 0
-        UNION ALL SELECT vec_id, round(cast(embedding[2] AS DOUBLE), 6), title FROM embeddings JOIN v_docs ON recipe_id = vec_id WHERE vec_id % 2 = 0""", "v_docs"),
+    "vector_upsert": with_views("""SELECT vec_id AS recipe_id, round(cast(embedding[1] AS DOUBLE), 6) AS first, 'old' AS title FROM embeddings WHERE embedding[1] <= 0
+        UNION ALL SELECT vec_id, round(cast(embedding[2] AS DOUBLE), 6), title FROM embeddings JOIN v_docs ON recipe_id = vec_id WHERE embedding[1] > 0""", "v_docs"),
     "top_images": with_views("SELECT recipe_id, array_to_string(lines[1:4], '|') AS images FROM v_docs", "v_docs"),
     "sort_cookbooks": sorted_by(text_order("title", "author")),
     "sort_cookbooks_author": sorted_by(text_order("author", "title")),

@@ -127,11 +127,11 @@ SQL = {
         CASE ingredient_lines[1] WHEN '200g flour' THEN 'flour' WHEN '3 eggs' THEN 'eggs' WHEN '2 cups water' THEN 'cups water' ELSE {normalized('ingredient_lines[1]')} END AS first_name
         FROM fields WHERE len(ingredient_lines) > 0 AND len(method_lines) > 0 AND recipe_id IN (SELECT recipe_id FROM candidates)"""),
     "targeted_reextract": w(ALL, """SELECT *, sha256(cookbook_id || '|' || anchor || '|' || position) AS recipe_id FROM (
-        SELECT recipe_id AS section, cookbook_id, anchor, (SELECT count(*) FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.recipe_id % 5 = 0)
+        SELECT recipe_id AS section, cookbook_id, anchor, (SELECT count(*) FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.recipe_id % 4 = 0)
             + row_number() OVER (PARTITION BY cookbook_id ORDER BY recipe_id) AS position
         FROM fields f WHERE len(ingredient_lines) > 0 AND len(method_lines) > 0 AND recipe_id IN (SELECT recipe_id FROM candidates)
-            AND anchor IN (SELECT anchor FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.recipe_id % 2 = 1)
-            AND anchor NOT IN (SELECT anchor FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.recipe_id % 5 = 0))"""),
+            AND anchor IN (SELECT anchor FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.chapter_title <> 'Introduction')
+            AND anchor NOT IN (SELECT anchor FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.recipe_id % 4 = 0))"""),
     "review_flags": """SELECT recipe_id, CASE WHEN r = '' THEN 'pending_review' ELSE 'needs_review' END AS review_status, r AS review_reasons FROM (
         SELECT doc_id AS recipe_id, concat_ws('|', CASE WHEN (doc_id % 100) / 100.0 < 0.78 THEN 'low_model_confidence' END, CASE WHEN least(n, doc_id % 4) < 2 THEN 'too_few_ingredients' END,
             CASE WHEN doc_id % 3 = 0 THEN 'missing_method_steps' END, CASE WHEN least(n, doc_id % 5) > 1 THEN 'multiple_candidate_images' END) AS r

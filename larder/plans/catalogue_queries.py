@@ -56,7 +56,7 @@ def recipe_references(spark, d):
         "recipe_id", F.col("cookbook_title").alias("cookbook_id"),
         F.concat("cookbook_title", F.lit(" - z library")).alias("cookbook_title"), "title",
     )
-    stored = docs.where(F.col("recipe_id") % 3 != 0).withColumn("title", F.concat(F.lit("* "), "title"))
+    stored = docs.where(F.col("cookbook_id") != "src1").withColumn("title", F.concat(F.lit("* "), "title"))
     return catalogue.recipe_references(docs, stored)
 
 
@@ -196,7 +196,7 @@ def _stored_lines(spark, d):
 
 
 def backfill_diff(spark, d):
-    return catalogue.backfill_diff(_stored_lines(spark, d), views.ingredient_index(spark, d).where(F.col("recipe_id") % 10 != 0))
+    return catalogue.backfill_diff(_stored_lines(spark, d), views.ingredient_index(spark, d).where(F.col("name") != "small ring"))
 
 
 def ingredient_index(spark, d):
@@ -206,8 +206,10 @@ def ingredient_index(spark, d):
 
 
 def _changes(spark, d):
-    recipes = views.recipes(spark, d).select("recipe_id", "cookbook_id", "position", "review_status")
-    new = recipes.where(F.col("cookbook_id") % 4 == 0).withColumns(
+    every = views.recipes(spark, d)
+    recipes = every.select("recipe_id", "cookbook_id", "position", "review_status")
+    urgent = every.where(F.col("priority") == "1-URGENT").select(*recipes.columns)
+    new = urgent.withColumns(
         {"recipe_id": F.col("recipe_id") + 1000000, "review_status": F.lit("pending_review")}
     )
     return new, recipes
@@ -219,12 +221,12 @@ def replace_by_cookbook(spark, d):
 
 def _drafts(spark, d):
     recipes = views.recipes(spark, d)
-    existing = recipes.where(F.col("recipe_id") % 3 != 0).select(
+    existing = recipes.where(F.col("review_status") == "verified").select(
         "cookbook_id", "recipe_id", F.concat(F.lit("p"), (F.col("recipe_id") % 40).cast("string")).alias("anchor")
     )
     key = F.col("recipe_id")
     anchor = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit(" p"), (key % 41).cast("string"), F.lit(" ")))
-    drafts = recipes.where(key % 2 == 0).select("cookbook_id", key.alias("draft_no"), anchor.alias("anchor"))
+    drafts = recipes.where(F.col("review_status") != "verified").select("cookbook_id", key.alias("draft_no"), anchor.alias("anchor"))
     return drafts, existing
 
 
@@ -259,7 +261,7 @@ def vector_upsert(spark, d):
     docs = views.documents(spark, d)
     vectors = views.vectors(spark, d)
     current = vectors.select("recipe_id", F.element_at("embedding", 1).cast("double").alias("first"), F.lit("old").alias("title"))
-    new = vectors.where(F.col("recipe_id") % 2 == 0).select("recipe_id", F.element_at("embedding", 2).cast("double").alias("first"))
+    new = vectors.where(F.element_at("embedding", 1) > 0).select("recipe_id", F.element_at("embedding", 2).cast("double").alias("first"))
     done = catalogue.vector_upsert(current, docs.select("recipe_id", "title"), new)
     return done.select("recipe_id", F.round("first", 6).alias("first"), "title")
 

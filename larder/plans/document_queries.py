@@ -202,8 +202,8 @@ def anchor_text(spark, d):
 
 def targeted_reextract(spark, d):
     sections = D.section_fields(_sections(spark, d))
-    asked = _sections(spark, d).where(F.col("recipe_id") % 2 == 1).select("cookbook_id", "anchor")
-    existing = _sections(spark, d).where(F.col("recipe_id") % 5 == 0).select("cookbook_id", "anchor")
+    asked = _sections(spark, d).where(F.col("chapter_title") != "Introduction").select("cookbook_id", "anchor")
+    existing = _sections(spark, d).where(F.size("images") > 0).select("cookbook_id", "anchor")
     done = D.targeted_reextract(sections.withColumnRenamed("recipe_id", "section"), asked, existing, [F.asc("section")])
     return done.select("section", "cookbook_id", "anchor", "position", "recipe_id")
 

@@ -307,8 +307,8 @@ def plan_rows_from_json(spark, d):
 
 def plan_format_union(spark, d):
     rows = plan_files.plan_rows_from_json(_plan_json(spark, d), YEAR)
-    current = rows.where(F.col("file_id") % 3 == 0).select("file_id", "row_id", "title", "completed")
-    older = rows.where(F.col("file_id") % 3 != 0).select("file_id", "title", "recipe_id")
+    current = rows.where(F.col("week_id") == "w1").select("file_id", "row_id", "title", "completed")
+    older = rows.where(F.col("week_id") != "w1").select("file_id", "title", "recipe_id")
     return plan_files.plan_format_union(current, older)
 
 

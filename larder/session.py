@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "larder", cores: str = "*", **conf: str) -> SparkSession:
@@ -17,6 +18,7 @@ def build_session(app_name: str = "larder", cores: str = "*", **conf: str) -> Sp
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -55,6 +57,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a dear column that later filters read without computing it again.
+
+    A filter on a projected column is pushed below the projection together with its expression;
+    it cannot pass a generator, so the column is generated as a one-element array.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back, so recomputing starts there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -21,12 +21,12 @@ SEGMENT_SLUGS = {
 REVIEW_OF_STATUS = {"F": "verified", "O": "pending_review", "P": "needs_review"}
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+LARGE_TABLES = ("documents", "pages", "conversations", "lineitem", "orders")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    return spread(rows) if name in LARGE_TABLES else rows
 
 
 def _mapped(c: Column, names: dict[str, str]) -> Column:
