@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from larder.session import cut_lineage
 
 _PARTITION_BITS = 33
+# Longest list that one task orders.
+SHORT_LIST = 10000
 
 
 def ranked(
@@ -60,7 +62,13 @@ def rank_map(scores: DataFrame, score: str = "score", tie: str = "recipe_id") ->
 
 
 def top_ranked(df: DataFrame, order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
-    """The first ``n`` rows with their rank. Only those ``n`` rows reach the window."""
+    """The first ``n`` rows with their rank.
+
+    A short list is cut by a distributed top-k, and only it reaches the window. A list too long
+    for one task is ranked over all partitions.
+    """
+    if n > SHORT_LIST:
+        return ranked(df, order, name=name).where(F.col(name) <= n)
     top = df.orderBy(*order).limit(n)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 

@@ -93,6 +93,17 @@ CLASSED = f"""v_docs AS ({VIEWS['v_docs']}), classed AS (SELECT recipe_id, len(l
     has AS (SELECT recipe_id, count(*) FILTER (i % 5 = 1) AS titles, count(*) FILTER (i % 5 IN (2, 3)) AS twothree, count(*) FILTER (i % 5 = 2) AS second,
                    count(*) FILTER (i % 5 = 4) AS fourth, count(*) FILTER (i % 5 = 0) AS fifth FROM cls GROUP BY recipe_id)"""
 
+PROFILE = """matched AS (SELECT recipe_id, profile FROM (SELECT recipe_id, CASE recipe_id % 3 WHEN 0 THEN CASE WHEN titles >= 2 AND twothree > 0 AND fourth > 0 THEN 0 END
+        WHEN 1 THEN CASE WHEN titles >= 1 AND second > 0 AND fourth + fifth > 0 THEN 7 END
+        ELSE CASE WHEN titles >= 1 AND second > 0 AND fourth > 0 THEN 5 END END AS profile FROM has) WHERE profile IS NOT NULL)"""
+PARTED = f"""{CLASSED}, {PROFILE},
+    par AS (SELECT recipe_id, profile, i - 1 AS i, {squash("translate(l, '<>&', '   ')")} AS l FROM v_docs JOIN matched USING (recipe_id), unnest(lines) WITH ORDINALITY AS u(l, i)),
+    sec AS (SELECT *, count(*) FILTER (i % 5 = 0 AND l <> '') OVER (PARTITION BY recipe_id ORDER BY i) AS section_no FROM par),
+    lead_images AS (SELECT recipe_id, count(*) AS n FROM sec WHERE section_no = 0 AND profile <> 5 GROUP BY recipe_id),
+    built AS (SELECT recipe_id, profile, section_no, min(i) AS first_i, count(*) AS images, arg_min(l, i) AS chapter_title,
+                     coalesce(list(l ORDER BY i) FILTER (i % 5 = 1 OR (i % 5 = 2 AND profile = 0)), []) AS ings, coalesce(list(l ORDER BY i) FILTER (i % 5 = 3), []) AS steps
+              FROM sec WHERE section_no > 0 GROUP BY ALL)"""
+
 
 def w(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
@@ -146,7 +157,11 @@ SQL = {
         SELECT file_id, page + 1 AS page, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {strip('l')}), lambda l: l <> ''), chr(10)) AS body FROM ({TALK}))
         WHERE body <> '' AND page >= CASE WHEN file_id % 3 <> 0 THEN file_id % 3 ELSE 1 END
           AND page <= CASE WHEN file_id % 2 = 0 THEN 3 WHEN file_id % 3 <> 0 THEN file_id % 3 ELSE 1000000 END GROUP BY file_id""",
-    "profile_match": w(CLASSED, """SELECT recipe_id, profile FROM (SELECT recipe_id, CASE recipe_id % 3 WHEN 0 THEN CASE WHEN titles >= 2 AND twothree > 0 AND fourth > 0 THEN 0 END
-        WHEN 1 THEN CASE WHEN titles >= 1 AND second > 0 AND fourth + fifth > 0 THEN 7 END
-        ELSE CASE WHEN titles >= 1 AND second > 0 AND fourth > 0 THEN 5 END END AS profile FROM has) WHERE profile IS NOT NULL"""),
+    "profile_match": w(f"{CLASSED}, {PROFILE}", "SELECT recipe_id, profile FROM matched"),
+    "profile_sections": w(PARTED, f"""SELECT b.recipe_id, profile, section_no, b.recipe_id || '#n' || first_i AS anchor, chapter_title,
+        images + CASE WHEN section_no = 1 THEN coalesce(n, 0) ELSE 0 END AS images, array_to_string({dedupe('ings')}, '|') AS ingredient_lines,
+        array_to_string({dedupe('steps')}, '|') AS method_lines FROM built b LEFT JOIN lead_images d ON d.recipe_id = b.recipe_id"""),
+    "anchor_text": w(f"""v_docs AS ({VIEWS['v_docs']}), par AS (SELECT recipe_id, i - 1 AS i, len(lines) AS n, {squash("translate(l, '<>&', '   ')")} AS l
+        FROM v_docs, unnest(lines) WITH ORDINALITY AS u(l, i))""",
+        """SELECT recipe_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (l <> '' AND (recipe_id % 4 = 0 OR n < 2 OR i >= 1)), '') AS text FROM par GROUP BY recipe_id"""),
 }

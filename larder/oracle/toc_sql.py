@@ -35,6 +35,9 @@ RECIPES = """picks AS (SELECT recipe_id AS cookbook_id, title, position, (step +
     recipes AS (SELECT *, cookbook_id * 10 + position AS recipe_id, CASE WHEN form = 3 THEN NULL ELSE spot END AS at_spot, cookbook_id % 5 = 0 AS pdf FROM picks)"""
 LABEL = f"""CASE WHEN form = 0 AND lower(title) <> 'own' THEN 'OWN' WHEN pdf AND title <> '' AND len(string_split('Soups', ' ')) <= 8 THEN 'Soups' WHEN form = 3 THEN 'Chapter 12' ELSE 'Recipes' END"""
 
+HALF = MAPPED.replace("AS u(l, pos)),\n    spine", "AS u(l, pos) WHERE pos <= len(lines) // 2),\n    spine")
+SCORE = "SELECT cookbook_id, count(label) AS s1, (SELECT count(*) FROM toc t WHERE t.cookbook_id = c.cookbook_id) AS s2 FROM chosen c GROUP BY cookbook_id"
+
 
 def w(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
@@ -54,6 +57,10 @@ SQL = {
         LEFT JOIN toc t ON t.cookbook_id = s.cookbook_id AND s.spot > 0 AND t.i = (s.spot - 1) // 2"""),
     "facet_catalog_stats": w(MAPPED, """SELECT cookbook_id, count(label) AS s1, (SELECT count(*) FROM toc t WHERE t.cookbook_id = c.cookbook_id) AS s2, count(label) AS s3
         FROM chosen c GROUP BY cookbook_id UNION ALL SELECT cookbook_id, n, n_plain.mapped, 0 FROM (SELECT DISTINCT cookbook_id, n FROM toc WHERE n = 0) JOIN n_plain USING (cookbook_id)"""),
+    "best_toc": f"""WITH f AS (WITH {MAPPED} {SCORE}), h AS (WITH {HALF} {SCORE}),
+        pairs AS (SELECT f.cookbook_id, f.s2 AS whole, h.s2 AS half, h.s2 > 0 AND (h.s1 > f.s1 OR (h.s1 = f.s1 AND h.s2 >= f.s2)) AS first_half
+                 FROM f JOIN h ON h.cookbook_id = f.cookbook_id)
+        SELECT cookbook_id, CASE WHEN first_half THEN 0 ELSE 1 END AS candidate, CASE WHEN first_half THEN half ELSE whole END AS entries FROM pairs""",
     "chapter_label": w(f"{MAPPED}, {RECIPES}", f"""SELECT recipe_id, coalesce(c.label, {LABEL}) AS label FROM recipes r
         LEFT JOIN chosen c ON c.cookbook_id = r.cookbook_id AND c.spot = r.at_spot"""),
     "section_from_toc": w(f"""{BOOKS}, {RECIPES},

@@ -31,6 +31,13 @@ def test_ranked_with_a_hot_group(spark):
         assert [p[1] for p in pairs] == sorted(p[1] for p in pairs)
 
 
+def test_long_top_lists_are_ranked_over_partitions(spark, monkeypatch):
+    df = spark.range(500).select(((F.col("id") * 37) % 501).alias("v"))
+    want = rows(ordering.top_ranked(df, [F.asc("v")], 20).orderBy("rank"), "rank", "v")
+    monkeypatch.setattr(ordering, "SHORT_LIST", 5)
+    assert rows(ordering.top_ranked(df, [F.asc("v")], 20).orderBy("rank"), "rank", "v") == want
+
+
 def test_hybrid_limits_agree_with_the_full_ranking(spark):
     """The bounded path gives the head of the unbounded one."""
     words = ["salt", "garlic", "onion", "basil", "lime"]
