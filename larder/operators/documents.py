@@ -152,7 +152,7 @@ def sectionize(pages: DataFrame, doc: str = "page_id", html: str = "html") -> Da
         first_line = F.coalesce(
             F.array_min(F.array_compact(F.transform(a, lambda n, i: F.when(is_line(n), i)))), F.lit(2147483647)
         )
-        return split_at(a, lambda n, i: (i == 0) | (n["tag"].isin(*HEADINGS) & (i > first_line)))
+        return bind(first_line, lambda f: split_at(a, lambda n, i: (i == 0) | (n["tag"].isin(*HEADINGS) & (i > f))))
 
     rows = pages.select(doc, F.posexplode(bind(nodes, sections)).alias("at", "nodes"))
     heads = F.filter("nodes", lambda n: n["tag"].isin(*HEADINGS))

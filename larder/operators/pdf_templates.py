@@ -388,7 +388,10 @@ def pdf_jamie(files: DataFrame) -> DataFrame:
     def read(blocks: Column, split: Column) -> Column:
         first_page = F.filter(blocks, lambda b: b["page"] == 1)
         heading_y = F.coalesce(_first(first_page, lambda b: b["text"] == "INGREDIENTS")["y0"], F.lit(190.0))
-        header = _texts(F.filter(first_page, lambda b: (b["y0"] >= 80) & (b["y0"] < heading_y) & ~b["text"].isin("INGREDIENTS", "METHOD")))
+        header = bind(
+            heading_y,
+            lambda y: _texts(F.filter(first_page, lambda b: (b["y0"] >= 80) & (b["y0"] < y) & ~b["text"].isin("INGREDIENTS", "METHOD"))),
+        )
         title = display_text(text(_first(first_page, lambda b: (b["y0"] < 90) & ~b["text"].isin("INGREDIENTS", "METHOD"))["text"]))
         left = _after(F.filter(first_page, lambda b: b["x0"] < split), lambda b: b["text"] == "INGREDIENTS")
 
@@ -409,7 +412,7 @@ def pdf_jamie(files: DataFrame) -> DataFrame:
             steps = F.transform(numbers, lambda n: F.array_join(F.transform(F.filter(out, lambda e: e["step"] == n), lambda e: e["text"]), " "))
             return F.struct(
                 title.alias("title"),
-                _jamie_header(header).alias("header"),
+                bind(header, _jamie_header).alias("header"),
                 _join_wrapped(_texts(_before(left, is_tip)), JAMIE_INGREDIENT).alias("ingredients"),
                 steps.alias("steps"),
                 notes_of(F.transform(F.filter(out, lambda e: e["step"] == 0), lambda e: e["text"])).alias("notes"),
@@ -437,12 +440,20 @@ def pdf_bbc(files: DataFrame) -> DataFrame:
     """One column of fixed bands by height on the first page, then numbered steps."""
 
     def read(blocks: Column) -> Column:
-        first_page = F.filter(blocks, lambda b: b["page"] == 1)
+        def with_title(first_page: Column, method_y: Column) -> Column:
+            title = text(_first(first_page, lambda b: b["y0"] < 120)["text"])
+            return bind(title, lambda t: built(blocks, first_page, method_y, t))
+
+        # Values that a filter compares with every block are bound: they are computed once.
+        return bind(
+            F.filter(blocks, lambda b: b["page"] == 1),
+            lambda page: bind(_first(page, _says("method"))["y0"], lambda y: with_title(page, y)),
+        )
 
+    def built(blocks: Column, first_page: Column, method_y: Column, title: Column) -> Column:
         def band(low: float, high: Column | float) -> Column:
             return F.filter(first_page, lambda b: (b["y0"] >= low) & (b["y0"] < high))
 
-        title = text(_first(first_page, lambda b: b["y0"] < 120)["text"])
         author = text(_first(band(120, 145), lambda b: b["text"] != title)["text"])
         makes = text(_first(first_page, lambda b: F.rlike(b["text"], F.lit(BBC_MAKES)))["text"])
         times_at = _place(first_page, lambda b: F.rlike(b["text"], F.lit(BBC_TIMES)))
@@ -451,9 +462,8 @@ def pdf_bbc(files: DataFrame) -> DataFrame:
             F.slice(first_page, times_at + 2, MANY),
             lambda b: (b["y0"] < 220) & ~b["text"].isin(*BBC_NOT_CONTENT) & ~F.rlike(b["text"], F.lit(BBC_TIMES)),
         )["text"]
-        heading = _first(first_page, _says("method"))
-        listed = F.filter(_texts(band(380, F.coalesce(heading["y0"], F.lit(10000.0)))), lambda x: ~x.isin(*BBC_NOT_CONTENT))
-        told = F.filter(blocks, lambda b: (b["page"] > heading["page"]) | (b["y0"] > heading["y0"]))
+        listed = F.filter(_texts(band(380, F.coalesce(method_y, F.lit(10000.0)))), lambda x: ~x.isin(*BBC_NOT_CONTENT))
+        told = F.filter(blocks, lambda b: method_y.isNotNull() & ((b["page"] > 1) | (b["y0"] > method_y)))
         steps = F.transform(
             split_at(told, lambda b, i: F.rlike(b["text"], F.lit(NUMBERED_STEP))),
             lambda run: F.array_join(_texts(F.slice(run, 2, MANY)), " "),
@@ -497,8 +507,17 @@ def pdf_waitrose(files: DataFrame) -> DataFrame:
     """Labelled first page; ingredients by column; steps from the words of page two."""
 
     def read(blocks: Column) -> Column:
+        second = F.filter(blocks, lambda b: b["page"] == 2)
+        bounds = F.struct(
+            _first(second, _says("method"))["y0"].alias("method_y"),
+            F.coalesce(_first(second, _says("nutritional"))["y0"], F.lit(10000.0)).alias("end_y"),
+        )
+        return bind(
+            F.filter(blocks, lambda b: b["page"] == 1), lambda page: bind(bounds, lambda b: with_labels(blocks, page, b["method_y"], b["end_y"]))
+        )
+
+    def with_labels(blocks: Column, first_page: Column, method_y: Column, end_y: Column) -> Column:
         middle = F.col("page_width") / 2
-        first_page = F.filter(blocks, lambda b: b["page"] == 1)
 
         def label_of(x: Column) -> Column:
             return F.coalesce(*[F.when(F.rlike(x, F.lit(p)), F.lit(k)) for k, p in WAITROSE_LABELS.items()])
@@ -507,7 +526,7 @@ def pdf_waitrose(files: DataFrame) -> DataFrame:
             hit = _first(first_page, lambda b: label_of(b["text"]) == name)["text"]
             return strip(F.regexp_extract(text(hit), WAITROSE_LABELS[name], 1))
 
-        meta_y = F.coalesce(
+        lowest = F.coalesce(
             F.array_min(F.transform(F.filter(first_page, lambda b: label_of(b["text"]).isin("serves", "course")), lambda b: b["y0"])), F.lit(620.0)
         )
         listed = _before(
@@ -523,9 +542,6 @@ def pdf_waitrose(files: DataFrame) -> DataFrame:
                 ),
             )
         )
-        second = F.filter(blocks, lambda b: b["page"] == 2)
-        method_y = _first(second, _says("method"))["y0"]
-        end_y = F.coalesce(_first(second, _says("nutritional"))["y0"], F.lit(10000.0))
         words = F.array_sort(
             F.transform(
                 F.filter("words", lambda w: (w["page"] == 2) & (w["y0"] > method_y) & (w["y0"] < end_y)),
@@ -537,14 +553,13 @@ def pdf_waitrose(files: DataFrame) -> DataFrame:
         )
 
         def numbered(a: Column) -> Column:
-            def edge(column: Column) -> Column:
-                return F.array_min(F.transform(F.filter(a, lambda w: w["column"] == column), lambda w: w["x0"]))
+            def runs(column: int) -> Column:
+                mine = F.filter(a, lambda w: w["column"] == column)
 
-            def starts(w: Column) -> Column:
-                return F.rlike(w["text"], F.lit(r"^\d+$")) & (w["x0"] <= edge(w["column"]) + 24)
+                def cut(edge: Column) -> Column:
+                    return split_at(mine, lambda w, i: F.rlike(w["text"], F.lit(r"^\d+$")) & (w["x0"] <= edge + 24))
 
-            def runs(column: int) -> Column:
-                return split_at(F.filter(a, lambda w: w["column"] == column), lambda w, i: starts(w))
+                return bind(F.array_min(F.transform(mine, lambda w: w["x0"])), cut)
 
             return F.transform(
                 F.concat(runs(0), runs(1)),
@@ -564,7 +579,10 @@ def pdf_waitrose(files: DataFrame) -> DataFrame:
         return F.struct(
             text(_first(first_page, lambda b: (b["y0"] >= 380) & (b["y0"] <= 460))["text"]).alias("title"),
             *[labelled(k).alias(k) for k in WAITROSE_LABELS],
-            F.array_join(_texts(F.filter(first_page, lambda b: (b["y0"] >= 460) & (b["y0"] < meta_y))), " ").alias("intro"),
+            bind(
+                lowest,
+                lambda y: F.array_join(_texts(F.filter(first_page, lambda b: (b["y0"] >= 460) & (b["y0"] < y))), " "),
+            ).alias("intro"),
             _texts(by_column).alias("ingredients"),
             F.coalesce(F.when(method_y.isNotNull(), F.filter(told, lambda s: s != "")), no_texts()).alias("steps"),
             no_texts().alias("notes"),

@@ -165,11 +165,14 @@ def _sections(nodes: Column, profile: Column) -> Column:
 
     def split(a: Column) -> Column:
         first = F.array_min(F.array_compact(F.transform(a, lambda n, i: F.when(is_title(n) | is_fallback(n), i))))
+        return bind(first, lambda f: split_from(a, f))
+
+    def split_from(a: Column, first: Column) -> Column:
         runs = split_at(a, lambda n, i: is_title(n) | (is_fallback(n) & (i == first)))
         starts = F.filter(F.transform(a, lambda n, i: F.when(is_title(n) | (is_fallback(n) & (i == first)), i)), lambda i: i.isNotNull())
         lead = F.when(first > 0, F.slice(a, 1, first)).otherwise(F.slice(a, 1, 0))
 
-        def built(run: Column, k: Column) -> Column:
+        def built(starts: Column, run: Column, k: Column) -> Column:
             category = F.when(F.get(starts, k) > 0, F.try_element_at(
                 F.transform(
                     F.filter(F.slice(a, 1, F.greatest(F.get(starts, k), F.lit(0))), lambda n: (n["tag"] != "img") & cls(n, "category")),
@@ -179,7 +182,7 @@ def _sections(nodes: Column, profile: Column) -> Column:
             ))
             return _section(run, k, category, F.when(k == 0, lead).otherwise(F.slice(a, 1, 0)), profile)
 
-        return F.transform(runs, built)
+        return bind(starts, lambda found: F.transform(runs, lambda run, k: built(found, run, k)))
 
     return bind(kept, split)
 
