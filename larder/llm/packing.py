@@ -89,7 +89,8 @@ class Plan:
         while count:
             group = self._take(length)
             if group is None:
-                self._keep(Group(count, self._best_size(length, count)))
+                size = self._best_size(length, count)
+                self._keep(Group(-(-count // (size // length)), size))
                 continue
             # A bin stays the best fit for this length until it has no room for another.
             copies = min(group.room() // length, -(-count // group.bins))
@@ -103,10 +104,11 @@ class Plan:
             count -= filled * copies
 
     def _best_size(self, length: int, count: int) -> int:
-        spare = self._left / count
+        supply = count * length + self._left
 
         def cost(size: int) -> float:
-            return self._costs.of(size) / min(size, length + spare)
+            bins = -(-count // (size // length))
+            return self._costs.of(size) / min(size, supply / bins)
 
         return min((s for s in self._sizes if s >= length), key=lambda s: (cost(s), s))
 

@@ -98,7 +98,7 @@ def _failures() -> Column:
         "few_words": F.col("n_words") < 20,
         "repeated_words": F.col("n_repeat_words") * 100 > F.col("n_words") * 30,
         "many_symbols": F.col("n_symbols") * 100 > F.col("n_words") * 10,
-        "repeated_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * 30,
+        "repeated_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * 50,
         "odd_word_length": (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 20),
         "capitals": F.col("n_capitals") * 100 > F.col("word_chars") * 50,
     }

@@ -1,0 +1,128 @@
+"""Main text of pages, and transport streams."""
+
+import hashlib
+import html
+import random
+import re
+import zlib
+from collections import Counter
+
+from larder.llm import html_template as ht
+from larder.llm import queries
+from larder.llm import transport_stream as ts
+
+
+def expected(page):
+    """The article of the test data's pages, by their known layout."""
+    article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    blocks = re.split(r"</?(?:h1|p)>", article)
+    lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "br" in b else "", b)).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_of_the_data(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: re.sub(r"\s+", " ", expected(r.html)) for r in pages.collect()}
+    got = ht.extract_main_text(pages).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert re.sub(r"\s+", " ", r.text) == want[r.page_id] and r.n_chars == len(r.text)
+
+
+def page(body, head="<title>T</title><style>p{}</style>"):
+    return f"<!doctype html><html><head>{head}</head><body>{body}</body></html>"
+
+
+def test_what_stays_and_what_goes():
+    cases = {
+        "<p>a &amp; b&nbsp;c &frac12; &#233; &amp;lt;</p>": "a & b c ½ é &lt;",
+        "<h1>T</h1><p>one<br>two<p>three <b>bo</b>ld</div>": "T\none two\nthree bold",
+        "<nav>n</nav><header>h</header><main><h2>x</h2>y<aside>s</aside></main><footer>f</footer>": "x\ny",
+        "<article><header><h1>H</h1></header><p>b</p><section id='comments'><p>c</p></section></article>": "H\nb",
+        "<div class='cookie-notice'>n</div><p>text</p><form><p>f</p></form><div class='ad'>x</div>": "text",
+        "<div class='adapted'>stays</div><div id=leftSidebar>no</div>": "stays",
+        "<script>if (a < b) '</p>'</script><p>ok</p><!-- <p>no</p> --><textarea><p>no</textarea>": "ok",
+        "<ul><li>a<li>b <p>c</p></ul><table><tr><td>d<td>e</table><pre> f\n g </pre>": "a\nb\nc\nd\ne\nf g",
+        "a < b and <unknown>c</unknown>": "a < b and c",
+        "<div role='navigation'>x</div><blockquote>q</blockquote>": "q",
+        "": "",
+    }
+    for body, text in cases.items():
+        assert ht.main_text(page(body)) == text, body
+    assert ht.main_text(None) == "" and ht.main_text("<p") == ""
+
+
+def test_templates_are_counted_by_host(spark):
+    shared = "<div><a href='/x'>Home</a> <a href='/y'>All posts</a></div>"
+    rows = []
+    for i in range(12):
+        passage = "<p>A passage that all articles share.</p>"
+        rows.append((i, f"https://one.example/p{i}", page(f"{shared}<article><h1>n{i}</h1>{passage}<p>own {i}</p></article>")))
+        rows.append((100 + i, f"https://two.example/{i}", page(f"{shared}<div><p>story {i}</p></div><div>Credits line</div>")))
+    rows.append((200, "https://three.example/", page(f"{shared}<p>alone</p>")))
+    rows += [(300, None, None), (None, "no url", ""), (301, "https://two.example/", None), rows[0]]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as host", "'a' as text", "2 as template")
+    got = Counter(tuple(r) for r in ht.extract_main_text(df).collect())
+    want = Counter()
+    for i, url, source in rows:
+        text = ""
+        if source and "one.example" in url:
+            text = f"n{i}\nA passage that all articles share.\nown {i}"
+        elif source and "two.example" in url:
+            text = f"story {i - 100}"
+        elif source:
+            text = "Home All posts\nalone"
+        want[(i, url, text, len(text))] += 1
+    assert got == want
+    assert ht.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_streams_round_trip():
+    draw = random.Random(2)
+    sizes = [0, 1, 64, 150, 151, 156, 157, 158, 159, 160, 161, 162, 163, 164, 165, 170, 171, 4096, 4097, 40000, 70001]
+    for n in sizes + list(range(300, 560)):
+        data = draw.randbytes(n)
+        media = ts.mux(ts.padded(data))
+        assert len(media) % 188 == 0
+        found = ts.demux(media)
+        payload = found.payload()
+        assert payload[:n] == data and not payload[n:].strip(b"\0") and len(payload) % 64 == 0 and len(payload) > 0
+        assert found.programs == {1: ts.PMT_PID} and found.streams == {ts.DATA_PID: 6}
+        assert (found.continuity_errors, found.repeated, found.bad_sections, found.lost_sync) == (0, 0, 0, 0)
+        assert [u.ticks for u in found.units] == [k * 3600 for k in range(len(found.units))]
+        assert [u.random_access for u in found.units] == [k % 8 == 0 for k in range(len(found.units))]
+
+
+def test_faults_are_counted():
+    media = ts.mux(bytes(range(256)) * 100)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    assert ts.demux(b"".join(packets[:5] + packets[6:])).continuity_errors == 1
+    twice = ts.demux(b"".join(packets[:5] + packets[4:]))
+    assert twice.repeated == 1 and twice.payload() == bytes(range(256)) * 100
+    noise = ts.demux(b"".join(packets[:5]) + b"\0\1\2" + b"".join(packets[5:]))
+    assert noise.lost_sync == 1 and noise.payload() == bytes(range(256)) * 100
+    broken = bytearray(media)
+    broken[10] ^= 1
+    assert ts.demux(bytes(broken)).bad_sections == 1 and not ts.demux(bytes(broken)).streams
+    assert ts.demux(b"").packets == 0 and ts.demux(b"\x47" * 187).packets == 0
+    # A map longer than a packet, as other writers make it.
+    body = b"".join(bytes([6, 0xE2, k, 0xF0, 0]) for k in range(60))
+    section = ts._section(2, 1, b"\xe1\x01\xf0\x00" + body)
+    head = packets[0] + bytes([0x47, 0x41, 0, 0x10, 0]) + section[:183]
+    more = bytes([0x47, 0x01, 0, 0x11]) + section[183:]
+    assert len(ts.demux(head + more + b"\xff" * (188 - len(more))).streams) == 60
+
+
+def test_media_query_values(spark, tmp_path, docs, rows):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r)[:6] + (r.media_sha256,) for r in queries.op9_transport_stream(spark, str(tmp_path)).collect())
+    want = Counter()
+    for d, t, _ in rows:
+        raw = (t or "").encode()
+        payload, media = ts.padded(raw), ts.mux(ts.padded(raw))
+        want[
+            (d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        ] += 1
+    assert got == want
+    empty = ts.read_streams(spark.createDataFrame([(1, None)], "doc_id bigint, media binary")).first()
+    assert empty.stream is None
