@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from larder.llm.common import slices
 
@@ -278,7 +280,15 @@ def read_streams(rows: DataFrame, media: str = "media", result: str = "stream")
     NULL media give a NULL struct.
     """
 
-    return rows.withColumn(result, F.udf(_described, _STREAM, useArrow=True)(F.col(media)))
+    kept = rows.drop(result)
+    kind = to_arrow_type(T.DataType.fromDDL(_STREAM))
+
+    def read(batches):
+        for batch in slices(batches, media, 1 << 20):
+            found = pa.array([_described(data) for data in batch.column(media).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, result])
+
+    return kept.mapInArrow(read, T.StructType([*kept.schema.fields, T.StructField(result, T.DataType.fromDDL(_STREAM))]))
 
 
 def _described(data: bytes | None) -> dict | None:
