@@ -8,9 +8,10 @@ before full sets are moved.
 
 Equal shingle sets become one node first. In a bucket no pairs are listed: all nodes meet one hub,
 links are confirmed on full sets, components are formed, and only buckets that still hold more
-than one component go on, with another hub. When so little is left that the pairs across
-components are of the order of the rows, or when hubs bring nothing new, exactly the pairs across
-components are compared, so that no link between different texts is lost.
+than one component go on, with another hub, as long as that settles much. What is left is compared
+across components so that no link between different texts is lost: pairs of small groups after a
+look at sizes and signature bits, large groups (a shared passage, copies just below the threshold)
+in blocks of bounded size, each of which reports only the links that its own components need.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from larder.llm.common import hashed_words, lists, lower_words, mixed, slices, s
 from larder.llm.components import components
 
 SHINGLE = 5
-PERMUTATIONS = 125
-ROWS = 5  # a pair at 0.75 meets in none of the 50 bands once in 760,000
+PERMUTATIONS = 100
+ROWS = 5  # a pair at 0.75 meets in none of the 40 bands once in 51,000, one at 0.8 once in 8 million
 SAME_PERCENT = 75
-# Of 250 signature bits a pair at 0.75 differs in 31 on average, standard deviation 5.2; 64 is six
+# Of 200 signature bits a pair at 0.75 differs in 25 on average, standard deviation 4.7; 54 is six
 # deviations off. Pairs beyond it are not compared on full sets.
-MOST_BITS_APART = 64
-# Pairs across components are listed once they are at most so many times the rows left.
+MOST_BITS_APART = 54
+# Above so many pairs across components for each row left, hubs come first.
 PAIRS_PER_ROW = 4
+# Groups of more nodes that share a hub are compared in blocks of two parts of so many nodes each.
+SMALL_GROUP = 32
+BLOCK_NODES = 400
 
 _random = np.random.default_rng(20240607)
 _FACTORS = (_random.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -40,7 +44,7 @@ _WORD_FACTORS = _random.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint
 _BAND_FACTORS = _random.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND_SALTS = _random.integers(0, 1 << 63, 2 * PERMUTATIONS // ROWS, dtype=np.uint64)
 # Orders in which a bucket's hub is the first node, one for each round.
-_HUB_ORDERS = [0, -1, 0x5DEECE66D1CE4E5B, -0x2545F4914F6CDD1D]
+_HUB_ORDERS = [0, -1, 0x5DEECE66D1CE4E5B, -0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, -0x27BB2EE687B0B0FD]
 _BLOCK = 4096
 
 
@@ -190,50 +194,124 @@ def _labels(rows: DataFrame, usable: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = stored(rows.join(wanted, "doc_id").mapInArrow(_sets, "node bigint, shingles array<bigint>"))
 
     tested = links = _lone_links(rows.sparkSession)
-    labels = rows.sparkSession.createDataFrame([], "node bigint, label bigint")
-    fresh = 1
-    for order in _HUB_ORDERS:
-        left = _open_buckets(buckets, labels, order)
-        across = left.groupBy("key", "label").count().groupBy("key").agg(
-            F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("same")
-        )
-        pairs_left, rows_left = across.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.sum("m")).first()
-        if not rows_left:
-            return labels
-        if pairs_left <= PAIRS_PER_ROW * rows_left or not fresh:
+    labels = None
+    left, pairs_left, rows_left = _open_buckets(buckets.withColumn("label", F.col("node")), _HUB_ORDERS[0])
+    for order in _HUB_ORDERS[1:]:
+        if pairs_left <= PAIRS_PER_ROW * rows_left:
             break
-        hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = left.join(hubs, "hub", "left").where(F.coalesce("hub_label", "hub") != F.col("label"))
+        hubs = left.where("node = hub").select("key", F.col("label").alias("_hub_label"))
+        pairs = left.join(hubs, "key").where("label <> _hub_label")
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = pairs.join(_named(marks, "a", "n", "bits"), "a").join(_named(marks, "b", "n", "bits"), "b")
         pairs = stored(pairs.where(_near("a", "b")).select("a", "b").join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         found = _confirmed(pairs, sets)
-        fresh = found.limit(1).count()
-        if fresh:
-            links = links.union(found)
-            labels = components(links)
-    else:
-        left = _open_buckets(buckets, labels, 0)
-    # Links between components that are still apart, on exactly the pairs that may have one.
-    marked = stored(left.select("key", "node", "label").join(marks, "node"))
-    one, two = _named(marked, "a", "key", "label", "n", "bits"), _named(marked, "b", "key", "label", "n", "bits")
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        labels = components(links)
+        held = pairs_left
+        left, pairs_left, rows_left = _open_buckets(_relabelled(left, labels), order)
+        if pairs_left * 2 > held:
+            break
+    if not rows_left:
+        return labels if labels is not None else _no_labels(rows.sparkSession)
+    # Links between components that are still apart.
+    grouped = stored(left.select("hub", "node", "label").distinct())
+    sizes = grouped.groupBy("hub").agg(F.count("*").alias("_size")).where(F.col("_size") > SMALL_GROUP)
+    marked = left.join(sizes.select("hub"), "hub", "left_anti").select("key", "node", "label").join(marks, "node")
+    one, two = (_named(stored(marked), x, "key", "label", "n", "bits") for x in "ab")
     apart = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))
     pairs = one.join(two, apart & _near("a", "b")).select("a", "b").distinct()
     found = _confirmed(stored(pairs.join(tested, ["a", "b"], "left_anti")), sets)
-    return components(links.union(found)) if found.limit(1).count() else labels
+    found = stored(found.union(_block_links(grouped.join(sizes, "hub"), sets)))
+    if found.limit(1).count():
+        return components(links.union(found))
+    return labels if labels is not None else _no_labels(rows.sparkSession)
 
 
-def _open_buckets(buckets: DataFrame, labels: DataFrame, order: int) -> DataFrame:
-    """Rows ``(key, node, label, hub)`` of the buckets that hold more than one component."""
-    placed = buckets.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label"), F.col("node").bitwiseXOR(F.lit(order)).alias("_at")
+def _block_links(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across labels among the nodes of each hub, enough to connect what is connected.
+
+    A hub's nodes are dealt to parts of about ``BLOCK_NODES``; a block holds two parts, or one
+    with itself, so a group of any size is spread over blocks of bounded size.
+    """
+    parts = F.ceil(F.col("_size") / BLOCK_NODES)
+    dealt = grouped.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_other")
+    spread = dealt.select("hub", "node", "label", "_part", others)
+    blocks = spread.select(
+        "hub", "node", "label", F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"),
+        (F.col("_part") > F.col("_other")).alias("second"),
     )
+    full = blocks.join(sets, "node")
+    return full.groupBy("hub", "_i", "_j").applyInArrow(_linked, "a bigint, b bigint")
+
+
+def _linked(block: pa.Table) -> pa.Table:
+    """The links between differently labelled nodes of a block that join its components."""
+    node, label = (block.column(name).to_numpy() for name in ("node", "label"))
+    second, column = block.column("second").to_numpy(zero_copy_only=False), block.column("shingles").combine_chunks()
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy()[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    owner = np.repeat(np.arange(len(node)), sizes)
+    order = np.argsort(flat, kind="stable")
+    token = np.cumsum(np.concatenate([[0], flat[order][1:] != flat[order][:-1]])) if len(flat) else order
+    of = np.empty(len(flat), np.int64)
+    of[order] = token
+    holders, starts = owner[order], np.searchsorted(token, np.arange((token[-1] if len(token) else -1) + 2))
+    both = len(np.unique(second)) == 2
+    group = {x: x for x in label.tolist()}
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    found = []
+    for x in range(len(node)):
+        if both and second[x]:
+            continue
+        own = of[ends[x] : ends[x + 1]]
+        common = np.bincount(np.concatenate([holders[starts[t] : starts[t + 1]] for t in own]), minlength=len(node))
+        alike = common * 100 >= (sizes + sizes[x] - common) * SAME_PERCENT
+        alike &= second if both else np.arange(len(node)) > x
+        for y in np.flatnonzero(alike & (label != label[x])):
+            left, right = root(int(label[x])), root(int(label[y]))
+            if left != right:
+                group[left] = right
+                found.append((min(node[x], node[y]), max(node[x], node[y])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _no_labels(spark) -> DataFrame:
+    return spark.createDataFrame([], "node bigint, label bigint")
+
+
+def _relabelled(left: DataFrame, labels: DataFrame) -> DataFrame:
+    return left.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _open_buckets(placed: DataFrame, order: int) -> tuple[DataFrame, float, int]:
+    """Rows ``(key, node, label, hub)`` of the buckets of ``placed`` that hold more than one
+    component; the number of pairs across components in them, and of rows."""
+    placed = stored(placed)
     torn = placed.groupBy("key").agg(
-        F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("_at").alias("_first")
+        F.min("label").alias("_low"), F.max("label").alias("_high"),
+        F.min(F.col("node").bitwiseXOR(F.lit(order))).alias("_first"),
     )
     torn = torn.where("_low <> _high").select("key", F.col("_first").bitwiseXOR(F.lit(order)).alias("hub"))
-    return stored(placed.join(torn, "key").select("key", "node", "label", "hub"))
+    left = stored(placed.join(torn, "key").select("key", "node", "label", "hub"))
+    across = left.groupBy("key", "label").count().groupBy("key").agg(
+        F.sum("count").alias("_m"), F.sum(F.col("count") * F.col("count")).alias("_same")
+    )
+    pairs, rows = across.agg(
+        F.coalesce(F.sum((F.col("_m") * F.col("_m") - F.col("_same")) / 2), F.lit(0.0)), F.coalesce(F.sum("_m"), F.lit(0))
+    ).first()
+    return left, pairs, rows
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from larder.llm import minhash, token_lengths
 from larder.llm.components import components
 from larder.llm.queries import tokenizer_path
@@ -57,7 +59,8 @@ def test_near_duplicates_equal_brute_force(docs, rows):
     check(docs, [(d, t) for d, t, _ in rows])
 
 
-def test_hot_group_needs_several_hubs(spark, monkeypatch):
+@pytest.mark.parametrize("small, block", [(32, 400), (2, 30), (10**6, 1)])
+def test_hot_group_needs_several_hubs(spark, monkeypatch, small, block):
     """Hundreds of near copies that are not all alike, chains, and a passage that all share."""
     draw = random.Random(5)
     base = [f"w{draw.randrange(900)}" for _ in range(90)]
@@ -73,6 +76,8 @@ def test_hot_group_needs_several_hubs(spark, monkeypatch):
     for i in range(30):
         data.append((1000 + i, " ".join(f"c{k}" for k in range(6 * i, 6 * i + 100))))
     monkeypatch.setattr(minhash, "PAIRS_PER_ROW", 1)
+    monkeypatch.setattr(minhash, "SMALL_GROUP", small)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", block)
     check(spark.createDataFrame(data, "doc_id bigint, text string"), data)
 
 
