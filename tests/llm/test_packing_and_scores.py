@@ -121,39 +121,40 @@ def test_votes_are_the_exact_nearest():
         assert score == pytest.approx((weight * labels[near]).sum() / weight.sum(), abs=1e-5)
 
 
-def brute_scores(rows):
+def brute_scores(rows, most_words):
     """Base score, and the model with exact levels in place of the filter."""
     train = [t for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
-    single, pair, followers = Counter(), Counter(), Counter()
+    single, pair = Counter(), Counter()
     for text in train:
         tokens = [*words_of(text), None]
         single.update(tokens)
         pair.update(zip([None, *tokens], tokens))
-    followers.update(before for before, _ in pair)
     n, v = sum(single.values()), len(single)
+    least = 0
+    if v > most_words:
+        least = min((c for c in single.values() if sum(x >= c for x in single.values()) <= most_words), default=n + 1)
+    top = {w: c for w, c in single.items() if c >= least}
+    rest = (n - sum(top.values())) / max(1, v - len(top))
     out = []
     for d, text in rows:
         tokens = [*words_of(text), None]
         base = model = 0.0
         for before, token in zip([None, *tokens], tokens):
-            chance = (single[token] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(chance)
-            left = 0.75 * followers[before] / single[before] if single[before] else 1.0
-            share, c = 0.0, pair[(before, token)]
-            if c:
-                level = bloom_lm.level_of(np.array([c]))
-                share = (bloom_lm.count_of(level)[0] - 0.75) / single[before]
-            model += math.log10(max(left, 1e-9) * chance) + math.log10(1 + share / (left * chance))
+            base += math.log10((single[token] + 0.1) / (n + 0.1 * (v + 1)))
+            used, context = (top.get(x, rest if v > len(top) else 0) for x in (token, before))
+            chance = (used + 0.1) / (n + 0.1 * (v + 1))
+            share = bloom_lm.MOST_SHARE * context / (context + bloom_lm.HALF)
+            c = pair[(before, token)]
+            seen = min(1.0, bloom_lm.count_of(bloom_lm.level_of(np.array([c])))[0] / max(context, 1)) if c else 0.0
+            model += math.log10((1 - share) * chance + share * seen)
         out.append((d, len(tokens), sum(single[t] > 0 for t in tokens), n, base, model))
     return out
 
 
-@pytest.mark.parametrize("most_words, piece_segments", [(10**6, 192), (3, 192), (10**6, 1), (3, 1)])
-def test_log_scores(docs, rows, most_words, piece_segments, monkeypatch):
-    if piece_segments == 1:
-        monkeypatch.setattr(bloom_lm, "BITS_PER_ENTRY", 40)
-    got = bloom_lm.log_scores(docs, most_words=most_words, piece_segments=piece_segments).collect()
-    want = brute_scores([(d, t) for d, t, _ in rows])
+@pytest.mark.parametrize("most_words, piece_bytes", [(10**6, 1 << 24), (30, 1 << 24), (10**6, 1), (30, 20000)])
+def test_log_scores(docs, rows, most_words, piece_bytes, monkeypatch):
+    got = bloom_lm.log_scores(docs, most_words=most_words, piece_bytes=piece_bytes, segment_bytes=100_000).collect()
+    want = brute_scores([(d, t) for d, t, _ in rows], most_words)
 
     def order(r):
         return (r[0] is None, r[0] or 0, r[1], r[4])
@@ -164,9 +165,9 @@ def test_log_scores(docs, rows, most_words, piece_segments, monkeypatch):
         assert g[:4] == w[:4]
         assert g[6] == (zlib.crc32(str(g[0] if g[0] is not None else "").encode()) % 10 == 0)
         assert g[4] == pytest.approx(w[4], rel=1e-9)
-        assert g[5] >= w[5] - 1e-6  # the filter errs upwards only
+        assert g[5] >= w[5] - 1e-6 * abs(w[5])  # the filter errs upwards only
         worse += abs(g[5] - w[5]) > 0.02 * abs(w[5])
-    assert worse <= 0.05 * len(got)
+    assert worse <= 0.1 * len(got)
 
 
 def test_log_scores_without_rows(spark, nothing):
@@ -177,13 +178,17 @@ def test_log_scores_without_rows(spark, nothing):
 
 
 def test_filter_has_no_false_negatives():
-    keys = bloom_lm.mixed(np.arange(60000, dtype=np.uint64))
-    counts = np.arange(60000) % 50 + 1
-    piece = bloom_lm.Piece(1, 0, bloom_lm.segment_bits(keys, counts)[None, :])
-    mine, levels = piece.levels(keys)
+    hashes = bloom_lm.mixed(np.arange(60000, dtype=np.uint64))
+    keys, counts = hashes & bloom_lm._KEY_MASK, np.arange(60000) % 50 + 1
+
+    def piece(n):
+        bits = bloom_lm.filter_bits(keys[:n], counts[:n])
+        return bloom_lm.Piece(1, 0, np.array([0, len(bits)]), bits)
+
+    mine, levels = piece(60000).levels(hashes)
     assert len(mine) == 60000 and (levels >= bloom_lm.level_of(counts)).all()
-    sparse = bloom_lm.Piece(1, 0, bloom_lm.segment_bits(keys[:9000], counts[:9000])[None, :])
-    assert (sparse.levels(keys[9000:])[1] > 0).mean() < 0.01
+    assert (levels > bloom_lm.level_of(counts)).mean() < 0.04
+    assert (piece(9000).levels(hashes[9000:])[1] > 0).mean() < 0.04
 
 
 def test_pipeline_equals_its_operators(spark):
