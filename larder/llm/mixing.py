@@ -102,15 +102,18 @@ def schedule(targets: DataFrame, recipe: Recipe) -> DataFrame:
     return joined.select("_no", "_rank", F.coalesce("id", F.lit(slots) + F.col("_first") + F.col("_rank")).alias("slot"))
 
 
-def _placed(docs: DataFrame, doc_id: str, text: str, source: str, recipe: Recipe, keep: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows with their place in their source's run of words, and the targets of the sources."""
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.col(doc_id)
-    rows = stored(
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, *columns: Column) -> DataFrame:
+    """Source, size in words and shuffling key of each row, beside the given columns; written out."""
+    return stored(
         docs.select(
-            held.alias("_row"), F.col(source).cast("string").alias("_source"), word_count(text_of(text)).alias("_size"),
+            *columns, F.col(source).cast("string").alias("_source"), word_count(text_of(text)).alias("_size"),
             F.md5(id_text(doc_id).cast("binary")).alias("_key"),
         )
     )
+
+
+def _placed(rows: DataFrame, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
+    """Sized rows with their place in their source's run of words, and the targets of the sources."""
     rows = rows.withColumn("_part", F.floor(F.conv(F.substring("_key", 1, 3), 16, 10).cast("int") * PARTS / 4096))
     targets = stored(source_targets(rows.select("_source", "_size"), recipe))
     match = F.col("_source").eqNullSafe(F.col("_named"))
@@ -153,7 +156,7 @@ def mix(
     id share a hash and keep their own places; repeated rows are mixed each by itself. Without
     any words the mix is empty and targets are 0. Reruns agree.
     """
-    placed, targets = _placed(docs, doc_id, text, source, recipe, keep=False)
+    placed, targets = _placed(_sized(docs, doc_id, text, source, F.col(doc_id).alias("_row")), recipe)
     placed = stored(placed)
     width = F.lit(recipe.block_words)
     spans = _spans(placed, recipe, "_row", "_source")
@@ -187,15 +190,19 @@ def mixed_documents(
     A document comes once for each pass that takes it. The last document of a source's quota may
     be taken in part: then its text is those words, joined by blanks, and ``n_chars`` their length.
     """
-    placed, targets = _placed(docs, doc_id, text, source, recipe, keep=True)
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_held")
+    # Rows are numbered as they are written, so that only numbers and sizes go through the plan.
+    texts = _sized(docs, doc_id, text, source, F.monotonically_increasing_id().alias("_row"), held)
+    placed, targets = _placed(texts.select("_row", "_source", "_size", "_key"), recipe)
     spans = _spans(placed, recipe, "_row").withColumn("_rank", F.floor(F.col("_from") / F.lit(recipe.block_words)))
-    spans = spans.join(schedule(targets, recipe), ["_no", "_rank"])
+    spans = spans.join(schedule(targets, recipe), ["_no", "_rank"]).select("_row", "_size", "_from", "_to", "slot")
+    spans = spans.join(texts.select("_row", "_held"), "_row")
     whole = F.col("_to") - F.col("_from") == F.col("_size")
-    part = F.array_join(F.slice(words_of(F.col("_row")[text]), 1, (F.col("_to") - F.col("_from")).cast("int")), " ")
-    taken = F.when(whole, F.col("_row")[text]).otherwise(part)
+    part = F.array_join(F.slice(words_of(F.col("_held")[text]), 1, (F.col("_to") - F.col("_from")).cast("int")), " ")
+    taken = F.when(whole, F.col("_held")[text]).otherwise(part)
     columns = []
     for name in docs.columns:
-        value = F.col("_row")[name]
+        value = F.col("_held")[name]
         if name == text:
             value = taken
         elif name == "n_chars":
