@@ -8,7 +8,7 @@ before full sets are moved.
 
 Equal shingle sets become one node first. In a bucket no pairs are listed: all nodes meet one hub,
 links are confirmed on full sets, components are formed, and only buckets that still hold more
-than one component go on, with another hub, as long as that settles much. What is left is compared
+than one component go on, with another hub, as long as a round settles nine tenths. What is left is compared
 across components so that no link between different texts is lost: pairs of small groups after a
 look at sizes and signature bits, large groups (a shared passage, copies just below the threshold)
 in blocks of bounded size, each of which reports only the links that its own components need.
@@ -212,7 +212,7 @@ def _labels(rows: DataFrame, usable: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = components(links)
         held = pairs_left
         left, pairs_left, rows_left = _open_buckets(_relabelled(left, labels), order)
-        if pairs_left * 2 > held:
+        if pairs_left * 10 > held:
             break
     if not rows_left:
         return labels if labels is not None else _no_labels(rows.sparkSession)
