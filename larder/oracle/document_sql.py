@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from larder.oracle.plan_sql import let
 from larder.oracle.sql import VIEWS, casefold, names, normalized, squash, strip, sub
 
@@ -9,10 +11,23 @@ WE = r"(?:$|[^\p{L}\p{N}_])"
 SKIP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 
 
+NAMES = {k: v for k, v in html5.items() if k.endswith(";")}
+
+
+def quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 def decode(x: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
+    """Character references looked up in parallel lists of names and characters, the usual ones first."""
+    first = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": chr(0xA0), "copy;": chr(0xA9), "middot;": chr(0xB7)}
+    every = {**first, **{k: v for k, v in NAMES.items() if k not in first}}
+    number = "TRY_CAST(CASE WHEN lower(p[3]) = 'x' THEN '0x' || p[4:-2] ELSE p[3:-2] END AS BIGINT)"
+    parts = f"regexp_extract_all({x}, '&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}});|[^&]+|&')"
+    return f"""array_to_string(list_transform({parts}, lambda p: CASE
+        WHEN p[1] <> '&' OR p[-1] <> ';' THEN p
+        WHEN p[2] = '#' THEN CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(CAST({number} AS INT)) ELSE chr(65533) END
+        ELSE coalesce({quoted(every.values())}[list_position({quoted(every)}, p[2:])], p) END), '')"""
 
 
 def attr(x: str, name: str) -> str:
@@ -20,13 +35,21 @@ def attr(x: str, name: str) -> str:
 
 
 def nodes(table: str, doc: str, keep: str = "true") -> str:
-    marked = sub(sub("html", SKIP, " "), r"(?i)<(h[1-4]|p|li|img)(\s[^>]*)?>", chr(1) + r"\1\2>")
-    body = sub(sub("piece", "^[^>]*>", ""), r"(?i)</(?:h[1-4]|p|li)\s*>", " ")
-    return f"""nodes AS (SELECT {doc}, pos - 1 AS seq, lower(regexp_extract(piece, '^[a-zA-Z0-9]+')) AS tag,
-        coalesce({attr("regexp_extract(piece, '^[^>]*>')", 'class')}, '') AS classes, coalesce({attr("regexp_extract(piece, '^[^>]*>')", 'id')},
-        {attr(f"regexp_extract({body}, '(?i)<[a-z][^>]*\\sid\\s*=[^>]*>')", 'id')}) AS id, {attr("regexp_extract(piece, '^[^>]*>')", 'src')} AS src,
-        CASE WHEN piece[1:3] = 'img' THEN '' ELSE {squash(decode(sub(body, '<[^>]*>', ' ')))} END AS text
-        FROM {table}, unnest(string_split({marked}, chr(1))[2:]) WITH ORDINALITY AS u(piece, pos))"""
+    """Tags and texts one by one; a token is of the last block start unless something was closed since."""
+    tokens = f"unnest(regexp_extract_all({sub('html', SKIP, ' ')}, '<[^>]*>|[^<]+|<')) WITH ORDINALITY AS u(token, pos)"
+    starts = r"regexp_matches(token, '(?i)^<(h[1-4]|p|li|img)(\s[^>]*)?>$')"
+    ends = r"regexp_matches(token, '(?i)^</(h[1-6]|p|li|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol|section|table|tbody|td|th|tr|ul)\s*>$')"
+    return f"""tokens AS (SELECT {doc}, pos, token, {starts} AS starts, {ends} AS ends FROM {table}, {tokens}),
+    counted AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY {doc} ORDER BY pos) AS node FROM tokens),
+    inside AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY {doc}, node ORDER BY pos) AS closed FROM counted WHERE node > 0),
+    gathered AS (SELECT {doc}, node - 1 AS seq, max(token) FILTER (starts) AS head,
+        max(token) FILTER (pos = named) AS inner_head,
+        coalesce(string_agg(CASE WHEN starts THEN '' WHEN regexp_matches(token, '^<[^>]*>$') THEN ' ' ELSE token END, '' ORDER BY pos), '') AS raw
+        FROM (SELECT *, min(pos) FILTER (NOT starts AND regexp_matches(token, '(?i)^<[a-z][^>]*\\sid\\s*=')) OVER (PARTITION BY {doc}, node) AS named
+              FROM inside WHERE closed = 0) GROUP BY {doc}, node),
+    nodes AS (SELECT {doc}, seq, lower(regexp_extract(head, '[a-zA-Z0-9]+')) AS tag, coalesce({attr('head', 'class')}, '') AS classes,
+        coalesce({attr('head', 'id')}, {attr('inner_head', 'id')}) AS id, {attr('head', 'src')} AS src,
+        CASE WHEN head ILIKE '<img%' THEN '' ELSE {squash(decode('raw'))} END AS text FROM gathered)"""
 
 
 SECTIONS = nodes("pages", "page_id") + """,

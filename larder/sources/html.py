@@ -1,11 +1,15 @@
 """HTML pages to ordered block nodes, without a tree parser.
 
-Block start tags mark where nodes begin; a node ends at the next block start. So an unclosed
+Block start tags mark where nodes begin. A node ends where a block or an enclosing element is
+closed, or at the next block start. So text behind a closed block belongs to no node, an unclosed
 paragraph keeps its text, and no text belongs to two nodes.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +18,43 @@ from larder.functions.text import bind, blank_to_null, epub_path, squash
 MARK = "\x01"
 BLOCKS = r"(?i)<(h[1-4]|p|li|img)(\s[^>]*)?>"
 SKIPPED = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-# The character references that are decoded; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# Closing one of these ends the node that is open.
+ENDS = (
+    r"(?is)</(?:h[1-6]|p|li|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol"
+    r"|section|table|tbody|td|th|tr|ul)\s*>.*$"
+)
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Characters by name, as the public standard of HTML lists them.
+NAMED = json.dumps({f"&{name}": character for name, character in html5.items() if name.endswith(";")})
 
 
 def decode(c: Column) -> Column:
-    for entity, character in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(character))
-    return c
+    """Every character reference decoded once: named, decimal and hexadecimal ones.
+
+    A code that is no character becomes the replacement character; unknown names stay as they are.
+    """
+    names = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def character(reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        base = F.when(F.lower(F.substring(reference, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits)
+        return bind(
+            base.cast("bigint"),
+            lambda n: F.when(
+                (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF),
+                F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"),
+            ).otherwise("\ufffd"),
+        )
+
+    def decoded(part: Column) -> Column:
+        return (
+            F.when(~F.rlike(part, F.lit(f"^{REFERENCE}$")), part)
+            .when(F.substring(part, 2, 1) == "#", character(part))
+            .otherwise(F.coalesce(F.try_element_at(names, part), part))
+        )
+
+    parts = F.regexp_extract_all(c, F.lit(REFERENCE + "|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -38,7 +71,7 @@ def node_array(html: Column) -> Column:
 
     def node(piece: Column) -> Column:
         start = F.regexp_extract(piece, "^[^>]*>", 0)
-        body = F.regexp_replace(F.regexp_replace(piece, "^[^>]*>", ""), r"(?i)</(?:h[1-4]|p|li)\s*>", " ")
+        body = F.regexp_replace(F.regexp_replace(piece, "^[^>]*>", ""), ENDS, "")
         inner = F.regexp_extract(body, r"(?i)<[a-z][^>]*\sid\s*=[^>]*>", 0)
         tag = F.lower(F.regexp_extract(piece, "^[a-zA-Z0-9]+", 0))
         classes = F.filter(F.split(squash(F.coalesce(attribute(start, "class"), F.lit(""))), " "), lambda c: c != "")

@@ -356,6 +356,19 @@ def test_toc_json_and_best(spark):
     assert rows(toc.best_toc(good.unionByName(poor)), "candidate") == [(2,)]
 
 
+def test_html_nodes_end_where_their_block_is_closed(spark):
+    cases = {
+        '<p>a</p><div class="ad">BUY NOW</div><p>b</p>': ["a", "b"],
+        "<p>a</p>tail<table><tr><td>cell</td></tr></table><h2>h</h2> x": ["a", "h"],
+        "<ul><li>one <p>two</p> three</li><li>four</ul>five": ["one", "two", "four"],
+        "<div><p>open <b>bold<br></div><footer>&copy; foot</footer>": ["open bold"],
+        "<p>&frac12; &#189; &#xBD; &eacute; &amp;lt; &nosuch; &#0; a&b &rsquo;</p>": ["½ ½ ½ é &lt; &nosuch; \ufffd a&b ’"],
+    }
+    for source, texts in cases.items():
+        pages = spark.createDataFrame([(1, source)], "page_id bigint, html string")
+        assert [r.text for r in html.html_nodes(pages).orderBy("seq").collect()] == texts
+
+
 def test_nav_and_ncx(spark):
     nav = ('<nav><ol><li><a href="x.html">Wrong</a></li></ol></nav><nav epub:type="toc"><ol><li><a href="c1.xhtml#a">Dips</a><ol><li><a href="d.xhtml">Deep</a></li></ol></li>'
            '<li><a>No link</a><ol><li><a href="lost.xhtml">Lost</a></li></ol></li><li><a href="c2.xhtml">Hot <b>Meze</b></a></li></ol></nav>')
