@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import top_ranked
+from larder.operators.ordering import ranked, top_ranked
 from larder.session import cut_lineage
 
 # Lengths of the ranked lists.
@@ -374,8 +374,7 @@ def network_from_summary(summary: DataFrame) -> DataFrame:
     summed = ends.groupBy("name").agg(F.sum("value").alias("edge_strength"))
     zero = F.lit(0.0)
     nodes = first.join(_lookups(summary), "name", "left").join(summed, "name", "left")
-    # At most the lengths of the ranked lists, so one ordered window is small.
-    return top_ranked(nodes, [F.asc("first")], 4 * TOP_NODES + TOP_STRENGTH + 2 * TOP_EDGES).select(
+    return ranked(nodes, [F.asc("first")]).select(
         "rank",
         "name",
         F.coalesce("frequency", zero).alias("frequency"),

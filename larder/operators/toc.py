@@ -7,6 +7,8 @@ row (``toc``: ``array<struct<label, href, depth, has_children>>`` in pre-order;
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,47 +27,44 @@ from larder.functions.text import (
 )
 from larder.operators.ordering import ranked
 
-MAX_DEPTH = 8
 ENTRIES = "array<struct<label:string,href:string,depth:int,has_children:boolean>>"
 MARKERS = "array<struct<start:int,depth:int,place:int,label:string>>"
 
 
-def toc_entries(payload: Column) -> Column:
-    """Pre-order entries of stored TOC JSON; empty for anything but a list of objects.
+def _walked(payload: str | None) -> list[dict]:
+    """Entries of one stored table of contents in pre-order, whatever its depth."""
+
+    def written(value: object) -> str | None:
+        return value if isinstance(value, str) or value is None else json.dumps(value)
+
+    try:
+        top = json.loads(payload or "")
+    except (ValueError, RecursionError):
+        return []
+    found: list[dict] = []
+    for root in top if isinstance(top, list) else []:
+        own, stack = [], [(root, 0)]
+        while stack:
+            node, depth = stack.pop()
+            label, href = (written(node.get(k)) for k in ("label", "href")) if isinstance(node, dict) else (None, None)
+            if label is None or href is None:
+                own = []
+                break
+            children = node.get("children")
+            children = children if isinstance(children, list) else []
+            own.append({"label": label, "href": href, "depth": depth, "has_children": bool(children)})
+            stack.extend((child, depth + 1) for child in reversed(children))
+        found.extend(own)
+    return found
 
-    An entry with an invalid descendant is dropped whole. Levels below ``MAX_DEPTH`` are cut.
-    """
 
-    def children(node: Column) -> Column:
-        return F.coalesce(F.try_variant_get(node, "$.children", "array<variant>"), F.array().cast("array<variant>"))
+def toc_entries(payload: Column) -> Column:
+    """Pre-order entries of stored TOC JSON, at any depth; empty for anything but a list of objects.
 
-    def valid(node: Column, depth: int) -> Column:
-        own = (
-            F.try_variant_get(node, "$.label", "string").isNotNull() & F.try_variant_get(node, "$.href", "string").isNotNull()
-        )
-        if depth == MAX_DEPTH:
-            return own
-        return own & F.forall(children(node), lambda c: valid(c, depth + 1))
-
-    def flat(node: Column, depth: int) -> Column:
-        own = F.array(
-            F.struct(
-                F.try_variant_get(node, "$.label", "string").alias("label"),
-                F.try_variant_get(node, "$.href", "string").alias("href"),
-                F.lit(depth).alias("depth"),
-                (F.size(children(node)) > 0).alias("has_children"),
-            )
-        )
-        if depth == MAX_DEPTH:
-            return own
-        return F.concat(own, F.flatten(F.transform(children(node), lambda c: flat(c, depth + 1))))
-
-    # Wrapped in a list, text behind the value makes a second element or breaks the parse.
-    wrapped = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    top = F.when(alone, F.try_variant_get(wrapped, "$[0]", "array<variant>"))
-    kept = F.filter(F.coalesce(top, F.array().cast("array<variant>")), lambda n: valid(n, 0))
-    return F.flatten(F.transform(kept, lambda n: flat(n, 0))).cast(ENTRIES)
+    An entry with an invalid descendant is dropped whole. A tree has no bound on its depth, which
+    no expression of fixed size can walk, so one Arrow function reads it.
+    """
+    return F.udf(_walked, ENTRIES, useArrow=True)(payload)
 
 
 def toc_flatten(books: DataFrame, json_col: str = "table_of_contents") -> DataFrame:

@@ -351,6 +351,13 @@ def test_toc_json_and_best(spark):
     books = spark.createDataFrame(payloads, "cookbook_id string, table_of_contents string")
     got = rows(toc.toc_flatten(books).orderBy("cookbook_id", "seq"), "cookbook_id", "depth", "label", "has_children")
     assert got == [("a", 0, "Contents", True), ("a", 1, "Vegetables", False), ("a", 1, "Fish", False)]
+    deep = '{"label":"12","href":"h"}'
+    for level in range(11, -1, -1):
+        deep = f'{{"label":"{level}","href":"h","children":[{deep}]}}'
+    broken = deep.replace('"label":"12",', "")
+    trees = spark.createDataFrame([("d", f"[{deep}]"), ("e", f'[{broken},{{"label":"x","href":"y"}}]')], "cookbook_id string, table_of_contents string")
+    got = rows(toc.toc_flatten(trees).orderBy("cookbook_id", "seq"), "cookbook_id", "depth", "label")
+    assert got == [("d", i, str(i)) for i in range(13)] + [("e", 0, "x")]
     good = _book(spark, [("MAINS", "m", 0, False)], ["m", "r1"], ["r1"]).withColumn("candidate", F.lit(2))
     poor = _book(spark, [("Index", "m", 0, False)], ["m", "r1"], ["r1"]).withColumn("candidate", F.lit(1))
     assert rows(toc.best_toc(good.unionByName(poor)), "candidate") == [(2,)]
