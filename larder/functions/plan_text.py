@@ -43,9 +43,15 @@ WEEKDAY = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
 SCHEDULE_GAP = r"\t+|\s{2,}"
 
 
-def meal_tokens(c: Column) -> Column:
-    """Search tokens of a title, in order, duplicates kept."""
-    value = F.replace(F.regexp_replace(F.lower(text(c)), URL, " "), F.lit("&"), F.lit(" and "))
+def meal_tokens(c: Column, links_first: bool = True) -> Column:
+    """Search tokens of a title, in order, duplicates kept.
+
+    The browser form spells out ``&`` before it drops links, so an ``&`` ends a link there.
+    """
+    value = F.lower(text(c))
+    if not links_first:
+        value = F.replace(value, F.lit("&"), F.lit(" and "))
+    value = F.replace(F.regexp_replace(value, URL, " "), F.lit("&"), F.lit(" and "))
     tokens = F.split(F.trim(F.regexp_replace(value, "[^a-z0-9]+", " ")), " ")
     kept = F.filter(tokens, lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
@@ -61,6 +67,11 @@ def meal_text(c: Column) -> Column:
     return F.array_join(meal_tokens(c), " ")
 
 
+def browser_text(c: Column) -> Column:
+    """As ``meal_text``, in the order in which the browser form normalises."""
+    return F.array_join(meal_tokens(c, links_first=False), " ")
+
+
 def display_title(c: Column) -> Column:
     return squash(F.regexp_replace(strip_chars(text(c), " -:\t"), r"(?s)^\((.*)\)$", "$1"))
 

@@ -296,8 +296,8 @@ def _jamie_header(lines: Column) -> Column:
     found = F.rlike(together, F.lit(JAMIE_MAKES_ANYWHERE))
     makes = F.when(found, words(F.regexp_extract(together, JAMIE_MAKES_ANYWHERE, 2))).otherwise(makes0)
     rest = F.when(found, strip(F.regexp_extract(together, JAMIE_MAKES_ANYWHERE, 1))).otherwise(together)
-    by_word = r"(?i)^(.+?\s*TIME)(?:\s+(.*)|$)"
-    by_unit = r"(?i)^(.+?[^\p{L}_](?:MINS?|MINUTES?|HOURS?))(?:\s+(.+)|$)"
+    by_word = r"(?i)^(.+?(?<![\p{L}\p{N}_])TIME)(?![\p{L}\p{N}_])\s*(.*)$"
+    by_unit = r"(?i)^(.+?(?<![\p{L}\p{N}_])(?:MINS?|MINUTES?|HOURS?)(?![\p{L}\p{N}_]))(?:\s+(.+))?$"
 
     def final(r: Column) -> Column:
         pattern_hit = F.when(F.rlike(r, F.lit(by_word)), 1).when(F.rlike(r, F.lit(by_unit)), 2).otherwise(0)

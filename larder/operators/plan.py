@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -295,18 +296,19 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
-def _token_candidates(variants: DataFrame, titles: DataFrame, least_coverage: float) -> DataFrame:
+def _token_candidates(variants: DataFrame, titles: DataFrame, least_coverage: float, tokens_of: Callable[[Column], Column]) -> DataFrame:
     """Pairs (variant, norm) that share enough tokens to score, and no other pair can.
 
     A pair below ``least_coverage`` cannot reach the threshold. So a pair that can shares at
     least ``m`` of a variant's ``n`` tokens, hence one of its ``n - m + 1`` rarest: only those
-    are joined, which keeps frequent tokens out of the join wherever rarer ones are left.
+    are joined, which keeps frequent tokens out of the join wherever rarer ones are left. A title
+    is normalised already; ``tokens_of`` splits a variant as its matcher does.
     """
-    words = titles.select("norm", F.array_distinct(P.meal_tokens(F.col("norm"))).alias("norm_tokens"))
+    words = titles.select("norm", F.array_distinct(F.split("norm", " ")).alias("norm_tokens"))
     postings = words.select("norm", "norm_tokens", F.explode("norm_tokens").alias("token"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("uses"))
     asked = variants.select("variant").distinct().select(
-        "variant", F.array_distinct(P.meal_tokens(F.col("variant"))).alias("tokens")
+        "variant", F.array_distinct(tokens_of(F.col("variant"))).alias("tokens")
     )
     shares = F.greatest(F.ceil(F.size("tokens") * F.lit(least_coverage) - 1e-9), F.lit(1))
     rarest = (
@@ -366,7 +368,7 @@ def fuzzy_title_match(
     titles = cut_lineage(_known_titles(recipes))
     variants = cut_lineage(_variants(entries, P.title_variants(F.col("title"))))
     least = max(floor, accept - margin)
-    pairs = _token_candidates(variants, titles, max(least - 0.54, 0.0) / 0.54)
+    pairs = _token_candidates(variants, titles, max(least - 0.54, 0.0) / 0.54, P.meal_tokens)
     longest = F.greatest(F.length("variant") + F.length("norm"), F.lit(1))
     ceiling = 2.0 * F.least(F.length("variant"), F.length("norm")) / longest
     whole = F.col("coverage") == 1.0
@@ -398,7 +400,7 @@ def client_variants(title: Column) -> Column:
         ),
         F.regexp_extract_all(raw, F.lit(r"\(([^)]*)\)"), F.lit(1)),
     )
-    return F.array_distinct(F.filter(F.transform(readings, P.meal_text), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(readings, P.browser_text), lambda v: v != ""))
 
 
 def client_title_match(
@@ -407,7 +409,7 @@ def client_title_match(
     """The token-only matcher: built-in expressions throughout."""
     titles = cut_lineage(_known_titles(recipes))
     variants = cut_lineage(_variants(entries, client_variants(F.col("title"))))
-    pairs = _token_candidates(variants, titles, max(floor - 0.15, 0.0) / 0.85)
+    pairs = _token_candidates(variants, titles, max(floor - 0.15, 0.0) / 0.85, lambda v: F.split(v, " "))
     score = (
         F.col("overlap") * 0.5
         + F.col("coverage") * 0.35

@@ -6,7 +6,7 @@ from larder.oracle.sql import VIEWS, WS, alnum, casefold, canonical_norm, names,
 
 URL = r"https?://\S+"
 DAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
-STOP = names("a an and for fresh of or style the to with".split())
+STOP = names(["a", "an", "and", "for", "fresh", "of", "or", "style", "the", "to", "with"])
 MONTH = (
     "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|"
     "sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
@@ -262,7 +262,7 @@ SQL = {
         FROM (SELECT *, len(list_intersect(tv, tn)) AS shared, len(tv) AS nv, len(tn) AS nn FROM cv, tn_norms WHERE list_has_any(tv, tn)))
         GROUP BY ALL HAVING max(score) >= 0.8),
         best AS""", 1).replace("scored AS", "scored AS", 1), TITLES,
-        f"cv AS (SELECT DISTINCT title, v, list_distinct(string_split({meal('v')}, ' ')) AS tv FROM titles, unnest({CLIENT_VARIANTS}) AS u(v))",
+        f"cv AS (SELECT DISTINCT title, v, list_distinct(string_split(v, ' ')) AS tv FROM titles, unnest({CLIENT_VARIANTS}) AS u(v))",
         "tn_norms AS (SELECT *, list_distinct(string_split(norm, ' ')) AS tn FROM norms)", "_x AS (SELECT 1)").replace("_x AS (SELECT 1)\n", "_x AS (SELECT 1),\n"),
     "best_with_margin": k(MARGIN.replace("best AS", "scored AS (SELECT l_orderkey AS title, l_partkey AS recipe_id, round(l_extendedprice / 100000, 4) AS score, count(*) AS copies FROM lineitem GROUP BY ALL), best AS", 1), "_x AS (SELECT 1)").replace("_x AS (SELECT 1)\n", "_x AS (SELECT 1),\n"),
     "resolve_reference": k("""SELECT e.entry_id AS row_id, CASE e.entry_id % 4 WHEN 0 THEN coalesce((SELECT recipe_id FROM v_docs d WHERE d.recipe_id = e.entry_id + 1), x.recipe_id)

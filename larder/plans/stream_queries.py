@@ -106,17 +106,10 @@ def extract_with(spark, d):
     return hooks.extract_with(docs, count_lines, "recipe_id bigint, lines bigint")
 
 
-def sequence_ratio(spark, d):
-    from larder.operators.plan import sequence_ratio as ratio
-
-    docs = views.documents(spark, d)
-    return docs.select("recipe_id", F.round(ratio(F.lower("title"), F.upper("title")), 4).alias("ratio"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         stream_toggles, stream_job_status, stream_facet_counts, stream_review_counts, stream_enqueue_dedup, stream_ingest,
-        embed_column, extract_with, sequence_ratio,
+        embed_column, extract_with,
     )
 }
