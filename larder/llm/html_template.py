@@ -25,19 +25,32 @@ MIN_PAGES = 5
 MIN_SHARE = 0.3
 
 # Elements of HTML by kind.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset([
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
+    "wbr",
+])
 RAW = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"])
 DROPPED = frozenset(
-    """head title script style noscript template iframe object embed svg math canvas audio video nav footer aside
-    form button select option input textarea label dialog menu datalist fieldset noembed noframes""".split()
+    [
+    "head", "title", "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "math",
+    "canvas", "audio", "video", "nav", "footer", "aside", "form", "button", "select", "option", "input",
+    "textarea", "label", "dialog", "menu", "datalist", "fieldset", "noembed", "noframes",
+]
 )
 BLOCKS = frozenset(
-    """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
-    footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section
-    summary table tbody td tfoot th thead title tr ul""".split()
+    [
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir",
+    "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
+    "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option",
+    "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr",
+    "ul",
+]
 )
 TEXT_BLOCKS = frozenset(
-    "p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption ul ol dl table tbody thead tr figure".split()
+    [
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption",
+    "caption", "ul", "ol", "dl", "table", "tbody", "thead", "tr", "figure",
+]
 )
 # A start tag that closes an open element of the named kind, up to the named boundaries.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "optgroup", "option", "legend", "summary", "title"}
@@ -51,15 +64,22 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 DROPPED_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
+    [
+    "navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog",
+    "menu", "menubar", "toolbar",
+]
 )
 # Words in class and id names that mark what is not the article.
 DROPPED_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion
-    banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie
-    cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login
-    comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations
-    pagination pager widget widgets toolbar skip""".split()
+    [
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored",
+    "sponsors", "promo", "promoted", "promotion", "banner", "banners", "nav", "navbar", "navigation", "menu",
+    "menus", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "footer", "masthead", "cookie", "cookies",
+    "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
+    "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "reply",
+    "replies", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination",
+    "pager", "widget", "widgets", "toolbar", "skip",
+]
 )
 
 _TOKEN = re.compile(
