@@ -72,10 +72,14 @@ SRC = f"""v_docs AS ({VIEWS['v_docs']}), src AS (SELECT cookbook_title AS cookbo
 INGREDIENT = (
     r"(?i)^\s*(?:[-*•]\s+)?(?:\d+(?:[./]\d+)?(?:g|kg|ml|l|oz|lb|lbs|cm)?|\d+/\d+|[¼½¾⅓⅔⅛]|one|two|three|four|five)" + WE
 )
-MEASURE = r"(?i)(?:^|[^\p{L}\p{N}_]|\d)(?:cups?|tbsp|tsp|teaspoons?|tablespoons?|g|kg|ml|l|oz|lbs?)" + WE
+MEASURE = r"(?i)(?:^|[^\p{L}\p{N}_]|\d)(?:cup|cups|tbsp|tsp|teaspoon|teaspoons|tablespoon|tablespoons|g|kg|ml|l|oz|lb|lbs)" + WE
 MEASURED = "(regexp_matches(l, '" + INGREDIENT + "') OR regexp_matches(l, '" + MEASURE + "'))"
-TITLES = names(("about the author|about the authors|about the book|acknowledgements|a short note about ingredients|contents|copyright|dedication|foreword|"
-                "how to use this book|index|introduction|ottolenghi|praise for salt fat acid heat|recipe list|table of contents|thank you|our histories|our shared history").split("|"))
+TITLES = names([
+    "about the author", "about the authors", "about the book", "acknowledgements",
+    "a short note about ingredients", "contents", "copyright", "dedication", "foreword",
+    "how to use this book", "index", "introduction", "ottolenghi", "praise for salt fat acid heat",
+    "recipe list", "table of contents", "thank you", "our histories", "our shared history",
+])
 CANDIDATE = f"""{SRC}, measured AS (SELECT *, lower(text) AS low, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: {strip('l')}), lambda l: l <> '') AS ls,
         len(list_filter(ls, lambda l: {MEASURED})) AS n, chapter_title <> '' AND len(string_split({squash('chapter_title')}, ' ')) <= 12 AS titled,
         regexp_matches(low, 'ingredients|serves|yield|prep|cook time|makes|method|directions|steps|instructions') AS cued FROM src),

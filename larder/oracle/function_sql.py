@@ -32,7 +32,7 @@ def twice(x: str) -> str:
 
 
 QUANTITY = r"(?i)^\s*(?:about\s+)?(?:(?:\d+\s*[./-]?\s*\d*)|(?:\d+\s*x\s*\d+)|[¼½¾⅓⅔⅛]+)\s*"
-UNIT = r"(?i)^(g|kg|ml|l|oz|lb|lbs|tbsp|tsp|teaspoons?|tablespoons?|cloves?|sprigs?|bunch(?:es)?|handfuls?|medium|small|large)" + WE
+UNIT = r"(?i)^(g|kg|ml|l|oz|lb|lbs|tbsp|tsp|teaspoon|teaspoons|tablespoon|tablespoons|clove|cloves|sprig|sprigs|bunch|bunches|handful|handfuls|medium|small|large)" + WE
 PARSED = f"""{WRITTEN}, p1 AS (SELECT recipe_id, line_no, {squash('raw')} AS cleaned FROM written),
     p2 AS (SELECT *, regexp_extract(cleaned, '^[^,]*') AS base, nullif({strip(sub('cleaned', '^[^,]*,?', ''))}, '') AS preparation FROM p1),
     p3 AS (SELECT *, regexp_extract(base, '{QUANTITY}') AS quantity FROM p2),
@@ -79,15 +79,15 @@ SQL = {
     "name_nytimes": named([
         (r"\([^)]*\)", ""),
         (r"(?i)^\s*(?:\d+(?:\s+\d+/\d+)?(?:/\d+)?|[¼½¾⅓⅔⅛]|a|an)(?:\s*(?:to|-)\s*(?:\d+(?:/\d+)?|[¼½¾⅓⅔⅛]))?\s*", ""),
-        (r"(?i)^(?:cups?|tablespoons?|tbsp|teaspoons?|tsp|ounces?|oz|pounds?|lbs?|grams?|g|kilograms?|kg|milliliters?|ml|liters?|l|quarts?|pints?|cans?|cloves?|bunch(?:es)?|small|medium|large)(?:$|([^\p{L}\p{N}_]))\s*", r"\1"),
+        (r"(?i)^(?:cup|cups|tablespoon|tablespoons|tbsp|teaspoon|teaspoons|tsp|ounce|ounces|oz|pound|pounds|lb|lbs|gram|grams|g|kilogram|kilograms|kg|milliliter|milliliters|ml|liter|liters|l|quart|quarts|pint|pints|can|cans|clove|cloves|bunch|bunches|small|medium|large)(?:$|([^\p{L}\p{N}_]))\s*", r"\1"),
         (r"^\s+", ""), (r"(?i)^of\s+", "")]),
     "name_jamie": named([
         (r"\([^)]*\)", ""), (r"(?i)^optional:\s*", ""),
         (r"(?i)^\s*(?:\d+(?:\s+\d+/\d+)?(?:/\d+)?|\d+\s*x\s*\d+|[¼½¾⅓⅔⅛]|a|an|one|two|three|four|five)\s*", ""),
-        (r"(?i)^(?:x\s*\d+\s+([\p{L}\p{N}_])|(?:g|kg|ml|l|tbsp|tsp|teaspoons?|tablespoons?|sachets?|large|medium|small)(?:$|([^\p{L}\p{N}_]))\s*)", r"\1\2")]),
+        (r"(?i)^(?:x\s*\d+\s+([\p{L}\p{N}_])|(?:g|kg|ml|l|tbsp|tsp|teaspoon|teaspoons|tablespoon|tablespoons|sachet|sachets|large|medium|small)(?:$|([^\p{L}\p{N}_]))\s*)", r"\1\2")]),
     "name_bbc": named([
         (r"^\s*(?:\d+(?:\s*/\s*\d+)?|[¼½¾⅓⅔⅛]|pinch|few|small|medium|large)\s*", ""),
-        (r"^(?:g|kg|ml|l|tbsp|tsp|tablespoons?|teaspoons?|plain)(?:$|([^\p{L}\p{N}_]))\s*", r"\1")]),
+        (r"^(?:g|kg|ml|l|tbsp|tsp|tablespoon|tablespoons|teaspoon|teaspoons|plain)(?:$|([^\p{L}\p{N}_]))\s*", r"\1")]),
     "name_waitrose": named([
         (r"(?i)^\s*(?:\d+(?:[./]\d+)?|[¼½¾⅓⅔⅛]|handful)\s*", ""),
         (r"(?i)^(?:g|kg|ml|l|tbsp|tsp|pack|jar|bag)(?:$|([^\p{L}\p{N}_]))\s*", r"\1")]),

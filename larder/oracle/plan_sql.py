@@ -62,8 +62,8 @@ def label(x: str, known: list[str]) -> str:
     return let(display(x), "k", f"CASE WHEN lower(k) IN {low} THEN upper(k[1]) || lower(k[2:]) ELSE k END")
 
 
-WEEK = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
-MEALS = "Breakfast Lunch Dinner".split()
+WEEK = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+MEALS = ["Breakfast", "Lunch", "Dinner"]
 
 
 def day_in(x: str) -> str:

@@ -53,8 +53,11 @@ def normalized(x: str) -> str:
     return alnum(sub(y, f"^(a|an|the){WS}+", ""))
 
 
-PASTA = "cavatappi conchiglie farfalle fusilli linguine macaroni orzo paccheri pappardelle penne rigatoni spaghetti tagliatelle".split()
-CHEESE = "cheddar feta gruyere halloumi mozzarella parmesan pecorino ricotta".split()
+PASTA = [
+    "cavatappi", "conchiglie", "farfalle", "fusilli", "linguine", "macaroni", "orzo", "paccheri",
+    "pappardelle", "penne", "rigatoni", "spaghetti", "tagliatelle",
+]
+CHEESE = ["cheddar", "feta", "gruyere", "halloumi", "mozzarella", "parmesan", "pecorino", "ricotta"]
 
 
 def canonical_norm(n: str) -> str:
