@@ -104,4 +104,40 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+
+SQL = {
+    # All pairs that share a shingle, exactly; then everything reachable over links.
+    "op1_minhash": f"""WITH RECURSIVE
+    words AS (SELECT doc_id, {_WORDS.format(x="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+    shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM sets),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+    reach AS (SELECT doc_id, doc_id AS seen FROM sets UNION SELECT links.b, reach.seen FROM reach JOIN links ON links.a = reach.doc_id)
+    SELECT doc_id, any_value(n) AS n_shingles, min(seen) AS component_id, min(seen) = doc_id AS kept
+    FROM reach JOIN (SELECT doc_id, len(s) AS n FROM sets) USING (doc_id) GROUP BY doc_id""",
+    "op5_rule_ledger": f"""WITH
+    read AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    parts AS (SELECT *, {_WORDS.format(x="t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM read),
+    windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 7], ' ')) AS c FROM parts, unnest(range(1, len(w) - 6)) AS u(i)),
+    covered AS (SELECT r, count(DISTINCT i + d) AS n FROM windows, range(8) AS v(d) WHERE c > 1 GROUP BY r),
+    measured AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals,
+        len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM parts LEFT JOIN covered USING (r)),
+    failed AS (SELECT *, CAST(n_words < 20 AS INT) + 2 * CAST(n_repeat_words * 100 > n_words * 30 AS INT) + 4 * CAST(n_symbols * 100 > n_words * 10 AS INT)
+        + 8 * CAST(n_dup_lines * 100 > n_lines * 50 AS INT) + 16 * CAST(word_chars < n_words * 2 OR word_chars > n_words * 20 AS INT)
+        + 32 * CAST(n_capitals * 100 > word_chars * 50 AS INT) AS failed_rules FROM measured)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM failed""",
+    "op6_mixing": f"""WITH
+    sized AS (SELECT doc_id, source, len({_WORDS.format(x="coalesce(text, '')")}) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+    sources AS (SELECT *, [3, 1, 2][(no - 1) % 3 + 1] AS weight FROM (
+        SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM sized GROUP BY source)),
+    levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(source_size * 2) OVER w - source_size * 2))
+        / (sum(weight) OVER () - sum(weight) OVER w + weight) AS level FROM sources WINDOW w AS (ORDER BY source_size * 2 / weight, no)),
+    targets AS (SELECT source, source_size, least(CAST(source_size * 2 AS DOUBLE), greatest(max(level) OVER (), 0.0) * weight) AS target FROM levels),
+    placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized)
+    SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+        CAST(greatest(0, least(start + size, round(target)) - start) + greatest(0, least(start + source_size + size, round(target)) - start - source_size) AS BIGINT) AS taken
+    FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source""",
+}
