@@ -68,10 +68,13 @@ def cooccurrence(pairs: DataFrame, group: str = "recipe_id", item: str = "name")
 
     Small groups become one array and pair up without a join. A group with more rows than
     ``SMALL_GROUP`` is spread over a grid of blocks, so no task holds it whole. The pair counts
-    themselves are the result and combine before the shuffle.
+    themselves are the result and combine before the shuffle. The two columns are written once
+    and the input is read once; large groups are at most one in ``SMALL_GROUP`` rows.
     """
-    rows = pairs.select(group, item)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > SMALL_GROUP)
+    rows = cut_lineage(pairs.select(group, item))
+    sizes = cut_lineage(
+        rows.groupBy(group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > SMALL_GROUP)
+    )
     small = _array_pairs(rows.join(sizes, group, "left_anti"), group, item)
     large = _grid_pairs(rows.join(sizes.select(group), group, "left_semi"), sizes, group, item)
     return small.union(large).groupBy("src", "dst").agg(F.count("*").alias("weight"))
@@ -124,7 +127,9 @@ def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(name, component)``, the component being its least name.
 
     Each round takes the least label around every node, then follows labels one step, which
-    shortens long chains. Both joins have a unique side, so a hub only skews the edge side.
+    shortens long chains. Both joins have a unique side, so a hub only skews the edge side. The
+    step joins the distinct labels only: once most nodes share one, that side is small and the
+    planner broadcasts it by its size.
     """
     ends = cut_lineage(both_ways(edges).select("a", "b"))
     labels = cut_lineage(nodes.select("name", F.col("name").alias("component")))
@@ -137,7 +142,11 @@ def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooked = labels.join(around, "name", "left").select(
             "name", F.col("component").alias("was"), F.least("component", "least").alias("component")
         )
-        target = hooked.select(F.col("name").alias("component"), F.col("component").alias("next"))
+        hooked = cut_lineage(hooked)
+        in_use = hooked.select(F.col("component").alias("name")).distinct()
+        target = hooked.join(in_use, "name", "left_semi").select(
+            F.col("name").alias("component"), F.col("component").alias("next")
+        )
         jumped = cut_lineage(
             hooked.join(target, "component").select("name", "was", F.col("next").alias("component"))
         )

@@ -9,11 +9,20 @@ PAIRS = (
     "ON a.recipe_id = b.recipe_id AND a.name < b.name GROUP BY ALL"
 )
 NODES = "SELECT name, count(*) AS frequency FROM {v} GROUP BY name HAVING count(*) >= {n}"
+COMPONENT_ROUNDS = 12
 COMPONENTS = """
     sym AS (SELECT src AS a, dst AS b, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
-    reach AS (SELECT name, name AS seen FROM nodes UNION SELECT sym.b, reach.seen FROM reach JOIN sym ON sym.a = reach.name),
-    labels AS (SELECT name, min(seen) AS component FROM reach GROUP BY name),
-    sizes AS (SELECT component, count(*) AS size FROM labels GROUP BY component)"""
+    l0 AS (SELECT name, name AS least FROM nodes),
+    {rounds},
+    labels AS (SELECT name, least AS component FROM l{last}),
+    sizes AS (SELECT component, count(*) AS size FROM labels GROUP BY component)""".format(
+    last=COMPONENT_ROUNDS,
+    rounds=",\n    ".join(
+        f"l{i + 1} AS MATERIALIZED (SELECT name, min(least) AS least FROM (SELECT * FROM l{i} UNION ALL "
+        f"SELECT sym.b, l{i}.least FROM l{i} JOIN sym ON sym.a = l{i}.name) GROUP BY name)"
+        for i in range(COMPONENT_ROUNDS)
+    ),
+)
 ROUNDS = 14
 
 
@@ -22,13 +31,12 @@ def graph(kind: str) -> str:
         return (
             f"v_parts AS ({VIEWS['v_parts']}), nodes AS ({NODES.format(v='v_parts', n=3)}), "
             "kept AS (SELECT * FROM v_parts WHERE name IN (SELECT name FROM nodes)), "
-            f"edges AS (SELECT * FROM ({PAIRS.format(v='kept')}) WHERE weight >= 2)"
+            f"edges AS MATERIALIZED ({PAIRS.format(v='kept')})"
         )
     return (
         f"v_index AS ({VIEWS['v_index']}), nodes AS ({NODES.format(v='v_index', n=3)}), "
         "kept AS (SELECT * FROM v_index WHERE name IN (SELECT name FROM nodes)), "
-        f"every AS ({PAIRS.format(v='kept')}), "
-        "edges AS (SELECT * FROM every WHERE weight > 1.1 * (SELECT avg(weight) FROM every))"
+        f"edges AS MATERIALIZED ({PAIRS.format(v='kept')})"
     )
 
 
@@ -42,7 +50,7 @@ def paths(giant: str = "(SELECT component FROM sizes ORDER BY size DESC, compone
     giant AS (SELECT name FROM labels WHERE component = {giant}),
     inn AS (SELECT * FROM sym WHERE a IN (FROM giant) AND b IN (FROM giant)),
     bfs AS (SELECT DISTINCT a AS s, a AS n, 0 AS d FROM inn
-            UNION SELECT bfs.s, inn.b, d + 1 FROM bfs JOIN inn ON inn.a = bfs.n WHERE d < 9),
+            UNION SELECT bfs.s, inn.b, d + 1 FROM bfs JOIN inn ON inn.a = bfs.n WHERE d < 40),
     hops AS (SELECT s, n, min(d) AS d FROM bfs GROUP BY s, n HAVING min(d) > 0),
     close AS (SELECT s AS name, count(*) AS reachable, cast(sum(d) AS BIGINT) AS total_distance, max(d) AS eccentricity,
                      count(*) / sum(d) AS closeness FROM hops GROUP BY s),
@@ -78,11 +86,11 @@ def summary() -> str:
                 FROM summary WHERE list <> 'edges' GROUP BY name)"""
 
 
-LIVE = f"""WITH RECURSIVE v_index AS ({VIEWS['v_index']}),
-    nodes AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, name) AS rank FROM ({NODES.format(v='v_index', n=3)}) ORDER BY rank LIMIT 40),
-    kept AS (SELECT * FROM v_index WHERE name IN (SELECT name FROM nodes)),
+LIVE = f"""WITH RECURSIVE v_parts AS ({VIEWS['v_parts']}),
+    nodes AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, name) AS rank FROM ({NODES.format(v='v_parts', n=3)}) ORDER BY rank LIMIT 180),
+    kept AS (SELECT * FROM v_parts WHERE name IN (SELECT name FROM nodes)),
     every AS ({PAIRS.format(v='kept')}),
-    edges AS (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank FROM every ORDER BY rank LIMIT 200),
+    edges AS (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank FROM every ORDER BY rank LIMIT 900),
     {paths("component").replace("SELECT name FROM labels WHERE component = component", "SELECT name FROM nodes")}, {DEGREES}"""
 
 SQL = {

@@ -1,6 +1,7 @@
 """Queries on the ingredient network.
 
-Counting runs on part numbers (a wide vocabulary), paths on the names' stronger edges.
+Counting and the live preview run on part numbers (a wide vocabulary), paths on names; every
+edge between kept nodes counts.
 """
 
 from __future__ import annotations
@@ -11,20 +12,16 @@ from larder.operators import network
 from larder.session import cut_lineage
 from larder.sources import views
 
-STRONGER = 1.1
-
 
 def _name_graph(spark, d):
     index = views.ingredient_index(spark, d)
     nodes = network.node_frequency(index)
-    edges = cut_lineage(network.edge_weights(index))
-    mean = edges.agg(F.avg("weight")).first()[0] or 0.0
-    return nodes, edges.where(F.col("weight") > STRONGER * mean)
+    return nodes, cut_lineage(network.edge_weights(index))
 
 
 def _part_graph(spark, d):
     index = views.part_index(spark, d)
-    return network.node_frequency(index), network.edge_weights(index).where(F.col("weight") >= 2)
+    return network.node_frequency(index), network.edge_weights(index)
 
 
 def node_frequency(spark, d):
@@ -59,7 +56,6 @@ def component_summary(spark, d):
 
 def _inner(spark, d):
     nodes, edges = _name_graph(spark, d)
-    edges = cut_lineage(edges)
     return network.within(edges, network.giant_component(nodes, edges))
 
 
@@ -81,7 +77,6 @@ def weighted_closeness(spark, d):
 
 def _summary(spark, d):
     nodes, edges = _name_graph(spark, d)
-    edges = cut_lineage(edges)
     lists = network.ranked_summaries(network.node_metrics(nodes, edges), edges)
     return cut_lineage(lists.withColumn("value", F.round("value", 6))), edges
 
@@ -101,7 +96,7 @@ def graph_preview_summary_links(spark, d):
 
 
 def _live(spark, d):
-    return network.graph_preview_live(views.ingredient_index(spark, d), max_nodes=40, max_edges=200)
+    return network.graph_preview_live(views.part_index(spark, d))
 
 
 def graph_preview_live(spark, d):
