@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +19,10 @@ MEAL_GROUP_TITLES = (
     "meal", "meals", "dinner", "dinners", "lunch", "lunches", "snacks", "dinner recipes",
 )
 NON_RECIPE_HINTS = (
-    "out", "leftover", "leftovers", "luke out", "tally out", "snack", "snacks", "soup",
+    "out", "leftover", "leftovers", "snack", "snacks", "soup",
 )
 NOT_A_TITLE = (
-    "luke out", "tally out", "friday", "saturday", "sunday", "monday", "tuesday", "wednesday",
-    "thursday",
+    "friday", "saturday", "sunday", "monday", "tuesday", "wednesday", "thursday",
 )
 MONTHS = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september",
@@ -118,17 +119,21 @@ def starts_with_weekday(c: Column) -> Column:
     return F.rlike(c, F.lit(f"(?i)^(?:{WEEKDAY}){WORD_END}"))
 
 
-def title_variants(c: Column) -> Column:
-    """Distinct normalised readings of a planned title, non-empty, in text order."""
-    return bind(display_title(c), _variants_of)
+def title_variants(c: Column, people: Sequence[str] = ()) -> Column:
+    """Distinct normalised readings of a planned title, non-empty, in text order.
+
+    An aside that says that one of ``people`` (plain lower-case names) is out is no reading.
+    """
+    unread = "|".join([*NOT_A_TITLE, *(f"{name} out" for name in people)])
+    return bind(display_title(c), lambda base: _variants_of(base, unread))
 
 
-def _variants_of(base: Column) -> Column:
+def _variants_of(base: Column, unread: str) -> Column:
     after_day = F.regexp_extract(base, r"^[^-:]+[-:]\s*(.+)$", 1)
     asides = F.filter(
         F.regexp_extract_all(base, F.lit(r"\(([^)]*)\)"), F.lit(1)),
         lambda p: ~starts_with_weekday(p)
-        & ~F.rlike(meal_text(p), F.lit("|".join(NOT_A_TITLE))),
+        & ~F.rlike(meal_text(p), F.lit(unread)),
     )
     readings = F.concat(
         F.array(

@@ -91,20 +91,20 @@ def toggle_state(toggles: DataFrame) -> DataFrame:
     return last.where("last.is_on").select("kind", "recipe_id", "last.ts", "last.event_id")
 
 
-def recipe_flags(recipes: DataFrame, toggles: DataFrame) -> DataFrame:
+def recipe_flags(dishes: DataFrame, toggles: DataFrame) -> DataFrame:
     """Whether each recipe is a favourite and on the want-to-try list."""
     state = toggle_state(toggles).groupBy("recipe_id").agg(
         F.bool_or(F.col("kind") == "favourite").alias("is_favorite"),
         F.bool_or(F.col("kind") == "want_to_try").alias("is_want_to_try"),
     )
     off = F.lit(False)
-    return recipes.join(state, "recipe_id", "left").withColumns(
+    return dishes.join(state, "recipe_id", "left").withColumns(
         {"is_favorite": F.coalesce("is_favorite", off), "is_want_to_try": F.coalesce("is_want_to_try", off)}
     )
 
 
 def hydrate_recipes(stored: DataFrame, toggles: DataFrame) -> DataFrame:
-    """Recipes of stored documents ``(recipe_id, payload)``.
+    """Dishes of stored documents ``(recipe_id, payload)``.
 
     Names are recomputed from the ingredient lines, and the key wins over the stored id.
     """
@@ -115,9 +115,9 @@ def hydrate_recipes(stored: DataFrame, toggles: DataFrame) -> DataFrame:
     )
 
 
-def recipe_references(recipes: DataFrame, references: DataFrame | None = None) -> DataFrame:
+def recipe_references(dishes: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Thin recipe rows; where a stored projection is missing the full recipe gives it."""
-    own = recipes.select("recipe_id", "cookbook_id", "cookbook_title", "title")
+    own = dishes.select("recipe_id", "cookbook_id", "cookbook_title", "title")
     if references is not None:
         kept = references.select(
             "recipe_id", *[F.col(c).alias(f"stored_{c}") for c in ("cookbook_id", "cookbook_title", "title")]
@@ -136,13 +136,13 @@ def library_filter(cookbooks: DataFrame, include_collection_items: bool = False)
 
 
 def scan_order() -> list[Column]:
-    """Cookbooks newest first, then recipes by position."""
+    """Cookbooks newest first, then dishes by position."""
     return [F.desc("uploaded_epoch"), F.asc("cookbook_id"), F.asc("position")]
 
 
-def recipe_scan_order(recipes: DataFrame, cookbooks: DataFrame) -> DataFrame:
-    """All recipes with their place in the unfiltered listing."""
-    dated = recipes.join(cookbooks.select("cookbook_id", "uploaded_epoch"), "cookbook_id")
+def recipe_scan_order(dishes: DataFrame, cookbooks: DataFrame) -> DataFrame:
+    """All dishes with their place in the unfiltered listing."""
+    dated = dishes.join(cookbooks.select("cookbook_id", "uploaded_epoch"), "cookbook_id")
     return ranked(dated, scan_order(), name="listing_order")
 
 
@@ -165,32 +165,32 @@ def sort_cookbooks(cookbooks: DataFrame, by: str = "title") -> DataFrame:
     return ranked(cookbooks, order)
 
 
-def collection_semi(recipes: DataFrame, cookbooks: DataFrame, slug: str) -> DataFrame:
-    """Recipes of the cookbooks that carry the slug."""
+def collection_semi(dishes: DataFrame, cookbooks: DataFrame, slug: str) -> DataFrame:
+    """Dishes of the cookbooks that carry the slug."""
     mine = cookbooks.where(F.col("collection_slug") == slug).select("cookbook_id")
-    return recipes.join(mine, "cookbook_id", "left_semi")
+    return dishes.join(mine, "cookbook_id", "left_semi")
 
 
-def collection_members(slug: str, recipes: DataFrame, cookbooks: DataFrame, toggles: DataFrame) -> DataFrame:
-    """Recipes of a collection with sort columns ``score`` (toggle time) or ``position``.
+def collection_members(slug: str, dishes: DataFrame, cookbooks: DataFrame, toggles: DataFrame) -> DataFrame:
+    """Dishes of a collection with sort columns ``score`` (toggle time) or ``position``.
 
     Favourites and want-to-try come latest toggle first; an unknown slug has no members.
     """
     slug = SLUG_ALIASES.get(slug, slug)
     if slug in TOGGLE_COLLECTIONS:
         state = toggle_state(toggles).where(F.col("kind") == TOGGLE_COLLECTIONS[slug])
-        return recipes.join(state.select("recipe_id", "ts", "event_id"), "recipe_id").orderBy(
+        return dishes.join(state.select("recipe_id", "ts", "event_id"), "recipe_id").orderBy(
             F.desc("ts"), F.desc("event_id")
         )
     if slug not in COLLECTIONS:
-        return recipes.limit(0)
-    return collection_semi(recipes, cookbooks, slug)
+        return dishes.limit(0)
+    return collection_semi(dishes, cookbooks, slug)
 
 
-def recipe_neighbours(recipes: DataFrame, cookbooks: DataFrame) -> DataFrame:
+def recipe_neighbours(dishes: DataFrame, cookbooks: DataFrame) -> DataFrame:
     """Previous and next recipe: within the cookbook's collection, else within the cookbook."""
     own = F.coalesce("collection_slug", F.concat(F.lit("cookbook-"), F.col("cookbook_id").cast("string")))
-    listed = recipes.join(cookbooks.select("cookbook_id", "collection_slug", "uploaded_epoch"), "cookbook_id")
+    listed = dishes.join(cookbooks.select("cookbook_id", "collection_slug", "uploaded_epoch"), "cookbook_id")
     members = listed.select(
         own.alias("list"), "recipe_id", F.struct((-F.col("uploaded_epoch")).alias("e"), "cookbook_id", "position").alias("position")
     )
@@ -214,49 +214,49 @@ def _fixed(spark: SparkSession, names: Mapping[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "place int, slug string, collection_title string")
 
 
-def collection_counts(recipes: DataFrame, cookbooks: DataFrame, toggles: DataFrame) -> DataFrame:
-    """Recipes per built-in collection, zero when empty, in declared order."""
-    by_book = recipes.groupBy("cookbook_id").agg(F.count("*").alias("n"))
+def collection_counts(dishes: DataFrame, cookbooks: DataFrame, toggles: DataFrame) -> DataFrame:
+    """Dishes per built-in collection, zero when empty, in declared order."""
+    by_book = dishes.groupBy("cookbook_id").agg(F.count("*").alias("n"))
     slugs = (
         by_book.join(cookbooks.select("cookbook_id", F.col("collection_slug").alias("slug")), "cookbook_id")
         .groupBy("slug").agg(F.sum("n").alias("n"))
     )
     kinds = F.create_map(*(F.lit(v) for s, k in TOGGLE_COLLECTIONS.items() for v in (k, s)))
     switched = (
-        toggle_state(toggles).join(recipes.select("recipe_id"), "recipe_id", "left_semi")
+        toggle_state(toggles).join(dishes.select("recipe_id"), "recipe_id", "left_semi")
         .groupBy(F.element_at(kinds, F.col("kind")).alias("slug")).agg(F.count("*").alias("n"))
     )
-    fixed = F.broadcast(_fixed(recipes.sparkSession, COLLECTIONS))
+    fixed = F.broadcast(_fixed(dishes.sparkSession, COLLECTIONS))
     counts = slugs.union(switched).join(fixed, "slug", "right")
     return counts.select(
         "place", "slug", F.col("collection_title").alias("title"), F.coalesce("n", F.lit(0)).alias("recipe_count")
     )
 
 
-def needs_review_counts(recipes: DataFrame) -> DataFrame:
-    return recipes.groupBy("cookbook_id").agg(
+def needs_review_counts(dishes: DataFrame) -> DataFrame:
+    return dishes.groupBy("cookbook_id").agg(
         F.count_if(F.col("review_status") == "needs_review").alias("needs_review_count")
     )
 
 
-def ingest_rollup(cookbooks: DataFrame, recipes: DataFrame) -> DataFrame:
+def ingest_rollup(cookbooks: DataFrame, dishes: DataFrame) -> DataFrame:
     """Status, counts and error text of every cookbook after an ingest."""
-    counted = recipes.groupBy("cookbook_id").agg(
-        F.count("*").alias("recipes"), F.count_if(F.col("review_status") == "needs_review").alias("flagged")
+    counted = dishes.groupBy("cookbook_id").agg(
+        F.count("*").alias("dishes"), F.count_if(F.col("review_status") == "needs_review").alias("flagged")
     )
-    some = F.coalesce("recipes", F.lit(0)) > 0
+    some = F.coalesce("dishes", F.lit(0)) > 0
     return cookbooks.select("cookbook_id").join(counted, "cookbook_id", "left").select(
         "cookbook_id",
         F.when(some, "extracted").otherwise("partially_extracted").alias("status"),
-        F.coalesce("recipes", F.lit(0)).alias("recipe_count"),
+        F.coalesce("dishes", F.lit(0)).alias("recipe_count"),
         F.coalesce("flagged", F.lit(0)).alias("needs_review_count"),
         F.when(some, F.lit(None)).otherwise(NO_RECIPES).alias("extract_error"),
     )
 
 
-def photo_percent(cookbooks: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Share of recipes with an image, in whole percent, halves to even; 0 without recipes."""
-    shares = recipes.groupBy("cookbook_id").agg(
+def photo_percent(cookbooks: DataFrame, dishes: DataFrame) -> DataFrame:
+    """Share of dishes with an image, in whole percent, halves to even; 0 without dishes."""
+    shares = dishes.groupBy("cookbook_id").agg(
         F.bround(100.0 * F.count_if(F.size("images") > 0) / F.count("*"), 0).cast("int").alias("percent")
     )
     return cookbooks.select("cookbook_id").join(shares, "cookbook_id", "left").select(
@@ -264,7 +264,7 @@ def photo_percent(cookbooks: DataFrame, recipes: DataFrame) -> DataFrame:
     )
 
 
-def cookbook_management(cookbooks: DataFrame, recipes: DataFrame) -> DataFrame:
+def cookbook_management(cookbooks: DataFrame, dishes: DataFrame) -> DataFrame:
     """Tag and review-reason counts per cookbook, values distinct within a recipe.
 
     One row per (cookbook, kind, value) with its rank by count, then value. ``tags`` is NULL for
@@ -279,12 +279,12 @@ def cookbook_management(cookbooks: DataFrame, recipes: DataFrame) -> DataFrame:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     counted = (
-        recipes.join(cookbooks.select("cookbook_id"), "cookbook_id", "left_semi")
+        dishes.join(cookbooks.select("cookbook_id"), "cookbook_id", "left_semi")
         .select("cookbook_id", F.explode(F.concat(labelled("tag", tags), labelled("reason", reasons))).alias("v"))
         .groupBy("cookbook_id", "v.kind", "v.value")
-        .agg(F.count("*").alias("recipes"))
+        .agg(F.count("*").alias("dishes"))
     )
-    return ranked(counted, [F.desc("recipes"), F.asc("value")], ["cookbook_id", "kind"])
+    return ranked(counted, [F.desc("dishes"), F.asc("value")], ["cookbook_id", "kind"])
 
 
 def management_groups(cookbooks: DataFrame) -> DataFrame:
@@ -296,10 +296,10 @@ def management_groups(cookbooks: DataFrame) -> DataFrame:
     )
 
 
-def group_by_chapter(recipes: DataFrame) -> DataFrame:
+def group_by_chapter(dishes: DataFrame) -> DataFrame:
     """Chapters of each cookbook in order of their first recipe, ``rank`` giving the place."""
-    chapters = recipes.groupBy("cookbook_id", "label").agg(
-        F.min("position").alias("first_position"), F.count("*").alias("recipes")
+    chapters = dishes.groupBy("cookbook_id", "label").agg(
+        F.min("position").alias("first_position"), F.count("*").alias("dishes")
     )
     return ranked(chapters, [F.asc("first_position")], ["cookbook_id"])
 
@@ -350,24 +350,24 @@ def replace_by_cookbook(new: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def drop_children(child: DataFrame, removed: DataFrame) -> DataFrame:
-    """Index rows, toggles or vectors without those of the removed recipes."""
+    """Index rows, toggles or vectors without those of the removed dishes."""
     return child.join(removed.select("recipe_id"), "recipe_id", "left_anti")
 
 
 def cascade_delete(
     tables: Mapping[str, DataFrame], cookbook_ids: DataFrame
 ) -> dict[str, DataFrame]:
-    """``cookbooks``, ``recipes`` and every child table without the given cookbooks."""
+    """``cookbooks``, ``dishes`` and every child table without the given cookbooks."""
     gone = cookbook_ids.select("cookbook_id")
-    removed = tables["recipes"].join(gone, "cookbook_id", "left_semi")
-    result = {name: tables[name].join(gone, "cookbook_id", "left_anti") for name in ("cookbooks", "recipes")}
+    removed = tables["dishes"].join(gone, "cookbook_id", "left_semi")
+    result = {name: tables[name].join(gone, "cookbook_id", "left_anti") for name in ("cookbooks", "dishes")}
     children = {n: drop_children(t, removed) for n, t in tables.items() if n not in result}
     return {**result, **children}
 
 
-def new_anchor_anti(drafts: DataFrame, recipes: DataFrame) -> DataFrame:
+def new_anchor_anti(drafts: DataFrame, dishes: DataFrame) -> DataFrame:
     """Drafts whose anchor is not stored for their cookbook; drafts without an anchor stay."""
-    stored = recipes.where(text(F.col("anchor")) != "").select(
+    stored = dishes.where(text(F.col("anchor")) != "").select(
         "cookbook_id", F.col("anchor").alias("_anchor")
     ).distinct()
     keyed = drafts.withColumn("_anchor", blank_to_null(strip(text(F.col("anchor")))))
@@ -375,7 +375,7 @@ def new_anchor_anti(drafts: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 def append_new_anchors(drafts: DataFrame, existing: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Recipes to append: unseen anchors, numbered after the stored ones.
+    """Dishes to append: unseen anchors, numbered after the stored ones.
 
     Repeats inside the batch all stay. Ids derive from cookbook, anchor and position, so a rerun
     writes the same rows.
@@ -385,11 +385,11 @@ def append_new_anchors(drafts: DataFrame, existing: DataFrame, order: Sequence[C
     return placed.withColumn("recipe_id", F.sha2(key, 256))
 
 
-def vector_upsert(current: DataFrame, recipes: DataFrame, embeddings: DataFrame) -> DataFrame:
+def vector_upsert(current: DataFrame, dishes: DataFrame, embeddings: DataFrame) -> DataFrame:
     """The vector table after an upsert: new vectors with their payload replace old ones by id.
 
-    Recipes without an embedding get no vector.
+    Dishes without an embedding get no vector.
     """
-    new = recipes.join(embeddings, "recipe_id")
+    new = dishes.join(embeddings, "recipe_id")
     kept = current.join(embeddings.select("recipe_id"), "recipe_id", "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)

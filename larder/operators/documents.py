@@ -368,7 +368,7 @@ def review_flags(drafts: DataFrame) -> DataFrame:
 
 
 def deterministic_drafts(sections: DataFrame) -> DataFrame:
-    """Draft recipes of the candidate sections that rules alone can read."""
+    """Draft dishes of the candidate sections that rules alone can read."""
     ready, _rest = deterministic_gate(candidate_sections(sections))
     lines = F.filter("ingredient_lines", lambda x: strip(x) != "")
     steps = F.filter(F.transform("method_lines", strip), lambda x: x != "")

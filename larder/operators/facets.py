@@ -28,7 +28,7 @@ def ordered_distinct(values: Column) -> Column:
 def ingredient_index(lines: DataFrame) -> DataFrame:
     """Distinct (name, recipe_id) from ingredient lines.
 
-    Pairs, not one set per name: a name that a third of all recipes use never sits in one row.
+    Pairs, not one set per name: a name that a third of all dishes use never sits in one row.
     """
     named = lines.select(
         "recipe_id", index_name(F.col("canonical_name"), F.col("normalized_name"), F.col("raw")).alias("name")
@@ -37,7 +37,7 @@ def ingredient_index(lines: DataFrame) -> DataFrame:
 
 
 def facet_and(index: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Recipes that hold every name, by recipe id (relational division)."""
+    """Dishes that hold every name, by recipe id (relational division)."""
     wanted = facet_names(index.sparkSession, names)
     if not wanted:
         return index.select("recipe_id").limit(0)
@@ -48,10 +48,10 @@ def facet_and(index: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def facet_in_cookbook(
-    recipes: DataFrame, index: DataFrame, cookbook_id: int | str, names: Sequence[str]
+    dishes: DataFrame, index: DataFrame, cookbook_id: int | str, names: Sequence[str]
 ) -> DataFrame:
-    """Recipes of one cookbook that hold every name, in cookbook order."""
-    mine = recipes.where(F.col("cookbook_id") == cookbook_id).select("recipe_id", "cookbook_id", "position")
+    """Dishes of one cookbook that hold every name, in cookbook order."""
+    mine = dishes.where(F.col("cookbook_id") == cookbook_id).select("recipe_id", "cookbook_id", "position")
     return mine.join(facet_and(index, names), "recipe_id", "left_semi").orderBy("position")
 
 
@@ -77,7 +77,7 @@ def facet_minus(index: DataFrame, names: Sequence[str]) -> DataFrame:
 def facet_drilldown(
     index: DataFrame, names: Sequence[str], q: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Counts of the other names among the recipes that hold every selected name.
+    """Counts of the other names among the dishes that hold every selected name.
 
     With a query, only names that contain it.
     """
@@ -92,7 +92,7 @@ def facet_substring(index: DataFrame, names: Sequence[str], q: str) -> DataFrame
 
 
 def posting_intersect(index: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Recipes in every posting list, by intersecting the lists."""
+    """Dishes in every posting list, by intersecting the lists."""
     lists = [
         index.where(F.col("name") == name).select("recipe_id")
         for name in facet_names(index.sparkSession, names)

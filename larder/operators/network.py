@@ -23,7 +23,7 @@ SMALL_GROUP = 256
 
 
 def node_frequency(index: DataFrame, min_occurrence: int = 3) -> DataFrame:
-    """Recipes per ingredient name; ``index`` holds distinct (recipe_id, name)."""
+    """Dishes per ingredient name; ``index`` holds distinct (recipe_id, name)."""
     counts = index.groupBy("name").agg(F.count("*").alias("frequency"))
     return counts.where(F.col("frequency") >= min_occurrence)
 

@@ -84,7 +84,7 @@ def prev_next(members: DataFrame, order: Sequence[Column], keys: Sequence[str])
 
 
 def positions(drafts: DataFrame, existing: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Continue each cookbook's numbering after the recipes it holds already."""
+    """Continue each cookbook's numbering after the dishes it holds already."""
     held = existing.groupBy("cookbook_id").agg(F.count("*").alias("held"))
     placed = ranked(drafts, order, ["cookbook_id"])
     return (

@@ -1,8 +1,8 @@
-"""Weekly plans: reading free text, matching titles to recipes, ordering, shopping lists."""
+"""Weekly plans: reading free text, matching titles to dishes, ordering, shopping lists."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -245,9 +245,9 @@ def next_week_start(weeks: DataFrame) -> DataFrame:
     return dated.select("plan_id", sunday.cast("string").alias("start_on"))
 
 
-def plan_link_hydrate(plan_rows: DataFrame, recipes: DataFrame) -> DataFrame:
+def plan_link_hydrate(plan_rows: DataFrame, dishes: DataFrame) -> DataFrame:
     """Attach recipe titles to plan rows; a link to a missing recipe becomes NULL."""
-    known = recipes.select(F.col("recipe_id").alias("found_id"), F.col("title").alias("recipe_title"))
+    known = dishes.select(F.col("recipe_id").alias("found_id"), F.col("title").alias("recipe_title"))
     return (
         plan_rows.join(known, plan_rows.recipe_id == F.col("found_id"), "left")
         .withColumn("recipe_id", F.col("found_id"))
@@ -258,10 +258,10 @@ def plan_link_hydrate(plan_rows: DataFrame, recipes: DataFrame) -> DataFrame:
 # --- title matching --------------------------------------------------------------------------
 
 
-def _known_titles(recipes: DataFrame) -> DataFrame:
+def _known_titles(dishes: DataFrame) -> DataFrame:
     """One row per normalised title: its first recipe in listing order and how many share it."""
     return (
-        recipes.select("recipe_id", "listing_order", P.meal_text(F.col("title")).alias("norm"))
+        dishes.select("recipe_id", "listing_order", P.meal_text(F.col("title")).alias("norm"))
         .where(F.col("norm") != "")
         .groupBy("norm")
         .agg(
@@ -277,13 +277,13 @@ def _variants(entries: DataFrame, variants: Column) -> DataFrame:
     return entries.select("title").distinct().select("title", F.explode(variants).alias("variant"))
 
 
-def exact_title_match(entries: DataFrame, recipes: DataFrame) -> DataFrame:
+def exact_title_match(entries: DataFrame, dishes: DataFrame, people: Sequence[str] = ()) -> DataFrame:
     """Titles one of whose readings equals a recipe title, ``(title, recipe_id)``.
 
     Among several, the recipe first in listing order wins, then the reading first in text order.
     """
-    hits = _variants(entries, P.title_variants(F.col("title"))).join(
-        _known_titles(recipes), F.col("variant") == F.col("norm")
+    hits = _variants(entries, P.title_variants(F.col("title"), people)).join(
+        _known_titles(dishes), F.col("variant") == F.col("norm")
     )
     return hits.groupBy("title").agg(
         F.min_by("recipe_id", F.struct("listing_order", "variant")).alias("recipe_id")
@@ -358,15 +358,16 @@ def _per_title(variants: DataFrame, pairs: DataFrame, titles: DataFrame, floor:
 
 
 def fuzzy_title_match(
-    entries: DataFrame, recipes: DataFrame, floor: float = 0.74, accept: float = 0.81, margin: float = 0.035
+    entries: DataFrame, dishes: DataFrame, floor: float = 0.74, accept: float = 0.81, margin: float = 0.035,
+    people: Sequence[str] = (),
 ) -> DataFrame:
     """Titles with one clearly best recipe by string ratio, token overlap and coverage.
 
     Only scores above ``max(floor, accept - margin)`` can change the outcome, which bounds the
     coverage a pair needs: without full coverage the other parts give 0.54 at most.
     """
-    titles = cut_lineage(_known_titles(recipes))
-    variants = cut_lineage(_variants(entries, P.title_variants(F.col("title"))))
+    titles = cut_lineage(_known_titles(dishes))
+    variants = cut_lineage(_variants(entries, P.title_variants(F.col("title"), people)))
     least = max(floor, accept - margin)
     pairs = _token_candidates(variants, titles, max(least - 0.54, 0.0) / 0.54, P.meal_tokens)
     longest = F.greatest(F.length("variant") + F.length("norm"), F.lit(1))
@@ -404,10 +405,10 @@ def client_variants(title: Column) -> Column:
 
 
 def client_title_match(
-    entries: DataFrame, recipes: DataFrame, floor: float = 0.8, accept: float = 0.81, margin: float = 0.035
+    entries: DataFrame, dishes: DataFrame, floor: float = 0.8, accept: float = 0.81, margin: float = 0.035
 ) -> DataFrame:
     """The token-only matcher: built-in expressions throughout."""
-    titles = cut_lineage(_known_titles(recipes))
+    titles = cut_lineage(_known_titles(dishes))
     variants = cut_lineage(_variants(entries, client_variants(F.col("title"))))
     pairs = _token_candidates(variants, titles, max(floor - 0.15, 0.0) / 0.85, lambda v: F.split(v, " "))
     score = (
@@ -421,14 +422,16 @@ def client_title_match(
     return best_with_margin(_per_title(variants, scored, titles, floor), accept, margin)
 
 
-def match_titles(entries: DataFrame, recipes: DataFrame) -> DataFrame:
+def match_titles(entries: DataFrame, dishes: DataFrame, people: Sequence[str] = ()) -> DataFrame:
     """Exact matches first; only titles without one are compared fuzzily."""
-    exact = cut_lineage(exact_title_match(entries, recipes))
+    exact = cut_lineage(exact_title_match(entries, dishes, people))
     rest = entries.join(exact, "title", "left_anti")
-    return exact.withColumn("score", F.lit(1.0)).unionByName(fuzzy_title_match(rest, recipes))
+    return exact.withColumn("score", F.lit(1.0)).unionByName(fuzzy_title_match(rest, dishes, people=people))
 
 
-def resolve_reference(rows: DataFrame, recipes: DataFrame, fuzzy: bool = True) -> DataFrame:
+def resolve_reference(
+    rows: DataFrame, dishes: DataFrame, fuzzy: bool = True, people: Sequence[str] = ()
+) -> DataFrame:
     """Recipe of each row ``(row_id, value, fallback_title, explicit_id)``.
 
     The explicit id wins, then an id in brackets at the end of the value, then the title.
@@ -440,8 +443,8 @@ def resolve_reference(rows: DataFrame, recipes: DataFrame, fuzzy: bool = True) -
         blank_to_null(F.regexp_extract(value, P.RECIPE_REFERENCE, 1)).alias("bracketed"),
         F.coalesce(blank_to_null(strip(text(F.col("fallback_title")))), value).alias("title"),
     )
-    ids = recipes.select(F.col("recipe_id").cast("string").alias("known"), "recipe_id")
-    matched = match_titles(asked, recipes) if fuzzy else exact_title_match(asked, recipes)
+    ids = dishes.select(F.col("recipe_id").cast("string").alias("known"), "recipe_id")
+    matched = match_titles(asked, dishes, people) if fuzzy else exact_title_match(asked, dishes, people)
     first = ids.select(F.col("known").alias("explicit"), F.col("recipe_id").alias("by_explicit"))
     second = ids.select(F.col("known").alias("bracketed"), F.col("recipe_id").alias("by_bracket"))
     third = matched.select("title", F.col("recipe_id").alias("by_title"))
@@ -456,7 +459,7 @@ def resolve_reference(rows: DataFrame, recipes: DataFrame, fuzzy: bool = True) -
 # --- shopping list and statistics ------------------------------------------------------------
 
 
-def shopping_uses(plan_rows: DataFrame, recipes: DataFrame, lines: DataFrame) -> DataFrame:
+def shopping_uses(plan_rows: DataFrame, dishes: DataFrame, lines: DataFrame) -> DataFrame:
     """Uses per (week, ingredient key, label, recipe).
 
     Each planned row of a live recipe uses every ingredient line of it once. Both sides are
@@ -474,10 +477,10 @@ def shopping_uses(plan_rows: DataFrame, recipes: DataFrame, lines: DataFrame) ->
         .groupBy("recipe_id", "key", "label")
         .agg(F.count("*").alias("lines"))
     )
-    titled = recipes.select("recipe_id", F.col("title").alias("recipe_title"))
-    if "ingredient_names" in recipes.columns:
+    titled = dishes.select("recipe_id", F.col("title").alias("recipe_title"))
+    if "ingredient_names" in dishes.columns:
         name = F.col("name")
-        stored = recipes.select("recipe_id", F.explode("ingredient_names").alias("name")).where(strip(name) != "")
+        stored = dishes.select("recipe_id", F.explode("ingredient_names").alias("name")).where(strip(name) != "")
         stored = (
             stored.join(keyed.select("recipe_id"), "recipe_id", "left_anti")
             .select("recipe_id", casefold(strip(name)).alias("key"), strip(name).alias("label"))
@@ -523,13 +526,13 @@ def shopping_items(uses: DataFrame) -> DataFrame:
     )
 
 
-def shopping_list(plan_rows: DataFrame, recipes: DataFrame, lines: DataFrame) -> DataFrame:
+def shopping_list(plan_rows: DataFrame, dishes: DataFrame, lines: DataFrame) -> DataFrame:
     """Shopping items of each week in order of name; equal names go by their first source.
 
-    Sources stay rows (``shopping_sources``): an item that a third of all recipes use never
+    Sources stay rows (``shopping_sources``): an item that a third of all dishes use never
     becomes one list.
     """
-    items = shopping_items(shopping_uses(plan_rows, recipes, lines))
+    items = shopping_items(shopping_uses(plan_rows, dishes, lines))
     order = [casefold(F.col("name")), casefold(F.col("first_source")), F.col("key")]
     return ranked(items, order, ["week_id"])
 
@@ -554,9 +557,9 @@ def plan_stats(plan_rows: DataFrame, items: DataFrame | None = None) -> DataFram
     return weekly.unionByName(total.withColumn("week_id", F.lit("all")))
 
 
-def recipe_options(recipes: DataFrame) -> DataFrame:
+def recipe_options(dishes: DataFrame) -> DataFrame:
     """Labels ``Title - Cookbook [id]`` in order of title, then cookbook."""
-    return recipes.select(
+    return dishes.select(
         "recipe_id",
         P.recipe_option(F.col("title"), F.col("cookbook_title"), F.col("recipe_id")).alias("label"),
         casefold(F.col("title")).alias("title_key"),

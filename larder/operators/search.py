@@ -49,8 +49,8 @@ def _fields() -> dict[str, Column]:
     }
 
 
-def keyword_score(recipes: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Recipes that match any term, with ``score`` and ``matched_terms``.
+def keyword_score(dishes: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Dishes that match any term, with ``score`` and ``matched_terms``.
 
     A term counts once per field that contains it as a substring; a repeated term counts again.
     """
@@ -66,14 +66,14 @@ def keyword_score(recipes: DataFrame, terms: Sequence[str]) -> DataFrame:
             anywhere = anywhere | hit
         matched.append(F.when(anywhere, F.lit(term)))
     if not matched:
-        return recipes.limit(0).select("*", score.alias("score"), F.array().cast("array<string>").alias("matched_terms"))
+        return dishes.limit(0).select("*", score.alias("score"), F.array().cast("array<string>").alias("matched_terms"))
     found = F.struct(score.alias("score"), F.array_compact(F.array(*matched)).alias("matched_terms"))
-    return computed_once(recipes, "k", found).where(F.col("k.score") > 0).select("*", "k.*").drop("k")
+    return computed_once(dishes, "k", found).where(F.col("k.score") > 0).select("*", "k.*").drop("k")
 
 
-def keyword_topk(recipes: DataFrame, q: str, limit: int = 6) -> DataFrame:
+def keyword_topk(dishes: DataFrame, q: str, limit: int = 6) -> DataFrame:
     """Suggestions: best keyword score, then title, then cookbook title."""
-    scored = keyword_score(recipes, query_terms(q)).select(
+    scored = keyword_score(dishes, query_terms(q)).select(
         "recipe_id", "title", "cookbook_title", "score"
     )
     order = [
@@ -124,10 +124,10 @@ def rank_fusion(kw: DataFrame, sem: DataFrame, k: int = RANK_OFFSET, boost: floa
 
 
 def _ranks_needed(scored: DataFrame, semantic: DataFrame, limit: int, k: int) -> DataFrame:
-    """Keyword ranks of the best ``limit + k`` recipes and of every semantic hit, exactly.
+    """Keyword ranks of the best ``limit + k`` dishes and of every semantic hit, exactly.
 
     No other recipe can be among the best ``limit`` after fusion, so the full ranking is never
-    built. The rank of a semantic hit is the count of recipes before it: those with a higher
+    built. The rank of a semantic hit is the count of dishes before it: those with a higher
     score, from one count per score, plus earlier ids with the same score.
     """
     order = [F.desc("score"), F.asc("scan_order")]
@@ -155,7 +155,7 @@ def _ranks_needed(scored: DataFrame, semantic: DataFrame, limit: int, k: int) ->
 
 
 def hybrid_search(
-    recipes: DataFrame,
+    dishes: DataFrame,
     index: DataFrame | None,
     vectors: DataFrame | None,
     q: str | None = None,
@@ -165,13 +165,13 @@ def hybrid_search(
 ) -> DataFrame:
     """Keyword and vector rankings over the faceted candidates, fused by reciprocal rank.
 
-    ``recipes`` carries the searched fields and ``scan_order``, the listing order. Without a
+    ``dishes`` carries the searched fields and ``scan_order``, the listing order. Without a
     limit every match is ranked.
     """
-    names = facet_names(recipes.sparkSession, ingredients)
-    candidates = recipes
+    names = facet_names(dishes.sparkSession, ingredients)
+    candidates = dishes
     if names:
-        candidates = recipes.join(facet_and(index, names), "recipe_id", "left_semi").withColumn(
+        candidates = dishes.join(facet_and(index, names), "recipe_id", "left_semi").withColumn(
             "scan_order", F.col("recipe_id")
         )
     shown = (", ".join(names)) if names else None
@@ -240,9 +240,9 @@ def hybrid_search(
     ).orderBy(F.desc("score"), F.asc("recipe_id"))
 
 
-def search_keyword(recipes: DataFrame, q: str, limit: int | None) -> DataFrame:
+def search_keyword(dishes: DataFrame, q: str, limit: int | None) -> DataFrame:
     """The keyword side alone."""
-    return hybrid_search(recipes, None, None, q=q, limit=limit)
+    return hybrid_search(dishes, None, None, q=q, limit=limit)
 
 
 def search_facets(index: DataFrame, names: Sequence[str], limit: int | None = None) -> DataFrame:

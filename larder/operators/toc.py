@@ -2,7 +2,7 @@
 
 A book's table of contents and reading order are one document each, so they are arrays of one
 row (``toc``: ``array<struct<label, href, depth, has_children>>`` in pre-order; ``spine``:
-``array<string>``). Recipes are rows and only meet them in joins.
+``array<string>``). Dishes are rows and only meet them in joins.
 """
 
 from __future__ import annotations
@@ -223,13 +223,13 @@ def best_toc(candidates: DataFrame) -> DataFrame:
     return best.select("cookbook_id", "best.candidate", "best.toc", "best.score")
 
 
-# --- recipes in the source's order -----------------------------------------------------------
+# --- dishes in the source's order -----------------------------------------------------------
 
 
-def chapter_label(recipes: DataFrame, chapters: DataFrame) -> DataFrame:
+def chapter_label(dishes: DataFrame, chapters: DataFrame) -> DataFrame:
     """Chapter of each recipe: mapped path, own chapter title, excerpt prefix, file name, ``Recipes``.
 
-    ``recipes`` has title, chapter_title, anchor, format and excerpt.
+    ``dishes`` has title, chapter_title, anchor, format and excerpt.
     """
     path = epub_path(F.col("anchor"))
     title = squash(F.col("title"))
@@ -242,7 +242,7 @@ def chapter_label(recipes: DataFrame, chapters: DataFrame) -> DataFrame:
         prefix,
     )
     number = F.regexp_extract(file_stem(path), r"(?i)chapter[_ -]?(\d+)$", 1)
-    keyed = recipes.withColumn("_path", path)
+    keyed = dishes.withColumn("_path", path)
     mapped = chapters.select("cookbook_id", F.col("path").alias("_path"), F.col("label").alias("_mapped"))
     return (
         keyed.join(mapped, ["cookbook_id", "_path"], "left")
@@ -282,15 +282,15 @@ def _subtrees(books: DataFrame) -> DataFrame:
     )
 
 
-def section_from_toc(recipes: DataFrame, books: DataFrame) -> DataFrame:
+def section_from_toc(dishes: DataFrame, books: DataFrame) -> DataFrame:
     """Section of every recipe from the shape of the source's table of contents.
 
     The sections are the entries of the first depth below the root at which some entry holds
     more than one recipe file (else the first such depth). A recipe goes to the first entry, in
-    post-order, that holds its file. ``post`` orders the sections; recipes outside all of them
+    post-order, that holds its file. ``post`` orders the sections; dishes outside all of them
     follow as their own sections, with ``post`` NULL. Books without such a depth give no rows.
     """
-    known = recipes.where(F.lower("format") == "epub").withColumn("path", epub_path(F.col("anchor"))).where(F.col("path") != "")
+    known = dishes.where(F.lower("format") == "epub").withColumn("path", epub_path(F.col("anchor"))).where(F.col("path") != "")
     paths = known.select("cookbook_id", "path").distinct()
     held = _subtrees(books).join(paths, ["cookbook_id", "path"])
     per_entry = held.groupBy("cookbook_id", "seq", "depth").agg(F.count("*").alias("files"))
@@ -304,7 +304,7 @@ def section_from_toc(recipes: DataFrame, books: DataFrame) -> DataFrame:
         .select("cookbook_id", "path", "owner.post", F.col("owner.label").alias("section"))
     )
     # The label of a leftover recipe comes from the recipe alone.
-    alone = chapter_label(recipes, owner.select("cookbook_id", "path", F.col("section").alias("label")).limit(0))
+    alone = chapter_label(dishes, owner.select("cookbook_id", "path", F.col("section").alias("label")).limit(0))
     return (
         alone.withColumn("path", F.when(F.lower("format") == "epub", epub_path(F.col("anchor"))))
         .join(depths.select("cookbook_id"), "cookbook_id", "left_semi")

@@ -101,16 +101,16 @@ SQL = {
         CASE WHEN count(o_orderkey) = 0 THEN 'No recipe candidates were extracted.' END AS extract_error
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
     "cookbook_management": with_views(f""", {TAGGED}, counted AS (
-        SELECT cookbook_id, 'tag' AS kind, t AS value, count(*) AS recipes FROM tagged, unnest(tags) AS u(t) GROUP BY ALL
+        SELECT cookbook_id, 'tag' AS kind, t AS value, count(*) AS dishes FROM tagged, unnest(tags) AS u(t) GROUP BY ALL
         UNION ALL SELECT cookbook_id, 'reason', reason, count(*) FROM tagged GROUP BY ALL)
-        SELECT *, row_number() OVER (PARTITION BY cookbook_id, kind ORDER BY recipes DESC, value) AS rank FROM counted""", "v_docs"),
+        SELECT *, row_number() OVER (PARTITION BY cookbook_id, kind ORDER BY dishes DESC, value) AS rank FROM counted""", "v_docs"),
     "photo_percent": with_views("SELECT cookbook_title AS cookbook_id, cast(round_even(100.0 * count(*) FILTER (recipe_id % 4 = 0) / count(*), 0) AS INT) AS photo_recipe_percent FROM v_docs GROUP BY 1", "v_docs"),
     "tag_recipe_join": with_views("SELECT cookbook_id, title, recipe_id, review_status FROM v_cookbooks JOIN v_recipes USING (cookbook_id)", "v_cookbooks", "v_recipes"),
     "management_groups": with_views("""SELECT place, slug, group_title, cookbook_id, title FROM (SELECT *, CASE WHEN cookbook_id % 9 = 0 THEN 'unknown-slug'
         ELSE coalesce(collection_slug, 'books') END AS slug FROM v_cookbooks) JOIN (VALUES (0, 'books', 'Books'), (1, 'nytimes', 'NYTimes'),
         (2, 'jamie-oliver', 'Jamie Oliver'), (3, 'bbc-goodfood', 'BBC Good Food'), (4, 'waitrose-recipes', 'Waitrose Recipes')) t(place, slug, group_title) USING (slug)""", "v_cookbooks"),
     "group_by_chapter": with_views("""SELECT *, row_number() OVER (PARTITION BY cookbook_id ORDER BY first_position) AS rank FROM (
-        SELECT cookbook_id, priority AS label, min(position) AS first_position, count(*) AS recipes FROM v_recipes GROUP BY ALL)""", "v_recipes"),
+        SELECT cookbook_id, priority AS label, min(position) AS first_position, count(*) AS dishes FROM v_recipes GROUP BY ALL)""", "v_recipes"),
     "backfill_diff": with_views(f""", {STORED}, lines AS (SELECT *, canonical_name <> {canonical_norm(normalized('normalized_name'))}
             OR normalized_name <> {normalized('normalized_name')} AS changed FROM stored),
         r AS (SELECT recipe_id, bool_or(changed) AS changed, bool_or(name = 'small ring') AS lacking, count(*) FILTER (changed) AS n FROM lines GROUP BY 1)
@@ -124,7 +124,7 @@ SQL = {
     "positions": f"WITH {DRAFTS} SELECT cookbook_id, draft_no, position FROM {PLACED.format(t='drafts')}",
     "cascade_delete": with_views(""", gone AS (SELECT cookbook_id FROM v_cookbooks WHERE author IS NULL), dead AS (SELECT recipe_id FROM v_recipes WHERE cookbook_id IN (FROM gone))
         SELECT 'cookbooks' AS "table", count(*) AS "rows" FROM v_cookbooks WHERE cookbook_id NOT IN (FROM gone)
-        UNION ALL SELECT 'recipes', count(*) FROM v_recipes WHERE cookbook_id NOT IN (FROM gone)
+        UNION ALL SELECT 'dishes', count(*) FROM v_recipes WHERE cookbook_id NOT IN (FROM gone)
         UNION ALL SELECT 'index', count(*) FROM v_index WHERE recipe_id NOT IN (FROM dead)
         UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (FROM dead)""", "v_cookbooks", "v_recipes", "v_index"),
     "vector_upsert": with_views("""SELECT vec_id AS recipe_id, round(cast(embedding[1] AS DOUBLE), 6) AS first, 'old' AS title FROM embeddings WHERE embedding[1] <= 0

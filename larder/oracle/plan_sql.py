@@ -12,7 +12,7 @@ MONTH = (
     "sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 )
 WE = r"(?:$|[^\p{L}\p{N}_])"
-HINTS = names(["", "out", "leftover", "leftovers", "luke out", "tally out", "snack", "snacks", "soup"])
+HINTS = names(["", "out", "leftover", "leftovers", "snack", "snacks", "soup"])
 GROUPS = names(["meal", "meals", "dinner", "dinners", "lunch", "lunches", "snacks", "dinner recipes"])
 
 
@@ -80,7 +80,7 @@ def cookable(x: str) -> str:
 
 
 def variants(x: str) -> str:
-    bad = "luke out|tally out|" + DAYS
+    bad = "sam out|" + DAYS
     base = (
         f"[b, {sub('b', r'\([^)]*\)', '')}, {sub('b', rf'(?i)^({DAYS})\s+', '')}, "
         f"CASE WHEN {is_day('b')} THEN regexp_extract(b, '^[^-:]+[-:]\\s*(.+)$', 1) ELSE '' END, "
@@ -191,7 +191,7 @@ ROWS = f"""{ENTRIES},
                     CASE WHEN slot_title <> '' AND said <> '' THEN coalesce(nullif(weekday, ''), 'Any day') || ' ' || meal || ' notes: ' || said
                          WHEN slot_title = '' AND external_url IS NOT NULL THEN 'Link: ' || external_url ELSE '' END AS note FROM weeks)"""
 TITLE = """CASE recipe_id % 7 WHEN 0 THEN 'Monday - ' || title WHEN 1 THEN 'Dinner ' || title WHEN 2 THEN title || ' (Soup of the day)'
-    WHEN 3 THEN 'Tuesday ' || title || ' (luke out)' WHEN 4 THEN '(' || title || ')'
+    WHEN 3 THEN 'Tuesday ' || title || ' (sam out)' WHEN 4 THEN '(' || title || ')'
     WHEN 5 THEN array_to_string(string_split(title, ' ')[1:7], ' ') ELSE title END"""
 TITLES = f"""v_docs AS ({VIEWS['v_docs']}), titles AS (SELECT recipe_id AS entry_id, {TITLE} AS title FROM v_docs),
     norms AS (SELECT norm, min(recipe_id) AS recipe_id, count(*) AS copies FROM (SELECT recipe_id, {meal('title')} AS norm FROM v_docs) WHERE norm <> '' GROUP BY norm)"""

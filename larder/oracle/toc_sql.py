@@ -30,9 +30,9 @@ def mapping(name: str, grouped: bool, recipes_only: bool) -> str:
 MAPPED = f"""{BOOKS}, {mapping('grouped', True, True)}, {mapping('plain', False, True)},
     chosen AS (SELECT p.cookbook_id, p.spot, CASE WHEN mapped >= greatest(1, wanted // 2) THEN g.label ELSE p.label END AS label
                FROM plain p JOIN grouped g ON g.cookbook_id = p.cookbook_id AND g.spot = p.spot JOIN n_grouped ng ON ng.cookbook_id = p.cookbook_id)"""
-RECIPES = """picks AS (SELECT recipe_id AS cookbook_id, title, position, (step + recipe_id) % (len(lines) * 2) AS spot, (recipe_id + position) % 4 AS form
+DISHES = """picks AS (SELECT recipe_id AS cookbook_id, title, position, (step + recipe_id) % (len(lines) * 2) AS spot, (recipe_id + position) % 4 AS form
         FROM v_docs, (VALUES (0, 0), (1, 3), (2, 6), (3, 40)) t(position, step)),
-    recipes AS (SELECT *, cookbook_id * 10 + position AS recipe_id, CASE WHEN form = 3 THEN NULL ELSE spot END AS at_spot, cookbook_id % 5 = 0 AS pdf FROM picks)"""
+    dishes AS (SELECT *, cookbook_id * 10 + position AS recipe_id, CASE WHEN form = 3 THEN NULL ELSE spot END AS at_spot, cookbook_id % 5 = 0 AS pdf FROM picks)"""
 LABEL = f"""CASE WHEN form = 0 AND lower(title) <> 'own' THEN 'OWN' WHEN pdf AND title <> '' AND len(string_split('Soups', ' ')) <= 8 THEN 'Soups' WHEN form = 3 THEN 'Chapter 12' ELSE 'Recipes' END"""
 
 HALF = MAPPED.replace("AS u(l, pos)),\n    spine", "AS u(l, pos) WHERE pos <= len(lines) // 2),\n    spine")
@@ -61,10 +61,10 @@ SQL = {
         pairs AS (SELECT f.cookbook_id, f.s2 AS whole, h.s2 AS half, h.s2 > 0 AND (h.s1 > f.s1 OR (h.s1 = f.s1 AND h.s2 >= f.s2)) AS first_half
                  FROM f JOIN h ON h.cookbook_id = f.cookbook_id)
         SELECT cookbook_id, CASE WHEN first_half THEN 0 ELSE 1 END AS candidate, CASE WHEN first_half THEN half ELSE whole END AS entries FROM pairs""",
-    "chapter_label": w(f"{MAPPED}, {RECIPES}", f"""SELECT recipe_id, coalesce(c.label, {LABEL}) AS label FROM recipes r
+    "chapter_label": w(f"{MAPPED}, {DISHES}", f"""SELECT recipe_id, coalesce(c.label, {LABEL}) AS label FROM dishes r
         LEFT JOIN chosen c ON c.cookbook_id = r.cookbook_id AND c.spot = r.at_spot"""),
-    "section_from_toc": w(f"""{BOOKS}, {RECIPES},
-        known AS (SELECT DISTINCT cookbook_id, at_spot AS spot FROM recipes WHERE at_spot IS NOT NULL AND NOT pdf),
+    "section_from_toc": w(f"""{BOOKS}, {DISHES},
+        known AS (SELECT DISTINCT cookbook_id, at_spot AS spot FROM dishes WHERE at_spot IS NOT NULL AND NOT pdf),
         ends AS (SELECT *, coalesce((SELECT min(i) FROM toc b WHERE b.cookbook_id = a.cookbook_id AND b.i > a.i AND b.depth <= a.depth), n) AS fin FROM toc a),
         held AS (SELECT DISTINCT e.cookbook_id, e.i, e.depth, e.label, e.fin, t.spot FROM ends e JOIN toc t ON t.cookbook_id = e.cookbook_id AND t.i >= e.i AND t.i < e.fin
                  JOIN known k ON k.cookbook_id = t.cookbook_id AND k.spot = t.spot),
@@ -72,7 +72,7 @@ SQL = {
         target AS (SELECT cookbook_id, coalesce(min(depth) FILTER (depth > 0), min(depth)) AS depth FROM big GROUP BY cookbook_id),
         owner AS (SELECT h.cookbook_id, h.spot, arg_min(h.label, (fin, -h.depth, i)) AS section, arg_min(i, (fin, -h.depth, i)) AS entry
                   FROM held h JOIN target t ON t.cookbook_id = h.cookbook_id AND t.depth = h.depth GROUP BY h.cookbook_id, h.spot)""",
-        f"""SELECT r.cookbook_id, r.recipe_id, coalesce(o.section, {LABEL}) AS section, o.entry FROM recipes r JOIN target t ON t.cookbook_id = r.cookbook_id
+        f"""SELECT r.cookbook_id, r.recipe_id, coalesce(o.section, {LABEL}) AS section, o.entry FROM dishes r JOIN target t ON t.cookbook_id = r.cookbook_id
         LEFT JOIN owner o ON o.cookbook_id = r.cookbook_id AND o.spot = r.at_spot AND NOT r.pdf"""),
     "order_sections": w(f"""{BOOKS}, labels AS (SELECT cookbook_id, i AS seq, {squash('label')} AS label FROM toc),
         raw AS (SELECT cookbook_id, x.section_no, x.title FROM (SELECT DISTINCT cookbook_id FROM toc), (VALUES (0, 'Index'), (1, 'Index'), (2, 'Nowhere')) x(section_no, title)

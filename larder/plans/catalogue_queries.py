@@ -82,9 +82,9 @@ def list_objects(spark, d):
 
 
 def object_keys(spark, d):
-    recipes = views.recipes(spark, d)
+    dishes = views.dishes(spark, d)
     name = F.concat(F.lit(" my "), "priority", F.lit("  (final)! .pdf"))
-    return recipes.select(
+    return dishes.select(
         "recipe_id",
         files.object_key(F.col("cookbook_id"), name, F.col("created_on")).alias("object_key"),
         files.image_key(F.col("cookbook_id"), F.col("recipe_id"), F.lit(1), F.lit("***")).alias("image_key"),
@@ -96,7 +96,7 @@ def library_filter(spark, d):
 
 
 def recipe_scan_order(spark, d):
-    return catalogue.recipe_scan_order(views.recipes(spark, d), views.cookbooks(spark, d)).select("recipe_id", "listing_order")
+    return catalogue.recipe_scan_order(views.dishes(spark, d), views.cookbooks(spark, d)).select("recipe_id", "listing_order")
 
 
 def _sorted_by(by):
@@ -108,25 +108,25 @@ def _sorted_by(by):
 
 
 def collection_members(spark, d):
-    members = catalogue.collection_members("jamie-oliver", views.recipes(spark, d), views.cookbooks(spark, d), views.toggles(spark, d))
+    members = catalogue.collection_members("jamie-oliver", views.dishes(spark, d), views.cookbooks(spark, d), views.toggles(spark, d))
     return members.select("recipe_id", "position")
 
 
 def collection_members_favourites(spark, d):
-    members = catalogue.collection_members("favorites", views.recipes(spark, d), views.cookbooks(spark, d), views.toggles(spark, d))
+    members = catalogue.collection_members("favorites", views.dishes(spark, d), views.cookbooks(spark, d), views.toggles(spark, d))
     return members.select("recipe_id", "event_id")
 
 
 def recipe_flags(spark, d):
-    return catalogue.recipe_flags(views.recipes(spark, d).select("recipe_id"), views.toggles(spark, d))
+    return catalogue.recipe_flags(views.dishes(spark, d).select("recipe_id"), views.toggles(spark, d))
 
 
 def collection_semi(spark, d):
-    return catalogue.collection_semi(views.recipes(spark, d), views.cookbooks(spark, d), "nytimes").select("recipe_id", "cookbook_id")
+    return catalogue.collection_semi(views.dishes(spark, d), views.cookbooks(spark, d), "nytimes").select("recipe_id", "cookbook_id")
 
 
 def prev_next(spark, d):
-    found = catalogue.recipe_neighbours(views.recipes(spark, d), views.cookbooks(spark, d))
+    found = catalogue.recipe_neighbours(views.dishes(spark, d), views.cookbooks(spark, d))
     return found.select("list", "recipe_id", "rank", "previous_id", "next_id")
 
 
@@ -135,15 +135,15 @@ def recipe_total(spark, d):
 
 
 def collection_counts(spark, d):
-    return catalogue.collection_counts(views.recipes(spark, d), views.cookbooks(spark, d), views.toggles(spark, d))
+    return catalogue.collection_counts(views.dishes(spark, d), views.cookbooks(spark, d), views.toggles(spark, d))
 
 
 def needs_review_counts(spark, d):
-    return catalogue.needs_review_counts(views.recipes(spark, d))
+    return catalogue.needs_review_counts(views.dishes(spark, d))
 
 
 def ingest_rollup(spark, d):
-    return catalogue.ingest_rollup(views.cookbooks(spark, d), views.recipes(spark, d))
+    return catalogue.ingest_rollup(views.cookbooks(spark, d), views.dishes(spark, d))
 
 
 def _tagged(spark, d):
@@ -170,9 +170,9 @@ def photo_percent(spark, d):
 
 
 def tag_recipe_join(spark, d):
-    """Cookbooks with their recipes, the join under the management roll-up."""
-    recipes = views.recipes(spark, d).select("cookbook_id", "recipe_id", "review_status")
-    return views.cookbooks(spark, d).select("cookbook_id", "title").join(recipes, "cookbook_id")
+    """Cookbooks with their dishes, the join under the management roll-up."""
+    dishes = views.dishes(spark, d).select("cookbook_id", "recipe_id", "review_status")
+    return views.cookbooks(spark, d).select("cookbook_id", "title").join(dishes, "cookbook_id")
 
 
 def management_groups(spark, d):
@@ -182,8 +182,8 @@ def management_groups(spark, d):
 
 
 def group_by_chapter(spark, d):
-    recipes = views.recipes(spark, d)
-    return catalogue.group_by_chapter(recipes.select("cookbook_id", "recipe_id", "position", F.col("priority").alias("label")))
+    dishes = views.dishes(spark, d)
+    return catalogue.group_by_chapter(dishes.select("cookbook_id", "recipe_id", "position", F.col("priority").alias("label")))
 
 
 def _stored_lines(spark, d):
@@ -206,13 +206,13 @@ def ingredient_index(spark, d):
 
 
 def _changes(spark, d):
-    every = views.recipes(spark, d)
-    recipes = every.select("recipe_id", "cookbook_id", "position", "review_status")
-    urgent = every.where(F.col("priority") == "1-URGENT").select(*recipes.columns)
+    every = views.dishes(spark, d)
+    dishes = every.select("recipe_id", "cookbook_id", "position", "review_status")
+    urgent = every.where(F.col("priority") == "1-URGENT").select(*dishes.columns)
     new = urgent.withColumns(
         {"recipe_id": F.col("recipe_id") + 1000000, "review_status": F.lit("pending_review")}
     )
-    return new, recipes
+    return new, dishes
 
 
 def replace_by_cookbook(spark, d):
@@ -220,13 +220,13 @@ def replace_by_cookbook(spark, d):
 
 
 def _drafts(spark, d):
-    recipes = views.recipes(spark, d)
-    existing = recipes.where(F.col("review_status") == "verified").select(
+    dishes = views.dishes(spark, d)
+    existing = dishes.where(F.col("review_status") == "verified").select(
         "cookbook_id", "recipe_id", F.concat(F.lit("p"), (F.col("recipe_id") % 40).cast("string")).alias("anchor")
     )
     key = F.col("recipe_id")
     anchor = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit(" p"), (key % 41).cast("string"), F.lit(" ")))
-    drafts = recipes.where(F.col("review_status") != "verified").select("cookbook_id", key.alias("draft_no"), anchor.alias("anchor"))
+    drafts = dishes.where(F.col("review_status") != "verified").select("cookbook_id", key.alias("draft_no"), anchor.alias("anchor"))
     return drafts, existing
 
 
@@ -248,7 +248,7 @@ def cascade_delete(spark, d):
     books = views.cookbooks(spark, d)
     tables = {
         "cookbooks": books.select("cookbook_id"),
-        "recipes": views.recipes(spark, d).select("recipe_id", "cookbook_id"),
+        "dishes": views.dishes(spark, d).select("recipe_id", "cookbook_id"),
         "index": views.ingredient_index(spark, d),
         "vectors": views.vectors(spark, d).select("recipe_id"),
     }

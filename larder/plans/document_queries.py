@@ -52,7 +52,7 @@ def dedupe_consecutive(spark, d):
 
 
 def _sections(spark, d):
-    """Sections of the documents: whole texts after the openings recipes have."""
+    """Sections of the documents: whole texts after the openings dishes have."""
     docs = views.documents(spark, d)
     form = F.col("recipe_id") % 6
     opening = (
@@ -153,11 +153,11 @@ def page_range_text(spark, d):
     talk = views.table(spark, d, "conversations")
     pages = talk.select(F.col("conv_id").alias("file_id"), (F.col("turn") + 1).alias("page"), "text")
     key = F.col("file_id")
-    recipes = pages.select("file_id").distinct().select(
+    dishes = pages.select("file_id").distinct().select(
         "file_id", key.alias("recipe_id"), F.when(key % 3 != 0, key % 3).cast("bigint").alias("page_start"),
         F.when(key % 2 == 0, F.lit(3)).cast("bigint").alias("page_end"),
     )
-    return pdf.page_range_text(pages, recipes)
+    return pdf.page_range_text(pages, dishes)
 
 
 def _classed(spark, d):

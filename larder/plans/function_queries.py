@@ -103,7 +103,7 @@ def derive_cuisine(spark, d):
 
 
 def published_at(spark, d):
-    recipes = views.recipes(spark, d)
+    dishes = views.dishes(spark, d)
     form, day = F.col("recipe_id") % 6, F.col("created_on")
     given = (
         F.when(form == 0, F.concat(F.lit("D:"), F.date_format(day, "yyyyMMdd"), F.lit("120000")))
@@ -113,7 +113,7 @@ def published_at(spark, d):
         .when(form == 4, F.lit("1st edition"))
         .otherwise(F.date_format(day, "yyyy-MM"))
     )
-    return recipes.select("recipe_id", T.published_at(given).alias("published_at"))
+    return dishes.select("recipe_id", T.published_at(given).alias("published_at"))
 
 
 def sort_key(spark, d):

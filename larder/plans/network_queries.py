@@ -120,7 +120,7 @@ def network_from_summary(spark, d):
 def network_summary_sink(spark, d):
     """The summary row; lists as text so that both sides compare the whole content."""
     nodes, edges = _name_graph(spark, d)
-    row = network.network_summary(nodes, edges, views.recipes(spark, d).count())
+    row = network.network_summary(nodes, edges, views.dishes(spark, d).count())
     names = (*network.RANKED_LISTS, "edges")
     return row.select(
         "recipe_count", "min_occurrence", "node_count", "edge_count", "component_count", "giant_size", "diameter",

@@ -10,6 +10,8 @@ from larder.operators import plan
 from larder.sources import plan_files, views
 
 YEAR = 2024
+# Whose absence plans note beside a title.
+PEOPLE = ("sam",)
 
 
 def _lines(spark, d):
@@ -37,7 +39,7 @@ def _titles(spark, d):
         F.when(form == 0, F.concat(F.lit("Monday - "), title))
         .when(form == 1, F.concat(F.lit("Dinner "), title))
         .when(form == 2, F.concat(title, F.lit(" (Soup of the day)")))
-        .when(form == 3, F.concat(F.lit("Tuesday "), title, F.lit(" (luke out)")))
+        .when(form == 3, F.concat(F.lit("Tuesday "), title, F.lit(" (sam out)")))
         .when(form == 4, F.concat(F.lit("("), title, F.lit(")")))
         .when(form == 5, first_words(title, 7))
         .otherwise(title)
@@ -51,7 +53,7 @@ def _known(spark, d):
 
 
 def title_variants(spark, d):
-    return _titles(spark, d).select("entry_id", F.array_join(P.title_variants(F.col("title")), "|").alias("variants"))
+    return _titles(spark, d).select("entry_id", F.array_join(P.title_variants(F.col("title"), PEOPLE), "|").alias("variants"))
 
 
 def entry_cleaners(spark, d):
@@ -77,7 +79,7 @@ def plan_labels(spark, d):
 
 
 def _headings(spark, d):
-    rows = views.recipes(spark, d)
+    rows = views.dishes(spark, d)
     day, key = F.col("created_on"), F.col("recipe_id")
     form = key % 9
     heading = (
@@ -159,13 +161,13 @@ def plan_notes(spark, d):
 
 
 def exact_title_match(spark, d):
-    return plan.exact_title_match(_titles(spark, d), _known(spark, d))
+    return plan.exact_title_match(_titles(spark, d), _known(spark, d), PEOPLE)
 
 
 def fuzzy_title_match(spark, d):
     titles, known = _titles(spark, d), _known(spark, d)
-    rest = titles.join(plan.exact_title_match(titles, known), "title", "left_anti")
-    return plan.fuzzy_title_match(rest, known)
+    rest = titles.join(plan.exact_title_match(titles, known, PEOPLE), "title", "left_anti")
+    return plan.fuzzy_title_match(rest, known, people=PEOPLE)
 
 
 def client_title_match(spark, d):
@@ -193,7 +195,7 @@ def resolve_reference(spark, d):
         F.when(form == 1, F.lit(" ")).otherwise(F.col("title")).alias("fallback_title"),
         F.when(form == 2, (key * 2).cast("string")).otherwise("").alias("explicit_id"),
     )
-    return plan.resolve_reference(rows, _known(spark, d), fuzzy=False)
+    return plan.resolve_reference(rows, _known(spark, d), fuzzy=False, people=PEOPLE)
 
 
 def sort_plan_rows(spark, d):
@@ -203,13 +205,13 @@ def sort_plan_rows(spark, d):
 
 
 def plan_link_hydrate(spark, d):
-    recipes = views.recipes(spark, d).select("recipe_id", F.col("priority").alias("title"))
-    return plan.plan_link_hydrate(views.plan_rows(spark, d), recipes).select("row_id", "recipe_id", "recipe_title")
+    dishes = views.dishes(spark, d).select("recipe_id", F.col("priority").alias("title"))
+    return plan.plan_link_hydrate(views.plan_rows(spark, d), dishes).select("row_id", "recipe_id", "recipe_title")
 
 
 def next_week_start(spark, d):
     """Each customer's orders as that customer's weeks, newest first."""
-    rows = views.recipes(spark, d)
+    rows = views.dishes(spark, d)
     weeks = rows.select(
         F.col("cookbook_id").alias("plan_id"), (-F.col("recipe_id")).alias("week_seq"),
         F.when(F.col("recipe_id") % 3 != 0, F.col("created_on").cast("string")).otherwise("").alias("start_on"),
@@ -218,12 +220,12 @@ def next_week_start(spark, d):
 
 
 def _shopping(spark, d):
-    recipes = views.recipes(spark, d).select("recipe_id", F.concat(F.lit("Dish "), (F.col("recipe_id") % 50).cast("string")).alias("title"))
+    dishes = views.dishes(spark, d).select("recipe_id", F.concat(F.lit("Dish "), (F.col("recipe_id") % 50).cast("string")).alias("title"))
     lines = views.ingredients(spark, d).select(
         "recipe_id", F.lit(None).cast("string").alias("canonical_name"), F.col("name").alias("normalized_name"), "raw"
     )
-    rows = plan.plan_link_hydrate(views.plan_rows(spark, d).drop("title"), recipes)
-    return rows, recipes, lines
+    rows = plan.plan_link_hydrate(views.plan_rows(spark, d).drop("title"), dishes)
+    return rows, dishes, lines
 
 
 def shopping_list(spark, d):
@@ -258,7 +260,7 @@ def recipe_options(spark, d):
 def _plan_files(spark, d):
     """Plan documents: one per customer and month, one week per order date's week."""
     rows = views.plan_rows(spark, d)
-    orders = views.recipes(spark, d).select("recipe_id", "cookbook_id", F.date_format("created_on", "yyyy-MM").alias("month"))
+    orders = views.dishes(spark, d).select("recipe_id", "cookbook_id", F.date_format("created_on", "yyyy-MM").alias("month"))
     joined = rows.join(orders, rows.row_id == orders.recipe_id).drop(orders.recipe_id)
     return joined.select(
         F.concat_ws("/", "cookbook_id", "month").alias("file_id"),

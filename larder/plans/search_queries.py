@@ -26,7 +26,7 @@ def facet_and(spark, d):
 
 
 def facet_in_cookbook(spark, d):
-    return facets.facet_in_cookbook(views.recipes(spark, d), views.ingredient_index(spark, d), 87, ["small ring"])
+    return facets.facet_in_cookbook(views.dishes(spark, d), views.ingredient_index(spark, d), 87, ["small ring"])
 
 
 def facet_counts(spark, d):

@@ -38,9 +38,9 @@ def _books(spark, d):
         ),
     )
     spine = F.transform(F.sequence(F.lit(0), count * 2 - 1), _path)
-    recipes = F.filter(spine, lambda p, i: i % 3 == 1)
+    dishes = F.filter(spine, lambda p, i: i % 3 == 1)
     return docs.select(
-        F.col("recipe_id").alias("cookbook_id"), entries.alias("toc"), spine.alias("spine"), recipes.alias("recipe_paths")
+        F.col("recipe_id").alias("cookbook_id"), entries.alias("toc"), spine.alias("spine"), dishes.alias("recipe_paths")
     )
 
 
@@ -109,7 +109,7 @@ def best_toc(spark, d):
 
 
 def _recipes(spark, d):
-    """Three recipes per book, anchored in its files."""
+    """Three dishes per book, anchored in its files."""
     docs = views.documents(spark, d)
     key = F.col("recipe_id")
     picks = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(step).alias("step")) for i, step in enumerate((0, 3, 6, 40))])

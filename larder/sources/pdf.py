@@ -36,7 +36,7 @@ def pdf_page_sections(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_range_text(pages: DataFrame, recipes: DataFrame) -> DataFrame:
+def page_range_text(pages: DataFrame, dishes: DataFrame) -> DataFrame:
     """Raw text of each recipe's page range, pages in order with a blank line between.
 
     A missing start is page 1; a missing end is the start, and without both the whole file. The
@@ -47,7 +47,7 @@ def page_range_text(pages: DataFrame, recipes: DataFrame) -> DataFrame:
     ).where(F.col("body") != "")
     last = F.coalesce("page_end", "page_start", F.lit(2147483647))
     first = F.greatest(F.coalesce("page_start", F.lit(1)), F.lit(1))
-    hits = recipes.join(body, "file_id").where((F.col("page") >= first) & (F.col("page") <= last))
+    hits = dishes.join(body, "file_id").where((F.col("page") >= first) & (F.col("page") <= last))
     return hits.groupBy("recipe_id").agg(
         F.array_sort(F.collect_list(F.struct("page", "body"))).alias("found")
     ).select("recipe_id", F.array_join(F.transform("found", lambda p: p["body"]), "\n\n").alias("text"))

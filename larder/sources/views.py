@@ -1,4 +1,4 @@
-"""Domain views over the driver's tables: recipes, ingredients, cookbooks, documents, plans.
+"""Domain views over the driver's tables: dishes, ingredients, cookbooks, documents, plans.
 
 Each view is a lazy projection or join, so filters and column pruning reach the scans.
 """
@@ -33,7 +33,7 @@ def _mapped(c: Column, names: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(v) for pair in names.items() for v in pair)), c)
 
 
-def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One recipe per order. ``position`` is the stored order score within the cookbook."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("recipe_id"),
@@ -96,7 +96,7 @@ def cookbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipes read from the document table, whole texts kept."""
+    """Dishes read from the document table, whole texts kept."""
     doc = table(spark, sf_dir, "documents")
     return doc.select(
         F.col("doc_id").alias("recipe_id"),

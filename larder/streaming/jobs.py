@@ -148,5 +148,5 @@ def ingest_batch(sections: DataFrame) -> DataFrame:
 
 
 def stream_ingest(sections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Extract queued documents; a document that comes again replaces its earlier recipes."""
+    """Extract queued documents; a document that comes again replaces its earlier dishes."""
     return append_changes(sections, path, checkpoint, make=ingest_batch)

@@ -42,12 +42,12 @@ def test_hybrid_limits_agree_with_the_full_ranking(spark):
     """The bounded path gives the head of the unbounded one."""
     words = ["salt", "garlic", "onion", "basil", "lime"]
     data = [(i, f"{words[i % 5]} {words[(i * 3) % 5]}", "book", [words[(i // 2) % 5]], ["raw"], ["cook"], "x", i) for i in range(200)]
-    recipes = spark.createDataFrame(
+    dishes = spark.createDataFrame(
         data, "recipe_id long, title string, cookbook_title string, ingredient_names array<string>, ingredient_raw array<string>, "
               "method_steps array<string>, excerpt string, scan_order long")
     vectors = spark.createDataFrame([(i, [float(i % 17), float(i % 5), 1.0]) for i in range(200)], "recipe_id long, embedding array<float>")
-    full = rows(search.hybrid_search(recipes, None, vectors, "salt lime", [1.0, 2.0, 0.5]).limit(200), "recipe_id", "score")
-    scored = {r["recipe_id"]: r["score"] for r in search.keyword_score(recipes, ["salt", "lime"]).collect()}
+    full = rows(search.hybrid_search(dishes, None, vectors, "salt lime", [1.0, 2.0, 0.5]).limit(200), "recipe_id", "score")
+    scored = {r["recipe_id"]: r["score"] for r in search.keyword_score(dishes, ["salt", "lime"]).collect()}
     keyword = {k: i + 1 for i, k in enumerate(sorted(scored, key=lambda k: (-scored[k], k)))}
     q = [1.0, 2.0, 0.5]
 
@@ -60,19 +60,19 @@ def test_hybrid_limits_agree_with_the_full_ranking(spark):
         semantic = {k: i + 1 for i, k in enumerate(near)}
         fused = {k: (1 / (60 + keyword[k]) if k in keyword else 0) + (1 / (60 + semantic[k]) if k in semantic else 0) for k in {*keyword, *semantic}}
         want = sorted(fused, key=lambda k: (-fused[k], k))[:limit]
-        got = search.hybrid_search(recipes, None, vectors, "salt lime", q, limit=limit)
+        got = search.hybrid_search(dishes, None, vectors, "salt lime", q, limit=limit)
         assert sorted(r["recipe_id"] for r in got.collect()) == sorted(want)
     assert len(full) == 200
 
 
 def test_keyword_suggestions_and_empty_queries(spark):
     data = [(1, "Mango salad", "B", [], [], [], "", 1), (2, "Lime pie", "B", [], ["mango"], [], "", 2), (3, "Bread", "B", [], [], [], "", 3)]
-    recipes = spark.createDataFrame(
+    dishes = spark.createDataFrame(
         data, "recipe_id long, title string, cookbook_title string, ingredient_names array<string>, ingredient_raw array<string>, "
               "method_steps array<string>, excerpt string, scan_order long")
-    assert [r[0] for r in rows(search.keyword_topk(recipes, "mango", 2), "recipe_id")] == [1, 2]
-    assert rows(search.hybrid_search(recipes, None, None, "zzz"), "recipe_id") == []
-    assert rows(search.hybrid_search(recipes, None, None), "recipe_id", "score") == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    assert [r[0] for r in rows(search.keyword_topk(dishes, "mango", 2), "recipe_id")] == [1, 2]
+    assert rows(search.hybrid_search(dishes, None, None, "zzz"), "recipe_id") == []
+    assert rows(search.hybrid_search(dishes, None, None), "recipe_id", "score") == [(1, 1.0), (2, 1.0), (3, 1.0)]
 
 
 def test_facets(spark):
@@ -157,7 +157,7 @@ def test_plan_text(spark):
     assert rows(plan.recent_weeks(entries, 1).select("section_title").distinct(), "section_title") == [("Week of 14 April 2024",)]
 
 
-def _brute_force(titles, recipes):
+def _brute_force(titles, dishes):
     """The matching rule compared pair by pair."""
     import re
 
@@ -181,7 +181,7 @@ def _brute_force(titles, recipes):
     for title in titles:
         v = meal(title)
         scored = []
-        for rid, name in recipes:
+        for rid, name in dishes:
             norm = meal(name)
             vt, rt = set(v.split()), set(norm.split())
             shared = len(vt & rt)
@@ -200,27 +200,27 @@ def _brute_force(titles, recipes):
 def test_fuzzy_match_equals_brute_force(spark):
     names = ["Fish pie", "Chicken and leek pie", "Roast chicken salad", "Lentil daal with spinach", "Spinach lentil soup", "Tomato pasta", "Beef stew", "Leek tart", "Beef stews"]
     titles = ["Fish pies", "chicken leek pie", "Roasted chicken salads", "lentil dahl spinach", "tomato pastas bake", "pie", "leek", "Beef stewed", "chicken", "spinach soup lentil"]
-    recipes = list(enumerate(names))
+    dishes = list(enumerate(names))
     got = plan.fuzzy_title_match(
         spark.createDataFrame([(t,) for t in titles], "title string"),
-        spark.createDataFrame([(i, n, i) for i, n in recipes], "recipe_id int, title string, listing_order int"),
+        spark.createDataFrame([(i, n, i) for i, n in dishes], "recipe_id int, title string, listing_order int"),
     )
-    assert {r["title"]: (r["recipe_id"], r["score"]) for r in got.collect()} == _brute_force(titles, recipes)
+    assert {r["title"]: (r["recipe_id"], r["score"]) for r in got.collect()} == _brute_force(titles, dishes)
 
 
 def test_copies_of_the_best_title_tie(spark):
-    recipes = spark.createDataFrame([(1, "Fish pie", 1), (2, "fish pies", 2)], "recipe_id int, title string, listing_order int")
+    dishes = spark.createDataFrame([(1, "Fish pie", 1), (2, "fish pies", 2)], "recipe_id int, title string, listing_order int")
     entries = spark.createDataFrame([("fish pie deluxe",), ("Fish pie",)], "title string")
-    assert rows(plan.fuzzy_title_match(entries.where("title <> 'Fish pie'"), recipes), "title") == []
-    assert rows(plan.exact_title_match(entries, recipes), "title", "recipe_id") == [("Fish pie", 1)]
+    assert rows(plan.fuzzy_title_match(entries.where("title <> 'Fish pie'"), dishes), "title") == []
+    assert rows(plan.exact_title_match(entries, dishes), "title", "recipe_id") == [("Fish pie", 1)]
 
 
 def test_resolve_reference(spark):
-    recipes = spark.createDataFrame([("recipe-1", "Title", 1), ("recipe-2", "Other dish", 2)], "recipe_id string, title string, listing_order int")
+    dishes = spark.createDataFrame([("recipe-1", "Title", 1), ("recipe-2", "Other dish", 2)], "recipe_id string, title string, listing_order int")
     asked = spark.createDataFrame(
         [(1, "Title - Cookbook [recipe-1]", "", ""), (2, "nothing", "Other", "recipe-1"), (3, "other dish", "", "gone"), (4, "", "", "")],
         "row_id int, value string, fallback_title string, explicit_id string")
-    assert dict(rows(plan.resolve_reference(asked, recipes), "row_id", "recipe_id")) == {1: "recipe-1", 2: "recipe-1", 3: "recipe-2", 4: None}
+    assert dict(rows(plan.resolve_reference(asked, dishes), "row_id", "recipe_id")) == {1: "recipe-1", 2: "recipe-1", 3: "recipe-2", 4: None}
 
 
 def test_sort_plan_rows(spark):
@@ -233,11 +233,11 @@ def test_sort_plan_rows(spark):
 
 def test_shopping_list(spark):
     plan_rows = spark.createDataFrame([("w", 1), ("w", 1), ("w", 2), ("w", 3), ("w", None)], "week_id string, recipe_id long")
-    recipes = spark.createDataFrame([(1, "Salsa", []), (2, "Broth", []), (3, "Plain", [" Rice "])], "recipe_id long, title string, ingredient_names array<string>")
+    dishes = spark.createDataFrame([(1, "Salsa", []), (2, "Broth", []), (3, "Plain", [" Rice "])], "recipe_id long, title string, ingredient_names array<string>")
     lines = spark.createDataFrame(
         [(1, None, "mango", "1 mango"), (1, None, "lime", "1 lime"), (1, None, "lime", "zest of lime"), (2, "stock", "x", "1.5 litres chicken or ham stock")],
         "recipe_id long, canonical_name string, normalized_name string, raw string")
-    got = sorted(rows(plan.shopping_list(plan_rows, recipes, lines), "rank", "name", "total_uses", "first_source"))
+    got = sorted(rows(plan.shopping_list(plan_rows, dishes, lines), "rank", "name", "total_uses", "first_source"))
     assert got == [(1, "1.5 litres chicken or ham stock", 1, "Broth"), (2, "lime", 4, "Salsa x4"), (3, "mango", 2, "Salsa x2"), (4, "Rice", 1, "Plain")]
 
 
@@ -255,11 +255,11 @@ def test_sort_by_author_and_management(spark):
     got = [r[1] for r in sorted(rows(catalogue.sort_cookbooks(books, "author"), "rank", "title"))]
     assert got == ["A Book", "Z Book", "C"]
     assert sorted(rows(catalogue.management_groups(books), "group_title", "title")) == [("Books", "Z Book"), ("NYTimes", "A Book")]
-    recipes = spark.createDataFrame(
+    dishes = spark.createDataFrame(
         [(1, 10, ["Vegetarian", "Weeknight", "Weeknight"], ["missing_steps", "missing_steps", "unclear_title"], ["a"]), (1, 11, ["Vegetarian"], ["missing_steps"], [])],
         "cookbook_id int, recipe_id int, tags array<string>, needs_review_reasons array<string>, images array<string>")
-    assert dict(rows(catalogue.photo_percent(books, recipes), "cookbook_id", "photo_recipe_percent")) == {1: 50, 2: 0, 3: 0}
-    counts = sorted(rows(catalogue.cookbook_management(books, recipes), "kind", "rank", "value", "recipes"))
+    assert dict(rows(catalogue.photo_percent(books, dishes), "cookbook_id", "photo_recipe_percent")) == {1: 50, 2: 0, 3: 0}
+    counts = sorted(rows(catalogue.cookbook_management(books, dishes), "kind", "rank", "value", "dishes"))
     assert counts == [("reason", 1, "missing_steps", 2), ("reason", 2, "unclear_title", 1), ("tag", 1, "Vegetarian", 2), ("tag", 2, "Weeknight", 1)]
 
 
@@ -326,9 +326,9 @@ def test_anchor_text(spark):
 # --- tables of contents ----------------------------------------------------------------------
 
 
-def _book(spark, entries, spine, recipes):
+def _book(spark, entries, spine, dishes):
     schema = "cookbook_id string, toc array<struct<label:string,href:string,depth:int,has_children:boolean>>, spine array<string>, recipe_paths array<string>"
-    return spark.createDataFrame([("b", entries, spine, recipes)], schema)
+    return spark.createDataFrame([("b", entries, spine, dishes)], schema)
 
 
 def test_chapter_maps(spark):
@@ -392,10 +392,10 @@ def test_sections_from_toc(spark):
         spark,
         [("Vegetables", "v", 0, True), ("Charring", "c", 1, True), ("Leek", "r1", 2, False), ("Kale", "r2", 2, False), ("Browning", "n", 1, True), ("Root", "r3", 2, False), ("Beet", "r4", 2, False)],
         [], [])
-    recipes = spark.createDataFrame(
+    dishes = spark.createDataFrame(
         [("b", i, i, f"T{i}", "", f"r{i}#x", "epub", "") for i in range(1, 6)],
         "cookbook_id string, recipe_id int, position int, title string, chapter_title string, anchor string, format string, excerpt string")
-    got = dict(rows(toc.section_from_toc(recipes, books), "recipe_id", "section"))
+    got = dict(rows(toc.section_from_toc(dishes, books), "recipe_id", "section"))
     assert got == {1: "Charring", 2: "Charring", 3: "Browning", 4: "Browning", 5: "Recipes"}
 
 
