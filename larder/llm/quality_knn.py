@@ -139,10 +139,12 @@ def training_sample(
 ) -> DataFrame:
     """``(label, text)``: up to ``per_class`` labelled documents of each class outside fold 0.
 
-    Ids are drawn from the labels alone, by a hash, and only then meet the texts.
+    Only labels of documents in ``docs`` are drawn, by a hash of the id, so that those of documents
+    that are gone take no places.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & (fold_of(doc_id, folds) != 0))
     known = known.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(label).cast("int").alias("label")).distinct()
+    known = known.join(docs.select(F.col(doc_id).cast("bigint").alias("_id")), "_id", "left_semi")
     drawn = None
     for value in (0, 1):
         one = known.where(F.col("label") == value).orderBy(F.md5(id_text("_id").cast("binary")), "_id").limit(per_class)

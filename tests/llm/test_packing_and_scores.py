@@ -108,6 +108,18 @@ def test_quality_scores(spark, docs, nothing):
     assert quality_knn.keep_predicted(docs, labels).columns == docs.columns
 
 
+def test_sample_is_drawn_from_documents_still_here(spark):
+    labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    # Few documents of class 0 are left, and nearly all of class 1.
+    left = spark.range(4000).where("id % 2 = 1 or id % 100 = 0").selectExpr("id as doc_id", "concat('text ', id) as text")
+    sample = quality_knn.training_sample(left, labels, per_class=20)
+    assert Counter(r.label for r in sample.collect()) == {0: 20, 1: 20}
+    words = {0: "zzz ### 1 2", 1: "a plain sentence of common words"}
+    left = left.selectExpr("doc_id", f"concat(if(doc_id % 2 = 0, '{words[0]}', '{words[1]}'), ' ', doc_id % 7) as text")
+    kept = quality_knn.keep_predicted(left, labels).collect()
+    assert Counter(r.doc_id % 2 for r in kept) == {1: 2000}
+
+
 def test_votes_are_the_exact_nearest():
     draw = np.random.default_rng(1)
     vectors = np.abs(draw.standard_normal((60, quality_knn.TERMS))).astype(np.float32)
