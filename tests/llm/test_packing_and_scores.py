@@ -133,32 +133,29 @@ def test_votes_are_the_exact_nearest():
         assert score == pytest.approx((weight * labels[near]).sum() / weight.sum(), abs=1e-5)
 
 
-def brute_scores(rows, most_words):
+def brute_scores(rows):
     """Base score, and the model with exact levels in place of the filter."""
     train = [t for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
-    single, pair = Counter(), Counter()
+    single, pair, followers = Counter(), Counter(), Counter()
     for text in train:
         tokens = [*words_of(text), None]
         single.update(tokens)
         pair.update(zip([None, *tokens], tokens))
+    followers.update(before for before, _ in pair)
     n, v = sum(single.values()), len(single)
-    least = 0
-    if v > most_words:
-        least = min((c for c in single.values() if sum(x >= c for x in single.values()) <= most_words), default=n + 1)
-    top = {w: c for w, c in single.items() if c >= least}
-    rest = (n - sum(top.values())) / max(1, v - len(top))
     out = []
     for d, text in rows:
         tokens = [*words_of(text), None]
         base = model = 0.0
         for before, token in zip([None, *tokens], tokens):
-            base += math.log10((single[token] + 0.1) / (n + 0.1 * (v + 1)))
-            used, context = (top.get(x, rest if v > len(top) else 0) for x in (token, before))
-            chance = (used + 0.1) / (n + 0.1 * (v + 1))
-            share = bloom_lm.MOST_SHARE * context / (context + bloom_lm.HALF)
-            c = pair[(before, token)]
-            seen = min(1.0, bloom_lm.count_of(bloom_lm.level_of(np.array([c])))[0] / max(context, 1)) if c else 0.0
-            model += math.log10((1 - share) * chance + share * seen)
+            chance = (single[token] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(chance)
+            left = 0.75 * followers[before] / single[before] if single[before] else 1.0
+            share, c = 0.0, pair[(before, token)]
+            if c:
+                level = bloom_lm.level_of(np.array([c]))
+                share = (bloom_lm.count_of(level)[0] - 0.75) / single[before]
+            model += math.log10(max(left, 1e-9) * chance) + math.log10(1 + share / (left * chance))
         out.append((d, len(tokens), sum(single[t] > 0 for t in tokens), n, base, model))
     return out
 
@@ -166,7 +163,7 @@ def brute_scores(rows, most_words):
 @pytest.mark.parametrize("most_words, piece_bytes", [(10**6, 1 << 24), (30, 1 << 24), (10**6, 1), (30, 20000)])
 def test_log_scores(docs, rows, most_words, piece_bytes, monkeypatch):
     got = bloom_lm.log_scores(docs, most_words=most_words, piece_bytes=piece_bytes, segment_bytes=100_000).collect()
-    want = brute_scores([(d, t) for d, t, _ in rows], most_words)
+    want = brute_scores([(d, t) for d, t, _ in rows])
 
     def order(r):
         return (r[0] is None, r[0] or 0, r[1], r[4])
@@ -182,6 +179,15 @@ def test_log_scores(docs, rows, most_words, piece_bytes, monkeypatch):
     assert worse <= 0.1 * len(got)
 
 
+def test_word_counts_do_not_depend_on_the_vocabulary_held(docs):
+    def scores(most_words):
+        got = bloom_lm.log_scores(docs, most_words=most_words, segment_bytes=100_000).collect()
+        return sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+
+    for g, w in zip(scores(30), scores(10**6), strict=True):
+        assert g == pytest.approx(w, rel=1e-9)
+
+
 def test_log_scores_without_rows(spark, nothing):
     assert bloom_lm.log_scores(nothing).count() == 0
     held = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id bigint, text string")
