@@ -176,7 +176,7 @@ def test_log_scores(docs, rows, most_words, piece_bytes, monkeypatch):
         assert g[4] == pytest.approx(w[4], rel=1e-9)
         assert g[5] >= w[5] - 1e-6 * abs(w[5])  # the filter errs upwards only
         worse += abs(g[5] - w[5]) > 0.02 * abs(w[5])
-    assert worse <= 0.1 * len(got)
+    assert worse <= 0.05 * len(got)
 
 
 def test_word_counts_do_not_depend_on_the_vocabulary_held(docs):
@@ -205,8 +205,8 @@ def test_filter_has_no_false_negatives():
 
     mine, levels = piece(60000).levels(hashes)
     assert len(mine) == 60000 and (levels >= bloom_lm.level_of(counts)).all()
-    assert (levels > bloom_lm.level_of(counts)).mean() < 0.04
-    assert (piece(9000).levels(hashes[9000:])[1] > 0).mean() < 0.04
+    assert (levels > bloom_lm.level_of(counts)).mean() < 0.01
+    assert (piece(9000).levels(hashes[9000:])[1] > 0).mean() < 0.01
 
 
 def test_pipeline_equals_its_operators(spark):
