@@ -1,13 +1,15 @@
 """Main text of web pages, by removal of the subtrees that a site repeats.
 
 Every element subtree is hashed from its tag, its text and its children. Spark counts on how many
-pages of a host each hash occurs; a subtree found on a large share of a host's pages is a part of
-its template and goes. What templates vary from page to page (adverts, comments) or share with no
-other page goes by the meaning of its element: tag, role and class words. Of pages that mark
-their article only the article is read.
+different pages of a host each hash occurs. A block that holds others, of a few words but not most
+of its page, is a part of a template when some pages have it, however many pages the host has; of
+other subtrees, which may be a text's own words, a large share of the pages must have it. What
+templates vary from page to page (adverts, comments) or share with no other page goes by the
+meaning of its element: tag, role and class words. Of pages that mark their article only the
+article is read.
 
 A passage that many articles of a host share is not a template: text blocks inside an article or
-main element are never dropped for being repeated.
+main element are never dropped for being repeated, and elsewhere only by share.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import stored
+
 MIN_PAGES = 5
-MIN_SHARE = 0.3
+MIN_SHARE = 0.3  # of a host's pages, for what is not a container
+MIN_WORDS = 3  # of a container that is counted without regard to its share
 
 # Elements of HTML by kind.
 VOID = frozenset([
@@ -52,6 +57,8 @@ TEXT_BLOCKS = frozenset(
     "caption", "ul", "ol", "dl", "table", "tbody", "thead", "tr", "figure",
 ]
 )
+# Blocks that hold others. Single text blocks may be alike by chance or be cited.
+CONTAINERS = BLOCKS - TEXT_BLOCKS | {"ul", "ol", "dl", "table"}
 # A start tag that closes an open element of the named kind, up to the named boundaries.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "optgroup", "option", "legend", "summary", "title"}
 CLOSES = {
@@ -97,6 +104,7 @@ class Element:
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Element | str] = field(default_factory=list)
     hash: int = 0
+    words: int = 0
     article: bool = False  # inside an article or main element
 
     def dropped(self) -> bool:
@@ -176,8 +184,10 @@ def hash_subtrees(root: Element) -> list[Element]:
         for child in element.children:
             if isinstance(child, Element):
                 state.update(child.hash.to_bytes(8, "little"))
+                element.words += child.words
             else:
                 state.update(_SPACE.sub(" ", child).strip().encode())
+                element.words += len(child.split())
         element.hash = state.intdigest()
     return order
 
@@ -189,6 +199,14 @@ def in_template(element: Element) -> bool:
     return not element.article or element.tag in BLOCKS - TEXT_BLOCKS
 
 
+def is_container(element: Element, page_words: int) -> bool:
+    """Whether repetition on some pages is enough, as the element is no text of its own and not most of the page."""
+    return (
+        not element.article and element.tag in CONTAINERS and element.words >= MIN_WORDS
+        and 2 * element.words <= page_words
+    )
+
+
 def signed(number: int) -> int:
     return number - (1 << 64) if number >= 1 << 63 else number
 
@@ -248,32 +266,49 @@ def host_of(url: Column) -> Column:
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """``(host, hash)`` of each page's distinct element subtrees that may be a template."""
+    """``(host, hash, page, container)`` of each different page's distinct subtrees that may be a template."""
 
     def hashes(batches):
         for batch in batches:
-            hosts, found = [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = {signed(e.hash) for e in hash_subtrees(parse(page)) if in_template(e)}
-                own.add(0)  # counts the page itself
-                hosts.extend([host] * len(own))
+            found, of, sizes = [], [], []
+            for source in batch.column("html").to_pylist():
+                root = parse(source)
+                own = {signed(e.hash): is_container(e, root.words) for e in hash_subtrees(root) if in_template(e)}
+                own[0] = False  # counts the page itself
                 found.extend(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
+                of.extend(own.values())
+                sizes.append(len(own))
+            owner = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("site").take(owner), pa.array(found, pa.int64()),
+                    batch.column("page").take(owner), pa.array(of, pa.bool_()),
+                ],
+                names=["site", "hash", "page", "container"],
+            )
 
-    return pages.select("host", "html").mapInArrow(hashes, "host string, hash bigint")
+    rows = pages.select("site", "page", "html").mapInArrow(hashes, "site bigint, hash bigint, page bigint, container boolean")
+    return rows.distinct()
 
 
-def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, template)``: hashes found on at least ``min_pages`` pages and ``min_share`` of them.
+def page_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``(page, template)``: those of a page's own hashes that are a part of its host's template.
 
-    As each occurs on a share of the host's pages, a host has at most 1 / ``min_share`` times as
-    many as its pages have elements on average, so the list of a host stays short.
+    A hash is one when at least ``min_pages`` different pages have it as a container, or at least
+    as many and ``min_share`` of the host's pages have it. Templates are rows that are joined to the
+    hashes of pages, so neither their number nor a host's size is bounded.
     """
-    counted = subtree_hashes(pages).groupBy("host", "hash").agg(F.count("*").alias("_pages"))
+    own = stored(subtree_hashes(pages))
+    counted = own.groupBy("site", "hash").agg(
+        F.count("*").alias("_pages"), F.count_if("container").alias("_containers")
+    )
     counted = counted.where((F.col("_pages") >= min_pages) | (F.col("hash") == 0))
-    whole = counted.where("hash = 0").select("host", F.col("_pages").alias("_all"))
-    repeated = counted.where("hash <> 0").join(whole, "host").where(F.col("_pages") >= F.col("_all") * min_share)
-    return repeated.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    whole = counted.where("hash = 0").select("site", F.col("_pages").alias("_all"))
+    repeated = counted.where("hash <> 0").join(whole, "site").where(
+        (F.col("_containers") >= min_pages) | (F.col("_pages") >= F.col("_all") * min_share)
+    )
+    found = own.where("hash <> 0").select("site", "hash", "page").join(repeated.select("site", "hash"), ["site", "hash"])
+    return found.groupBy("page").agg(F.collect_list("hash").alias("template"))
 
 
 def extract_main_text(
@@ -290,7 +325,9 @@ def extract_main_text(
         F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"),
         host_of(F.col(url)).alias("host"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"),
     )
-    joined = rows.join(host_templates(rows, min_pages, min_share), "host", "left")
+    # Pages of a host that are alike have the same hashes and count once.
+    rows = rows.withColumns({"site": F.xxhash64("host"), "page": F.xxhash64("host", "html")})
+    joined = rows.join(page_templates(rows, min_pages, min_share), "page", "left")
 
     def extract(batches):
         for batch in batches:

@@ -77,6 +77,23 @@ def test_templates_are_counted_by_host(spark):
     assert ht.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_rare_menus_of_a_large_host(spark):
+    rows, want = [], {}
+    for i in range(200):
+        # Each menu is on 3 % of the pages; so is a passage, which is no container.
+        menu = f"<div><a href='/{i % 33}'>Part {i % 33}</a> <a href='/more'>More of it</a></div>"
+        story = f"<p>A passage cited {i % 33} times.</p><p>story {i} " + "of several words of its own " * 3 + f"</p><div>yes {i % 33}</div>"
+        rows.append((i, "https://large.example/", page(menu + story)))
+        own = " ".join(f"story {i} {'of several words of its own ' * 3}".split())
+        want[i] = f"A passage cited {i % 33} times.\n{own}\nyes {i % 33}"
+    # Copies of one page are no reason to drop what it holds.
+    for i in range(200, 210):
+        rows.append((i, "https://large.example/copy", page("<div><p>one story told</p></div><div><p>another one told</p></div>")))
+        want[i] = "one story told\nanother one told"
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in ht.extract_main_text(df).collect()} == want
+
+
 def test_streams_round_trip():
     draw = random.Random(2)
     sizes = [0, 1, 64, 150, 151, 156, 157, 158, 159, 160, 161, 162, 163, 164, 165, 170, 171, 4096, 4097, 40000, 70001]
