@@ -1,8 +1,9 @@
 """HTML pages to ordered block nodes, without a tree parser.
 
-Block start tags mark where nodes begin. A node ends where a block or an enclosing element is
-closed, or at the next block start. So text behind a closed block belongs to no node, an unclosed
-paragraph keeps its text, and no text belongs to two nodes.
+Block start tags mark where nodes begin. A node ends where its own block or an enclosing element is
+closed, or at the next block start; blocks opened and closed inside it and images belong to it. So
+text behind a closed block belongs to no node, an unclosed paragraph keeps its text, and no text
+belongs to two nodes.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import functions as F
 from larder.functions.text import bind, blank_to_null, epub_path, squash
 
 MARK = "\x01"
-BLOCKS = r"(?i)<(h[1-4]|p|li|img)(\s[^>]*)?>"
+BLOCKS = r"(?i)<(h[1-4]|p|li)(\s[^>]*)?>"
+IMAGE = r"(?i)<img(?:\s[^>]*)?>"
 SKIPPED = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-# Closing one of these ends the node that is open.
+# Closing one of these ends the node that is open, unless it was opened inside the node.
 ENDS = (
-    r"(?is)</(?:h[1-6]|p|li|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol"
-    r"|section|table|tbody|td|th|tr|ul)\s*>.*$"
+    r"(?i)<(/?(?:h[1-6]|p|li|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol"
+    r"|section|table|tbody|td|th|tr|ul))((?:\s[^>]*)?)>"
 )
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # Characters by name, as the public standard of HTML lists them.
@@ -64,27 +66,67 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(blank_to_null(found), blank_to_null(other))
 
 
+def _own_part(body: Column) -> Column:
+    """What is before the first closing tag whose element was not opened in ``body``."""
+    parts = F.split(F.regexp_replace(body, ENDS, f"{MARK}$1$2>"), MARK)
+    state = F.struct(
+        F.array().cast("array<string>").alias("open"), F.lit(1).alias("kept"), F.lit(False).alias("ended")
+    )
+
+    def step(acc: Column, part: Column) -> Column:
+        tag = F.lower(F.regexp_extract(part, "^/?([a-zA-Z0-9]+)", 1))
+        closes, empty = F.startswith(part, F.lit("/")), F.rlike(part, F.lit("^[^>]*/>"))
+        at = F.array_position(acc["open"], tag).cast("int")
+        ended = acc["ended"] | (closes & (at == 0))
+        inner = (
+            F.when(closes, F.slice(acc["open"], at + 1, F.size(acc["open"])))
+            .when(empty, acc["open"]).otherwise(F.array_prepend(acc["open"], tag))
+        )
+        return F.struct(
+            F.when(ended, acc["open"]).otherwise(inner).alias("open"),
+            F.when(ended, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"), ended.alias("ended"),
+        )
+
+    def joined(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, 2, 1000000000), state, step, lambda acc: acc["kept"])
+        return F.array_join(F.slice(parts, 1, kept), "<")
+
+    return F.when(F.contains(body, F.lit("</")), bind(parts, joined)).otherwise(body)
+
+
 def node_array(html: Column) -> Column:
-    """Ordered nodes h1-h4, p, li and img of a page as an array of structs."""
+    """Ordered nodes h1-h4, p, li and img of a page as an array of structs; images follow the node they are in."""
     marked = F.regexp_replace(F.regexp_replace(html, SKIPPED, " "), BLOCKS, f"{MARK}$1$2>")
-    pieces = F.slice(F.split(marked, MARK), 2, 1000000000)
+    # The first piece, before any block, has only images.
+    pieces = F.split(F.concat(F.lit(">"), marked), MARK)
 
-    def node(piece: Column) -> Column:
-        start = F.regexp_extract(piece, "^[^>]*>", 0)
-        body = F.regexp_replace(F.regexp_replace(piece, "^[^>]*>", ""), ENDS, "")
-        inner = F.regexp_extract(body, r"(?i)<[a-z][^>]*\sid\s*=[^>]*>", 0)
-        tag = F.lower(F.regexp_extract(piece, "^[a-zA-Z0-9]+", 0))
+    def entry(start: Column, tag: Column, inner: Column, text: Column) -> Column:
         classes = F.filter(F.split(squash(F.coalesce(attribute(start, "class"), F.lit(""))), " "), lambda c: c != "")
-        text = squash(decode(F.regexp_replace(body, "<[^>]*>", " ")))
         return F.struct(
             tag.alias("tag"),
             classes.alias("classes"),
             F.coalesce(attribute(start, "id"), attribute(inner, "id")).alias("id"),
             attribute(start, "src").alias("src"),
-            F.when(tag == "img", "").otherwise(text).alias("text"),
+            text.alias("text"),
         )
 
-    return F.transform(pieces, node)
+    def node(piece: Column) -> Column:
+        def of(body: Column) -> Column:
+            inner = F.regexp_extract(body, r"(?i)<[a-z][^>]*\sid\s*=[^>]*>", 0)
+            tag = F.lower(F.regexp_extract(piece, "^[a-zA-Z0-9]+", 0))
+            text = squash(decode(F.regexp_replace(body, "<[^>]*>", " ")))
+            return entry(F.regexp_extract(piece, "^[^>]*>", 0), tag, inner, text)
+
+        return bind(_own_part(F.regexp_replace(F.regexp_replace(piece, "^[^>]*>", ""), IMAGE, " ")), of)
+
+    def image(start: Column) -> Column:
+        return entry(start, F.lit("img"), F.lit(""), F.lit(""))
+
+    def nodes(piece: Column) -> Column:
+        images = F.transform(F.regexp_extract_all(piece, F.lit(f"({IMAGE})"), F.lit(0)), image)
+        return F.when(F.startswith(piece, F.lit(">")), images).otherwise(F.concat(F.array(node(piece)), images))
+
+    return F.flatten(F.transform(pieces, nodes))
 
 
 def html_nodes(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:

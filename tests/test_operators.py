@@ -376,6 +376,18 @@ def test_html_nodes_end_where_their_block_is_closed(spark):
         assert [r.text for r in html.html_nodes(pages).orderBy("seq").collect()] == texts
 
 
+def test_html_nodes_keep_text_behind_what_is_inside_them(spark):
+    cases = {
+        "<p>before <img src='x'> after</p>tail": [("p", "before after"), ("img", "")],
+        "<img src='y'>none<p>a<img src='x'>b<div>c</div> d</p>": [("img", ""), ("p", "a b c d"), ("img", "")],
+        "<ul><li><div>a</div> b</li>x<li><div><div>c</div>d</div>e<table><tr><td>f</table> g</li></ul>": [("li", "a b"), ("li", "c d e f g")],
+        "<div><p>a<div/>b</div>c": [("p", "a b")],
+    }
+    for source, want in cases.items():
+        pages = spark.createDataFrame([(1, source)], "page_id bigint, html string")
+        assert [(r.tag, r.text) for r in html.html_nodes(pages).orderBy("seq").collect()] == want
+
+
 def test_nav_and_ncx(spark):
     nav = ('<nav><ol><li><a href="x.html">Wrong</a></li></ol></nav><nav epub:type="toc"><ol><li><a href="c1.xhtml#a">Dips</a><ol><li><a href="d.xhtml">Deep</a></li></ol></li>'
            '<li><a>No link</a><ol><li><a href="lost.xhtml">Lost</a></li></ol></li><li><a href="c2.xhtml">Hot <b>Meze</b></a></li></ol></nav>')
