@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from larder.llm import (
     bloom_lm,
     html_template,
+    metric_join,
     minhash,
     mixing,
     packing,
+    piece_table,
     quality_knn,
     quality_rules,
+    resident_lloyd,
     shard_tree,
     token_lengths,
     transport_stream,
@@ -88,6 +91,25 @@ def op10_token_counts(spark, d):
     return token_lengths.token_counts(table(spark, d, "documents"), tokenizer_path())
 
 
+def op11_resident_lloyd(spark, d):
+    codes, codebooks = resident_lloyd.vector_codes(table(spark, d, "embeddings"))
+    return resident_lloyd.with_label_error(codes).select(
+        "vec_id", "code", "error", "label_error",
+        F.lit(resident_lloyd.codebooks_digest(codebooks)).alias("codebooks_sha256"),
+    )
+
+
+def op12_metric_join(spark, d):
+    return metric_join.near_vectors(table(spark, d, "embeddings"))
+
+
+def op13_piece_table(spark, d):
+    made = piece_table.fill_in_middle(table(spark, d, "documents"))
+    return piece_table.restore(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,9 +123,40 @@ QUERIES = {
         op8_bloom_lm,
         op9_transport_stream,
         op10_token_counts,
+        op11_resident_lloyd,
+        op12_metric_join,
+        op13_piece_table,
     )
 }
 
+def _lloyd_sql() -> str:
+    """Two rounds and the last assignment, over one row for each vector and part."""
+    whole = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+            list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings WHERE {whole})""",
+        "parts AS (SELECT r, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM kept, range(16) AS t(p))",
+        "book0 AS (SELECT p, r - 1 AS e, v FROM parts WHERE r <= 64)",
+    ]
+    for k in range(3):
+        steps.append(
+            f"""near{k} AS (SELECT x.r, x.p, min({{'d': list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.e}}) AS n
+            FROM parts x JOIN book{k} b ON x.p = b.p GROUP BY x.r, x.p)"""
+        )
+        if k < 2:
+            steps.append(
+                f"""means{k} AS (SELECT p, e, list(m ORDER BY j) AS v FROM (
+                SELECT x.p, n.n.e AS e, j, CAST((sum(x.v[j]) - ((sum(x.v[j]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+                FROM parts x JOIN near{k} n ON x.r = n.r AND x.p = n.p, unnest(range(1, len(x.v) + 1)) AS u(j) GROUP BY x.p, n.n.e, j) GROUP BY p, e)"""
+            )
+            steps.append(f"book{k + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.e = m.e)")
+    steps.append("codes AS (SELECT r, string_agg(lpad(lower(hex(n.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(n.d) AS BIGINT) AS error FROM near2 GROUP BY r)")
+    steps.append("told AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS s FROM book2)")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+    FROM kept JOIN codes USING (r), told"""
+
+
 _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 
 SQL = {
@@ -140,4 +193,23 @@ SQL = {
     SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
         CAST(greatest(0, least(start + size, round(target)) - start) + greatest(0, least(start + source_size + size, round(target)) - start - source_size) AS BIGINT) AS taken
     FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source""",
+    "op11_resident_lloyd": _lloyd_sql(),
+    "op12_metric_join": """WITH RECURSIVE
+    read AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    whole AS (SELECT * FROM read WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.r AS a, b.r AS b FROM whole a JOIN whole b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+    reach AS (SELECT r, r AS seen FROM read UNION SELECT links.b, reach.seen FROM reach JOIN links ON links.a = reach.r),
+    least AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN read o ON o.r = reach.seen GROUP BY reach.r)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+    FROM read JOIN least USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY a) USING (r)""",
+    "op13_piece_table": r"""WITH
+    units AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    drawn AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units),
+    formed AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+        least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+    cuts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM formed),
+    made AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM cuts),
+    back AS (SELECT *, string_split(replace(replace(o, '<P>', '<M>'), '<S>', '<M>'), '<M>') AS x FROM made)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(o) AS output_sha256, sha256(CASE form WHEN 'plain' THEN o WHEN 'psm' THEN x[2] || x[4] || x[3] ELSE x[3] || x[4] || x[2] END) AS restored_sha256 FROM back""",
 }
