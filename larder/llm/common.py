@@ -47,6 +47,13 @@ def md5_fraction(text: Column) -> Column:
     return (number.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def number_array(df: DataFrame, name: str) -> str:
+    """The type to read a vector column by: single precision stays, as it is half the bytes and turns into
+    doubles without loss; all else becomes double."""
+    kept = df.schema[name].dataType.simpleString()
+    return kept if kept == "array<float>" else "array<double>"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and read it back.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored
+from larder.llm.common import number_array, stored
 from larder.llm.components import components
 
 COSINE = 0.98
@@ -40,6 +40,7 @@ SLACK = 1e-9
 
 def directions(vectors: np.ndarray) -> np.ndarray:
     """Unit vectors; scaling by the largest component first keeps squares from running over."""
+    vectors = vectors.astype(np.float64)
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True, initial=0.0)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
@@ -152,8 +153,9 @@ def near_vectors(
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0 and at most 1")
     spark = vectors.sparkSession
+    kind = number_array(vectors, embedding)
     taken = vectors.select(
-        F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("vector")
+        F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast(kind).alias("vector")
     )
     rows = stored(taken.withColumn("row", F.monotonically_increasing_id()))
     usable = rows.where(

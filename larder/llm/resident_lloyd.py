@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored
+from larder.llm.common import number_array, stored
 
 PARTS = 16
 ENTRIES = 64
@@ -33,14 +33,14 @@ OWNED = 1_000_000
 def whole_vector(name: str) -> Column:
     """That a vector is there, is not empty and has neither NULL nor non-finite components."""
     wrong = F.exists(
-        F.col(name).cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+        F.col(name), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     )
     return F.col(name).isNotNull() & (F.size(name) > 0) & ~wrong
 
 
 def integers(vectors: np.ndarray) -> np.ndarray:
     """Components as integers: 256 times each, rounded down."""
-    return np.clip(np.floor(vectors * float(SCALE)), -MOST, MOST).astype(np.int64)
+    return np.clip(np.floor(vectors.astype(np.float64) * SCALE), -MOST, MOST).astype(np.int64)
 
 
 def nearest(parts: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +129,9 @@ def vector_codes(
     """
     if not 0 < entries <= 256:
         raise ValueError("entries must be 1 to 256")
+    kind = number_array(vectors, embedding)
     kept = vectors.select(
-        F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("vector")
+        F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast(kind).alias("vector")
     ).where(whole_vector("vector") & (F.size("vector") % parts == 0))
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(1).collect()
     width = len(first[0].vector) // parts if first else 1
