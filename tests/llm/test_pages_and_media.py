@@ -2,11 +2,14 @@
 
 import hashlib
 import html
+import html.parser
 import random
 import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from larder.llm import html_template as ht
 from larder.llm import queries
 from larder.llm import transport_stream as ts
@@ -52,6 +55,93 @@ def test_what_stays_and_what_goes():
     assert ht.main_text(None) == "" and ht.main_text("<p") == ""
 
 
+def test_names_and_articles_only_break_ties():
+    cases = {
+        "<div id='menu-recipes'><p>The recipe</p></div>": "The recipe",
+        "<p>See the <span class='notice'>notice</span> word</p>": "See the notice word",
+        "<p class='share-of-voice'>share</p><p>of voice</p>": "share\nof voice",
+        "<main><h1>T</h1><p>x</p></main><article class='comment'>reader</article>": "T\nx",
+        "<main><p>lead and more</p></main><article>teaser</article>": "lead and more\nteaser",
+        "<main><p>lead</p><article>teaser</article></main>": "lead\nteaser",
+        '<p class="x>text</p>': "text",
+        "<p>all of the text</p><article>a teaser</article>": "all of the text\na teaser",
+        "<article class='ad'><p>bought words</p></article><p>the text that is more</p>": "the text that is more",
+    }
+    for body, text in cases.items():
+        assert ht.main_text(page(body)) == text, body
+
+
+def test_most_texts_of_the_data_come_from_the_counts(spark):
+    """Without the hashes found by counting, pages of counted hosts keep their menus."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    hosts = Counter(r.url.split("/")[2] for r in pages)
+    counted = [r for r in pages if hosts[r.url.split("/")[2]] >= ht.MIN_PAGES]
+    assert len(counted) > 40
+    for r in counted:
+        text, want = (" ".join(x.split()) for x in (ht.main_text(r.html, frozenset()), expected(r.html)))
+        assert text != want and want in text
+
+
+def test_layouts_without_names_or_articles(spark):
+    """Words of menus and notes differ on every page; only where they stand recurs."""
+    rows, want = [], {}
+    for i in range(40):
+        menu = "<div><ul>" + "".join(f"<li><a href='/{i}-{k}'>part {i} {k}</a></li>" for k in range(3)) + "</ul></div>"
+        story = f"<h1>title {i}</h1>" + f"<p>story {i} goes on with more words</p>" * 3
+        note = f"<section><p>note {i}</p></section>"
+        if i % 4 == 3:  # a second layout of the host
+            source = page(f"{menu}<table><tr><td>{story}<ul><li>item {i}</li></ul></td></tr></table>{note}")
+            want[i] = "\n".join([f"title {i}", *[f"story {i} goes on with more words"] * 3, f"item {i}"])
+        else:
+            source = page(f"{menu}<section class='text'>{story}</section>{note}")
+            want[i] = "\n".join([f"title {i}", *[f"story {i} goes on with more words"] * 3])
+        rows.append((i, "https://plain.example/", source))
+    # A page of hardly any text has its words in the menu; the counts of the others still tell.
+    rows.append((40, "https://plain.example/", page("<div><ul><li>part 40 0</li></ul></div><section class='text'><p>hm</p></section>")))
+    want[40] = "hm"
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in ht.extract_main_text(df).collect()} == want
+    for i, _, source in rows:
+        assert ht.main_text(source, frozenset()) != want[i]
+
+
+class Outline(html.parser.HTMLParser):
+    """Containers of well-formed pages by another parser: (tag, class, text, children) trees."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.open, self.found = [("#", "", [])], []
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append((tag, dict(attrs).get("class", ""), []))
+
+    def handle_data(self, data):
+        self.open[-1][2].append(" ".join(data.split()))
+
+    def handle_endtag(self, tag):
+        done = self.open.pop()
+        tree = (done[0], done[1], tuple(done[2]))
+        self.found.append(tree)
+        self.open[-1][2].append(tree)
+
+
+def test_counts_equal_those_of_another_parser(spark):
+    draw, rows = random.Random(8), []
+    parts = ["<div><b>menu one</b> <i>of it</i></div>", "<ul><li>a b c</li><li>d</li></ul>", "<section><p>p q r</p></section>"]
+    for i in range(60):
+        body = "".join(draw.sample(parts, draw.randrange(4))) + f"<div><p>own words {i} and {i * i} so on</p></div>"
+        rows.append((i, f"https://h{i % 2}.example/", f"<html><body>{body}</body></html>"))
+    rows.append((60, *rows[0][1:]))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    keyed = df.select(F.xxhash64(ht.host_of(F.col("url"))).alias("site"), F.xxhash64("html").alias("page"), "html")
+    got = ht.subtree_hashes(keyed).where(F.col("kind").isin(ht.CONTENT, ht.CONTAINER)).groupBy("site", "hash").count()
+    want = Counter()
+    for url, source in {(u, s) for _, u, s in rows}:
+        want.update((url, tree) for tree in set(Outline(source).found) if tree[0] in ht.BLOCKS - {"html", "body"})
+    assert sorted(r["count"] for r in got.collect()) == sorted(want.values())
+
+
 def test_templates_are_counted_by_host(spark):
     shared = "<div><a href='/x'>Home</a> <a href='/y'>All posts</a></div>"
     rows = []
