@@ -21,21 +21,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import hashed_words, lists, lower_words, mixed, slices, stored
+from larder.llm.common import WORD, hashed_words, lists, lower_words, mixed, slices, stored
 from larder.llm.components import components
 
 SHINGLE = 5
-PERMUTATIONS = 100
-ROWS = 5  # a pair at 0.75 meets in none of the 40 bands once in 51,000, one at 0.8 once in 8 million
+PERMUTATIONS = 125
+ROWS = 5  # a pair at 0.75 meets in none of the 50 bands once in 760,000, one at 0.8 once in 400 million
 SAME_PERCENT = 75
-# Of 200 signature bits a pair at 0.75 differs in 25 on average, standard deviation 4.7; 54 is six
+# Of 250 signature bits a pair at 0.75 differs in 31 on average, standard deviation 5.2; 68 is seven
 # deviations off. Pairs beyond it are not compared on full sets.
-MOST_BITS_APART = 54
+MOST_BITS_APART = 68
 # Above so many pairs across components for each row left, hubs come first.
 PAIRS_PER_ROW = 4
-# Groups of more nodes that share a hub are compared in blocks of two parts of so many nodes each.
+# Groups of more nodes that share a hub are compared in blocks of two parts of so many nodes each, or
+# fewer where their sets would hold more shingles than that.
 SMALL_GROUP = 32
 BLOCK_NODES = 400
+BLOCK_SHINGLES = 1_000_000
+# Ways in which the rows of one hub are dealt where they meet what is known of it.
+HUB_SALTS = 32
 
 _random = np.random.default_rng(20240607)
 _FACTORS = (_random.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -83,7 +87,7 @@ def signature_bits(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.packbits(np.pad(bits.astype(np.uint8), (0, 256 - len(bits)))).view(np.int64)
 
 
-_SKETCH = "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>, bits array<bigint>"
+_SKETCH = "doc_id bigint, text_hash bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>, bits array<bigint>"
 
 
 def _sketches(batches):
@@ -106,13 +110,14 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("text_hash"),
                 pa.array(sizes, pa.int64()),
                 pa.array([p[0] for p in prints], pa.int64()),
                 pa.array([p[1] for p in prints], pa.int64()),
                 lists(bands, pa.int64()),
                 lists(bits, pa.int64()),
             ],
-            names=["doc_id", "n_shingles", "print_a", "print_b", "bands", "bits"],
+            names=["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "bands", "bits"],
         )
 
 
@@ -124,7 +129,10 @@ def _sets(batches):
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    text = F.col(text).cast("string")
+    return docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")
+    )
 
 
 def _alike(inner: Column, left: Column, right: Column) -> Column:
@@ -163,17 +171,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows; each text is judged by itself where an id has several. A row without an id is linked with
     nothing, has a NULL component and is kept. Other columns of ``docs`` are not read.
     """
-    rows = _narrow(docs, doc_id, text)
+    return _classed(_narrow(docs, doc_id, text)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """The result of ``near_duplicates`` with the hash of each row's text."""
     sketches = stored(rows.mapInArrow(_sketches, _SKETCH))
     usable = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     prints = ["print_a", "print_b", "n_shingles"]
     nodes = usable.groupBy(*prints).agg(F.min("doc_id").alias("node"))
     labels = _labels(rows, usable, stored(nodes))
-    placed = sketches.select("doc_id", *prints).join(nodes, prints, "left").join(labels, "node", "left")
+    placed = sketches.select("doc_id", "text_hash", *prints).join(nodes, prints, "left").join(labels, "node", "left")
     component = F.when(
         F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("label", "node")
     ).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return placed.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
@@ -218,13 +230,20 @@ def _labels(rows: DataFrame, usable: DataFrame, nodes: DataFrame) -> DataFrame:
         return labels if labels is not None else _no_labels(rows.sparkSession)
     # Links between components that are still apart.
     grouped = stored(left.select("hub", "node", "label").distinct())
-    sizes = grouped.groupBy("hub").agg(F.count("*").alias("_size")).where(F.col("_size") > SMALL_GROUP)
-    marked = left.join(sizes.select("hub"), "hub", "left_anti").select("key", "node", "label").join(marks, "node")
+    sizes = grouped.join(marks.select("node", "n"), "node").groupBy("hub").agg(
+        F.count("*").alias("_size"), F.sum("n").alias("_shingles")
+    )
+    sizes = stored(sizes.where(F.col("_size") > SMALL_GROUP)).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(HUB_SALTS - 1).cast("bigint")))
+    )
+    salt = F.pmod(F.xxhash64("node"), F.lit(HUB_SALTS).cast("bigint"))
+    small = left.withColumn("_salt", salt).join(sizes.select("hub", "_salt"), ["hub", "_salt"], "left_anti")
+    marked = small.select("key", "node", "label").join(marks, "node")
     one, two = (_named(stored(marked), x, "key", "label", "n", "bits") for x in "ab")
     apart = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))
     pairs = one.join(two, apart & _near("a", "b")).select("a", "b").distinct()
     found = _confirmed(stored(pairs.join(tested, ["a", "b"], "left_anti")), sets)
-    found = stored(found.union(_block_links(grouped.join(sizes, "hub"), sets)))
+    found = stored(found.union(_block_links(grouped.withColumn("_salt", salt).join(sizes, ["hub", "_salt"]), sets)))
     if found.limit(1).count():
         return components(links.union(found))
     return labels if labels is not None else _no_labels(rows.sparkSession)
@@ -233,10 +252,10 @@ def _labels(rows: DataFrame, usable: DataFrame, nodes: DataFrame) -> DataFrame:
 def _block_links(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across labels among the nodes of each hub, enough to connect what is connected.
 
-    A hub's nodes are dealt to parts of about ``BLOCK_NODES``; a block holds two parts, or one
-    with itself, so a group of any size is spread over blocks of bounded size.
+    A hub's nodes are dealt to parts of about ``BLOCK_NODES`` nodes and ``BLOCK_SHINGLES`` shingles, whichever is
+    less; a block holds two parts, or one with itself, so a group of any size is spread over blocks of bounded size.
     """
-    parts = F.ceil(F.col("_size") / BLOCK_NODES)
+    parts = F.ceil(F.greatest(F.col("_size") / BLOCK_NODES, F.col("_shingles") / BLOCK_SHINGLES))
     dealt = grouped.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_other")
     spread = dealt.select("hub", "node", "label", "_part", others)
@@ -315,12 +334,16 @@ def _open_buckets(placed: DataFrame, order: int) -> tuple[DataFrame, float, int]
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; rows without an id all stay.
+    """``docs`` with one row of each group of near duplicates, one that has the group's least id.
 
-    Of rows that share an id, one stays. Columns are as given.
+    Each text is judged by itself where an id has several, and equal rows are copies. Rows without an id or
+    without words are near duplicates of nothing and all stay. Columns are as given; no rows give none.
     """
-    classes = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null")
-    ids = classes.select(F.col("doc_id").alias(doc_id)).distinct()
-    ids = ids.withColumn(doc_id, F.col(doc_id).cast(docs.schema[doc_id].dataType))
-    named = docs.where(F.col(doc_id).isNotNull()).join(ids, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    classes = _classed(_narrow(docs, doc_id, text)).where("kept and doc_id is not null and n_shingles > 0")
+    # A group may hold several texts of its least id; the one of least hash stays.
+    chosen = classes.groupBy("component_id").agg(F.min("text_hash").alias("__kept_text"))
+    chosen = chosen.select(F.col("component_id").alias("__kept_id"), "__kept_text")
+    alone = F.col(doc_id).cast("bigint").isNull() | ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(WORD)
+    keys = {"__kept_id": F.col(doc_id).cast("bigint"), "__kept_text": F.xxhash64(F.col(text).cast("string"))}
+    kept = docs.where(~alone).withColumns(keys).join(chosen, ["__kept_id", "__kept_text"], "left_semi").dropDuplicates(["__kept_id", "__kept_text"])
+    return kept.select(*docs.columns).unionByName(docs.where(alone))

@@ -151,8 +151,8 @@ def mix(
 
     The first frame lists the pieces ``(slot, source, block, epoch, doc_id, word_from, word_to)``,
     words counted from 0 within the document; read by slot it is the mixed stream. The second has
-    ``(doc_id, size, source_size, target, taken)`` for each row of ``docs``, added up from the
-    first. Sizes are words; NULL and empty texts have none and are never taken. Rows without an
+    ``(doc_id, size, source_size, target, taken, first_slot)`` for each row of ``docs``, added up from
+    the first; ``first_slot`` is the least slot with words of the row, NULL where the mix takes none. Sizes are words; NULL and empty texts have none and are never taken. Rows without an
     id share a hash and keep their own places; repeated rows are mixed each by itself. Without
     any words the mix is empty and targets are 0. Reruns agree.
     """
@@ -168,12 +168,15 @@ def mix(
         F.least("_to", (F.col("_rank") + 1) * width).alias("_b"),
     )
     pieces = stored(pieces.join(schedule(targets, recipe), ["_no", "_rank"]))
-    taken = pieces.groupBy("_no", "_start").agg(F.sum(F.col("_b") - F.col("_a")).alias("_taken"))
+    taken = pieces.groupBy("_no", "_start").agg(
+        F.sum(F.col("_b") - F.col("_a")).alias("_taken"), F.min("slot").alias("first_slot")
+    )
     taken = taken.withColumn("_some", F.lit(True))
     shares = placed.withColumn("_some", F.col("_size") > 0).join(taken, ["_no", "_start", "_some"], "left")
     shares = shares.select(
         F.col("_row").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), F.coalesce("_taken", F.lit(0)).cast("bigint").alias("taken"),
+        "first_slot",
     )
     stream = pieces.select(
         "slot", F.col("_source").alias("source"), F.col("_rank").alias("block"), "epoch", F.col("_row").alias("doc_id"),
@@ -187,6 +190,9 @@ def mixed_documents(
 ) -> DataFrame:
     """``docs`` as the mix takes them, in the order of their slots, with columns as given.
 
+    NULL and empty texts have no words and are not taken; rows without an id and repeated rows are mixed each by
+    itself, ties of the shuffling hash by size. No rows give none.
+
     A document comes once for each pass that takes it. The last document of a source's quota may
     be taken in part: then its text is those words, joined by blanks, and ``n_chars`` their length.
     """

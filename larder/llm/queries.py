@@ -188,11 +188,23 @@ SQL = {
         SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM sized GROUP BY source)),
     levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(source_size * 2) OVER w - source_size * 2))
         / (sum(weight) OVER () - sum(weight) OVER w + weight) AS level FROM sources WINDOW w AS (ORDER BY source_size * 2 / weight, no)),
-    targets AS (SELECT source, source_size, least(CAST(source_size * 2 AS DOUBLE), greatest(max(level) OVER (), 0.0) * weight) AS target FROM levels),
-    placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized)
+    targets AS (SELECT no, source, source_size, least(CAST(source_size * 2 AS DOUBLE), greatest(max(level) OVER (), 0.0) * weight) AS target FROM levels),
+    placed AS (SELECT p.*, source_size, target, no, CAST(round(target) AS BIGINT) AS quota FROM (
+        SELECT row_number() OVER () AS r, *, sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized) p
+        JOIN targets t ON p.source IS NOT DISTINCT FROM t.source),
+    spans AS (SELECT r, no, start + e * source_size AS a, least(start + e * source_size + size, quota) AS b FROM placed, range(2) AS t(e)),
+    needed AS (SELECT no, CAST(ceil(round(target) / 4096) AS BIGINT) AS blocks FROM targets WHERE round(target) > 0),
+    stretches AS (SELECT no, blocks, sum(blocks) OVER (ORDER BY no) - blocks AS first, sum(blocks) OVER () AS slots FROM needed),
+    points AS (SELECT n, (n * 0.6180339887498949::DOUBLE) % 1 AS x FROM range((SELECT CAST(coalesce(sum(blocks), 0) AS BIGINT) FROM needed)) AS t(n)),
+    drawn AS (SELECT no, n, row_number() OVER (PARTITION BY no ORDER BY n) - 1 AS rank FROM points, stretches
+        WHERE x >= first / CAST(slots AS DOUBLE) AND x < (first + blocks) / CAST(slots AS DOUBLE)),
+    schedule AS (SELECT s.no, s.rank, coalesce(n, slots + first + s.rank) AS slot FROM (
+        SELECT no, first, slots, unnest(range(blocks)) AS rank FROM stretches) s LEFT JOIN drawn d ON s.no = d.no AND s.rank = d.rank),
+    pieces AS (SELECT r, no, b - a AS words, unnest(range(CAST(a // 4096 AS BIGINT), CAST((b - 1) // 4096 + 1 AS BIGINT))) AS rank FROM spans WHERE b > a),
+    firsts AS (SELECT r, min(slot) AS first_slot FROM pieces JOIN schedule USING (no, rank) GROUP BY r)
     SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-        CAST(greatest(0, least(start + size, round(target)) - start) + greatest(0, least(start + source_size + size, round(target)) - start - source_size) AS BIGINT) AS taken
-    FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source""",
+        CAST((SELECT coalesce(sum(b - a), 0) FROM spans WHERE spans.r = placed.r AND b > a) AS BIGINT) AS taken, CAST(first_slot AS BIGINT) AS first_slot
+    FROM placed LEFT JOIN firsts USING (r)""",
     "op11_resident_lloyd": _lloyd_sql(),
     "op12_metric_join": """WITH RECURSIVE
     read AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -87,12 +87,33 @@ def test_no_rows_and_only_edges(spark, nothing):
     check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
 
 
-def test_keep_one_keeps_columns_and_clean_documents(docs, rows):
+def test_keep_one_keeps_columns_and_clean_documents(spark, docs, rows, nothing):
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    want = {d for (d, _, _, k) in brute_force([(d, t) for d, t, _ in rows]) if k}
-    assert set(ids) == want and len(ids) == len(set(ids))
+    alone = [(d, t or "") for d, t, _ in rows if d is None or not shingles(t)]
+    got = Counter((r.doc_id, r.text or "") for r in kept.select("doc_id", "text").collect())
+    want = {d for (d, n, _, k) in brute_force([(d, t) for d, t, _ in rows]) if k and n and d is not None}
+    assert got - Counter(alone) == Counter({(d, t): 1 for d, t in dict((d, (d, t)) for d, t, _ in reversed(rows) if d in want).values()})
+    assert Counter(alone) - got == Counter()
+    assert minhash.keep_one(nothing).count() == 0
+
+
+def test_keep_one_judges_texts_not_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    data = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[1]), (7, texts[2]), (7, texts[2] + " more"), (9, texts[2])]
+    data += [(8, ""), (8, ""), (None, texts[0])]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("*", "1 as _id", "'x' as _text")
+    got = Counter((r.doc_id, (r.text or "")[:2], r._id, r._text) for r in minhash.keep_one(df).collect())
+    assert got == Counter({(3, "a0", 1, "x"): 1, (5, "b0", 1, "x"): 1, (7, "c0", 1, "x"): 1, (8, "", 1, "x"): 2, (None, "a0", 1, "x"): 1})
+
+
+def test_very_long_texts(spark):
+    """Texts of 10 MB: a near copy meets its original, an exact one as well."""
+    words = [f"w{i * i % 1_000_003}" for i in range(1_300_000)]
+    long = " ".join(words)
+    data = [(1, long), (2, " ".join(words[:-20_000])), (3, long), (4, " ".join(words[:400_000])), (5, "x" * 10_000_000)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (4, True), 5: (5, True)}
 
 
 def test_components(spark):
