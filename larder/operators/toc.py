@@ -8,6 +8,7 @@ row (``toc``: ``array<struct<label, href, depth, has_children>>`` in pre-order;
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +32,72 @@ ENTRIES = "array<struct<label:string,href:string,depth:int,has_children:boolean>
 MARKERS = "array<struct<start:int,depth:int,place:int,label:string>>"
 
 
+# A token of JSON: a mark, a string, or a number or name.
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|([^\s"\[\]{},:]+))', re.S)
+# What may come next in a text of JSON: a value, a value or the end of a list, a key or the end of an
+# object, a key, the colon behind it, what follows a value, nothing more.
+VALUE, ITEM, MEMBER, KEY, COLON, AFTER, DONE = range(7)
+
+
+def read_json(source: str) -> object:
+    """The value of a JSON text of any depth, by a stack of open lists and objects; ValueError for other text."""
+    at, state, result, key = 0, VALUE, None, None
+    open_: list[list | dict] = []
+
+    def put(value: object) -> None:
+        nonlocal result
+        if not open_:
+            result = value
+        elif isinstance(open_[-1], list):
+            open_[-1].append(value)
+        else:
+            open_[-1][key] = value
+
+    while True:
+        found = _TOKEN.match(source, at)
+        if found is None:
+            if state == DONE and not source[at:].strip(" \t\n\r"):
+                return result
+            raise ValueError("no JSON")
+        at = found.end()
+        mark, quoted, other = found.groups()
+        if state in (VALUE, ITEM) and mark in ("[", "{"):
+            inner: list | dict = [] if mark == "[" else {}
+            put(inner)
+            open_.append(inner)
+            state = ITEM if mark == "[" else MEMBER
+        elif state in (VALUE, ITEM) and mark is None:
+            put(json.loads(quoted or other))
+            state = AFTER if open_ else DONE
+        elif state in (MEMBER, KEY) and quoted:
+            key, state = json.loads(quoted), COLON
+        elif state == COLON and mark == ":":
+            state = VALUE
+        elif state == AFTER and mark == ",":
+            state = VALUE if isinstance(open_[-1], list) else KEY
+        elif (mark == "]" and state in (ITEM, AFTER) and isinstance(open_[-1], list)) or (
+            mark == "}" and state in (MEMBER, AFTER) and isinstance(open_[-1], dict)
+        ):
+            open_.pop()
+            state = AFTER if open_ else DONE
+        else:
+            raise ValueError("no JSON")
+
+
 def _walked(payload: str | None) -> list[dict]:
     """Entries of one stored table of contents in pre-order, whatever its depth."""
 
     def written(value: object) -> str | None:
-        return value if isinstance(value, str) or value is None else json.dumps(value)
+        if value is None or isinstance(value, str):
+            return value and value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        try:
+            return json.dumps(value)
+        except RecursionError:  # no label or link is nested like that
+            return None
 
     try:
-        top = json.loads(payload or "")
-    except (ValueError, RecursionError):
+        top = read_json(payload or "")
+    except ValueError:
         return []
     found: list[dict] = []
     for root in top if isinstance(top, list) else []:

@@ -35,21 +35,33 @@ def attr(x: str, name: str) -> str:
 
 
 def nodes(table: str, doc: str, keep: str = "true") -> str:
-    """Tags and texts one by one; a token is of the last block start unless something was closed since."""
+    """Tags and texts one by one. A node ends at the first later block tag that leaves fewer elements of
+    its kind open than there were before the node, or that no such node may hold."""
     tokens = f"unnest(regexp_extract_all({sub('html', SKIP, ' ')}, '<[^>]*>|[^<]+|<')) WITH ORDINALITY AS u(token, pos)"
-    starts = r"regexp_matches(token, '(?i)^<(h[1-4]|p|li|img)(\s[^>]*)?>$')"
-    ends = r"regexp_matches(token, '(?i)^</(h[1-6]|p|li|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol|section|table|tbody|td|th|tr|ul)\s*>$')"
-    return f"""tokens AS (SELECT {doc}, pos, token, {starts} AS starts, {ends} AS ends FROM {table}, {tokens}),
-    counted AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY {doc} ORDER BY pos) AS node FROM tokens),
-    inside AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY {doc}, node ORDER BY pos) AS closed FROM counted WHERE node > 0),
-    gathered AS (SELECT {doc}, node - 1 AS seq, max(token) FILTER (starts) AS head,
-        max(token) FILTER (pos = named) AS inner_head,
-        coalesce(string_agg(CASE WHEN starts THEN '' WHEN regexp_matches(token, '^<[^>]*>$') THEN ' ' ELSE token END, '' ORDER BY pos), '') AS raw
-        FROM (SELECT *, min(pos) FILTER (NOT starts AND regexp_matches(token, '(?i)^<[a-z][^>]*\\sid\\s*=')) OVER (PARTITION BY {doc}, node) AS named
-              FROM inside WHERE closed = 0) GROUP BY {doc}, node),
-    nodes AS (SELECT {doc}, seq, lower(regexp_extract(head, '[a-zA-Z0-9]+')) AS tag, coalesce({attr('head', 'class')}, '') AS classes,
+    block = r"(?i)^</?(h[1-6]|p|li|img|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol|section|table|tbody|td|th|tr|ul)(\s[^>]*)?/?>$"
+    return f"""tokens AS (SELECT {doc}, pos, token, lower(regexp_extract(token, '{block}', 1)) AS tag, token LIKE '</%' AS closes,
+        CASE WHEN token LIKE '</%' THEN -1 WHEN token LIKE '%/>' THEN 0 ELSE 1 END AS delta FROM {table}, {tokens}),
+    blocks AS (SELECT *, sum(delta) OVER (PARTITION BY {doc}, tag ORDER BY pos) AS open_after,
+        sum(CASE WHEN tag IN ('ul', 'ol') THEN delta ELSE 0 END) OVER (PARTITION BY {doc} ORDER BY pos) - CASE WHEN tag IN ('ul', 'ol') THEN delta ELSE 0 END AS lists,
+        sum(CASE WHEN tag = 'p' THEN 0 ELSE delta END) OVER (PARTITION BY {doc} ORDER BY pos) - CASE WHEN tag = 'p' THEN 0 ELSE delta END AS depth
+        FROM tokens WHERE tag NOT IN ('', 'img')),
+    starts AS (SELECT *, true AS is_node FROM blocks WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'p', 'li') AND delta = 1),
+    before AS (SELECT s.{doc}, s.pos, b.tag, sum(b.delta) AS n FROM starts s JOIN blocks b ON s.{doc} = b.{doc} AND b.pos < s.pos GROUP BY ALL),
+    closed AS (SELECT s.{doc}, s.pos, min(b.pos) AS stop FROM starts s JOIN blocks b ON s.{doc} = b.{doc} AND b.pos > s.pos
+        LEFT JOIN before x ON x.{doc} = s.{doc} AND x.pos = s.pos AND x.tag = b.tag
+        WHERE (s.tag = 'p' AND b.depth = s.depth AND (b.tag = 'p' OR NOT b.closes AND (b.tag = 'li' OR b.tag LIKE 'h_')))
+            OR (s.tag = 'li' AND b.tag = 'li' AND b.lists = s.lists)
+            OR (s.tag LIKE 'h_' AND b.tag LIKE 'h_' AND b.depth = s.depth + 1 AND (b.tag = s.tag OR NOT b.closes))
+            OR (b.closes AND b.tag <> 'p' AND b.tag <> s.tag AND b.open_after < coalesce(x.n, 0)) GROUP BY ALL),
+    spans AS (SELECT s.{doc}, s.pos, s.tag, s.token AS head, coalesce(c.stop, 1000000000) AS stop FROM starts s LEFT JOIN closed c ON s.{doc} = c.{doc} AND s.pos = c.pos
+        UNION ALL SELECT {doc}, pos, tag, token, pos FROM tokens WHERE tag = 'img' AND NOT closes),
+    gathered AS (SELECT s.{doc}, s.pos, any_value(s.tag) AS tag, any_value(head) AS head,
+        arg_min(t.token, t.pos) FILTER (regexp_matches(t.token, '(?i)^<[a-z][^>]*\\sid\\s*=')) AS inner_head,
+        coalesce(string_agg(CASE WHEN regexp_matches(t.token, '^<[^>]*>$') THEN ' ' ELSE t.token END, '' ORDER BY t.pos), '') AS raw
+        FROM spans s LEFT JOIN tokens t ON s.{doc} = t.{doc} AND t.pos > s.pos AND t.pos < s.stop GROUP BY s.{doc}, s.pos),
+    nodes AS (SELECT {doc}, row_number() OVER (PARTITION BY {doc} ORDER BY pos) - 1 AS seq, tag, coalesce({attr('head', 'class')}, '') AS classes,
         coalesce({attr('head', 'id')}, {attr('inner_head', 'id')}) AS id, {attr('head', 'src')} AS src,
-        CASE WHEN head ILIKE '<img%' THEN '' ELSE {squash(decode('raw'))} END AS text FROM gathered)"""
+        {squash(decode('raw'))} AS text FROM gathered)"""
 
 
 SECTIONS = nodes("pages", "page_id") + """,
@@ -136,9 +148,15 @@ def w(ctes: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
 
 
+NESTED = (
+    '<ul class="a b"><li>one <p id="two">two</p> three <ul><li>deep<li>deeper <img src="i.png"> x</ul> up</li><li><div>a</div> b</li>'
+    '</ul><h2>head <i id="h">of</i> it</h2>lost<table><tr><td>cell <p>in cell</td></tr></table><article><div><p>p '
+)
 TALK = "SELECT conv_id AS file_id, turn AS page, text FROM conversations"
 SQL = {
     "html_nodes": w(nodes("pages", "page_id"), "SELECT page_id, seq, tag, classes, id, text FROM nodes"),
+    "html_nodes_nested": w("nested AS (SELECT page_id, replace(replace(html, '<h1>', " + quoted([NESTED])[1:-1] + " || page_id || '</p></div></article><h1>'), '<b>', '<div><p>inner</p> mid</div><b>') AS html FROM pages), "
+        + nodes("nested", "page_id"), "SELECT page_id, seq, tag, classes, id, src, text FROM nodes"),
     "nav_html_skip": """SELECT * FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'OEBPS/Nav.xhtml' WHEN 1 THEN 'nav.x' WHEN 2 THEN 'toc-nav.html'
         WHEN 3 THEN 'text/navy.html' ELSE url END AS doc FROM pages) WHERE NOT (suffix(lower(doc), 'nav.xhtml') OR suffix(lower(doc), 'nav.html') OR starts_with(lower(doc), 'nav.'))""",
     "sectionize": w(SECTIONS, "SELECT page_id, section_no, heading, array_to_string(lines, chr(10)) AS lines FROM sections"),

@@ -19,6 +19,19 @@ def html_nodes(spark, d):
     )
 
 
+def html_nodes_nested(spark, d):
+    """Pages with lists in lists, paragraphs in items and blocks in paragraphs around their own text."""
+    before = (
+        '<ul class="a b"><li>one <p id="two">two</p> three <ul><li>deep<li>deeper <img src="i.png"> x</ul> up</li><li><div>a</div> b</li>'
+        '</ul><h2>head <i id="h">of</i> it</h2>lost<table><tr><td>cell <p>in cell</td></tr></table><article><div><p>p '
+    )
+    start = F.concat(F.lit(before), F.col("page_id").cast("string"), F.lit("</p></div></article><h1>"))
+    nested = F.replace(F.replace("html", F.lit("<h1>"), start), F.lit("<b>"), F.lit("<div><p>inner</p> mid</div><b>"))
+    return html.html_nodes(_pages(spark, d).withColumn("html", nested)).select(
+        "page_id", "seq", "tag", F.array_join("classes", " ").alias("classes"), "id", "src", "text"
+    )
+
+
 def nav_html_skip(spark, d):
     pages = views.table(spark, d, "pages")
     form = F.col("page_id") % 5
@@ -211,7 +224,7 @@ def targeted_reextract(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        html_nodes, nav_html_skip, sectionize, html_sections, toc_from_html, dedupe_consecutive, recipe_candidate,
+        html_nodes, html_nodes_nested, nav_html_skip, sectionize, html_sections, toc_from_html, dedupe_consecutive, recipe_candidate,
         section_fields, method_steps, deterministic_gate, deterministic_drafts, review_flags, caption_attach,
         pdf_page_sections, pdf_blocks, page_range_text, profile_match, profile_sections, anchor_text, targeted_reextract,
     )

@@ -1,9 +1,11 @@
 """HTML pages to ordered block nodes, without a tree parser.
 
-Block start tags mark where nodes begin. A node ends where its own block or an enclosing element is
-closed, or at the next block start; blocks opened and closed inside it and images belong to it. So
-text behind a closed block belongs to no node, an unclosed paragraph keeps its text, and no text
-belongs to two nodes.
+A page is cut before every tag of a block or image, and a fold over the pieces keeps the open elements. A
+node is a heading, paragraph or list item with all that is inside it, so a list item keeps the text around and
+in a paragraph of its own, which is a node as well. A closing tag ends its element and those open in it; a
+paragraph or heading also ends at the next one, a paragraph at a list item too, a list item at the next one of its
+list, unless something opened in it is still open. A list item in no list that is not closed by its own tag ends
+at the first paragraph or heading in it.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ from pyspark.sql import functions as F
 from larder.functions.text import bind, blank_to_null, epub_path, squash
 
 MARK = "\x01"
-BLOCKS = r"(?i)<(h[1-4]|p|li)(\s[^>]*)?>"
-IMAGE = r"(?i)<img(?:\s[^>]*)?>"
+NODES = ("h1", "h2", "h3", "h4", "p", "li")
+TITLES = ("h1", "h2", "h3", "h4", "h5", "h6")
 SKIPPED = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-# Closing one of these ends the node that is open, unless it was opened inside the node.
-ENDS = (
-    r"(?i)<(/?(?:h[1-6]|p|li|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol"
-    r"|section|table|tbody|td|th|tr|ul))((?:\s[^>]*)?)>"
+# Tags before which a page is cut.
+BOUNDS = (
+    r"(?i)(</?(?:h[1-6]|p|li|img|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol"
+    r"|section|table|tbody|td|th|tr|ul)(?:\s[^>]*)?/?>)"
 )
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # Characters by name, as the public standard of HTML lists them.
@@ -66,67 +68,112 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(blank_to_null(found), blank_to_null(other))
 
 
-def _own_part(body: Column) -> Column:
-    """What is before the first closing tag whose element was not opened in ``body``."""
-    parts = F.split(F.regexp_replace(body, ENDS, f"{MARK}$1$2>"), MARK)
+SPAN = "struct<at:int,end:int>"
+FAR = 1 << 30
+
+
+def _spans(pieces: Column) -> Column:
+    """First and last piece of every node and image, in the order in which they begin."""
+    tags = F.transform(
+        pieces,
+        lambda p: F.struct(
+            F.lower(F.regexp_extract(p, "^</?([a-zA-Z0-9]+)", 1)).alias("tag"),
+            F.startswith(p, F.lit("</")).alias("closes"),
+            F.rlike(p, F.lit("^<[^>]*/>")).alias("empty"),
+        ),
+    )
     state = F.struct(
-        F.array().cast("array<string>").alias("open"), F.lit(1).alias("kept"), F.lit(False).alias("ended")
+        F.lit(0).alias("at"),
+        F.array().cast("array<struct<tag:string,at:int,first:int>>").alias("open"),
+        F.array().cast(f"array<{SPAN}>").alias("out"),
     )
 
-    def step(acc: Column, part: Column) -> Column:
-        tag = F.lower(F.regexp_extract(part, "^/?([a-zA-Z0-9]+)", 1))
-        closes, empty = F.startswith(part, F.lit("/")), F.rlike(part, F.lit("^[^>]*/>"))
-        at = F.array_position(acc["open"], tag).cast("int")
-        ended = acc["ended"] | (closes & (at == 0))
-        inner = (
-            F.when(closes, F.slice(acc["open"], at + 1, F.size(acc["open"])))
-            .when(empty, acc["open"]).otherwise(F.array_prepend(acc["open"], tag))
+    def place(open_: Column, *names: str) -> Column:
+        """How deep the innermost element of a kind is, from 1; far for none."""
+        kind = F.transform(open_, lambda e: e["tag"].isin(*names))
+        return F.coalesce(F.nullif(F.array_position(kind, F.lit(True)), F.lit(0)), F.lit(FAR)).cast("int")
+
+    def step(acc: Column, piece: Column) -> Column:
+        open_, tag = acc["open"], piece["tag"]
+        top = F.get(open_, F.lit(0))["tag"]
+        own = F.array_position(F.transform(open_, lambda e: e["tag"]), tag).cast("int")
+        item = F.when((tag == "li") & (place(open_, "li") < place(open_, "ul", "ol")), place(open_, "li"))
+        ends_p = (top == "p") & tag.isin("p", "li", *TITLES)
+        instead = F.when(ends_p | (top.isin(*TITLES) & tag.isin(*TITLES)), 1).otherwise(0)
+        closed = F.when(tag.isin("", "img"), 0).when(piece["closes"], own).otherwise(F.coalesce(item, instead))
+
+        def moved(n: Column) -> Column:
+            ended = F.filter(F.slice(open_, 1, n), lambda e: e["tag"].isin(*NODES))
+            by_tag = piece["closes"] & (tag == "li")
+            spans = F.transform(
+                ended,
+                lambda e: F.struct(
+                    e["at"].alias("at"), F.when(by_tag, acc["at"]).otherwise(F.coalesce(e["first"], acc["at"])).alias("end")
+                ),
+            )
+            image = F.struct(acc["at"].alias("at"), (acc["at"] + 1).alias("end"))
+            rest = F.when(n > 0, F.slice(open_, n + 1, FAR)).otherwise(open_)
+            loose = ~piece["closes"] & tag.isin("p", *TITLES) & (place(open_, "li") < place(open_, "ul", "ol"))
+            loose = loose & (place(open_, "ul", "ol") == FAR)
+            rest = F.when(
+                loose,
+                F.transform(
+                    rest,
+                    lambda e: F.struct(
+                        e["tag"].alias("tag"), e["at"].alias("at"),
+                        F.coalesce(e["first"], F.when(e["tag"] == "li", acc["at"])).alias("first"),
+                    ),
+                ),
+            ).otherwise(rest)
+            new = F.struct(tag.alias("tag"), acc["at"].alias("at"), F.lit(None).cast("int").alias("first"))
+            opens = ~piece["closes"] & ~piece["empty"] & ~tag.isin("", "img")
+            return F.struct(
+                (acc["at"] + 1).alias("at"),
+                F.when(opens, F.array_prepend(rest, new)).otherwise(rest).alias("open"),
+                F.when((tag == "img") & ~piece["closes"], F.array_append(acc["out"], image))
+                .when(n > 0, F.concat(acc["out"], spans)).otherwise(acc["out"]).alias("out"),
+            )
+
+        return bind(F.coalesce(closed, F.lit(0)), moved)
+
+    def finished(acc: Column) -> Column:
+        left = F.filter(acc["open"], lambda e: e["tag"].isin(*NODES))
+        return F.array_sort(
+            F.concat(acc["out"], F.transform(left, lambda e: F.struct(e["at"].alias("at"), F.coalesce(e["first"], acc["at"]).alias("end"))))
         )
-        return F.struct(
-            F.when(ended, acc["open"]).otherwise(inner).alias("open"),
-            F.when(ended, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"), ended.alias("ended"),
-        )
-
-    def joined(parts: Column) -> Column:
-        kept = F.aggregate(F.slice(parts, 2, 1000000000), state, step, lambda acc: acc["kept"])
-        return F.array_join(F.slice(parts, 1, kept), "<")
 
-    return F.when(F.contains(body, F.lit("</")), bind(parts, joined)).otherwise(body)
+    return F.aggregate(tags, state, step, finished)
 
 
 def node_array(html: Column) -> Column:
-    """Ordered nodes h1-h4, p, li and img of a page as an array of structs; images follow the node they are in."""
-    marked = F.regexp_replace(F.regexp_replace(html, SKIPPED, " "), BLOCKS, f"{MARK}$1$2>")
-    # The first piece, before any block, has only images.
-    pieces = F.split(F.concat(F.lit(">"), marked), MARK)
-
-    def entry(start: Column, tag: Column, inner: Column, text: Column) -> Column:
-        classes = F.filter(F.split(squash(F.coalesce(attribute(start, "class"), F.lit(""))), " "), lambda c: c != "")
-        return F.struct(
-            tag.alias("tag"),
-            classes.alias("classes"),
-            F.coalesce(attribute(start, "id"), attribute(inner, "id")).alias("id"),
-            attribute(start, "src").alias("src"),
-            text.alias("text"),
+    """Ordered nodes h1-h4, p, li and img of a page as an array of structs."""
+    pieces = F.split(F.regexp_replace(F.regexp_replace(html, SKIPPED, " "), BOUNDS, f"{MARK}$1"), MARK)
+
+    def node(pieces: Column, span: Column) -> Column:
+        first = F.get(pieces, span["at"])
+        start = F.regexp_extract(first, "^<[^>]*>", 0)
+        image = F.rlike(start, F.lit("(?i)^<img"))
+        body = F.when(image, "").otherwise(
+            F.concat(
+                F.substring(first, F.length(start) + 1, F.length(first)),
+                F.array_join(F.slice(pieces, span["at"] + 2, span["end"] - span["at"] - 1), ""),
+            )
         )
+        classes = F.filter(F.split(squash(F.coalesce(attribute(start, "class"), F.lit(""))), " "), lambda c: c != "")
 
-    def node(piece: Column) -> Column:
         def of(body: Column) -> Column:
             inner = F.regexp_extract(body, r"(?i)<[a-z][^>]*\sid\s*=[^>]*>", 0)
-            tag = F.lower(F.regexp_extract(piece, "^[a-zA-Z0-9]+", 0))
-            text = squash(decode(F.regexp_replace(body, "<[^>]*>", " ")))
-            return entry(F.regexp_extract(piece, "^[^>]*>", 0), tag, inner, text)
-
-        return bind(_own_part(F.regexp_replace(F.regexp_replace(piece, "^[^>]*>", ""), IMAGE, " ")), of)
-
-    def image(start: Column) -> Column:
-        return entry(start, F.lit("img"), F.lit(""), F.lit(""))
+            return F.struct(
+                F.lower(F.regexp_extract(start, "^<([a-zA-Z0-9]+)", 1)).alias("tag"),
+                classes.alias("classes"),
+                F.coalesce(attribute(start, "id"), attribute(inner, "id")).alias("id"),
+                attribute(start, "src").alias("src"),
+                squash(decode(F.regexp_replace(body, "<[^>]*>", " "))).alias("text"),
+            )
 
-    def nodes(piece: Column) -> Column:
-        images = F.transform(F.regexp_extract_all(piece, F.lit(f"({IMAGE})"), F.lit(0)), image)
-        return F.when(F.startswith(piece, F.lit(">")), images).otherwise(F.concat(F.array(node(piece)), images))
+        return bind(body, of)
 
-    return F.flatten(F.transform(pieces, nodes))
+    return bind(pieces, lambda cut: F.transform(_spans(cut), lambda span: node(cut, span)))
 
 
 def html_nodes(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:

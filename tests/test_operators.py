@@ -1,5 +1,7 @@
 """Golden and brute-force cases of the operators."""
 
+import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -343,6 +345,37 @@ def test_chapter_maps(spark):
     assert dict(rows(toc.chapter_map(own), "path", "label")) == {"v": "Vegetables", "f": "Fish & Shellfish"}
 
 
+def test_toc_json_of_any_depth(spark):
+    deep = "[" + '{"label": "a", "href": "b", "children": [' * 100_000 + "]}" * 100_000 + "]"
+    data = [(1, deep), (2, deep[:-1]), (3, "[" * 50_000), (4, '[{"label": "x", "href": "y"}] z'), (5, '[{"label": "\\ud800x", "href": "y"}]')]
+    got = toc.toc_flatten(spark.createDataFrame(data, "cookbook_id int, table_of_contents string"))
+    counts = {r.cookbook_id: (r["n"], r["deepest"]) for r in got.groupBy("cookbook_id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest")).collect()}
+    assert counts == {1: (100_000, 99_999), 5: (1, 0)}
+
+
+def test_json_is_read_as_the_library_reads_it():
+    draw = random.Random(3)
+
+    def made(depth):
+        kind = draw.randrange(7 if depth < 4 else 5)
+        if kind < 5:
+            return [None, True, draw.random() * 1e6, draw.randrange(-99, 99), 'a"\\é\n]'][kind]
+        return [made(depth + 1) for _ in range(draw.randrange(4))] if kind == 5 else {f"k{i}": made(depth + 1) for i in range(draw.randrange(4))}
+
+    def read(reader, source):
+        try:
+            return True, reader(source)
+        except ValueError:
+            return False, None
+
+    for _ in range(5000):
+        source = json.dumps(made(0), indent=draw.choice([None, 1]))
+        if draw.random() < 0.5:
+            at = draw.randrange(len(source))
+            source = source[:at] + draw.choice('[]{},:"1tnull ') + source[at + draw.randrange(2) :]
+        assert read(toc.read_json, source) == read(json.loads, source), source
+
+
 def test_toc_json_and_best(spark):
     payloads = [
         ("a", '[{"label":"Contents","href":"c","children":[{"label":"Vegetables","href":"v","children":[]},{"label":"Fish","href":"f"}]}, 7, "x"]'),
@@ -367,7 +400,10 @@ def test_html_nodes_end_where_their_block_is_closed(spark):
     cases = {
         '<p>a</p><div class="ad">BUY NOW</div><p>b</p>': ["a", "b"],
         "<p>a</p>tail<table><tr><td>cell</td></tr></table><h2>h</h2> x": ["a", "h"],
-        "<ul><li>one <p>two</p> three</li><li>four</ul>five": ["one", "two", "four"],
+        "<ul><li>one <p>two</p> three</li><li>four</ul>five": ["one two three", "two", "four"],
+        "<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><p>f<div><p>g</div>h</p>i": ["a b c d", "b", "c", "e", "f g h", "g"],
+        "<li>a<p>b</p>c</li><li>d<p>e</p>": ["a b c", "b", "d", "e"],
+        "<ol><li><p>x</p><p>y</p></li></ol><h2>t<h3>u</h3></p>v": ["x y", "x", "y", "t", "u"],
         "<div><p>open <b>bold<br></div><footer>&copy; foot</footer>": ["open bold"],
         "<p>&frac12; &#189; &#xBD; &eacute; &amp;lt; &nosuch; &#0; a&b &rsquo;</p>": ["½ ½ ½ é &lt; &nosuch; \ufffd a&b ’"],
     }
