@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions.ingredients import index_name, ingredient_payload
 from larder.functions.text import blank_to_null, clean_metadata, published_at, sort_key, strip, text
 from larder.operators.ordering import positions, prev_next, ranked
+from larder.sources.shelves import Shelves
 from larder.session import computed_once, cut_lineage
 
 # The built-in collections and the management groups, in shown order.
@@ -344,25 +345,17 @@ def backfill_diff(lines: DataFrame, stored_names: DataFrame) -> DataFrame:
 # --- changes ---------------------------------------------------------------------------------
 
 
-def replace_by_cookbook(new: DataFrame, current: DataFrame) -> DataFrame:
-    """The recipe table after re-extraction of the cookbooks in ``new``."""
-    return current.join(new.select("cookbook_id").distinct(), "cookbook_id", "left_anti").unionByName(new)
+def replace_by_cookbook(shelves: Shelves, new: Mapping[str, DataFrame]) -> None:
+    """Store re-extracted cookbooks: their dishes and all child rows give way to those in ``new``.
 
-
-def drop_children(child: DataFrame, removed: DataFrame) -> DataFrame:
-    """Index rows, toggles or vectors without those of the removed dishes."""
-    return child.join(removed.select("recipe_id"), "recipe_id", "left_anti")
+    ``new`` names ``dishes`` and whichever child tables have new rows; cookbooks are those of the new dishes.
+    """
+    shelves.replace(new, owners=new["dishes"])
 
 
-def cascade_delete(
-    tables: Mapping[str, DataFrame], cookbook_ids: DataFrame
-) -> dict[str, DataFrame]:
-    """``cookbooks``, ``dishes`` and every child table without the given cookbooks."""
-    gone = cookbook_ids.select("cookbook_id")
-    removed = tables["dishes"].join(gone, "cookbook_id", "left_semi")
-    result = {name: tables[name].join(gone, "cookbook_id", "left_anti") for name in ("cookbooks", "dishes")}
-    children = {n: drop_children(t, removed) for n, t in tables.items() if n not in result}
-    return {**result, **children}
+def cascade_delete(shelves: Shelves, cookbook_ids: DataFrame) -> None:
+    """Drop cookbooks with their dishes and every child row of these."""
+    shelves.delete(cookbook_ids)
 
 
 def new_anchor_anti(drafts: DataFrame, dishes: DataFrame) -> DataFrame:
@@ -385,11 +378,9 @@ def append_new_anchors(drafts: DataFrame, existing: DataFrame, order: Sequence[C
     return placed.withColumn("recipe_id", F.sha2(key, 256))
 
 
-def vector_upsert(current: DataFrame, dishes: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """The vector table after an upsert: new vectors with their payload replace old ones by id.
+def vector_upsert(shelves: Shelves, dishes: DataFrame, embeddings: DataFrame, table: str = "vectors") -> None:
+    """Store the vectors of ``embeddings`` with the payload of their dishes, over old ones of the same recipe.
 
-    Dishes without an embedding get no vector.
+    Dishes without an embedding get no vector, and embeddings without a dish are not stored.
     """
-    new = dishes.join(embeddings, "recipe_id")
-    kept = current.join(embeddings.select("recipe_id"), "recipe_id", "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    shelves.upsert(table, dishes.join(embeddings, "recipe_id"), ["recipe_id"])

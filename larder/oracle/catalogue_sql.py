@@ -59,6 +59,8 @@ def text_order(a: str, b: str) -> str:
 
 INDEX_NAME = let(normalized("canonical_name"), "c", f"CASE WHEN c <> '' THEN c ELSE {canonical_norm(normalized('name'))} END")
 
+# All numbers of a vector in millionths.
+NUMBERS = "array_to_string(list_transform({v}, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',')"
 SQL = {
     "hydrate_cookbooks": with_views("""SELECT cast(cookbook_id AS VARCHAR) AS cookbook_id, title, author, cuisine, collection_slug, published_at,
         cookbook_id * 1000 AS size_bytes, CASE cookbook_id % 4 WHEN 0 THEN 'staged' WHEN 1 THEN 'queued' ELSE 'extracted' END AS status,
@@ -116,19 +118,22 @@ SQL = {
         r AS (SELECT recipe_id, bool_or(changed) AS changed, bool_or(name = 'small ring') AS lacking, count(*) FILTER (changed) AS n FROM lines GROUP BY 1)
         SELECT count(*) AS recipes_scanned, count(*) FILTER (changed OR lacking) AS recipes_updated, cast(sum(n) AS BIGINT) AS ingredients_updated FROM r""", "v_ingredients"),
     "ingredient_index": with_views(f", {STORED} SELECT DISTINCT recipe_id, {INDEX_NAME} AS name FROM stored", "v_ingredients"),
-    "replace_by_cookbook": with_views("""SELECT recipe_id, cookbook_id, position, review_status FROM v_recipes
-        WHERE cookbook_id NOT IN (SELECT cookbook_id FROM v_recipes WHERE priority = '1-URGENT')
-        UNION ALL SELECT recipe_id + 1000000, cookbook_id, position, 'pending_review' FROM v_recipes WHERE priority = '1-URGENT'""", "v_recipes"),
+    "replace_by_cookbook": with_views(f""", urgent AS (SELECT * FROM v_recipes WHERE priority = '1-URGENT'), again AS (SELECT cookbook_id FROM urgent)
+        SELECT 'dishes' AS "table", cookbook_id, recipe_id, position || '|' || review_status AS detail FROM v_recipes WHERE cookbook_id NOT IN (FROM again)
+        UNION ALL SELECT 'dishes', cookbook_id, recipe_id + 1000000, position || '|pending_review' FROM urgent
+        UNION ALL SELECT 'index', cookbook_id, recipe_id, name FROM v_index JOIN v_recipes USING (recipe_id) WHERE cookbook_id NOT IN (FROM again)
+        UNION ALL SELECT 'index', cookbook_id, recipe_id + 1000000, upper(name) FROM v_index JOIN urgent USING (recipe_id)
+        UNION ALL SELECT 'vectors', cookbook_id, recipe_id, {NUMBERS.format(v='embedding')} FROM embeddings JOIN v_recipes ON recipe_id = vec_id WHERE cookbook_id NOT IN (FROM again)""", "v_recipes", "v_index"),
     "new_anchor_anti": f"WITH {DRAFTS} SELECT * FROM fresh",
     "append_new_anchors": f"WITH {DRAFTS} SELECT *, sha256(cookbook_id || '|' || anchor || '|' || position) AS recipe_id FROM {PLACED.format(t='fresh')}",
     "positions": f"WITH {DRAFTS} SELECT cookbook_id, draft_no, position FROM {PLACED.format(t='drafts')}",
-    "cascade_delete": with_views(""", gone AS (SELECT cookbook_id FROM v_cookbooks WHERE author IS NULL), dead AS (SELECT recipe_id FROM v_recipes WHERE cookbook_id IN (FROM gone))
-        SELECT 'cookbooks' AS "table", count(*) AS "rows" FROM v_cookbooks WHERE cookbook_id NOT IN (FROM gone)
-        UNION ALL SELECT 'dishes', count(*) FROM v_recipes WHERE cookbook_id NOT IN (FROM gone)
-        UNION ALL SELECT 'index', count(*) FROM v_index WHERE recipe_id NOT IN (FROM dead)
-        UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (FROM dead)""", "v_cookbooks", "v_recipes", "v_index"),
-    "vector_upsert": with_views("""SELECT vec_id AS recipe_id, round(cast(embedding[1] AS DOUBLE), 6) AS first, 'old' AS title FROM embeddings WHERE embedding[1] <= 0
-        UNION ALL SELECT vec_id, round(cast(embedding[2] AS DOUBLE), 6), title FROM embeddings JOIN v_docs ON recipe_id = vec_id WHERE embedding[1] > 0""", "v_docs"),
+    "cascade_delete": with_views(f""", gone AS (SELECT cookbook_id FROM v_cookbooks WHERE author IS NULL), stay AS (SELECT * FROM v_recipes WHERE cookbook_id NOT IN (FROM gone))
+        SELECT 'cookbooks' AS "table", cookbook_id, CAST(NULL AS BIGINT) AS recipe_id, title AS detail FROM v_cookbooks WHERE cookbook_id NOT IN (FROM gone)
+        UNION ALL SELECT 'dishes', cookbook_id, recipe_id, position || '|' || review_status FROM stay
+        UNION ALL SELECT 'index', cookbook_id, recipe_id, name FROM v_index JOIN stay USING (recipe_id)
+        UNION ALL SELECT 'vectors', cookbook_id, recipe_id, {NUMBERS.format(v='embedding')} FROM embeddings JOIN stay ON recipe_id = vec_id""", "v_cookbooks", "v_recipes", "v_index"),
+    "vector_upsert": with_views(f"""SELECT vec_id AS recipe_id, vec_id % 50 AS cookbook_id, CASE WHEN t.recipe_id IS NULL THEN {NUMBERS.format(v='embedding')} ELSE {NUMBERS.format(v='list_reverse(embedding)')} END AS numbers,
+        coalesce(title, 'old') AS title FROM embeddings LEFT JOIN v_docs t ON t.recipe_id = vec_id AND embedding[1] > 0""", "v_docs"),
     "top_images": with_views("SELECT recipe_id, array_to_string(lines[1:4], '|') AS images FROM v_docs", "v_docs"),
     "sort_cookbooks": sorted_by(text_order("title", "author")),
     "sort_cookbooks_author": sorted_by(text_order("author", "title")),

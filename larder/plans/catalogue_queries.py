@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators import catalogue, ordering
+from larder.session import cut_lineage
 from larder.sources import files, views
+from larder.sources.shelves import Shelves
+from larder.streaming.jobs import scratch
 
 
 def _raw_cookbooks(spark, d):
@@ -205,18 +211,54 @@ def ingredient_index(spark, d):
     return build(_stored_lines(spark, d))
 
 
-def _changes(spark, d):
-    every = views.dishes(spark, d)
-    dishes = every.select("recipe_id", "cookbook_id", "position", "review_status")
-    urgent = every.where(F.col("priority") == "1-URGENT").select(*dishes.columns)
-    new = urgent.withColumns(
-        {"recipe_id": F.col("recipe_id") + 1000000, "review_status": F.lit("pending_review")}
-    )
-    return new, dishes
+def _library(spark, d):
+    """Cookbooks, dishes, index names and vectors as stored tables in a fresh folder."""
+    dishes = views.dishes(spark, d).select("cookbook_id", "recipe_id", "position", "review_status", "priority")
+    owner = dishes.select("recipe_id", "cookbook_id")
+    tables = {
+        "index": views.ingredient_index(spark, d).join(owner, "recipe_id"),
+        "vectors": views.vectors(spark, d).join(owner, "recipe_id"),
+        "dishes": dishes,
+        "cookbooks": views.cookbooks(spark, d).select("cookbook_id", "title", "author"),
+    }
+    return Shelves.create(spark, scratch(spark, "library"), tables, buckets=16)
+
+
+def _numbers(vector):
+    """All numbers of a vector in millionths."""
+    return F.array_join(F.transform(vector, lambda x: F.floor(x.cast("double") * 1000000)), ",")
+
+
+def _stored_rows(shelves):
+    """The rows of all stored tables, read back."""
+    detail = {
+        "index": F.col("name"), "vectors": _numbers(F.col("embedding")), "cookbooks": F.col("title"),
+        "dishes": F.concat_ws("|", F.col("position").cast("string"), "review_status"),
+    }
+    parts = [
+        shelves.read(name).select(
+            F.lit(name).alias("table"), "cookbook_id",
+            (F.lit(None).cast("bigint") if name == "cookbooks" else F.col("recipe_id")).alias("recipe_id"),
+            detail[name].alias("detail"),
+        )
+        for name in shelves.tables
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def replace_by_cookbook(spark, d):
-    return catalogue.replace_by_cookbook(*_changes(spark, d))
+    """Cookbooks with an urgent dish are read again: their urgent dishes come back, with other names."""
+    shelves = _library(spark, d)
+    urgent = shelves.read("dishes").where(F.col("priority") == "1-URGENT")
+    names = shelves.read("index").join(urgent.select("recipe_id"), "recipe_id")
+    moved = F.col("recipe_id") + 1000000
+    new = {
+        "dishes": urgent.withColumns({"recipe_id": moved, "review_status": F.lit("pending_review")}),
+        "index": names.withColumns({"recipe_id": moved, "name": F.upper("name")}),
+    }
+    # What is new is read from the tables that change, so it is written before they do.
+    catalogue.replace_by_cookbook(shelves, {name: cut_lineage(df) for name, df in new.items()})
+    return _stored_rows(shelves).where(F.col("table") != "cookbooks")
 
 
 def _drafts(spark, d):
@@ -245,25 +287,21 @@ def positions(spark, d):
 
 
 def cascade_delete(spark, d):
-    books = views.cookbooks(spark, d)
-    tables = {
-        "cookbooks": books.select("cookbook_id"),
-        "dishes": views.dishes(spark, d).select("recipe_id", "cookbook_id"),
-        "index": views.ingredient_index(spark, d),
-        "vectors": views.vectors(spark, d).select("recipe_id"),
-    }
-    left = catalogue.cascade_delete(tables, books.where(F.col("author").isNull()))
-    kept = [t.agg(F.lit(n).alias("table"), F.count("*").alias("rows")) for n, t in left.items()]
-    return kept[0].union(kept[1]).union(kept[2]).union(kept[3])
+    shelves = _library(spark, d)
+    catalogue.cascade_delete(shelves, views.cookbooks(spark, d).where(F.col("author").isNull()))
+    return _stored_rows(shelves)
 
 
 def vector_upsert(spark, d):
-    docs = views.documents(spark, d)
-    vectors = views.vectors(spark, d)
-    current = vectors.select("recipe_id", F.element_at("embedding", 1).cast("double").alias("first"), F.lit("old").alias("title"))
-    new = vectors.where(F.element_at("embedding", 1) > 0).select("recipe_id", F.element_at("embedding", 2).cast("double").alias("first"))
-    done = catalogue.vector_upsert(current, docs.select("recipe_id", "title"), new)
-    return done.select("recipe_id", F.round("first", 6).alias("first"), "title")
+    """Every vector is stored; those that begin above zero are stored again, backwards and with a title."""
+    vectors = views.vectors(spark, d).withColumn("cookbook_id", F.col("recipe_id") % 50)
+    current = vectors.withColumn("title", F.lit("old"))
+    shelves = Shelves.create(spark, scratch(spark, "vectors"), {"vectors": current}, buckets=16)
+    new = vectors.where(F.element_at("embedding", 1) > 0).select(
+        "recipe_id", "cookbook_id", F.reverse("embedding").alias("embedding")
+    )
+    catalogue.vector_upsert(shelves, views.documents(spark, d).select("recipe_id", "title"), new)
+    return shelves.read("vectors").select("recipe_id", "cookbook_id", _numbers(F.col("embedding")).alias("numbers"), "title")
 
 
 def top_images(spark, d):
