@@ -367,13 +367,15 @@ def new_anchor_anti(drafts: DataFrame, dishes: DataFrame) -> DataFrame:
     return keyed.join(stored, ["cookbook_id", "_anchor"], "left_anti").drop("_anchor")
 
 
-def append_new_anchors(drafts: DataFrame, existing: DataFrame, order: Sequence[Column]) -> DataFrame:
+def append_new_anchors(
+    drafts: DataFrame, existing: DataFrame, order: Sequence[Column], ids: Sequence[str] = ()
+) -> DataFrame:
     """Dishes to append: unseen anchors, numbered after the stored ones.
 
     Repeats inside the batch all stay. Ids derive from cookbook, anchor and position, so a rerun
-    writes the same rows.
+    writes the same rows. ``ids`` as in ``positions``.
     """
-    placed = positions(new_anchor_anti(drafts, existing), existing, order)
+    placed = positions(new_anchor_anti(drafts, existing), existing, order, ids)
     key = F.concat_ws("|", F.col("cookbook_id").cast("string"), text(F.col("anchor")), F.col("position").cast("string"))
     return placed.withColumn("recipe_id", F.sha2(key, 256))
 

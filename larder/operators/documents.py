@@ -140,8 +140,13 @@ def sectionize(pages: DataFrame, doc: str = "page_id", html: str = "html") -> Da
 
     Images before the first line belong to the first section.
     """
+    return node_sections(pages.select(doc, node_array(F.col(html)).alias("nodes")), [doc])
+
+
+def node_sections(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """``sectionize`` of pages read before: ``keep`` and the sections of each page's ``nodes``."""
     nodes = F.filter(
-        node_array(F.col(html)),
+        "nodes",
         lambda n: n["tag"].isin(*HEADINGS) | ((n["tag"] == "img") & n["src"].isNotNull()) | (n["text"] != ""),
     )
 
@@ -154,11 +159,11 @@ def sectionize(pages: DataFrame, doc: str = "page_id", html: str = "html") -> Da
         )
         return bind(first_line, lambda f: split_at(a, lambda n, i: (i == 0) | (n["tag"].isin(*HEADINGS) & (i > f))))
 
-    rows = pages.select(doc, F.posexplode(bind(nodes, sections)).alias("at", "nodes"))
+    rows = parsed.select(*keep, F.posexplode(bind(nodes, sections)).alias("at", "nodes"))
     heads = F.filter("nodes", lambda n: n["tag"].isin(*HEADINGS))
     lines = F.transform(F.filter("nodes", is_line), lambda n: n["text"])
     return rows.select(
-        doc,
+        *keep,
         (F.col("at") + 1).alias("section_no"),
         F.get(heads, F.lit(0))["text"].alias("heading"),
         lines.alias("lines"),
@@ -168,11 +173,15 @@ def sectionize(pages: DataFrame, doc: str = "page_id", html: str = "html") -> Da
 
 def html_sections(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:
     """Generic sections with title, text, excerpt and anchor ``doc#n``."""
-    rows = sectionize(pages, doc, html)
+    return generic_sections(sectionize(pages, doc, html), doc, [doc])
+
+
+def generic_sections(rows: DataFrame, doc: str, keep: list[str]) -> DataFrame:
+    """Sections of ``sectionize`` with title, text, excerpt and anchor."""
     lines = dedupe_consecutive(F.col("lines"))
     key = F.concat(F.col(doc).cast("string"), F.lit("#"), F.col("section_no").cast("string"))
     return rows.withColumn("lines", lines).where(F.size("lines") > 0).select(
-        doc,
+        *keep,
         "section_no",
         key.alias("section_key"),
         key.alias("anchor"),
@@ -184,23 +193,21 @@ def html_sections(pages: DataFrame, doc: str = "page_id", html: str = "html") ->
     )
 
 
-def caption_attach(sections: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def caption_attach(sections: DataFrame, keys: list[str], order: list[Column], ids: list[str]) -> DataFrame:
     """Give the images of caption pages to the section before them and drop those pages.
 
     A caption page has images, no heading, and the previous section's title as its text. A run
-    of pages with the same text follows its first page.
+    of pages with the same text follows its first page. ``ids`` identify a section within ``keys``, and
+    ``order`` is made of them: only these, titles and images are ranked, and texts meet what came of it by key.
     """
-    placed = ranked(sections, order, keys)
-    caption = title_token(F.col("excerpt"))
-    own = placed.withColumns(
-        {
-            "shape": ~F.col("has_heading") & (F.size("images") > 0) & (caption != ""),
-            "caption": caption,
-            "title_key": title_token(F.col("chapter_title")),
-        }
+    shape = ~F.col("has_heading") & (F.size("images") > 0) & (title_token(F.col("excerpt")) != "")
+    own = sections.select(
+        *keys, *ids, shape.alias("shape"), F.when(shape, title_token(F.col("excerpt"))).alias("caption"),
+        title_token(F.col("chapter_title")).alias("title_key"), F.when(shape, F.col("images")).alias("images"),
     )
-    before = own.select(*keys, (F.col("rank") + 1).alias("rank"), F.col("title_key").alias("before_key"))
-    shaped = own.where("shape").join(before, [*keys, "rank"], "left")
+    placed = ranked(own, order, keys)
+    before = placed.select(*keys, (F.col("rank") + 1).alias("rank"), F.col("title_key").alias("before_key"))
+    shaped = placed.where("shape").join(before, [*keys, "rank"], "left")
     same = Window.partitionBy(*keys, "caption").orderBy("rank")
     run = shaped.withColumn("run", F.col("rank") - F.row_number().over(same))
     in_run = Window.partitionBy(*keys, "caption", "run").orderBy("rank")
@@ -211,15 +218,16 @@ def caption_attach(sections: DataFrame, keys: list[str], order: list[Column]) ->
         "first OR (nth > 1 AND own_title)"
     )
     target = F.when(F.col("first"), F.col("head") - 1).otherwise(F.col("head"))
-    gifts = moved.select(*keys, "rank", target.alias("target"), "images")
+    gifts = cut_lineage(moved.select(*keys, *ids, "rank", target.alias("target"), "images"))
     given = gifts.groupBy(*keys, F.col("target").alias("rank")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "images"))), lambda g: g["images"])).alias("extra")
     )
+    extra = placed.select(*keys, *ids, "rank").join(given, [*keys, "rank"]).select(*keys, *ids, "extra")
     return (
-        placed.join(gifts.select(*keys, "rank"), [*keys, "rank"], "left_anti")
-        .join(given, [*keys, "rank"], "left")
+        sections.join(gifts.select(*keys, *ids), [*keys, *ids], "left_anti")
+        .join(extra, [*keys, *ids], "left")
         .withColumn("images", F.concat("images", F.coalesce("extra", no_texts())))
-        .drop("extra", "rank")
+        .drop("extra")
     )
 
 
@@ -386,12 +394,12 @@ def deterministic_drafts(sections: DataFrame) -> DataFrame:
 
 
 def targeted_reextract(
-    sections: DataFrame, anchors: DataFrame, existing: DataFrame, order: list[Column]
+    sections: DataFrame, anchors: DataFrame, existing: DataFrame, order: list[Column], ids: list[str] | None = None
 ) -> DataFrame:
-    """Read only the asked anchors again and append the drafts that are new."""
+    """Read only the asked anchors again and append the drafts that are new; ``ids`` as in ``positions``."""
     asked = sections.join(anchors.select("cookbook_id", "anchor").distinct(), ["cookbook_id", "anchor"], "left_semi")
     # Drafts are dear to make and are stored anyway: write them once before numbering.
-    return append_new_anchors(cut_lineage(deterministic_drafts(asked)), existing, order)
+    return append_new_anchors(cut_lineage(deterministic_drafts(asked)), existing, order, ids or ())
 
 
 def anchor_text(pages: DataFrame, anchors: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:

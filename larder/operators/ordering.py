@@ -83,12 +83,14 @@ def prev_next(members: DataFrame, order: Sequence[Column], keys: Sequence[str])
     return near.join(back, on, "left").join(ahead, on, "left")
 
 
-def positions(drafts: DataFrame, existing: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Continue each cookbook's numbering after the dishes it holds already."""
+def positions(drafts: DataFrame, existing: DataFrame, order: Sequence[Column], ids: Sequence[str] = ()) -> DataFrame:
+    """Continue each cookbook's numbering after the dishes it holds already.
+
+    With ``ids``, columns that identify a draft within its cookbook and of which ``order`` is made, only these are
+    ranked; drafts meet their numbers by them.
+    """
     held = existing.groupBy("cookbook_id").agg(F.count("*").alias("held"))
-    placed = ranked(drafts, order, ["cookbook_id"])
-    return (
-        placed.join(held, "cookbook_id", "left")
-        .withColumn("position", F.coalesce("held", F.lit(0)) + F.col("rank"))
-        .drop("held", "rank")
-    )
+    placed = ranked(drafts.select("cookbook_id", *ids) if ids else drafts, order, ["cookbook_id"])
+    numbered = placed.join(held, "cookbook_id", "left").withColumn("position", F.coalesce("held", F.lit(0)) + F.col("rank"))
+    numbered = numbered.drop("held", "rank")
+    return drafts.join(numbered, ["cookbook_id", *ids]) if ids else numbered

@@ -288,17 +288,27 @@ def profile_sections(pages: DataFrame, doc: str = "page_id", html: str = "html")
     Titles begin sections; classes route the paragraphs. Lines before the first title join the
     first section.
     """
-    key = F.concat(F.col(doc).cast("string"), F.lit("#"))
-
-    def routed(nodes: Column, number: Column) -> Column:
-        built = bind(_profile(number), lambda profile: _sections(nodes, profile))
-        return F.struct(number.alias("profile"), F.when(number.isNotNull(), built).alias("sections"))
-
     # Nodes and profile are bound, so a page is parsed once however many branches read it.
-    found = bind(node_array(F.col(html)), lambda nodes: bind(profile_of(nodes), lambda n: routed(nodes, n)))
+    found = bind(node_array(F.col(html)), lambda nodes: bind(profile_of(nodes), lambda n: _routed(nodes, n)))
     rows = pages.select(doc, found.alias("f")).select(doc, "f.profile", F.explode("f.sections").alias("s"))
+    return _named_sections(rows, doc, [doc])
+
+
+def node_profile_sections(parsed: DataFrame, doc: str, keep: list[str]) -> DataFrame:
+    """``profile_sections`` of pages read before, with their ``nodes`` and ``profile``."""
+    rows = parsed.select(*keep, _routed(F.col("nodes"), F.col("profile")).alias("f"))
+    return _named_sections(rows.select(*keep, "f.profile", F.explode("f.sections").alias("s")), doc, keep)
+
+
+def _routed(nodes: Column, number: Column) -> Column:
+    built = bind(_profile(number), lambda profile: _sections(nodes, profile))
+    return F.struct(number.alias("profile"), F.when(number.isNotNull(), built).alias("sections"))
+
+
+def _named_sections(rows: DataFrame, doc: str, keep: list[str]) -> DataFrame:
+    key = F.concat(F.col(doc).cast("string"), F.lit("#"))
     return rows.select(
-        doc,
+        *keep,
         "profile",
         F.concat(key, F.col("s.section_no").cast("string")).alias("section_key"),
         F.concat(key, "s.fragment").alias("anchor"),

@@ -278,12 +278,12 @@ def new_anchor_anti(spark, d):
 
 def append_new_anchors(spark, d):
     drafts, existing = _drafts(spark, d)
-    return catalogue.append_new_anchors(drafts, existing, [F.asc("draft_no")])
+    return catalogue.append_new_anchors(drafts, existing, [F.asc("draft_no")], ["draft_no"])
 
 
 def positions(spark, d):
     drafts, existing = _drafts(spark, d)
-    return ordering.positions(drafts, existing, [F.asc("draft_no")]).select("cookbook_id", "draft_no", "position")
+    return ordering.positions(drafts, existing, [F.asc("draft_no")], ["draft_no"]).select("cookbook_id", "draft_no", "position")
 
 
 def cascade_delete(spark, d):

@@ -145,7 +145,7 @@ def caption_attach(spark, d):
         F.when(even | (F.col("turn") % 4 == 1), F.upper(title)).otherwise(F.lit("elsewhere")).alias("excerpt"),
         F.array(F.concat(F.lit("img"), F.col("turn").cast("string"))).alias("images"),
     )
-    done = D.caption_attach(pages, ["conv_id"], [F.asc("turn")])
+    done = D.caption_attach(pages, ["conv_id"], [F.asc("turn")], ["turn"])
     return done.select("conv_id", "turn", F.array_join("images", "|").alias("images"))
 
 
@@ -217,7 +217,7 @@ def targeted_reextract(spark, d):
     sections = D.section_fields(_sections(spark, d))
     asked = _sections(spark, d).where(F.col("chapter_title") != "Introduction").select("cookbook_id", "anchor")
     existing = _sections(spark, d).where(F.size("images") > 0).select("cookbook_id", "anchor")
-    done = D.targeted_reextract(sections.withColumnRenamed("recipe_id", "section"), asked, existing, [F.asc("section")])
+    done = D.targeted_reextract(sections.withColumnRenamed("recipe_id", "section"), asked, existing, [F.asc("section")], ["section"])
     return done.select("section", "cookbook_id", "anchor", "position", "recipe_id")
 
 

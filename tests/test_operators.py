@@ -298,7 +298,7 @@ def test_candidates(spark):
 def test_caption_pages(spark):
     data = [("b", 1, "Soup", True, "Soup Boil.", ["a"]), ("b", 2, None, False, "SOUP", ["b"]), ("b", 3, None, False, "soup!", ["c"]), ("b", 4, None, False, "other", ["d"])]
     df = spark.createDataFrame(data, "book string, n int, chapter_title string, has_heading boolean, excerpt string, images array<string>")
-    got = sorted(rows(documents.caption_attach(df, ["book"], [F.asc("n")]), "n", "images"))
+    got = sorted(rows(documents.caption_attach(df, ["book"], [F.asc("n")], ["n"]), "n", "images"))
     assert got == [(1, ["a", "b", "c"]), (4, ["d"])]
 
 
