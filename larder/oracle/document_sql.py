@@ -152,6 +152,30 @@ NESTED = (
     '<ul class="a b"><li>one <p id="two">two</p> three <ul><li>deep<li>deeper <img src="i.png"> x</ul> up</li><li><div>a</div> b</li>'
     '</ul><h2>head <i id="h">of</i> it</h2>lost<table><tr><td>cell <p>in cell</td></tr></table><article><div><p>p '
 )
+# Books of four documents: 0 in the classes of a profile, 1 plain, 2 a caption page, 3 for navigation.
+PLAIN_TEXT = f"""'Soup ' || recipe_id || chr(10) || 'Serves 4' || chr(10) || '200g flour' || chr(10) || '2 eggs' || chr(10) || 'Method' || chr(10)
+    || array_to_string(list_filter(list_transform(string_split(translate(text, '<>&', '   '), chr(10)), lambda l: {squash('l')}), lambda l: l <> ''), chr(10))"""
+BOOK_SRC = f"""v_docs AS ({VIEWS['v_docs']}), src AS (SELECT recipe_id // 4 AS cookbook_id, recipe_id, 'Soup ' || recipe_id AS chapter_title, 'text/c' || recipe_id || '.xhtml#1' AS anchor,
+    {PLAIN_TEXT} AS text FROM v_docs WHERE recipe_id % 4 = 1)"""
+BOOKS = f"""{CANDIDATE.replace(SRC, BOOK_SRC)}, {FIELDS}{steps('steplines')},
+    plain AS (SELECT cookbook_id, recipe_id AS doc_no, 1 AS section_no, anchor, chapter_title AS title, CAST(NULL AS INT) AS profile, len(ingredient_lines) AS ingredients, len(steps) AS steps,
+        CASE WHEN cookbook_id % 3 <> 0 AND recipe_id + 1 IN (SELECT recipe_id FROM v_docs) THEN 'i.png|c.png' ELSE 'i.png' END AS images
+        FROM src JOIN ings USING (recipe_id) JOIN stepped USING (recipe_id) WHERE recipe_id IN (SELECT recipe_id FROM candidates) AND len(ingredient_lines) > 0 AND len(steps) > 0),
+    paragraphs AS (SELECT recipe_id, i - 1 AS i, (i - 1) % 5 AS role, {squash("['Dish ', '200g ', '200g ', '', ''][(i - 1) % 5 + 1] || translate(l, '<>&', '   ')")} AS l, 'n' || (i - 1) AS id
+            FROM v_docs, unnest(lines) WITH ORDINALITY AS u(l, i) WHERE recipe_id % 4 = 0
+        UNION ALL SELECT recipe_id, len(lines) + k, role, l, 'end' FROM v_docs, (VALUES (0, 0, 'Dish end'), (1, 1, '3 eggs'), (2, 2, '200g salt'), (3, 3, 'Stir.')) t(k, role, l) WHERE recipe_id % 4 = 0),
+    parted AS (SELECT *, count(*) FILTER (role = 0) OVER (PARTITION BY recipe_id ORDER BY i) AS section_no FROM paragraphs WHERE l <> ''),
+    gathered AS (SELECT recipe_id, section_no, arg_min(l, i) AS title, arg_min(id, i) AS id, {dedupe('list(l ORDER BY i)')} AS ls, {dedupe('list(l ORDER BY i) FILTER (role IN (1, 2))')} AS ings,
+        {dedupe('list(l ORDER BY i) FILTER (role > 2)')} AS rds FROM parted GROUP BY ALL),
+    judged AS (SELECT *, lower(array_to_string(ls, chr(10))) AS low, len(list_filter(ls, lambda l: {MEASURED})) AS n, len(string_split({squash('title')}, ' ')) <= 12 AS titled,
+        regexp_matches(low, 'ingredients|serves|yield|prep|cook time|makes|method|directions|steps|instructions') AS cued FROM gathered),
+    classed_drafts AS (SELECT recipe_id // 4, recipe_id, section_no, 'text/c' || recipe_id || '.xhtml#' || id, title, 0, len(ings), len(rds), '' FROM judged
+        WHERE NOT (contains(low, 'recipe list') AND NOT contains(low, 'ingredients') AND NOT contains(low, 'method')) AND len(ings) > 0 AND len(rds) > 0
+        AND (n >= 3 OR (n >= 2 AND titled AND len(ls) <= 40) OR (n >= 2 AND cued) OR (n >= 1 AND regexp_matches(low, 'serves|makes|yield')) OR (titled AND cued AND len(ls) <= 80))),
+    every AS (SELECT * FROM plain UNION ALL SELECT * FROM classed_drafts),
+    numbered_drafts AS (SELECT *, row_number() OVER (PARTITION BY cookbook_id ORDER BY doc_no, section_no) AS position FROM every),
+    book_drafts AS (SELECT cookbook_id, sha256(cookbook_id || '|' || anchor || '|' || position) AS recipe_id, anchor, position, title, profile, ingredients, steps, images,
+        CASE WHEN ingredients < 2 OR images = 'i.png|c.png' THEN 'needs_review' ELSE 'pending_review' END AS review_status FROM numbered_drafts)"""
 TALK = "SELECT conv_id AS file_id, turn AS page, text FROM conversations"
 SQL = {
     "html_nodes": w(nodes("pages", "page_id"), "SELECT page_id, seq, tag, classes, id, text FROM nodes"),
@@ -188,6 +212,7 @@ SQL = {
         FROM fields f WHERE len(ingredient_lines) > 0 AND len(method_lines) > 0 AND recipe_id IN (SELECT recipe_id FROM candidates)
             AND anchor IN (SELECT anchor FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.chapter_title <> 'Introduction')
             AND anchor NOT IN (SELECT anchor FROM src s WHERE s.cookbook_id = f.cookbook_id AND s.recipe_id % 4 = 0))"""),
+    "book_drafts": w(BOOKS, "SELECT * FROM book_drafts"),
     "review_flags": """SELECT recipe_id, CASE WHEN r = '' THEN 'pending_review' ELSE 'needs_review' END AS review_status, r AS review_reasons FROM (
         SELECT doc_id AS recipe_id, concat_ws('|', CASE WHEN (doc_id % 100) / 100.0 < 0.78 THEN 'low_model_confidence' END, CASE WHEN least(n, doc_id % 4) < 2 THEN 'too_few_ingredients' END,
             CASE WHEN doc_id % 3 = 0 THEN 'missing_method_steps' END, CASE WHEN least(n, doc_id % 5) > 1 THEN 'multiple_candidate_images' END) AS r

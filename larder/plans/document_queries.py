@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import documents as D
-from larder.operators import profiles
+from larder.operators import profiles, routing
 from larder.sources import html, pdf, views
 
 
@@ -221,11 +221,54 @@ def targeted_reextract(spark, d):
     return done.select("section", "cookbook_id", "anchor", "position", "recipe_id")
 
 
+def books(spark, d):
+    """Every four documents as an e-book: one in a profile's classes, one plain, a caption page, a navigation file."""
+    docs = views.documents(spark, d)
+    key = F.col("recipe_id")
+    clean = F.translate("text", "<>&", "   ")
+    classes = F.array(*[F.lit(c) for c in ("rt", "ri", "ri", "rd", "rd")])
+    opening = F.array(*[F.lit(o) for o in ("Dish ", "200g ", "200g ", "", "")])
+
+    def classed(line, i):
+        at = (i % 5 + 1).cast("int")
+        return F.concat(
+            F.lit('<p class="'), F.element_at(classes, at), F.lit('" id="n'), i.cast("string"), F.lit('">'),
+            F.element_at(opening, at), line, F.lit("</p>"),
+        )
+
+    lines = F.split(clean, "\n")
+    end = '<p class="rt" id="end">Dish end</p><p class="ri">3 eggs</p><p class="ri">200g salt</p><p class="rd">Stir.</p>'
+    title = F.concat(F.lit("Soup "), key.cast("string"))
+    plain = F.concat(
+        F.lit("<h2>"), title, F.lit('</h2><img src="i.png"><p>Serves 4</p><ul><li>200g flour</li><li>2 eggs</li></ul><p>Method</p>'),
+        F.array_join(F.transform(lines, lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>"))), ""),
+    )
+    before = F.concat(F.lit("SOUP-"), (key - 1).cast("string"))
+    caption = F.concat(F.lit('<img src="c.png"><p>'), F.when(F.floor(key / 4) % 3 == 0, "other").otherwise(before), F.lit("</p>"))
+    form = key % 4
+    html = (
+        F.when(form == 0, F.concat(F.array_join(F.transform(lines, classed), ""), F.lit(end)))
+        .when(form == 1, plain).when(form == 2, caption).otherwise(F.concat(F.lit("<p>Serves 9</p><p>200g x</p>"), plain))
+    )
+    name = F.when(form == 3, "nav.xhtml").otherwise(F.concat(F.lit("text/c"), key.cast("string"), F.lit(".xhtml")))
+    return docs.select(F.floor(key / 4).cast("bigint").alias("cookbook_id"), key.alias("doc_no"), name.alias("doc"), html.alias("html"))
+
+
+def book_drafts(spark, d):
+    """From the files of e-books to numbered drafts."""
+    drafts = routing.book_drafts(books(spark, d))
+    return drafts.select(
+        "cookbook_id", "recipe_id", "anchor", "position", "title", "profile", F.size("ingredients").alias("ingredients"),
+        F.size("method_steps").alias("steps"), F.array_join("images", "|").alias("images"), "review_status",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         html_nodes, html_nodes_nested, nav_html_skip, sectionize, html_sections, toc_from_html, dedupe_consecutive, recipe_candidate,
         section_fields, method_steps, deterministic_gate, deterministic_drafts, review_flags, caption_attach,
         pdf_page_sections, pdf_blocks, page_range_text, profile_match, profile_sections, anchor_text, targeted_reextract,
+        book_drafts,
     )
 }

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators import hooks
-from larder.plans.document_queries import _sections
+from larder.plans.document_queries import books
 from larder.sources import views
 from larder.streaming import jobs
 
@@ -78,12 +80,46 @@ def stream_enqueue_dedup(spark, d):
 
 
 def stream_ingest(spark, d):
-    path = jobs.scratch(spark, "sections")
-    text = F.when(F.col("recipe_id") % 13 == 0, " ").otherwise(F.col("text"))
-    _sections(spark, d).withColumn("text", text).write.parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    table = _kept(spark, ["recipe_id"], lambda where, check: jobs.stream_ingest(stream, where, check))
-    return table.select("recipe_id", "title", "review_status", "ingredients", "extract_error")
+    """Every e-book uploaded, some again and some without text, over tables that hold older rows of some."""
+    own = books(spark, d)
+    shown = F.when(F.col("cookbook_id") % 13 == 0, F.concat(F.lit("<p> </p>"), F.lit("<br>"))).otherwise(F.col("html"))
+    entry = F.struct("doc_no", "doc", shown.alias("html"))
+    first = own.groupBy("cookbook_id").agg(F.lit(1).cast("bigint").alias("upload_no"), F.collect_list(entry).alias("files"))
+    # Sent again, of these only the plain document is left.
+    again = first.where(F.col("cookbook_id") % 5 == 0).withColumns(
+        {"upload_no": F.lit(2).cast("bigint"), "files": F.filter("files", lambda f: f["doc_no"] % 4 == 1)}
+    )
+    path = jobs.scratch(spark, "uploads")
+    first.unionByName(again).repartition(2, "cookbook_id", "upload_no").write.parquet(path)
+    old = own.select("cookbook_id").distinct()
+    old = old.union(old.select(F.col("cookbook_id") + 1000000))
+    key = F.concat(F.lit("old"), F.col("cookbook_id").cast("string"))
+    shelves = jobs.new_library(spark, jobs.scratch(spark, "library"), buckets=8)
+    before = {
+        "index": old.select("cookbook_id", key.alias("recipe_id"), F.lit("salt").alias("name")),
+        "toggles": old.select("cookbook_id", key.alias("recipe_id"), F.lit("favourite").alias("kind")),
+        "vectors": old.select("cookbook_id", key.alias("recipe_id"), F.array(F.lit(1.0).cast("float")).alias("embedding")),
+        "dishes": old.select(
+            "cookbook_id", key.alias("recipe_id"), F.lit(1).cast("bigint").alias("position"), F.lit("a").alias("anchor"),
+            F.lit("Old").alias("title"), F.lit("verified").alias("review_status"),
+        ),
+    }
+    shelves.replace(before, owners=old)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.stream_ingest(stream, shelves, jobs.scratch(spark, "stream"), _hashed)
+    none = F.lit(None).cast("string")
+    parts = [
+        shelves.read("dishes").select(F.lit("dishes").alias("table"), "cookbook_id", "recipe_id", F.concat_ws("|", F.col("position").cast("string"), "anchor", "title", "review_status").alias("detail")),
+        shelves.read("index").select(F.lit("index").alias("table"), "cookbook_id", "recipe_id", F.when(F.startswith("recipe_id", F.lit("old")), F.col("name")).alias("detail")).distinct(),
+        shelves.read("toggles").select(F.lit("toggles").alias("table"), "cookbook_id", "recipe_id", F.col("kind").alias("detail")),
+        shelves.read("vectors").select(F.lit("vectors").alias("table"), "cookbook_id", "recipe_id", F.size("embedding").cast("string").alias("detail")),
+        shelves.read("rejects").select(F.lit("rejects").alias("table"), "cookbook_id", none.alias("recipe_id"), F.col("extract_error").alias("detail")),
+        shelves.read("cookbooks").select(
+            F.lit("cookbooks").alias("table"), "cookbook_id", none.alias("recipe_id"),
+            F.concat_ws("|", F.col("upload_no").cast("string"), "status", F.col("recipe_count").cast("string"), F.col("needs_review_count").cast("string")).alias("detail"),
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _hashed(texts):
