@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import casefold
 from larder.operators.facets import facet_and, facet_names
-from larder.operators.ordering import rank_map, top_ranked
+from larder.operators.ordering import SHORT_LIST, rank_map, top_ranked
 from larder.session import computed_once, cut_lineage
 
 # Weight of each searched field, and the rank offset of the fusion.
@@ -35,7 +35,8 @@ def query_terms(q: str | None) -> list[str]:
     return re.sub(r"[^a-z0-9\s-]", " ", (q or "").lower()).split()
 
 
-def _fields() -> dict[str, Column]:
+def search_fields() -> dict[str, Column]:
+    """The searched fields of a dish, lowered."""
     def joined(name: str) -> Column:
         return F.lower(F.array_join(name, " "))
 
@@ -54,7 +55,8 @@ def keyword_score(dishes: DataFrame, terms: Sequence[str]) -> DataFrame:
 
     A term counts once per field that contains it as a substring; a repeated term counts again.
     """
-    fields = _fields()
+    lowered = search_fields()
+    fields = {name: F.col(f"_fields.{name}") for name in lowered}
     score = F.lit(0.0)
     matched = []
     for term in dict.fromkeys(terms):
@@ -68,7 +70,9 @@ def keyword_score(dishes: DataFrame, terms: Sequence[str]) -> DataFrame:
     if not matched:
         return dishes.limit(0).select("*", score.alias("score"), F.array().cast("array<string>").alias("matched_terms"))
     found = F.struct(score.alias("score"), F.array_compact(F.array(*matched)).alias("matched_terms"))
-    return computed_once(dishes, "k", found).where(F.col("k.score") > 0).select("*", "k.*").drop("k")
+    # Fields are lowered once, however many terms read them.
+    read = computed_once(dishes, "_fields", F.struct(*[c.alias(name) for name, c in lowered.items()]))
+    return computed_once(read, "k", found).drop("_fields").where(F.col("k.score") > 0).select("*", "k.*").drop("k")
 
 
 def keyword_topk(dishes: DataFrame, q: str, limit: int = 6) -> DataFrame:
@@ -132,24 +136,28 @@ def _ranks_needed(scored: DataFrame, semantic: DataFrame, limit: int, k: int) ->
     """
     order = [F.desc("score"), F.asc("scan_order")]
     best = top_ranked(scored, order, limit + k).select("recipe_id", "rank")
-    hits = scored.join(F.broadcast(semantic.select("recipe_id")), "recipe_id", "left_semi")
-    # Scores are sums of six weights per term, so there are few distinct ones.
-    per_score = scored.groupBy("score").agg(F.count("*").alias("n"))
+    hits = scored.join(semantic.select("recipe_id"), "recipe_id", "left_semi")
+    # The hits of a score part its rows by order: a row is before a hit when no more hits than those before it
+    # are at or before the row. Rows are counted by stretch and never joined with single hits.
+    marks = hits.groupBy("score").agg(F.array_sort(F.collect_list("scan_order")).alias("marks"))
+    stretch = F.size(F.filter(F.coalesce("marks", F.array().cast("array<bigint>")), lambda m: m <= F.col("scan_order")))
+    counts = scored.select("score", F.col("scan_order").cast("bigint").alias("scan_order")).join(
+        marks.withColumn("marks", F.col("marks").cast("array<bigint>")), "score", "left"
+    ).groupBy("score", stretch.alias("stretch")).agg(F.count("*").alias("n"))
+    # One row for each score and hit at most.
+    total = F.sum("n").over(Window.partitionBy("score"))
+    upto = F.sum("n").over(Window.partitionBy("score").orderBy("stretch"))
+    counts = counts.select("score", "stretch", upto.alias("upto"), total.alias("total"))
+    per_score = counts.groupBy("score").agg(F.max("total").alias("n"))
     above = per_score.select(
         "score", (F.sum("n").over(Window.orderBy(F.desc("score"))) - F.col("n")).alias("above")
     )
-    mark = hits.select(F.col("recipe_id").alias("hit"), "score", F.col("scan_order").alias("hit_order"))
-    level = (
-        scored.select("score", "scan_order")
-        .join(F.broadcast(mark), "score")
-        .where(F.col("scan_order") < F.col("hit_order"))
-        .groupBy("hit")
-        .agg(F.count("*").alias("level"))
-    )
-    ranked_hits = (
-        hits.join(above, "score")
-        .join(level, F.col("recipe_id") == F.col("hit"), "left")
-        .select("recipe_id", (F.col("above") + F.coalesce("level", F.lit(0)) + 1).alias("rank"))
+    place = F.row_number().over(Window.partitionBy("score").orderBy("scan_order"))
+    ranked_hits = hits.select("recipe_id", "score", (place - 1).alias("place"))
+    level = ranked_hits.join(counts.select("score", "stretch", "upto"), "score").where(F.col("stretch") <= F.col("place"))
+    level = level.groupBy("recipe_id").agg(F.max("upto").alias("level"))
+    ranked_hits = ranked_hits.join(above, "score").join(level, "recipe_id", "left").select(
+        "recipe_id", (F.col("above") + F.coalesce("level", F.lit(0)) + 1).alias("rank")
     )
     return best.union(ranked_hits).distinct()
 
@@ -212,7 +220,7 @@ def hybrid_search(
         near = cut_lineage(vector_candidate_join(vector_topk(vectors, q_vec, k), candidates).select("recipe_id", "score"))
     else:
         near = scored.select("recipe_id", "score").limit(0)
-    if limit is None:
+    if limit is None or limit + k > SHORT_LIST:
         semantic = rank_map(near)
         keyword = rank_map(scored.select("recipe_id", "scan_order", "score"), tie="scan_order")
     else:

@@ -8,6 +8,7 @@ BOTH = (
     "SELECT recipe_id FROM v_index WHERE name IN ('small ring', 'red widget') "
     "GROUP BY recipe_id HAVING count(*) = 2"
 )
+POSTING_TERMS = ["thonen", "andtion", "zq", "src12"]
 TERMS = ["the", "and", "thon", "the"]
 SIM = (
     "SELECT vec_id AS recipe_id, list_cosine_similarity(cast(embedding AS DOUBLE[]), "
@@ -69,6 +70,7 @@ SQL = {
         GROUP BY doc_id""",
     "rank_union": docs(f"SELECT recipe_id FROM ({scored(['thon'])}) UNION SELECT recipe_id FROM ({top(30)})"),
     "keyword_score": docs(f"SELECT recipe_id, score, matched_terms FROM ({scored(TERMS)})"),
+    "keyword_postings": docs(f"SELECT recipe_id, score, matched_terms FROM ({scored(POSTING_TERMS)})"),
     "keyword_topk": docs(f"""
         SELECT recipe_id, title, cookbook_title, score,
                row_number() OVER (ORDER BY score DESC, replace(lower(title), 'ß', 'ss'),

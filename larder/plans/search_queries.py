@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import facets, ordering, search
+from larder.operators import facets, ordering, postings, search
 from larder.sources import views
+from larder.streaming.jobs import scratch
 
 FACETS = ("small ring", "red widget")
+POSTING_TERMS = ["thonen", "andtion", "zq", "src12"]
 TERMS = "the and thon the"
 
 
@@ -71,6 +73,15 @@ def keyword_score(spark, d):
     return _flat(scored.select("recipe_id", "score", "matched_terms"))
 
 
+def keyword_postings(spark, d):
+    """The keyword scores of long, short and absent terms, found by an index of grams."""
+    dishes = views.searchable(spark, d)
+    path = scratch(spark, "postings")
+    postings.build_postings(dishes, path)
+    scored = postings.indexed_keyword_score(dishes, path, POSTING_TERMS)
+    return _flat(scored.select("recipe_id", "score", "matched_terms"))
+
+
 def keyword_topk(spark, d):
     return search.keyword_topk(views.searchable(spark, d), TERMS, 6)
 
@@ -129,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         facet_and, facet_in_cookbook, facet_counts, facet_drilldown, facet_prefix, facet_substring,
-        posting_intersect, facet_minus, ordered_distinct, rank_union, keyword_score, keyword_topk,
+        posting_intersect, facet_minus, ordered_distinct, rank_union, keyword_score, keyword_postings, keyword_topk,
         rank_map, vector_topk, vector_candidate_join, rank_fusion, search_keyword, search_facets,
         hybrid_search, hybrid_search_unlimited,
     )

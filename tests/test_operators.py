@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import plan_text as P
-from larder.operators import catalogue, documents, facets, network, ordering, plan, profiles, search, toc
+from larder.operators import catalogue, documents, facets, network, ordering, plan, postings, profiles, search, toc
 from larder.operators import pdf_templates as pdf
 from larder.sources import html, plan_files
 
@@ -345,6 +345,25 @@ def test_chapter_maps(spark):
     assert dict(rows(toc.chapter_map(own), "path", "label")) == {"v": "Vegetables", "f": "Fish & Shellfish"}
 
 
+def test_indexed_search_equals_a_scan(spark, tmp_path):
+    draw = random.Random(6)
+    words = ["aba", "abab", "bab", "b", "a-b", "\U0001f600x", "ÀB", "zz", ""]
+    data = [
+        (i, " ".join(draw.choices(words, k=draw.randrange(4))), draw.choice([None, "Bab book"]), draw.choices(words, k=draw.randrange(3)),
+         [" ".join(draw.choices(words, k=3))], draw.choices(words, k=2), draw.choice(words))
+        for i in range(300)
+    ]
+    schema = "recipe_id bigint, title string, cookbook_title string, ingredient_names array<string>, ingredient_raw array<string>, method_steps array<string>, excerpt string"
+    dishes = spark.createDataFrame(data, schema)
+    postings.build_postings(dishes, str(tmp_path / "index"))
+    for terms in (["abab"], ["ababa", "zz"], ["b"], ["a-", "q"], ["bab b"], ["none"], [], ["zz zz", "aba", "aba"]):
+        got = rows(postings.indexed_keyword_score(dishes, str(tmp_path / "index"), terms), "recipe_id", "score", "matched_terms")
+        assert sorted(got) == sorted(rows(search.keyword_score(dishes, terms), "recipe_id", "score", "matched_terms"))
+    # Only folders of the terms' grams are read.
+    plan = postings.candidates(spark, str(tmp_path / "index"), ["abab"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "folder" in plan.split("PartitionFilters: [")[1][:40]
+
+
 def test_toc_json_of_any_depth(spark):
     deep = "[" + '{"label": "a", "href": "b", "children": [' * 100_000 + "]}" * 100_000 + "]"
     data = [(1, deep), (2, deep[:-1]), (3, "[" * 50_000), (4, '[{"label": "x", "href": "y"}] z'), (5, '[{"label": "\\ud800x", "href": "y"}]')]
