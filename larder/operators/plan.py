@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -290,10 +291,33 @@ def exact_title_match(entries: DataFrame, dishes: DataFrame, people: Sequence[st
     )
 
 
+def character_counts(texts: Sequence[str]) -> np.ndarray:
+    """How often each character occurs in each text: one row of 16-bit counts a text."""
+    flat = np.array([ord(c) for t in texts for c in t], np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    seen, column = np.unique(flat, return_inverse=True)
+    return np.bincount(owner * len(seen) + column, minlength=len(texts) * len(seen)).reshape(len(texts), -1).astype(np.int32)
+
+
 @F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Similarity of two strings by matching blocks, on Arrow batches."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def sequence_ratio(left: pd.Series, right: pd.Series, needed: pd.Series) -> pd.Series:
+    """Similarity of two strings by matching blocks, or a bound of it that is below ``needed``.
+
+    Matching blocks hold no more of a character than the string that has fewer of it. That bound is worked out for
+    a whole batch at once, over one count vector for each distinct string; only pairs it leaves are measured.
+    """
+    result = np.zeros(len(left))
+    for at in range(0, len(left), 4096):
+        one, two, least = (x.iloc[at : at + 4096].to_numpy() for x in (left, right, needed))
+        texts, place = np.unique(np.concatenate([one, two]).astype(object), return_inverse=True)
+        counts = character_counts(texts)
+        a, b = place[: len(one)], place[len(one) :]
+        lengths = counts.sum(axis=1)
+        bound = 2.0 * np.minimum(counts[a], counts[b]).sum(axis=1) / np.maximum(lengths[a] + lengths[b], 1)
+        for i in np.flatnonzero(bound >= least - 1e-9):
+            bound[i] = SequenceMatcher(None, one[i], two[i]).ratio()
+        result[at : at + len(one)] = bound
+    return pd.Series(result)
 
 
 def _token_candidates(variants: DataFrame, titles: DataFrame, least_coverage: float, tokens_of: Callable[[Column], Column]) -> DataFrame:
@@ -381,7 +405,9 @@ def fuzzy_title_match(
 
     # The ratio cannot exceed what the lengths allow; hopeless pairs never reach Python.
     hopeful = pairs.where((F.col("variant") == F.col("norm")) | (total(ceiling) > least - 1e-9))
-    measured = hopeful.withColumn("ratio", sequence_ratio("variant", "norm"))
+    # The least ratio with which a pair of these parts is good enough; the penalty only lowers a score.
+    needed = (F.lit(least) - (total(F.lit(1.0)) - 0.46)) / 0.46
+    measured = hopeful.withColumn("ratio", sequence_ratio("variant", "norm", needed))
     scored = measured.select(
         "variant", "norm", F.when(F.col("variant") == F.col("norm"), 1.0).otherwise(total(F.col("ratio"))).alias("score")
     )

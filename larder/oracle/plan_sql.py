@@ -197,6 +197,25 @@ TITLES = f"""v_docs AS ({VIEWS['v_docs']}), titles AS (SELECT recipe_id AS entry
     norms AS (SELECT norm, min(recipe_id) AS recipe_id, count(*) AS copies FROM (SELECT recipe_id, {meal('title')} AS norm FROM v_docs) WHERE norm <> '' GROUP BY norm)"""
 EXACT = f"""{TITLES}, vs AS (SELECT DISTINCT title, v FROM titles, unnest({variants('title')}) AS u(v)),
     exact AS (SELECT title, min(recipe_id) AS recipe_id FROM vs JOIN norms ON norm = v GROUP BY title)"""
+# Ratio by matching blocks: the longest common run of a stretch, earliest in the one and then in the other, and the same
+# in what is left and right of it. Cells are pairs of places with equal characters, with the run that begins there.
+_LONGEST = """list_max(list_transform(list_filter(cs, lambda c: c.i >= {0}.alo AND c.i < {0}.ahi AND c.j >= {0}.blo AND c.j < {0}.bhi),
+        lambda c: {{'k': least(c.n, {0}.ahi - c.i, {0}.bhi - c.j), 'i': -c.i, 'j': -c.j}}))"""
+FUZZY = f"""rest AS (SELECT title, v, list_distinct(string_split(v, ' ')) AS tv FROM vs WHERE v <> '' AND title NOT IN (SELECT title FROM exact)),
+    tokened AS (SELECT *, list_distinct(string_split(norm, ' ')) AS tn FROM norms),
+    met AS (SELECT v, norm, len(list_intersect(tv, tn)) AS shared, len(tv) AS nv, len(tn) AS nn FROM (SELECT DISTINCT v, tv FROM rest), tokened WHERE list_has_any(tv, tn)),
+    pairs AS (SELECT row_number() OVER () AS p, *, shared / greatest(nv, nn) * 0.22 + shared / nv * 0.32 + CASE WHEN contains(norm, v) OR contains(v, norm) THEN 0.08 ELSE 0 END + CASE WHEN shared = nv THEN 0.08 ELSE 0 END AS other
+        FROM met WHERE shared / greatest(nv, nn) * 0.22 + shared / nv * 0.32 + 0.16 + 0.46 >= 0.77),
+    cells AS (SELECT p, list({{'i': i, 'j': j, 'n': n}}) AS cs FROM (SELECT p, i, j, max(i) OVER (PARTITION BY p, i - j, island) - i + 1 AS n FROM (
+        SELECT p, i, j, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS island FROM pairs, unnest(range(length(v))) AS a(i), unnest(range(length(norm))) AS b(j)
+        WHERE substr(v, CAST(i + 1 AS BIGINT), 1) = substr(norm, CAST(j + 1 AS BIGINT), 1))) GROUP BY p),
+    blocks AS (SELECT p, s, {_LONGEST.format('s')} AS best FROM (SELECT p, {{'alo': 0::BIGINT, 'ahi': CAST(length(v) AS BIGINT), 'blo': 0::BIGINT, 'bhi': CAST(length(norm) AS BIGINT)}} AS s FROM pairs) JOIN cells USING (p)
+        UNION ALL SELECT p, s, {_LONGEST.format('s')} AS best FROM (SELECT p, unnest([{{'alo': s.alo, 'ahi': -best.i, 'blo': s.blo, 'bhi': -best.j}},
+            {{'alo': -best.i + best.k, 'ahi': s.ahi, 'blo': -best.j + best.k, 'bhi': s.bhi}}]) AS s FROM blocks WHERE best IS NOT NULL) JOIN cells USING (p) WHERE s.alo < s.ahi AND s.blo < s.bhi),
+    ratios AS (SELECT p, sum(best.k) AS k FROM blocks WHERE best IS NOT NULL GROUP BY p),
+    measured AS (SELECT v, norm, 2.0::DOUBLE * coalesce(k, 0) / (length(v) + length(norm)) AS ratio, other, nv FROM pairs LEFT JOIN ratios USING (p)),
+    scored AS (SELECT title, recipe_id, max(CASE WHEN v = norm THEN 1.0::DOUBLE ELSE ratio * 0.46 + other - CASE WHEN nv = 1 AND ratio < 0.7 THEN 0.12 ELSE 0 END END) AS score, copies
+        FROM rest JOIN measured USING (v) JOIN norms USING (norm) GROUP BY title, recipe_id, copies HAVING score >= 0.74)"""
 CLIENT_VARIANTS = let(
     strip("title"), "b",
     f"list_distinct(list_filter(list_transform(list_concat([b, {sub('b', r'\([^)]*\)', ' ')}, {sub('b', rf'(?i)^({DAYS})\s*[-:]?\s*', '')}, "
@@ -255,6 +274,7 @@ SQL = {
         usable AND coalesce(is_complete, false) AS completed FROM rows WHERE usable OR (any_row = 0 AND nth = 1)""", ROWS),
     "plan_notes": k(f"SELECT file_id, section_no, {strip('n')} AS notes FROM (SELECT file_id, section_no, string_agg(note, chr(10) ORDER BY group_at, line_no, slot) AS n FROM rows WHERE note <> '' GROUP BY ALL)", ROWS),
     "exact_title_match": k("SELECT * FROM exact", EXACT),
+    "fuzzy_title_match": "WITH RECURSIVE " + ", ".join([EXACT, FUZZY, MARGIN.replace("round(best, 6)", "round(best, 4)")]),
     "client_title_match": k(MARGIN.replace("best AS", """scored AS (SELECT title, recipe_id, max(score) AS score, copies FROM (
         SELECT title, recipe_id, copies, CASE WHEN v = norm THEN 1.0 ELSE shared / greatest(nv, nn) * 0.5 + shared / nv * 0.35
                + CASE WHEN contains(norm, v) OR contains(v, norm) THEN 0.15 ELSE 0 END + CASE WHEN shared = nv THEN 0.08 ELSE 0 END
