@@ -6,6 +6,9 @@ jobs keep a narrow state, write it to the checkpoint folder every round and stop
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,34 +186,87 @@ def _start(edges: DataFrame, sources: DataFrame | None, distance) -> DataFrame:
     return every.select(F.col("name").alias("source"), F.col("name").alias("node"), distance.alias("distance"))
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Breadth-first distances ``(source, node, distance)``.
+SOURCES_PER_ROW = 64
 
-    The result has |sources| x |nodes| rows; name the sources on large graphs.
+
+def numbered_sources(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``(source, block, bit)``: 64 sources share a block, each has a bit of its own. All ends of edges by default."""
+    every = both_ways(edges).select(F.col("a").alias("name")) if sources is None else sources.select("name")
+    placed = ranked(every.distinct(), [F.asc("name")])
+    number = F.col("rank") - 1
+    return cut_lineage(
+        placed.select(
+            F.col("name").alias("source"), F.floor(number / SOURCES_PER_ROW).alias("block"),
+            (number % SOURCES_PER_ROW).cast("int").alias("bit"),
+        )
+    )
+
+
+def hop_rounds(edges: DataFrame, numbered: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """Breadth-first search from 64 sources at once: for each distance the rows ``(block, node, bits)`` of the
+    sources that reach a node there first.
+
+    A round sends a node's bits to its neighbours and joins them with an or, so state and messages hold a
+    row for each block and node instead of one for each source and node.
     """
     ends = cut_lineage(both_ways(edges).select("a", "b"))
-    reached = cut_lineage(_start(edges, sources, F.lit(0)))
-    frontier = reached
+    own = F.expr("shiftleft(1L, bit)")
+    fresh = cut_lineage(numbered.select("block", F.col("source").alias("node"), own.alias("bits")))
+    seen, distance = fresh, 0
     while True:
-        step = frontier.join(ends, frontier.node == ends.a).select(
-            "source", F.col("b").alias("node"), (F.col("distance") + 1).alias("distance")
+        yield distance, fresh
+        sent = fresh.join(ends, fresh.node == ends.a).groupBy("block", F.col("b").alias("node"))
+        offers = sent.agg(F.bit_or("bits").alias("offer"))
+        merged = cut_lineage(
+            seen.join(offers, ["block", "node"], "full").select(
+                "block", "node",
+                F.coalesce("bits", F.lit(0)).bitwiseOR(F.coalesce("offer", F.lit(0))).alias("bits"),
+                F.coalesce("offer", F.lit(0)).bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0)))).alias("new"),
+            )
         )
-        fresh = cut_lineage(step.distinct().join(reached, ["source", "node"], "left_anti"))
+        fresh = merged.where("new <> 0").select("block", "node", F.col("new").alias("bits"))
+        seen, distance = merged.select("block", "node", "bits"), distance + 1
         if fresh.isEmpty():
-            return reached
-        # Both parts are written already; their union needs no copy.
-        reached = reached.union(fresh)
-        frontier = fresh
+            return
+
+
+def hop_distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Breadth-first distances ``(source, node, distance)``.
+
+    The result has |sources| x |nodes| rows; name the sources on large graphs.
+    """
+    numbered = numbered_sources(edges, sources)
+    rounds = [fresh.select("block", "node", "bits", F.lit(d).alias("distance")) for d, fresh in hop_rounds(edges, numbered)]
+    every = reduce(DataFrame.union, rounds).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(SOURCES_PER_ROW - 1))).alias("bit")
+    )
+    held = every.where(F.expr("shiftrightunsigned(bits, bit) & 1 = 1"))
+    return held.join(numbered, ["block", "bit"]).select("source", "node", "distance")
 
 
 def path_metrics(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Per source: nodes reached, total and largest distance, closeness."""
-    away = hop_distances(edges, sources).where(F.col("distance") > 0)
+    """Per source: nodes reached, total and largest distance, closeness.
+
+    Distances are never listed: a round counts the nodes of each bit, in a row for each block.
+    """
+    numbered = numbered_sources(edges, sources)
+    per_bit = [F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1")).alias(f"n{i}") for i in range(SOURCES_PER_ROW)]
+    counts = [
+        fresh.groupBy("block").agg(*per_bit).select(
+            "block", F.lit(d).alias("distance"), F.posexplode(F.array(*[f"n{i}" for i in range(SOURCES_PER_ROW)])).alias("bit", "n")
+        )
+        for d, fresh in hop_rounds(edges, numbered)
+        if d > 0
+    ]
+    if not counts:
+        schema = "name string, reachable bigint, total_distance bigint, eccentricity int, closeness double"
+        return edges.sparkSession.createDataFrame([], schema).withColumn("name", F.col("name").cast(numbered.schema["source"].dataType))
+    away = reduce(DataFrame.union, counts).where("n > 0").join(numbered, ["block", "bit"])
     return away.groupBy(F.col("source").alias("name")).agg(
-        F.count("*").alias("reachable"),
-        F.sum("distance").alias("total_distance"),
+        F.sum("n").alias("reachable"),
+        F.sum(F.col("n") * F.col("distance")).alias("total_distance"),
         F.max("distance").alias("eccentricity"),
-        (F.count("*") / F.sum("distance")).alias("closeness"),
+        (F.sum("n") / F.sum(F.col("n") * F.col("distance"))).alias("closeness"),
     )
 
 

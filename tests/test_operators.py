@@ -364,6 +364,32 @@ def test_indexed_search_equals_a_scan(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "folder" in plan.split("PartitionFilters: [")[1][:40]
 
 
+def test_hops_of_many_sources_equal_brute_force(spark):
+    """More than 64 sources, so that rows hold full words of bits and there are several blocks."""
+    draw = random.Random(9)
+    pairs = {tuple(sorted(draw.sample(range(150), 2))) for _ in range(190)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for source in near:
+        away, frontier, distance = {source: 0}, [source], 0
+        while frontier:
+            distance += 1
+            frontier = [n for n in {m for x in frontier for m in near[x]} if n not in away]
+            away.update(dict.fromkeys(frontier, distance))
+        want |= {(source, n, d) for n, d in away.items()}
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src bigint, dst bigint, weight bigint")
+    got = rows(network.hop_distances(edges), "source", "node", "distance")
+    assert len(got) == len(want) and set(got) == want
+    metrics = {r.name: (r.reachable, r.total_distance, r.eccentricity) for r in network.path_metrics(edges).collect()}
+    for source in near:
+        far = [d for s, _, d in want if s == source and d]
+        assert metrics[source] == (len(far), sum(far), max(far))
+    assert network.path_metrics(edges.limit(0)).count() == 0
+
+
 def test_toc_json_of_any_depth(spark):
     deep = "[" + '{"label": "a", "href": "b", "children": [' * 100_000 + "]}" * 100_000 + "]"
     data = [(1, deep), (2, deep[:-1]), (3, "[" * 50_000), (4, '[{"label": "x", "href": "y"}] z'), (5, '[{"label": "\\ud800x", "href": "y"}]')]
