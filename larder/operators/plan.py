@@ -16,6 +16,7 @@ from larder.functions.ingredients import index_name, shopping_label
 from larder.functions.text import blank_to_null, casefold, strip, text
 from larder.operators.ordering import ranked
 from larder.session import cut_lineage
+from larder.sources.plan_files import plan_lines
 
 # --- free text -------------------------------------------------------------------------------
 
@@ -455,6 +456,28 @@ def match_titles(entries: DataFrame, dishes: DataFrame, people: Sequence[str] =
     return exact.withColumn("score", F.lit(1.0)).unionByName(fuzzy_title_match(rest, dishes, people=people))
 
 
+def import_plans(texts: DataFrame, dishes: DataFrame, as_of_year: int, people: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Free-text plans as rows of weeks that name their dishes, and the notes of each week.
+
+    ``texts`` is ``(file_id, text)``; ``dishes`` has ``recipe_id``, ``title`` and ``listing_order``. Entries that
+    name something to cook are linked, equal titles once: to the dish of the same title, else to the one that is
+    clearly nearest. Rows are ranked by weekday from the start of their week, meal and place in the file.
+    """
+    rows = cut_lineage(plan_rows_from_entries(plan_carry_forward(plan_lines(texts)), as_of_year))
+    kept = rows.where("is_row")
+    wanted = F.col("is_recipe") & (text(F.col("match_title")) != "")
+    titles = kept.where(wanted).select(F.col("match_title").alias("title")).distinct()
+    found = match_titles(titles, dishes, people).select(F.col("title").alias("match_title"), "recipe_id", "score")
+    linked = kept.withColumn("match_title", F.when(wanted, F.col("match_title"))).join(found, "match_title", "left")
+    placed = linked.withColumns(
+        {
+            "week_id": F.concat_ws("-", F.col("file_id").cast("string"), F.col("section_no").cast("string")),
+            "row_seq": F.struct("group_at", "line_no", "slot"),
+        }
+    )
+    return sort_plan_rows(placed).drop("row_seq", "match_title", "is_row", "note"), plan_notes(rows)
+
+
 def resolve_reference(
     rows: DataFrame, dishes: DataFrame, fuzzy: bool = True, people: Sequence[str] = ()
 ) -> DataFrame:

@@ -248,6 +248,12 @@ def k(body: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ", ".join(ctes) + "\n" + body
 
 
+# Plans of six documents each; a line may be several.
+WRITTEN = """SELECT file_id, pos - 1 AS line_no, line FROM (SELECT recipe_id // 6 AS file_id, string_split(string_agg(CASE recipe_id % 6
+        WHEN 0 THEN 'Week of ' || (1 + recipe_id // 6 % 28) || ' April 2024' || chr(10) || 'Dinners:' || chr(10) || '- [x] ' || title
+        WHEN 1 THEN '• ' || title WHEN 2 THEN title || ' https://example.com/a' WHEN 3 THEN 'Lunches' || chr(10) || '- Tuesday: ' || title || chr(10) || '• for two'
+        WHEN 4 THEN '- ' || array_to_string(string_split(title, ' ')[1:7], ' ') ELSE chr(10) || 'Friday' || chr(9) || title || chr(9) || 'Soup' END, chr(10) ORDER BY recipe_id), chr(10)) AS ls
+        FROM v_docs GROUP BY 1), unnest(ls) WITH ORDINALITY AS u(line, pos)"""
 SQL = {
     "plan_lines": k("SELECT file_id, line_no, s AS line, kind0 AS kind FROM kinds", KINDS),
     "lookahead_line": k("SELECT file_id, line_no, before_detail AS standalone FROM kinds WHERE kind0 IN ('entry', 'detail')", KINDS),
@@ -275,6 +281,17 @@ SQL = {
     "plan_notes": k(f"SELECT file_id, section_no, {strip('n')} AS notes FROM (SELECT file_id, section_no, string_agg(note, chr(10) ORDER BY group_at, line_no, slot) AS n FROM rows WHERE note <> '' GROUP BY ALL)", ROWS),
     "exact_title_match": k("SELECT * FROM exact", EXACT),
     "fuzzy_title_match": "WITH RECURSIVE " + ", ".join([EXACT, FUZZY, MARGIN.replace("round(best, 6)", "round(best, 4)")]),
+    "import_plans": "WITH RECURSIVE " + ", ".join([
+        f"v_docs AS ({VIEWS['v_docs']})", ROWS.replace(LINES, WRITTEN),
+        EXACT.replace(f"v_docs AS ({VIEWS['v_docs']}), ", "").replace(
+            f"titles AS (SELECT recipe_id AS entry_id, {TITLE} AS title FROM v_docs)", "titles AS (SELECT DISTINCT title FROM rows WHERE usable AND is_recipe AND title <> '')"),
+        FUZZY, MARGIN.replace("\n    SELECT title, recipe_id, round(best, 6) AS score", ",\n    nearest AS (SELECT title, recipe_id, round(best, 4) AS score") + ")"]) + f"""
+        , linked AS (SELECT * FROM nearest UNION ALL SELECT title, recipe_id, 1.0 FROM exact),
+        said AS (SELECT file_id, section_no, {strip("string_agg(note, chr(10) ORDER BY group_at, line_no, slot)")} AS notes FROM rows WHERE note <> '' GROUP BY ALL),
+        kept AS (SELECT * REPLACE (CASE WHEN usable THEN weekday ELSE '' END AS weekday, CASE WHEN usable THEN meal ELSE '' END AS meal) FROM rows WHERE usable OR (any_row = 0 AND nth = 1))
+        SELECT file_id, section_no, start_on, row_number() OVER (PARTITION BY file_id, section_no ORDER BY day_offset, meal_offset, group_at, line_no, slot) AS rank, weekday, meal, slot_title AS title,
+            usable AND coalesce(is_complete, false) AS completed, recipe_id, score, notes
+        FROM (SELECT *, {OFFSETS} FROM kept) k LEFT JOIN linked l ON l.title = k.title AND k.is_recipe LEFT JOIN said USING (file_id, section_no)""",
     "client_title_match": k(MARGIN.replace("best AS", """scored AS (SELECT title, recipe_id, max(score) AS score, copies FROM (
         SELECT title, recipe_id, copies, CASE WHEN v = norm THEN 1.0 ELSE shared / greatest(nv, nn) * 0.5 + shared / nv * 0.35
                + CASE WHEN contains(norm, v) OR contains(v, norm) THEN 0.15 ELSE 0 END + CASE WHEN shared = nv THEN 0.08 ELSE 0 END

@@ -170,6 +170,32 @@ def fuzzy_title_match(spark, d):
     return plan.fuzzy_title_match(rest, known, people=PEOPLE)
 
 
+def _written_plans(spark, d):
+    """Plans of six documents' titles each, in the ways plans write them."""
+    docs = views.documents(spark, d)
+    title, form = F.col("title"), F.col("recipe_id") % 6
+    number = (1 + F.floor(F.col("recipe_id") / 6) % 28).cast("string")
+    line = (
+        F.when(form == 0, F.concat(F.lit("Week of "), number, F.lit(" April 2024\nDinners:\n- [x] "), title))
+        .when(form == 1, F.concat(F.lit("• "), title))
+        .when(form == 2, F.concat(title, F.lit(" https://example.com/a")))
+        .when(form == 3, F.concat(F.lit("Lunches\n- Tuesday: "), title, F.lit("\n• for two")))
+        .when(form == 4, F.concat(F.lit("- "), first_words(title, 7)))
+        .otherwise(F.concat(F.lit("\nFriday\t"), title, F.lit("\tSoup")))
+    )
+    files = docs.groupBy(F.floor(F.col("recipe_id") / 6).cast("bigint").alias("file_id"))
+    lines = files.agg(F.array_sort(F.collect_list(F.struct("recipe_id", line.alias("line")))).alias("lines"))
+    return lines.select("file_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+
+
+def import_plans(spark, d):
+    """From plan files to ranked rows with their dishes, and the notes of their weeks."""
+    rows, notes = plan.import_plans(_written_plans(spark, d), _known(spark, d), YEAR, PEOPLE)
+    return rows.join(notes, ["file_id", "section_no"], "left").select(
+        "file_id", "section_no", "start_on", "rank", "weekday", "meal", "title", "completed", "recipe_id", "score", "notes"
+    )
+
+
 def client_title_match(spark, d):
     found = plan.client_title_match(_titles(spark, d), _known(spark, d))
     return found.withColumn("score", F.round("score", 6))
@@ -319,7 +345,7 @@ QUERIES = {
     for f in (
         plan_lines, lookahead_line, meal_text, title_variants, entry_cleaners, plan_labels, week_start, week_title,
         heading_tests, schedule_row, build_entry, non_recipe_entries, plan_carry_forward, recent_weeks,
-        infer_day_meal, plan_notes, exact_title_match, fuzzy_title_match, client_title_match, best_with_margin,
+        infer_day_meal, plan_notes, exact_title_match, fuzzy_title_match, import_plans, client_title_match, best_with_margin,
         resolve_reference, sort_plan_rows, plan_link_hydrate, next_week_start, shopping_list, shopping_sources,
         shopping_label, plan_stats, recipe_options, plan_rows_to_json, plan_rows_from_json, plan_format_union,
     )
