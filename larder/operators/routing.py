@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import bind, text
 from larder.operators.catalogue import append_new_anchors
 from larder.operators.documents import (
+    HEADINGS,
     candidate_sections,
     caption_attach,
     deterministic_drafts,
@@ -32,12 +33,18 @@ IDS = [PLACE, "section_no"]
 
 
 def parsed_documents(docs: DataFrame, html: str = "html") -> DataFrame:
-    """``(cookbook_id, doc_no, doc, nodes, profile)`` of the documents that are not for navigation."""
+    """``(cookbook_id, doc_no, doc, nodes, profile, headed)`` of the documents that are not for navigation.
+
+    ``headed`` tells whether a page has a heading; one without is a single section.
+    """
     found = bind(
         node_array(F.coalesce(F.col(html), F.lit(""))),
-        lambda nodes: F.struct(nodes.alias("nodes"), profile_of(nodes).alias("profile")),
+        lambda nodes: F.struct(
+            nodes.alias("nodes"), profile_of(nodes).alias("profile"),
+            F.exists(nodes, lambda n: n["tag"].isin(*HEADINGS)).alias("headed"),
+        ),
     )
-    return nav_html_skip(docs, NAME).select(*KEEP, found.alias("f")).select(*KEEP, "f.nodes", "f.profile")
+    return nav_html_skip(docs, NAME).select(*KEEP, found.alias("f")).select(*KEEP, "f.nodes", "f.profile", "f.headed")
 
 
 def book_sections(docs: DataFrame, html: str = "html") -> DataFrame:
@@ -48,9 +55,9 @@ def book_sections(docs: DataFrame, html: str = "html") -> DataFrame:
     """
     # Nodes are dear and read by both kinds of sections.
     parsed = cut_lineage(parsed_documents(docs, html))
-    generic = generic_sections(node_sections(parsed.where("profile is null"), KEEP), NAME, KEEP)
-    alone = generic.groupBy(BOOK, PLACE).agg((F.count("*") == 1).alias("alone"))
-    generic = generic.join(alone, [BOOK, PLACE]).withColumn("has_heading", F.col("has_heading") | ~F.col("alone")).drop("alone")
+    kept = [*KEEP, "headed"]
+    generic = generic_sections(node_sections(parsed.where("profile is null"), kept), NAME, kept)
+    generic = generic.withColumn("has_heading", F.col("has_heading") | F.col("headed")).drop("headed")
     named = node_profile_sections(parsed.where("profile is not null"), NAME, KEEP).withColumn("has_heading", F.lit(True))
     sections = cut_lineage(generic.unionByName(named, allowMissingColumns=True))
     return caption_attach(sections, [BOOK], [F.asc(PLACE), F.asc("section_no")], IDS)
