@@ -205,7 +205,8 @@ def caption_attach(sections: DataFrame, keys: list[str], order: list[Column], id
         *keys, *ids, shape.alias("shape"), F.when(shape, title_token(F.col("excerpt"))).alias("caption"),
         title_token(F.col("chapter_title")).alias("title_key"), F.when(shape, F.col("images")).alias("images"),
     )
-    placed = ranked(own, order, keys)
+    # Ranking samples its input first: titles are compared in one form, made once.
+    placed = ranked(cut_lineage(own), order, keys)
     before = placed.select(*keys, (F.col("rank") + 1).alias("rank"), F.col("title_key").alias("before_key"))
     shaped = placed.where("shape").join(before, [*keys, "rank"], "left")
     same = Window.partitionBy(*keys, "caption").orderBy("rank")

@@ -65,7 +65,8 @@ def book_sections(docs: DataFrame, html: str = "html") -> DataFrame:
 
 def filled_sections(sections: DataFrame) -> DataFrame:
     """Candidates with their fields: profile sections have theirs, generic ones are read line by line."""
-    wanted = candidate_sections(sections.where(text(F.col("text")) != ""))
+    # Both kinds are read from what the judging of candidates leaves.
+    wanted = cut_lineage(candidate_sections(sections.where(text(F.col("text")) != "")))
     fields = ("metadata", "ingredient_lines", "method_lines")
     generic = section_fields(wanted.where("profile is null").drop(*fields))
     return generic.unionByName(wanted.where("profile is not null"))
