@@ -211,7 +211,11 @@ def quality_scores(
 def keep_predicted(
     docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` predicted to be of label 1, with their columns as given."""
+    """The rows of ``docs`` predicted to be of label 1, with their columns as given.
+
+    NULL texts read as empty, NULL ids are never in the training sample, and each of repeated rows is judged alike. No
+    rows give none.
+    """
     space = fit(training_sample(docs, labels, label, doc_id, text))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text).alias("_text"))
     return with_scores(held, space, "_text").where(F.col("score") >= CUT).select("row.*")

@@ -157,5 +157,9 @@ def ablations(entries: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = POLICY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with their columns as given."""
+    """The rows of ``docs`` that a policy keeps, with their columns as given.
+
+    NULL and empty texts have too few words and go under the given policies; NULL ids change nothing, each of repeated
+    rows is judged alike, and no rows give none.
+    """
     return ledger(docs, doc_id, text, keep=True).where(passes(policy)).select("row.*")

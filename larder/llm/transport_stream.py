@@ -250,7 +250,10 @@ def padded(payload: bytes) -> bytes:
 
 def write_streams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, media)``: each row's text as UTF-8, padded with zeros to a positive
-    multiple of 64 bytes, in a transport stream. A NULL text is empty; equal texts give equal media."""
+    multiple of 64 bytes, in a transport stream. A NULL text is empty; equal texts give equal media.
+
+    NULL ids stay NULL, repeated rows repeat, other columns are not read and no rows give none.
+    """
 
     def write(batches):
         for batch in slices(batches, "text", 1 << 20):
@@ -277,7 +280,7 @@ def read_streams(rows: DataFrame, media: str = "media", result: str = "stream")
 
     The struct has the tables, the counts of faults, the payload put together again, and an entry
     for each elementary packet: PID, timestamp, random-access mark, place and size in the payload.
-    NULL media give a NULL struct.
+    NULL media give a NULL struct. All other columns stay as they are; no rows give none.
     """
 
     kept = rows.drop(result)
