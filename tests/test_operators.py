@@ -210,6 +210,32 @@ def test_fuzzy_match_equals_brute_force(spark):
     assert {r["title"]: (r["recipe_id"], r["score"]) for r in got.collect()} == _brute_force(titles, dishes)
 
 
+def test_candidates_are_the_pairs_that_share_enough(spark, monkeypatch):
+    monkeypatch.setattr(plan, "RARE_USES", 2, raising=False)
+    names = [f"{a} {b} {c}" for a in ("red", "green", "blue") for b in ("soup", "pie", "red") for c in ("bean", "leek", "pie")]
+    asked = ["red soup bean stew", "pie", "leek pie blue", "rare red", "green bean", "bean leek soup", "nothing here"]
+    titles = spark.createDataFrame([(n,) for n in dict.fromkeys(names + ["rare dish"])], "norm string")
+    variants = spark.createDataFrame([(v, v) for v in asked], "title string, variant string")
+    for least in (0.0, 0.5, 0.75):
+        pairs = plan._token_candidates(variants, titles, least, lambda v: F.split(v, " "))
+        got = [(r["variant"], r["norm"], round(r["coverage"], 6)) for r in pairs.collect()]
+        want = []
+        for v in asked:
+            for r in titles.collect():
+                shared = len(set(v.split()) & set(r["norm"].split()))
+                if shared >= max(1, least * len(set(v.split()))):
+                    want.append((v, r["norm"], round(shared / len(set(v.split())), 6)))
+        assert sorted(got) == sorted(want)
+
+
+def test_readings_of_titles_are_worked_out_in_many_tasks(spark):
+    entries = spark.range(64).select(F.concat(F.lit("Dish "), "id").alias("title"))
+    dishes = entries.select(F.lit(1).alias("recipe_id"), "title", F.lit(1).alias("listing_order"))
+    found = plan._variants(entries, plan.client_variants(F.col("title")))
+    assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert found.count() == 64 and plan._known_titles(dishes).count() == 64
+
+
 def test_copies_of_the_best_title_tie(spark):
     dishes = spark.createDataFrame([(1, "Fish pie", 1), (2, "fish pies", 2)], "recipe_id int, title string, listing_order int")
     entries = spark.createDataFrame([("fish pie deluxe",), ("Fish pie",)], "title string")
