@@ -14,6 +14,7 @@ WS = (
     r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+NOT_WS = "[^" + WS.removeprefix("[")
 WS_CHARS = "".join(map(chr, (
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )))
@@ -38,7 +39,8 @@ def text(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """NULL for the empty string. ``c`` is evaluated once, which ``nullif`` inside ``bind`` does not promise."""
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
 
 
 def squash(c: Column) -> Column:
@@ -68,7 +70,8 @@ def word_count(c: Column) -> Column:
 
 
 def first_words(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.split(squash(c), " "), 1, n), " ")
+    """The first ``n`` words; of a long text, no more than these is read."""
+    return squash(F.regexp_extract(c, f"^{WS}*(?:{NOT_WS}+{WS}*){{0,{n}}}", 0))
 
 
 def text_lines(c: Column) -> Column:

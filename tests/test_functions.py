@@ -155,3 +155,20 @@ def test_build_entry(one):
     assert entry["title"] == "Fish pie" and entry["is_complete"] and entry["external_url"] == "https://example.com/p"
     assert one(P.bulleted_entry(F.lit("plain words"))) is None
     assert not one(P.build_entry(F.lit("Tally out")))["is_recipe"]
+
+
+def test_blank_to_null_evaluates_its_text_once(spark):
+    rows = spark.createDataFrame([("",), (None,), ("a",), (" ",)], "t string")
+    assert [r["v"] for r in rows.select(T.blank_to_null(F.col("t")).alias("v")).collect()] == [None, None, "a", " "]
+    inner = T.bind(F.col("t"), lambda t: T.blank_to_null(F.upper(T.blank_to_null(F.reverse(t)))))
+    plan = rows.select(inner.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1
+
+
+def test_first_words_stops_after_them(spark):
+    texts = ["a b  c\u00a0d", "\u3000 a\n\tb ", "", " \n", None, "word", "a b", "x" * 5000 + " y z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["v"] for r in rows.select(T.first_words(F.col("t"), 2).alias("v")).collect()]
+    assert got == [None if t is None else " ".join(t.split()[:2]) for t in texts]
+    plan = rows.select(T.first_words(F.col("t"), 2).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(t" not in plan
