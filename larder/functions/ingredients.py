@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.functions.text import (
+    ANY_WS,
     WORD_END,
     WORD_START,
     WS,
@@ -100,10 +101,19 @@ SOURCE_NAME_RULES = {
 }
 
 
+def _without_asides(c: Column, instead: str) -> Column:
+    """Brackets replaced, with the white space before them; a text without any is not searched."""
+    return bind(
+        c, lambda v: F.when(F.contains(v, F.lit("(")), F.regexp_replace(v, ANY_WS + r"*\([^)]*\)", instead)).otherwise(v)
+    )
+
+
 def normalize_ingredient(c: Column) -> Column:
-    value = F.regexp_replace(casefold(text(c)), f"^optional:{WS}*", "")
-    value = F.regexp_replace(value, WS + r"*\([^)]*\)", " ")
-    value = F.regexp_replace(value, f"^(?:a|an|the){WS}+", "")
+    value = bind(
+        casefold(text(c)),
+        lambda v: F.when(F.startswith(v, F.lit("optional:")), F.regexp_replace(v, f"^optional:{ANY_WS}*", "")).otherwise(v),
+    )
+    value = F.regexp_replace(_without_asides(value, " "), f"^(?:a|an|the){ANY_WS}+", "")
     return F.trim(F.regexp_replace(value, "[^a-z0-9]+", " "))
 
 
@@ -163,11 +173,11 @@ def index_name(canonical: Column, normalized: Column, raw: Column) -> Column:
 
 
 def extracted_name(c: Column) -> Column:
-    value = F.regexp_replace(casefold(c), WS + r"*\([^)]*\)", " ")
+    value = _without_asides(casefold(c), " ")
     value = strip(
         F.regexp_replace(value, r"(^|[^\p{L}\p{N}_])(?:for|plus)(?:[^\p{L}\p{N}_].*)?$", "$1")
     )
-    value = F.regexp_replace(value, f"^(?:a|an|the){WS}+", "")
+    value = F.regexp_replace(value, f"^(?:a|an|the){ANY_WS}+", "")
     return F.coalesce(blank_to_null(normalize_ingredient(value)), F.lit("ingredient"))
 
 
@@ -186,7 +196,7 @@ def _parsed(cleaned: Column) -> Column:
 
     def with_unit(quantity: Column, remainder: Column, unit: Column) -> Column:
         rest = F.regexp_replace(F.substr(remainder, F.length(unit) + 1), f"^{WS}+", "")
-        item = strip_chars(F.regexp_replace(rest, WS + r"*\([^)]*\)", ""), " .;:-")
+        item = strip_chars(_without_asides(rest, ""), " .;:-")
         return bind(F.regexp_replace(item, f"(?i)^of{WS}+", ""), lambda i: with_item(quantity, unit, i))
 
     def with_quantity(base: Column, quantity: Column) -> Column:

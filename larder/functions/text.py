@@ -14,6 +14,8 @@ WS = (
     r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same class for Java alone: most characters are told from white space by one comparison.
+ANY_WS = r"[\x00- \x{7f}-\x{10ffff}&&" + WS + "]"
 NOT_WS = "[^" + WS.removeprefix("[")
 WS_CHARS = "".join(map(chr, (
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
@@ -45,7 +47,7 @@ def blank_to_null(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    return F.trim(F.regexp_replace(c, ANY_WS + "+", " "))
 
 
 def strip(c: Column) -> Column:
@@ -57,7 +59,9 @@ def strip_chars(c: Column, chars: str) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    return bind(
+        F.lower(c), lambda low: F.when(F.contains(low, F.lit("ß")), F.replace(low, F.lit("ß"), F.lit("ss"))).otherwise(low)
+    )
 
 
 def words(c: Column) -> Column:

@@ -172,3 +172,18 @@ def test_first_words_stops_after_them(spark):
     assert got == [None if t is None else " ".join(t.split()[:2]) for t in texts]
     plan = rows.select(T.first_words(F.col("t"), 2).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace(t" not in plan
+
+
+def test_white_space_of_any_kind_is_squashed(one):
+    marks = "".join(f"x{c}{c} y" for c in T.WS_CHARS)
+    assert one(T.squash(F.lit(f" {marks}​﻿ "))) == f"{' '.join(marks.split())}​﻿"
+    assert "&&" in str(T.squash(F.lit("a")))
+
+
+def test_normalising_searches_for_brackets_only_where_some_are(spark, one):
+    assert one(I.normalize_ingredient(F.lit("OPTIONAL: the Gruß　(a) b ( c"))) == "gruss b c"
+    assert one(I.normalize_ingredient(F.lit("not optional: a"))) == "not optional a"
+    rows = spark.createDataFrame([("a",)], "t string")
+    plan = rows.select(I.normalize_ingredient(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan
+    assert plan.count("lower(") == 1
