@@ -86,15 +86,19 @@ def split_at(items: Column, is_start: Callable[[Column, Column], Column]) -> Col
     Items before the first start belong to no run.
     """
 
-    def runs(found: Column) -> Column:
-        def run(start: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(found, k + 1), F.size(items))
-            return F.slice(items, start + 1, end - start)
+    def cut(a: Column) -> Column:
+        def runs(found: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(found, k + 1), F.size(a))
+                return F.slice(a, start + 1, end - start)
+
+            return F.transform(found, run)
 
-        return F.transform(found, run)
+        places = F.transform(a, lambda x, i: F.when(is_start(x, i), i))
+        return bind(F.array_compact(places), runs)
 
-    places = F.transform(items, lambda x, i: F.when(is_start(x, i), i))
-    return bind(F.array_compact(places), runs)
+    # Every run reads the items: they are made once, not once a run.
+    return bind(items, cut)
 
 
 def dedupe_consecutive(lines: Column) -> Column:

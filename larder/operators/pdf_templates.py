@@ -88,12 +88,14 @@ def _place(blocks: Column, test: Callable[[Column], Column]) -> Column:
 
 def _after(blocks: Column, test: Callable[[Column], Column]) -> Column:
     """Blocks behind the first that fits; none when none does."""
-    at = _place(blocks, test)
-    return F.when(at.isNotNull(), F.slice(blocks, at + 2, MANY)).otherwise(F.slice(blocks, 1, 0))
+    def behind(a: Column) -> Column:
+        return bind(_place(a, test), lambda at: F.when(at.isNotNull(), F.slice(a, at + 2, MANY)).otherwise(F.slice(a, 1, 0)))
+
+    return bind(blocks, behind)
 
 
 def _before(blocks: Column, test: Callable[[Column], Column]) -> Column:
-    return F.slice(blocks, 1, F.coalesce(_place(blocks, test), F.size(blocks)))
+    return bind(blocks, lambda a: F.slice(a, 1, F.coalesce(_place(a, test), F.size(a))))
 
 
 def _texts(blocks: Column) -> Column:
@@ -101,7 +103,8 @@ def _texts(blocks: Column) -> Column:
 
 
 def _says(word: str) -> Callable[[Column], Column]:
-    return lambda b: F.lower(b["text"]) == word
+    """Whether a block is the word, in any case. Texts of another length are not lowered."""
+    return lambda b: (F.length(b["text"]) == len(word)) & (F.lower(b["text"]) == word)
 
 
 def _without_prefix(c: Column, prefix: str) -> Column:
@@ -531,11 +534,11 @@ def pdf_waitrose(files: DataFrame) -> DataFrame:
         )
         listed = _before(
             _after(blocks, _says("ingredients")),
-            lambda b: (F.lower(b["text"]) == "method") | F.startswith(b["text"], F.lit("Typical values per serving")),
+            lambda b: _says("method")(b) | F.startswith(b["text"], F.lit("Typical values per serving")),
         )
         by_column = F.array_sort(
             F.transform(
-                F.filter(listed, lambda b: ~F.lower(b["text"]).isin("nutritional", "ingredients")),
+                F.filter(listed, lambda b: ~(_says("nutritional")(b) | _says("ingredients")(b))),
                 lambda b: F.struct(
                     b["page"].alias("page"), F.when(middle > 0, (b["x0"] >= middle).cast("int")).otherwise(0).alias("column"),
                     b["y0"].alias("y0"), b["x0"].alias("x0"), b["at"].alias("at"), b["text"].alias("text"),
@@ -569,12 +572,18 @@ def pdf_waitrose(files: DataFrame) -> DataFrame:
             )
 
         def steps(found: Column) -> Column:
-            numbers = F.array_sort(F.array_distinct(F.transform(found, lambda s: s["number"])))
-            return F.transform(
-                numbers,
-                lambda n: strip(F.array_join(F.transform(F.filter(found, lambda s: s["number"] == n), lambda s: s["text"]), " ")),
+            """Texts of equal numbers joined in page order: they meet by sorting, so no number reads the others' texts."""
+            numbered = F.filter(found, lambda s: s["number"].isNotNull())
+            by_number = F.array_sort(
+                F.transform(numbered, lambda s, i: F.struct(s["number"].alias("number"), i.alias("at"), s["text"].alias("text")))
             )
 
+            def joined(a: Column) -> Column:
+                runs = split_at(a, lambda s, i: (i == 0) | (s["number"] != F.get(a, F.greatest(i - 1, F.lit(0)))["number"]))
+                return F.transform(runs, lambda run: strip(F.array_join(_texts(run), " ")))
+
+            return bind(by_number, joined)
+
         told = bind(bind(words, numbered), steps)
         return F.struct(
             text(_first(first_page, lambda b: (b["y0"] >= 380) & (b["y0"] <= 460))["text"]).alias("title"),

@@ -589,3 +589,24 @@ def test_waitrose_layout(spark):
     assert r["method_steps"] == ["Heat oil.", "Add 200", "Serve."]
     short = pdf.pdf_waitrose(_file(spark, blocks, pages=1)).first()
     assert short["reason"].endswith("expected a 2-page recipe PDF.")
+
+
+# --- work done once, in tasks of bounded size ------------------------------------------------
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+def test_runs_do_not_make_their_items_again(spark):
+    df = spark.createDataFrame([(["a", "1", "b", "1", "c"],), (None,), ([],)], "a array<string>")
+    made = df.select(documents.split_at(F.reverse("a"), lambda x, i: x == "1").alias("r"))
+    assert [r["r"] for r in made.collect()] == [[["1", "b"], ["1", "a"]], None, []]
+    assert _plan(made).count("reverse(") == 1
+
+def test_waitrose_steps_of_one_number_meet(spark):
+    first = [(1, 30, 600, "Serves 2"), (2, 30, 20, "Ingredients"), (2, 30, 40, "1 egg"), (2, 30, 100, "METHOD")]
+    words = [(2, 30, 110 + n, t) for n, t in enumerate(["2", "b", "10", "k", "1", "a", "2", "c"])] + [(2, 300, 110, "1"), (2, 310, 111, "d")]
+    found = pdf.pdf_waitrose(_file(spark, first, words=words))
+    assert found.first()["method_steps"] == ["a d", "b c", "k"]
+    # Steps meet by sorting, not by a search for each number.
+    assert "array_distinct" not in _plan(found)
