@@ -355,10 +355,19 @@ def candidate_sections(sections: DataFrame) -> DataFrame:
     )
 
 
-def deterministic_gate(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sections with both ingredient and method lines, and the others."""
+def gate_path(sections: DataFrame) -> DataFrame:
+    """Sections with the ``path`` that reads them: ``rules`` with both ingredient and method lines, else ``model``."""
     complete = (F.size("ingredient_lines") > 0) & (F.size("method_lines") > 0)
-    return sections.where(complete), sections.where(~complete)
+    return sections.withColumn("path", F.when(complete, "rules").when(~complete, "model"))
+
+
+def deterministic_gate(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections with both ingredient and method lines, and the others.
+
+    To read both, take ``gate_path``, which makes the sections once.
+    """
+    gated = gate_path(sections)
+    return gated.where("path = 'rules'").drop("path"), gated.where("path = 'model'").drop("path")
 
 
 def review_reasons(confidence: Column, ingredients: Column, steps: Column, images: Column) -> Column:

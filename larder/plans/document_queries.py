@@ -112,8 +112,7 @@ def method_steps(spark, d):
 
 
 def deterministic_gate(spark, d):
-    ready, rest = D.deterministic_gate(D.section_fields(_sections(spark, d)))
-    return ready.select("recipe_id", F.lit("rules").alias("path")).union(rest.select("recipe_id", F.lit("model").alias("path")))
+    return D.gate_path(D.section_fields(_sections(spark, d))).where(F.col("path").isNotNull()).select("recipe_id", "path")
 
 
 def deterministic_drafts(spark, d):

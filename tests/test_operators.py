@@ -610,3 +610,13 @@ def test_waitrose_steps_of_one_number_meet(spark):
     assert found.first()["method_steps"] == ["a d", "b c", "k"]
     # Steps meet by sorting, not by a search for each number.
     assert "array_distinct" not in _plan(found)
+
+def test_gate_reads_its_sections_once(spark):
+    lines = "ingredient_lines array<string>, method_lines array<string>"
+    df = spark.createDataFrame([(1, ["a"], ["b"]), (2, [], ["b"]), (3, ["a"], []), (4, None, ["b"])], f"recipe_id int, {lines}")
+    paths = documents.gate_path(df)
+    ready, rest = documents.deterministic_gate(df)
+    assert [r["path"] for r in paths.orderBy("recipe_id").collect()][:3] == ["rules", "model", "model"]
+    for name, part in (("rules", ready), ("model", rest)):
+        assert rows(part, "recipe_id") == rows(paths.where(F.col("path") == name), "recipe_id")
+        assert part.columns == df.columns
