@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import bind, WORD_END, WORD_START, WS, blank_to_null, squash, strip, strip_chars, text
+from larder.functions.text import ANY_WS, bind, WORD_END, WORD_START, WS, blank_to_null, squash, strip, strip_chars, text
 
 # Fixed values.
 STOPWORDS = ("a", "an", "and", "for", "fresh", "of", "or", "style", "the", "to", "with")
@@ -59,7 +59,8 @@ def meal_tokens(c: Column, links_first: bool = True) -> Column:
     def singular(t: Column) -> Column:
         for word, alias in TOKEN_ALIASES.items():
             t = F.when(t == word, alias).otherwise(t)
-        return F.regexp_replace(F.regexp_replace(t, "^(..+)ies$", "$1y"), "^(.{3,}[^su])s$", "$1")
+        one = F.regexp_replace(F.regexp_replace(t, "^(..+)ies$", "$1y"), "^(.{3,}[^su])s$", "$1")
+        return F.when(F.endswith(t, F.lit("s")), one).otherwise(t)
 
     return F.transform(kept, singular)
 
@@ -78,7 +79,7 @@ def display_title(c: Column) -> Column:
 
 
 def clean_entry(c: Column) -> Column:
-    return strip_chars(F.regexp_replace(text(c), WS + "+", " "), " -:\t")
+    return strip_chars(F.regexp_replace(text(c), ANY_WS + "+", " "), " -:\t")
 
 
 def trim_heading(c: Column) -> Column:

@@ -142,7 +142,10 @@ def plan_carry_forward(lines: DataFrame) -> DataFrame:
         .when(standalone, P.build_entry(F.col("body")))
         .otherwise(F.coalesce(bullet, plain))
     )
-    found = items.select("file_id", "section_no", "section_title", "group_at", "group_title", "line_no", "slot", "entry_no", entry.alias("e"))
+    # Filters on entries do not work them out again.
+    found = computed_once(items, "e", entry).select(
+        "file_id", "section_no", "section_title", "group_at", "group_title", "line_no", "slot", "entry_no", "e"
+    )
     return found.join(details, ["file_id", "entry_no"], "left").select(
         "file_id", "section_no", "section_title", "group_at", "group_title", "line_no", "slot", "e.*",
         F.coalesce("details", F.array().cast("array<string>")).alias("details"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import plan_text as P
 from larder.functions.text import first_words
 from larder.operators import plan
+from larder.session import computed_once
 from larder.sources import plan_files, views
 
 YEAR = 2024
@@ -125,7 +126,7 @@ def schedule_row(spark, d):
 
 
 def build_entry(spark, d):
-    rows = _lines(spark, d).select("file_id", "line_no", P.bulleted_entry(F.trim("line")).alias("e"))
+    rows = computed_once(_lines(spark, d), "e", P.bulleted_entry(F.trim("line")))
     return rows.where(F.col("e").isNotNull()).select("file_id", "line_no", "e.*").drop("day")
 
 

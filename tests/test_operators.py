@@ -620,3 +620,9 @@ def test_gate_reads_its_sections_once(spark):
     for name, part in (("rules", ready), ("model", rest)):
         assert rows(part, "recipe_id") == rows(paths.where(F.col("path") == name), "recipe_id")
         assert part.columns == df.columns
+
+def test_filters_do_not_make_entries_again(spark):
+    lines = spark.createDataFrame([(1, 0, "- soup https://e.org/a"), (1, 1, "- out")], "file_id int, line_no int, line string")
+    found = plan.non_recipe_entries(plan.plan_carry_forward(lines))
+    assert rows(found, "title") == []
+    assert "Generate explode(array(CASE" in _plan(found)
