@@ -15,7 +15,7 @@ from larder.functions import plan_text as P
 from larder.functions.ingredients import index_name, shopping_label
 from larder.functions.text import bind, blank_to_null, casefold, strip, text
 from larder.operators.ordering import ranked
-from larder.session import computed_once, cut_lineage, dealt
+from larder.session import computed_once, cut_lineage, dealt, sized
 from larder.sources.plan_files import plan_lines
 
 # --- free text -------------------------------------------------------------------------------
@@ -562,9 +562,14 @@ def shopping_uses(plan_rows: DataFrame, dishes: DataFrame, lines: DataFrame) ->
 
     Each planned row of a live recipe uses every ingredient line of it once. Both sides are
     counted before they meet, so a recipe planned often or a repeated line is one joined row.
-    A recipe without a usable line falls back to its stored ingredient names.
+    A recipe without a usable line falls back to its stored ingredient names. All sides are dealt by recipe to
+    tasks whose number grows with the lines, before a line's key and label are made.
     """
-    planned = plan_rows.where(F.col("recipe_id").isNotNull()).groupBy("week_id", "recipe_id").agg(
+    rows = lines.count()
+    plan_rows, dishes, lines = (
+        sized(x.where(F.col("recipe_id").isNotNull()), rows, "recipe_id") for x in (plan_rows, dishes, lines)
+    )
+    planned = plan_rows.groupBy("week_id", "recipe_id").agg(
         F.count("*").alias("times")
     )
     key = index_name(F.col("canonical_name"), F.col("normalized_name"), F.col("raw"))

@@ -626,3 +626,16 @@ def test_filters_do_not_make_entries_again(spark):
     found = plan.non_recipe_entries(plan.plan_carry_forward(lines))
     assert rows(found, "title") == []
     assert "Generate explode(array(CASE" in _plan(found)
+
+
+def test_shopping_tasks_grow_in_number_with_the_lines(spark, monkeypatch):
+    from larder import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    plan_rows = spark.range(60).select(F.lit("w").alias("week_id"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("recipe_id"))
+    dishes = spark.range(60).select(F.col("id").alias("recipe_id"), F.lit("Dish").alias("title"))
+    none = F.lit(None).cast("string")
+    lines = dishes.select("recipe_id", none.alias("canonical_name"), F.lit("lime").alias("normalized_name"), F.lit("1 lime").alias("raw"))
+    uses = plan.shopping_uses(plan_rows, dishes, lines)
+    assert rows(plan.shopping_list(plan_rows, dishes, lines), "name", "total_uses", "source_count") == [("lime", 40, 40)]
+    assert "RepartitionByExpression [recipe_id" in _plan(uses) and ", 30" in _plan(uses)
