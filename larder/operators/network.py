@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import ranked, top_ranked
-from larder.session import cut_lineage
+from larder.session import cut_lineage, dealt
 
 # Lengths of the ranked lists.
 TOP_NODES = 24
@@ -132,9 +132,10 @@ def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the least label around every node, then follows labels one step, which
     shortens long chains. Both joins have a unique side, so a hub only skews the edge side. The
     step joins the distinct labels only: once most nodes share one, that side is small and the
-    planner broadcasts it by its size.
+    planner broadcasts it by its size. Edges are dealt and sorted by one end when they are written, so no round
+    shuffles or sorts them again; a node's edges are at most as many as the nodes.
     """
-    ends = cut_lineage(both_ways(edges).select("a", "b"))
+    ends = cut_lineage(dealt(both_ways(edges).select("a", "b"), "b").sortWithinPartitions("b"))
     labels = cut_lineage(nodes.select("name", F.col("name").alias("component")))
     while True:
         around = (

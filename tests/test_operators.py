@@ -639,3 +639,12 @@ def test_shopping_tasks_grow_in_number_with_the_lines(spark, monkeypatch):
     uses = plan.shopping_uses(plan_rows, dishes, lines)
     assert rows(plan.shopping_list(plan_rows, dishes, lines), "name", "total_uses", "source_count") == [("lime", 40, 40)]
     assert "RepartitionByExpression [recipe_id" in _plan(uses) and ", 30" in _plan(uses)
+
+
+def test_rounds_do_not_shuffle_the_edges(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(network, "cut_lineage", lambda df: written.append(_plan(df)) or df.localCheckpoint())
+    edges = spark.createDataFrame([("a", "b", 1), ("c", "d", 1), ("b", "e", 1)], "src string, dst string, weight int")
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "name string")
+    assert sorted(rows(network.connected_components(nodes, edges), "component", "size")) == [("a", 3), ("c", 2), ("f", 1)]
+    assert "Sort [b" in written[0] and "RepartitionByExpression [b" in written[0]
