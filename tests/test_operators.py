@@ -390,6 +390,25 @@ def test_indexed_search_equals_a_scan(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "folder" in plan.split("PartitionFilters: [")[1][:40]
 
 
+def test_grams_are_numbers_with_lists(spark, tmp_path):
+    """No gram is a string that the sort compares; odd characters and marks inside fields keep their grams."""
+    fields = ["a\x00b", None, "", "\U0001f600\U0010ffffz", "aaaa"]
+    ended = [(f or "") + postings.MARK * 2 for f in fields]
+    want = {f[i : i + 3] for f in ended for i in range(len(f) - 2)}
+    assert sorted(postings.grams_of(fields).tolist()) == sorted(map(postings.gram_number, want))
+    data = [(None, "ab", None, ["c"], None, [None, "d"], ""), (7, "\U0010ffff", "x", [], [], [], None), (8, None, None, None, None, None, None)]
+    schema = "recipe_id bigint, title string, cookbook_title string, ingredient_names array<string>, ingredient_raw array<string>, method_steps array<string>, excerpt string"
+    dishes = spark.createDataFrame(data, schema)
+    postings.build_postings(dishes, str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    assert dict(stored.dtypes)["gram"] == "bigint"
+    found = {(i, g) for g, ids in rows(stored, "gram", "recipe_ids") for i in ids}
+    assert found == {(i, postings.gram_number(g)) for i, g in [(None, "ab\0"), (None, "b\0\0"), (None, "c\0\0"), (None, "d\0\0"), (7, "\U0010ffff\0\0"), (7, "x\0\0")]}
+    for terms in (["\U0010ffff"], ["x"], [""], ["x", "x\0"]):
+        got = rows(postings.indexed_keyword_score(dishes.where("recipe_id = 7"), str(tmp_path / "index"), terms), "recipe_id", "score")
+        assert got == rows(search.keyword_score(dishes.where("recipe_id = 7"), terms), "recipe_id", "score")
+
+
 def test_hops_of_many_sources_equal_brute_force(spark):
     """More than 64 sources, so that rows hold full words of bits and there are several blocks."""
     draw = random.Random(9)
