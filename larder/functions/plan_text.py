@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import ANY_WS, bind, WORD_END, WORD_START, WS, blank_to_null, squash, strip, strip_chars, text
+from larder.functions.text import bind, WORD_END, WORD_START, WS, WS_RUN, blank_to_null, squash, strip, strip_chars, text
 
 # Fixed values.
 STOPWORDS = ("a", "an", "and", "for", "fresh", "of", "or", "style", "the", "to", "with")
@@ -79,7 +79,7 @@ def display_title(c: Column) -> Column:
 
 
 def clean_entry(c: Column) -> Column:
-    return strip_chars(F.regexp_replace(text(c), ANY_WS + "+", " "), " -:\t")
+    return strip_chars(F.regexp_replace(text(c), WS_RUN, " "), " -:\t")
 
 
 def trim_heading(c: Column) -> Column:
@@ -234,8 +234,10 @@ def schedule_parts(c: Column) -> Column:
 
 def build_entry(body: Column, complete: Column | None = None, day: Column | None = None) -> Column:
     """Title, link and recipe test of one written entry."""
-    cleaned = clean_entry(body)
+    return bind(clean_entry(body), lambda cleaned: _cleaned_entry(cleaned, body, complete, day))
 
+
+def _cleaned_entry(cleaned: Column, body: Column, complete: Column | None, day: Column | None) -> Column:
     def without_link(c: Column) -> Column:
         label = link_label(F.regexp_extract(c, URL, 0))
         bare = clean_entry(F.regexp_replace(c, URL, ""))
@@ -247,7 +249,7 @@ def build_entry(body: Column, complete: Column | None = None, day: Column | None
         cut = clean_entry(F.regexp_extract(title, rf"(?is)^(.*?){WS}like{WS}", 1))
         return F.when(F.contains(F.lower(title), F.lit(" like ")), cut).otherwise(title)
 
-    shown = display_title(bind(bind(cleaned, without_link), before_like))
+    shown = display_title(bind(without_link(cleaned), before_like))
     return bind(
         shown,
         lambda title: F.struct(
@@ -267,8 +269,8 @@ def bulleted_entry(c: Column) -> Column:
     body = F.coalesce(
         blank_to_null(F.regexp_extract(c, CHECKBOX, 2)), blank_to_null(F.regexp_extract(c, BULLET, 1))
     )
-    complete = F.when(state != "", F.lower(state) == "x")
-    return F.when(body.isNotNull(), build_entry(body, complete))
+    complete = bind(state, lambda s: F.when(s != "", F.lower(s) == "x"))
+    return bind(body, lambda b: F.when(b.isNotNull(), build_entry(b, complete)))
 
 
 def group_meal(c: Column) -> Column:

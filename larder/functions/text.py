@@ -17,6 +17,8 @@ WS = (
 # The same class for Java alone: most characters are told from white space by one comparison.
 ANY_WS = r"[\x00- \x{7f}-\x{10ffff}&&" + WS + "]"
 NOT_WS = "[^" + WS.removeprefix("[")
+# Runs of white space other than one blank, for Java alone: what is left to replace where each run is to be one blank.
+WS_RUN = ANY_WS + "{2,}|" + ANY_WS.replace("[\\x00- ", "[\\x00-\\x{1f}")
 WS_CHARS = "".join(map(chr, (
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )))
@@ -47,7 +49,7 @@ def blank_to_null(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(c, ANY_WS + "+", " "))
+    return F.trim(F.regexp_replace(c, WS_RUN, " "))
 
 
 def strip(c: Column) -> Column:

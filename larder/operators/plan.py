@@ -31,7 +31,8 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     kind = (
         F.when(line == "", "blank")
         .when(F.rlike(line, F.lit(f"^{P.URL}$")), "url")
-        .when(P.schedule_parts(line).isNotNull(), "schedule")
+        # A stripped line that does not start with a weekday has no first part that does, and is not taken apart.
+        .when(P.starts_with_weekday(line) & P.schedule_parts(line).isNotNull(), "schedule")
         .when(P.is_section_heading(line), "section")
         .when(P.is_group_heading(line), "group")
         .when(F.startswith(line, F.lit("•")), "detail")

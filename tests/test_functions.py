@@ -157,6 +157,15 @@ def test_build_entry(one):
     assert not one(P.build_entry(F.lit("Tally out")))["is_recipe"]
 
 
+def test_entries_read_their_line_once(spark, one):
+    rows = spark.createDataFrame([("- [X] Pie like a https://e.com/p",)], "t string")
+    plan = rows.select(P.bulleted_entry(F.col("t")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(t#") <= 3 and plan.count(P.BULLET) == 1
+    # White space that is one blank already is not replaced.
+    assert one(F.regexp_count(F.lit("a b c"), F.lit(T.WS_RUN))) == 0
+    assert one(F.regexp_count(F.lit("a  b\u00a0c \t d\te "), F.lit(T.WS_RUN))) == 4
+
+
 def test_blank_to_null_evaluates_its_text_once(spark):
     rows = spark.createDataFrame([("",), (None,), ("a",), (" ",)], "t string")
     assert [r["v"] for r in rows.select(T.blank_to_null(F.col("t")).alias("v")).collect()] == [None, None, "a", " "]
