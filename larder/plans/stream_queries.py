@@ -79,6 +79,16 @@ def stream_enqueue_dedup(spark, d):
     return spark.read.parquet(path)
 
 
+def sent(spark, uploads):
+    """Uploads as a stream of two batches. Files are as many as tasks: two would be written and split by few."""
+    path = jobs.scratch(spark, "uploads")
+    files = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uploads.repartition(files, "cookbook_id", "upload_no").write.parquet(path)
+    written = spark.read.parquet(path)
+    half = max(1, -(-len(written.inputFiles()) // 2))
+    return spark.readStream.schema(written.schema).option("maxFilesPerTrigger", half).parquet(path)
+
+
 def stream_ingest(spark, d):
     """Every e-book uploaded, some again and some without text, over tables that hold older rows of some."""
     own = books(spark, d)
@@ -89,8 +99,7 @@ def stream_ingest(spark, d):
     again = first.where(F.col("cookbook_id") % 5 == 0).withColumns(
         {"upload_no": F.lit(2).cast("bigint"), "files": F.filter("files", lambda f: f["doc_no"] % 4 == 1)}
     )
-    path = jobs.scratch(spark, "uploads")
-    first.unionByName(again).repartition(2, "cookbook_id", "upload_no").write.parquet(path)
+    stream = sent(spark, first.unionByName(again))
     old = own.select("cookbook_id").distinct()
     old = old.union(old.select(F.col("cookbook_id") + 1000000))
     key = F.concat(F.lit("old"), F.col("cookbook_id").cast("string"))
@@ -105,7 +114,6 @@ def stream_ingest(spark, d):
         ),
     }
     shelves.replace(before, owners=old)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     jobs.stream_ingest(stream, shelves, jobs.scratch(spark, "stream"), _hashed)
     none = F.lit(None).cast("string")
     parts = [

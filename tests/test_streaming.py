@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from larder.operators.catalogue import toggle_state
+from larder.plans import stream_queries
 from larder.streaming import jobs
 
 
@@ -139,3 +140,13 @@ def test_uploads_replace_what_is_stored_once(spark, tmp_path):
         assert state() == now
     jobs.ingest_uploads(first.limit(0), shelves)
     assert state() == now
+
+
+def test_uploads_are_two_batches_of_many_files(spark):
+    """Two files were written by two tasks, however large the input."""
+    uploads = spark.createDataFrame([(i, 1, [(1, "a", "<p>x</p>")]) for i in range(60)], "cookbook_id bigint, upload_no bigint, files array<struct<doc_no:bigint,doc:string,html:string>>")
+    stream, seen = stream_queries.sent(spark, uploads), []
+    writer = stream.writeStream.foreachBatch(lambda batch, _: seen.append(batch.select("cookbook_id", F.input_file_name()).collect()))
+    jobs.run_available(writer, jobs.scratch(spark, "stream"))
+    assert len(seen) == 2 and all(len({file for _, file in batch}) > 1 for batch in seen)
+    assert sorted(i for batch in seen for i, _ in batch) == list(range(60))
