@@ -26,6 +26,11 @@ MEASUREMENT = (
     r"(?i)(?:^|[^\p{L}\p{N}_]|\d)(?:cup|cups|tbsp|tsp|teaspoon|teaspoons|tablespoon|tablespoons|"
     r"g|kg|ml|l|oz|lb|lbs)" + WORD_END
 )
+# The same for Java alone: a character before a unit is told by one class, most letters by two comparisons.
+JAVA_MEASUREMENT = (
+    r"(?:[\x00-@\[-`{-\x{10ffff}&&[[^\p{L}\p{N}_]0-9]]|^)"
+    r"(?i:cups?|tbsp|tsp|teaspoons?|tablespoons?|k?g|ml|l|oz|lbs?)" + WORD_END
+)
 METHOD_STEP = r"(?i)^(?:step\s*\d+|\d+[.)])\s*"
 NOT_INGREDIENT_OPENERS = ("for the ", "for ", "to serve", "serve with")
 PAYLOAD_KEYS = ("intro", "serves", "makes", "yield", "prep_time", "cook_time", "total_time")
@@ -63,11 +68,11 @@ def metadata_line(c: Column) -> Column:
 
     A value that is empty falls back to the whole line.
     """
-    return bind(squash(text(c)), _labelled)
+    return bind(squash(text(c)), lambda line: bind(F.lower(line), lambda lowered: labelled(line, lowered)))
 
 
-def _labelled(line: Column) -> Column:
-    lowered = F.lower(line)
+def labelled(line: Column, lowered: Column) -> Column:
+    """``metadata_line`` of a squashed line, given in lower case too."""
     found = F.lit(None).cast("struct<key:string,value:string>")
     for prefix, key in reversed(METADATA_PREFIXES.items()):
         value = strip(F.ltrim(F.substr(line, F.lit(len(prefix) + 1)), F.lit(" :.-")))
@@ -79,20 +84,19 @@ def _labelled(line: Column) -> Column:
 
 
 def is_measured(c: Column) -> Column:
-    return F.rlike(c, F.lit(INGREDIENT_LINE)) | F.rlike(c, F.lit(MEASUREMENT))
+    return F.rlike(c, F.lit(INGREDIENT_LINE)) | F.rlike(c, F.lit(JAVA_MEASUREMENT))
 
 
 def is_ingredient_line(c: Column) -> Column:
-    return bind(squash(text(c)), _is_ingredient)
+    return bind(squash(text(c)), lambda line: bind(F.lower(line), lambda lowered: ingredient_like(line, lowered)))
 
 
-def _is_ingredient(line: Column) -> Column:
-    return (
-        (line != "")
-        & ~starts_with_any(F.lower(line), tuple(METADATA_PREFIXES))
-        & ~starts_with_any(casefold(line), NOT_INGREDIENT_OPENERS)
-        & is_measured(line)
-    )
+def ingredient_like(line: Column, lowered: Column) -> Column:
+    """``is_ingredient_line`` of a squashed line, given in lower case too.
+
+    No opener has a sharp s or what it folds to, so lower case does for them.
+    """
+    return (line != "") & ~starts_with_any(lowered, (*METADATA_PREFIXES, *NOT_INGREDIENT_OPENERS)) & is_measured(line)
 
 
 def embedding_text(title: Column, ingredients: Column, method_steps: Column) -> Column:

@@ -82,7 +82,7 @@ def first_words(c: Column, n: int) -> Column:
 
 def text_lines(c: Column) -> Column:
     """Stripped, non-empty lines of a text."""
-    return F.filter(F.transform(F.split(c, "\r\n|\n|\r"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[\r\n]"), strip), lambda x: x != "")
 
 
 def title_case(c: Column) -> Column:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from larder.functions.ingredients import parse_ingredient_line
 from larder.functions.metadata import (
     METHOD_STEP,
-    is_ingredient_line,
+    ingredient_like,
     is_measured,
+    labelled,
     merge_metadata,
-    metadata_line,
     starts_with_any,
 )
 from larder.functions.text import (
@@ -74,6 +74,7 @@ RULE_CONFIDENCE = 0.99
 RULE_NOTE = "deterministic_profile_extraction"
 
 TEXTS = "array<string>"
+FAR = 1000000000  # longer than any array
 
 
 def no_texts() -> Column:
@@ -103,16 +104,46 @@ def split_at(items: Column, is_start: Callable[[Column, Column], Column]) -> Col
 
 def dedupe_consecutive(lines: Column) -> Column:
     """Squashed lines without blanks and without a line equal to the one before it."""
-    kept = F.filter(F.transform(lines, squash), lambda x: x != "")
-    return bind(
-        kept,
-        lambda a: F.filter(a, lambda x, i: (i == 0) | (casefold(x) != casefold(text(F.get(a, i - 1))))),
-    )
+    return dedupe_squashed(F.transform(lines, squash))
+
+
+def dedupe_squashed(lines: Column) -> Column:
+    """``dedupe_consecutive`` of lines that are squashed already, as the texts of nodes are."""
+    return lines_of(without_repeats(keyed_lines(lines)))
+
+
+def keyed_lines(lines: Column) -> Column:
+    """Squashed lines without blanks, each with its lower case and the ``key`` it is compared by, worked out once."""
+
+    def keyed(line: Column) -> Column:
+        return bind(
+            F.lower(line),
+            lambda low: F.struct(
+                line.alias("line"),
+                low.alias("low"),
+                F.when(F.contains(low, F.lit("ß")), F.replace(low, F.lit("ß"), F.lit("ss"))).otherwise(low).alias("key"),
+            ),
+        )
+
+    return F.transform(F.filter(lines, lambda x: x != ""), keyed)
+
+
+def without_repeats(lines: Column) -> Column:
+    """Keyed lines without those equal to the one before them."""
+    return bind(lines, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["key"] != F.get(a, i - 1)["key"])))
+
+
+def lines_of(items: Column) -> Column:
+    return F.transform(items, lambda x: x["line"])
 
 
 def method_steps(lines: Column) -> Column:
     """Steps of method lines: ``Step n`` alone or a numbered line begins a step."""
-    kept = F.filter(F.transform(lines, squash), lambda x: x != "")
+    return squashed_steps(F.filter(F.transform(lines, squash), lambda x: x != ""))
+
+
+def squashed_steps(lines: Column) -> Column:
+    """``method_steps`` of lines that are squashed and not blank."""
     alone = r"(?i)^step\s+\d+$"
 
     def steps(a: Column) -> Column:
@@ -128,7 +159,7 @@ def method_steps(lines: Column) -> Column:
             lambda run: F.array_join(F.transform(F.filter(run, lambda x: ~F.rlike(x, F.lit(alone))), body), " "),
         )
 
-    return bind(kept, steps)
+    return bind(lines, steps)
 
 
 # --- sections --------------------------------------------------------------------------------
@@ -182,7 +213,7 @@ def html_sections(pages: DataFrame, doc: str = "page_id", html: str = "html") ->
 
 def generic_sections(rows: DataFrame, doc: str, keep: list[str]) -> DataFrame:
     """Sections of ``sectionize`` with title, text, excerpt and anchor."""
-    lines = dedupe_consecutive(F.col("lines"))
+    lines = dedupe_squashed(F.col("lines"))
     key = F.concat(F.col(doc).cast("string"), F.lit("#"), F.col("section_no").cast("string"))
     return rows.withColumn("lines", lines).where(F.size("lines") > 0).select(
         *keep,
@@ -241,74 +272,83 @@ def section_fields(sections: DataFrame) -> DataFrame:
 
     Lines are read in order. Before any heading, lines are the intro until the first that looks
     like an ingredient, which opens the ingredients; from then on only headings change the part.
-    Metadata lines peel off anywhere. The fold runs inside the row.
+    Metadata lines peel off anywhere. Headings cut the lines into runs, each of one part, so no state is
+    carried from line to line; whether a line looks like an ingredient is asked only until one does.
     """
-    lines = bind(
-        dedupe_consecutive(F.split("text", "\n")),
-        lambda a: F.when(
-            casefold(text(F.get(a, F.lit(0)))) == casefold(strip(text(F.col("chapter_title")))), F.slice(a, 2, 1000000000)
-        ).otherwise(a),
-    )
 
-    def classed(line: Column) -> Column:
-        heading = F.lower(strip(F.rtrim(line, F.lit(":"))))
-        return F.struct(
-            line.alias("line"),
-            F.when(heading.isin(*INGREDIENT_HEADINGS), "ingredients").when(heading.isin(*METHOD_HEADINGS), "method").alias("turn"),
-            metadata_line(line).alias("meta"),
-            is_ingredient_line(line).alias("is_ingredient"),
+    def marked(x: Column) -> Column:
+        heading = strip(F.rtrim(x["low"], F.lit(":")))
+        turn = bind(
+            heading,
+            lambda h: F.when(h.isin(*INGREDIENT_HEADINGS), "ingredients").when(h.isin(*METHOD_HEADINGS), "method"),
+        )
+        return bind(
+            turn,
+            lambda t: F.struct(
+                x["line"].alias("line"), x["low"].alias("low"), x["key"].alias("key"), t.alias("turn"),
+                F.when(t.isNull(), labelled(x["line"], x["low"])).alias("meta"),
+            ),
         )
 
-    start = F.struct(
-        F.lit("").alias("mode"),
-        F.array().cast("array<struct<key:string,value:string>>").alias("meta"),
-        no_texts().alias("intro"),
-        no_texts().alias("ingredients"),
-        no_texts().alias("method"),
-    )
+    def rest(items: Column, start: Column | int) -> Column:
+        return F.slice(items, start, FAR)
 
-    def step(acc: Column, x: Column) -> Column:
-        place = (
-            F.when(x["turn"].isNotNull(), "turn")
-            .when(x["meta"].isNotNull(), "meta")
-            .when(acc["mode"] != "", acc["mode"])
-            .when(x["is_ingredient"], "ingredients")
-            .otherwise("intro")
-        )
+    def plain(items: Column) -> Column:
+        return F.filter(items, lambda x: x["meta"].isNull())
 
-        def moved(p: Column) -> Column:
-            mode = F.when(p == "turn", x["turn"]).when(p == "ingredients", p).otherwise(acc["mode"])
+    def first_ingredient(head: Column) -> Column:
+        """Index of the first line that looks like an ingredient; negative without one."""
 
-            def grown(part: str) -> Column:
-                return F.when(p == part, F.array_append(acc[part], x["line"])).otherwise(acc[part]).alias(part)
+        def step(n: Column, x: Column) -> Column:
+            hit = x["meta"].isNull() & ingredient_like(x["line"], x["low"])
+            return F.when(n >= 0, n).when(hit, -n - 1).otherwise(n - 1)
 
-            return F.struct(
-                mode.alias("mode"),
-                F.when(p == "meta", F.array_append(acc["meta"], x["meta"])).otherwise(acc["meta"]).alias("meta"),
-                grown("intro"),
-                grown("ingredients"),
-                grown("method"),
-            )
+        return F.aggregate(head, F.lit(-1), step)
 
-        return bind(place, moved)
+    def parts(a: Column, head: Column, runs: Column, opened: Column) -> Column:
+        def under(turn: str) -> Column:
+            found = F.filter(runs, lambda run: F.get(run, F.lit(0))["turn"] == turn)
+            return F.flatten(F.transform(found, lambda run: rest(run, 2)))
 
-    def finished(f: Column) -> Column:
+        begun = opened >= 0
+        meta = F.transform(F.filter(a, lambda x: x["meta"].isNotNull()), lambda x: x["meta"])
+        intro = plain(F.when(begun, F.slice(head, 1, opened)).otherwise(head))
+        ingredients = plain(F.concat(F.when(begun, rest(head, opened + 1)).otherwise(F.slice(head, 1, 0)), under("ingredients")))
         return F.struct(
-            final_metadata(f["meta"], f["intro"]).alias("metadata"),
-            dedupe_consecutive(f["ingredients"]).alias("ingredient_lines"),
-            method_steps(dedupe_consecutive(f["method"])).alias("method_lines"),
+            deduped_metadata(meta, lines_of(without_repeats(intro))).alias("metadata"),
+            lines_of(without_repeats(ingredients)).alias("ingredient_lines"),
+            squashed_steps(lines_of(without_repeats(plain(under("method"))))).alias("method_lines"),
         )
 
-    fields = bind(F.aggregate(F.transform(lines, classed), start, step), finished)
-    return computed_once(sections, "f", fields).select("*", "f.*").drop("f")
+    def fields(a: Column) -> Column:
+        turns = F.transform(a, lambda x, i: F.when(x["turn"].isNotNull(), i))
+        first = F.coalesce(F.array_min(F.array_compact(turns)), F.size(a))
+        return bind(
+            F.slice(a, 1, first),
+            lambda head: bind(
+                split_at(a, lambda x, i: x["turn"].isNotNull()),
+                lambda runs: bind(first_ingredient(head), lambda opened: parts(a, head, runs, opened)),
+            ),
+        )
+
+    title = casefold(strip(text(F.col("chapter_title"))))
+    lines = bind(
+        without_repeats(keyed_lines(F.transform(F.split("text", "\n"), squash))),
+        lambda a: F.when(F.get(a, F.lit(0))["key"] == title, rest(a, 2)).otherwise(a),
+    )
+    found = bind(F.transform(lines, marked), fields)
+    return computed_once(sections, "f", found).select("*", "f.*").drop("f")
 
 
 def final_metadata(meta: Column, intro: Column) -> Column:
     """Metadata map: the last value of a key wins; intro paragraphs are joined by a blank line."""
-    last = F.filter(
-        meta, lambda e, i: ~F.exists(F.slice(meta, i + 2, 1000000000), lambda later: later["key"] == e["key"])
-    )
-    opening = F.array_join(dedupe_consecutive(intro), "\n\n")
+    return deduped_metadata(meta, dedupe_consecutive(intro))
+
+
+def deduped_metadata(meta: Column, intro: Column) -> Column:
+    """``final_metadata`` with the intro's lines squashed and without repeats."""
+    last = F.filter(meta, lambda e, i: ~F.exists(F.slice(meta, i + 2, FAR), lambda later: later["key"] == e["key"]))
+    opening = F.array_join(intro, "\n\n")
     return F.map_filter(
         F.map_concat(F.map_from_entries(last), F.create_map(F.lit("intro"), opening)), lambda _k, v: strip(v) != ""
     )
@@ -319,13 +359,16 @@ def final_metadata(meta: Column, intro: Column) -> Column:
 
 def recipe_candidate(title: Column, source_ref: Column, body: Column) -> Column:
     """Whether a section can be a recipe."""
-    lowered = F.lower(body)
 
-    def contains_any(words: tuple[str, ...]) -> Column:
-        return F.rlike(lowered, F.lit("|".join(words)))
+    def decide(lines: Column, lowered: Column) -> Column:
+        def contains_any(words: tuple[str, ...]) -> Column:
+            hit = F.lit(False)
+            for word in words:
+                hit = hit | F.contains(lowered, F.lit(word))
+            return hit
 
-    def decide(lines: Column) -> Column:
-        measured = F.size(F.filter(lines, is_measured))
+        # No rule asks for more than three, so no line is read after the third.
+        measured = F.aggregate(lines, F.lit(0), lambda n, x: F.when(n >= 3, n).when(is_measured(x), n + 1).otherwise(n))
         servings = F.size(F.filter(lines, lambda x: starts_with_any(F.lower(x), ("serves", "makes"))))
         untitled = text(title) == ""
         cued = contains_any(RECIPE_CUES + METHOD_CUES)
@@ -346,7 +389,7 @@ def recipe_candidate(title: Column, source_ref: Column, body: Column) -> Column:
         )
         return ~blocked & enough
 
-    return bind(text_lines(body), decide)
+    return bind(text_lines(body), lambda lines: bind(F.lower(body), lambda lowered: decide(lines, lowered)))
 
 
 def candidate_sections(sections: DataFrame) -> DataFrame:

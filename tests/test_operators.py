@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from larder.functions import metadata
 from larder.functions import plan_text as P
 from larder.operators import catalogue, documents, facets, network, ordering, plan, postings, profiles, search, toc
 from larder.operators import pdf_templates as pdf
@@ -312,6 +313,47 @@ def test_sections_and_fields(spark):
     assert draft["review_status"] == "pending_review" and [i["canonical_name"] for i in draft["ingredients"]] == ["beans", "slices bread"]
 
 
+def _parts_line_by_line(lines):
+    """Parts of a section's lines by a walk that carries the part from line to line."""
+    mode, parts = "", {"intro": [], "ingredients": [], "method": []}
+    for line in lines:
+        heading = line.rstrip(":").strip().lower()
+        if heading in documents.INGREDIENT_HEADINGS + documents.METHOD_HEADINGS:
+            mode = "ingredients" if heading in documents.INGREDIENT_HEADINGS else "method"
+        elif not line.lower().startswith(("serves", "makes", "prep time")):
+            if not mode and line[0].isdigit():
+                mode = "ingredients"
+            parts[mode or "intro"].append(line)
+    return {k: [x for i, x in enumerate(v) if i == 0 or x.lower() != v[i - 1].lower()] for k, v in parts.items()}
+
+
+def test_fields_equal_a_walk_over_the_lines(spark):
+    choices = ["200g flour", "2 EGGS", "2 eggs", "Stir it", "stir IT", "Serves 4", "Makes: 2", "Ingredients:", "METHOD", "Steps ::", "For the pan", "Prep time: 5"]
+    draw = random.Random(3)
+    data = [(i, "T", [draw.choice(choices) for _ in range(draw.randrange(9))]) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "\n".join(x)) for i, t, x in data], "n int, chapter_title string, text string")
+    got = {r["n"]: r for r in documents.section_fields(df).collect()}
+    for i, _, lines in data:
+        wanted = _parts_line_by_line([x for j, x in enumerate(lines) if j == 0 or x.lower() != lines[j - 1].lower()])
+        assert got[i]["ingredient_lines"] == wanted["ingredients"], lines
+        assert " ".join(got[i]["method_lines"]) == " ".join(wanted["method"]), lines
+        assert got[i]["metadata"].get("intro", "") == "\n\n".join(wanted["intro"]), lines
+
+
+def test_parts_are_not_grown_line_by_line(spark):
+    df = spark.createDataFrame([("T", "a#1", "200g x\nMethod\nStir")], "chapter_title string, anchor string, text string")
+    plan = documents.section_fields(df)._jdf.queryExecution().optimizedPlan().toString()
+    # Growing an array a line copies it a line; lines are squashed once, not again for each question asked of them.
+    assert "array_append" not in plan and "array_insert" not in plan and plan.count("regexp_replace") <= 3
+
+
+def test_units_are_found_by_both_patterns(spark):
+    lines = ["200g", "2 Cups x", "a_cup", "é g", "ég", "x\u00a0ML.", "[kg]", "`l`", "{oz", "5lbs", "cupsy", "CUP", "", "aLb", "٣g", "1_g", "\U0001f35e tsp", "Z tablespoons, x"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    got = rows(df, "x", F.rlike("x", F.lit(metadata.MEASUREMENT)).alias("a"), F.rlike("x", F.lit(metadata.JAVA_MEASUREMENT)).alias("b"))
+    assert all(a == b for _, a, b in got) and {a for _, a, _ in got} == {True, False}
+
+
 def test_candidates(spark):
     data = [
         ("FOREWORD", "a#1", "200g x\n100g y\n3 eggs"), ("T", "pages/ottolenghi.xhtml#3", "200g x\n100g y\n3 eggs"),
