@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.metadata import metadata_line
 from larder.functions.text import bind, blank_to_null, excerpt, strip
-from larder.operators.documents import dedupe_consecutive, final_metadata, no_texts, split_at
+from larder.operators.documents import dedupe_squashed, deduped_metadata, no_texts, split_at
 from larder.sources.html import node_array
 
 # The known profiles in the order they are tried.
@@ -122,10 +122,12 @@ def _has(node: Column, classes: tuple[str, ...]) -> Column:
     return F.arrays_overlap(node["classes"], F.array(*[F.lit(c) for c in classes]))
 
 
-def _matches(nodes: Column, profile: dict) -> Column:
+def _matches(nodes: Column, used: Column, profile: dict) -> Column:
+    """Whether a profile fits; ``used`` are the different classes of all nodes, which most profiles do not meet."""
+
     def some(*kinds: str) -> Column:
         classes = sum((profile.get(k, ()) for k in kinds), ())
-        return F.exists(nodes, lambda n: _has(n, classes)) if classes else F.lit(False)
+        return F.arrays_overlap(used, F.array(*[F.lit(c) for c in classes])) if classes else F.lit(False)
 
     titles = profile["title"] + profile.get("fallback_title", ())
     method = some("method")
@@ -133,13 +135,19 @@ def _matches(nodes: Column, profile: dict) -> Column:
         method = method | F.exists(nodes, lambda n: F.size(n["classes"]) == 0)
     enough = F.size(F.filter(nodes, lambda n: _has(n, titles))) >= profile.get("min_titles", 2)
     signature = some("signature") if profile.get("signature") else F.lit(True)
-    return enough & some("ingredient") & method & signature
+    return some("title", "fallback_title") & some("ingredient") & method & signature & enough
 
 
 def profile_of(nodes: Column) -> Column:
     """Number of the first profile that fits the text nodes of a document; NULL without one."""
     shown = F.filter(nodes, lambda n: n["tag"] != "img")
-    return bind(shown, lambda a: F.coalesce(*[F.when(_matches(a, p), F.lit(i)) for i, p in enumerate(PROFILES)]))
+
+    def first_fit(a: Column, used: Column) -> Column:
+        return F.coalesce(*[F.when(_matches(a, used, p), F.lit(i)) for i, p in enumerate(PROFILES)])
+
+    return bind(
+        shown, lambda a: bind(F.array_distinct(F.flatten(F.transform(a, lambda n: n["classes"]))), lambda used: first_fit(a, used))
+    )
 
 
 def profile_match(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:
@@ -164,25 +172,34 @@ def _sections(nodes: Column, profile: Column) -> Column:
         return (n["tag"] != "img") & cls(n, "fallback_title") & ~cls(n, "category") & ~cls(n, "title")
 
     def split(a: Column) -> Column:
-        first = F.array_min(F.array_compact(F.transform(a, lambda n, i: F.when(is_title(n) | is_fallback(n), i))))
-        return bind(first, lambda f: split_from(a, f))
+        # Classes are compared once a node: 2 for a title, 1 for what can stand for the first one.
+        marks = F.transform(a, lambda n: F.when(is_title(n), 2).when(is_fallback(n), 1).otherwise(0))
+        return bind(marks, lambda marks: bind(first_of(marks), lambda f: split_from(a, marks, f)))
+
+    def first_of(marks: Column) -> Column:
+        return F.array_min(F.array_compact(F.transform(marks, lambda m, i: F.when(m > 0, i))))
 
-    def split_from(a: Column, first: Column) -> Column:
-        runs = split_at(a, lambda n, i: is_title(n) | (is_fallback(n) & (i == first)))
-        starts = F.filter(F.transform(a, lambda n, i: F.when(is_title(n) | (is_fallback(n) & (i == first)), i)), lambda i: i.isNotNull())
+    def split_from(a: Column, marks: Column, first: Column) -> Column:
+        def starts_at(i: Column) -> Column:
+            return (F.get(marks, i) == 2) | ((F.get(marks, i) == 1) & (i == first))
+
+        runs = split_at(a, lambda n, i: starts_at(i))
+        starts = F.array_compact(F.transform(marks, lambda m, i: F.when(starts_at(i), i)))
         lead = F.when(first > 0, F.slice(a, 1, first)).otherwise(F.slice(a, 1, 0))
 
-        def built(starts: Column, run: Column, k: Column) -> Column:
-            category = F.when(F.get(starts, k) > 0, F.try_element_at(
-                F.transform(
-                    F.filter(F.slice(a, 1, F.greatest(F.get(starts, k), F.lit(0))), lambda n: (n["tag"] != "img") & cls(n, "category")),
-                    lambda n: n["text"],
-                ),
-                F.lit(-1),
-            ))
-            return _section(run, k, category, F.when(k == 0, lead).otherwise(F.slice(a, 1, 0)), profile)
+        # Categories are few: a run looks for the last one before it among them, not among all nodes before it.
+        categories = F.array_compact(F.transform(
+            a, lambda n, i: F.when((n["tag"] != "img") & cls(n, "category"), F.struct(i.alias("at"), n["text"].alias("text")))
+        ))
+
+        def built(starts: Column, categories: Column, run: Column, k: Column) -> Column:
+            category = F.try_element_at(F.filter(categories, lambda c: c["at"] < F.get(starts, k)), F.lit(-1))["text"]
+            opening = F.when(k == 0, lead).otherwise(F.slice(a, 1, 0))
+            return bind(category, lambda named: _section(run, k, named, opening, profile))
 
-        return bind(starts, lambda found: F.transform(runs, lambda run, k: built(found, run, k)))
+        return bind(
+            starts, lambda s: bind(categories, lambda c: F.transform(runs, lambda run, k: built(s, c, run, k)))
+        )
 
     return bind(kept, split)
 
@@ -257,26 +274,25 @@ def _section(run: Column, k: Column, category: Column, lead: Column, profile: Co
             heads,
             lambda h: F.struct(
                 strip(h["text"]).alias("heading"),
-                dedupe_consecutive(
+                dedupe_squashed(
                     F.transform(
                         F.filter(out, lambda e: (e["role"] == "ingredient") & (e["under"] == h["under"])), lambda e: e["text"]
                     )
                 ).alias("lines"),
             ),
         )
-        deduped = dedupe_consecutive(lines)
-        return F.struct(
+        return bind(dedupe_squashed(lines), lambda deduped: F.struct(
             (k + 1).alias("section_no"),
             title["text"].alias("chapter_title"),
             F.coalesce(blank_to_null(title["id"]), (k + 1).cast("string")).alias("fragment"),
             F.array_join(deduped, "\n").alias("text"),
             excerpt(deduped).alias("excerpt"),
             F.concat(F.when(kept_lead, sources(lead)).otherwise(no_texts()), images("image"), images("late_image")).alias("images"),
-            final_metadata(meta, of("intro")).alias("metadata"),
+            deduped_metadata(meta, dedupe_squashed(of("intro"))).alias("metadata"),
             F.filter(supplemental, lambda s: (s["heading"] != "") & (F.size(s["lines"]) > 0)).alias("supplemental_sections"),
-            dedupe_consecutive(of("ingredient")).alias("ingredient_lines"),
-            dedupe_consecutive(of("method")).alias("method_lines"),
-        )
+            dedupe_squashed(of("ingredient")).alias("ingredient_lines"),
+            dedupe_squashed(of("method")).alias("method_lines"),
+        ))
 
     rest = F.slice(run, 2, 1000000000)
     return bind(F.aggregate(rest, start, step, lambda acc: acc["out"]), finish)

@@ -21,11 +21,11 @@ from larder.functions.text import bind, blank_to_null, epub_path, squash
 MARK = "\x01"
 NODES = ("h1", "h2", "h3", "h4", "p", "li")
 TITLES = ("h1", "h2", "h3", "h4", "h5", "h6")
-SKIPPED = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+SKIPPED = r"(?is)<(?:!--.*?-->|script\b.*?</script>|style\b.*?</style>)"
 # Tags before which a page is cut.
 BOUNDS = (
-    r"(?i)(</?(?:h[1-6]|p|li|img|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol"
-    r"|section|table|tbody|td|th|tr|ul)(?:\s[^>]*)?/?>)"
+    r"(?i)</?(?:h[1-6]|p|li|img|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|header|html|main|nav|ol"
+    r"|section|table|tbody|td|th|tr|ul)(?:\s[^>]*)?/?>"
 )
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # Characters by name, as the public standard of HTML lists them.
@@ -57,15 +57,19 @@ def decode(c: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(names, part), part))
         )
 
-    parts = F.regexp_extract_all(c, F.lit(REFERENCE + "|[^&]+|&"), F.lit(0))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
+    def joined(c: Column) -> Column:
+        parts = F.regexp_extract_all(c, F.lit(REFERENCE + "|[^&]+|&"), F.lit(0))
+        return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(c)
+
+    return bind(c, joined)
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of a quoted attribute of a start tag; NULL without one."""
-    found = F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
-    other = F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
-    return F.coalesce(blank_to_null(found), blank_to_null(other))
+    quoted = F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    value = bind(quoted, lambda q: blank_to_null(F.substr(q, F.lit(2), F.length(q) - 2)))
+    # Most tags have no attributes.
+    return F.when(F.contains(tag, F.lit("=")), value)
 
 
 SPAN = "struct<at:int,end:int>"
@@ -79,7 +83,7 @@ def _spans(pieces: Column) -> Column:
         lambda p: F.struct(
             F.lower(F.regexp_extract(p, "^</?([a-zA-Z0-9]+)", 1)).alias("tag"),
             F.startswith(p, F.lit("</")).alias("closes"),
-            F.rlike(p, F.lit("^<[^>]*/>")).alias("empty"),
+            (F.contains(p, F.lit("/>")) & F.rlike(p, F.lit("^<[^>]*/>"))).alias("empty"),
         ),
     )
     state = F.struct(
@@ -113,7 +117,8 @@ def _spans(pieces: Column) -> Column:
             )
             image = F.struct(acc["at"].alias("at"), (acc["at"] + 1).alias("end"))
             rest = F.when(n > 0, F.slice(open_, n + 1, FAR)).otherwise(open_)
-            loose = ~piece["closes"] & tag.isin("p", *TITLES) & (place(open_, "li") < place(open_, "ul", "ol"))
+            loose = (F.size(open_) > 0) & ~piece["closes"] & tag.isin("p", *TITLES)
+            loose = loose & (place(open_, "li") < place(open_, "ul", "ol"))
             loose = loose & (place(open_, "ul", "ol") == FAR)
             rest = F.when(
                 loose,
@@ -147,31 +152,36 @@ def _spans(pieces: Column) -> Column:
 
 def node_array(html: Column) -> Column:
     """Ordered nodes h1-h4, p, li and img of a page as an array of structs."""
-    pieces = F.split(F.regexp_replace(F.regexp_replace(html, SKIPPED, " "), BOUNDS, f"{MARK}$1"), MARK)
+    pieces = F.split(F.regexp_replace(F.regexp_replace(html, SKIPPED, " "), BOUNDS, f"{MARK}$0"), MARK)
 
     def node(pieces: Column, span: Column) -> Column:
         first = F.get(pieces, span["at"])
-        start = F.regexp_extract(first, "^<[^>]*>", 0)
-        image = F.rlike(start, F.lit("(?i)^<img"))
-        body = F.when(image, "").otherwise(
-            F.concat(
-                F.substring(first, F.length(start) + 1, F.length(first)),
-                F.array_join(F.slice(pieces, span["at"] + 2, span["end"] - span["at"] - 1), ""),
-            )
-        )
-        classes = F.filter(F.split(squash(F.coalesce(attribute(start, "class"), F.lit(""))), " "), lambda c: c != "")
 
-        def of(body: Column) -> Column:
-            inner = F.regexp_extract(body, r"(?i)<[a-z][^>]*\sid\s*=[^>]*>", 0)
+        def of(start: Column, body: Column) -> Column:
+            tagged = F.contains(body, F.lit("<"))
+            inner = F.when(tagged, F.regexp_extract(body, r"(?i)<[a-z][^>]*\sid\s*=[^>]*>", 0))
+            classes = bind(
+                attribute(start, "class"),
+                lambda c: F.when(c.isNull(), F.array().cast("array<string>")).otherwise(
+                    F.filter(F.split(squash(c), " "), lambda x: x != "")
+                ),
+            )
             return F.struct(
                 F.lower(F.regexp_extract(start, "^<([a-zA-Z0-9]+)", 1)).alias("tag"),
                 classes.alias("classes"),
-                F.coalesce(attribute(start, "id"), attribute(inner, "id")).alias("id"),
+                F.coalesce(attribute(start, "id"), bind(inner, lambda tag: attribute(tag, "id"))).alias("id"),
                 attribute(start, "src").alias("src"),
-                squash(decode(F.regexp_replace(body, "<[^>]*>", " "))).alias("text"),
+                squash(decode(F.when(tagged, F.regexp_replace(body, "<[^>]*>", " ")).otherwise(body))).alias("text"),
             )
 
-        return bind(body, of)
+        def body(start: Column) -> Column:
+            own = F.substring(first, F.length(start) + 1, F.length(first))
+            more = F.array_join(F.slice(pieces, span["at"] + 2, span["end"] - span["at"] - 1), "")
+            return F.when(F.rlike(start, F.lit("(?i)^<img")), "").otherwise(F.concat(own, more))
+
+        # The start tag and the body are read by every field: they are made once.
+        start = F.regexp_extract(first, "^<[^>]*>", 0)
+        return bind(start, lambda s: bind(body(s), lambda b: of(s, b)))
 
     return bind(pieces, lambda cut: F.transform(_spans(cut), lambda span: node(cut, span)))
 

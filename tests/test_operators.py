@@ -354,6 +354,16 @@ def test_units_are_found_by_both_patterns(spark):
     assert all(a == b for _, a, b in got) and {a for _, a, _ in got} == {True, False}
 
 
+def test_categories_are_looked_for_among_categories(spark):
+    body = "".join(f'<p class="ct">Part {i}</p>' * (i % 3 == 0) + f'<p class="rt">Dish {i}</p><p class="ri">1 egg</p><p class="rd">Stir.</p>' for i in range(9))
+    pages = spark.createDataFrame([(1, body)], "page_id int, html string")
+    found = profiles.profile_sections(pages)
+    assert [t.split("\n")[0] for (t,) in sorted(rows(found, "section_no", "text"))[0:0]] == []
+    assert [r["text"].split("\n")[:2] for r in found.orderBy("section_no").collect()] == [[f"Part {i // 3 * 3}", f"Dish {i}"] for i in range(9)]
+    # Classes of a node are compared once for titles, not once for each use of the titles' places.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("arrays_overlap") <= 55
+
+
 def test_candidates(spark):
     data = [
         ("FOREWORD", "a#1", "200g x\n100g y\n3 eggs"), ("T", "pages/ottolenghi.xhtml#3", "200g x\n100g y\n3 eggs"),
