@@ -1,7 +1,9 @@
 """Golden and brute-force cases of the operators."""
 
+import gc
 import json
 import random
+import weakref
 from difflib import SequenceMatcher
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import metadata
 from larder.functions import plan_text as P
-from larder.operators import catalogue, documents, facets, network, ordering, plan, postings, profiles, search, toc
+from larder.operators import catalogue, documents, facets, hooks, network, ordering, plan, postings, profiles, search, toc
 from larder.operators import pdf_templates as pdf
 from larder.sources import html, plan_files
 
@@ -719,3 +721,28 @@ def test_rounds_do_not_shuffle_the_edges(spark, monkeypatch):
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "name string")
     assert sorted(rows(network.connected_components(nodes, edges), "component", "size")) == [("a", 3), ("c", 2), ("f", 1)]
     assert "Sort [b" in written[0] and "RepartitionByExpression [b" in written[0]
+
+
+def test_readers_do_not_hold_the_batches_they_have_read(spark):
+    held = []
+
+    def read(frame):
+        # A column and its string functions refer to each other; the collector may come at any time later.
+        gc.disable()
+        texts = frame["t"]
+        texts.str.len()
+        alive = sum(ref() is not None for ref in held)
+        held.append(weakref.ref(texts))
+        if frame["id"].max() == 399:
+            gc.enable()
+        return frame[["id"]].head(1).assign(alive=alive)
+
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, "10")
+    try:
+        df = spark.range(0, 400, 1, 1).withColumn("t", F.col("id").cast("string"))
+        got = hooks.extract_with(df, read, "id bigint, alive bigint").collect()
+    finally:
+        spark.conf.set(rows_a_batch, before)
+    assert len(got) == 40 and max(r["alive"] for r in got) <= 2
