@@ -2,14 +2,17 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from bisect import insort
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larder.llm import bloom_lm, minhash, mixing, packing, quality_knn, quality_rules
+from larder.llm.common import slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -229,3 +232,15 @@ def test_pipeline_equals_its_operators(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs.limit(0), sf_dir)
         assert docs.count() == 0
+
+
+def test_slices_are_cut_without_making_all_texts():
+    for kind, values in ((pa.string(), ["aé\U0001f35e", None, "x" * 10, ""]), (pa.binary(), [b"abc", None, b"x" * 10, b""])):
+        batch = pa.RecordBatch.from_arrays([pa.array(values, kind)], ["text"])
+        assert [s.column(0).to_pylist() for s in slices([batch], "text", 4)] == [values[:2], values[2:3], values[3:]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 5000)], ["text"])
+    tracemalloc.start()
+    assert sum(s.num_rows for s in slices([batch], "text", 100_000)) == 5000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
