@@ -231,6 +231,64 @@ def test_candidates_are_the_pairs_that_share_enough(spark, monkeypatch):
         assert sorted(got) == sorted(want)
 
 
+def test_candidates_by_characters_and_runs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(plan, "RARE_USES", 3)
+    draw = random.Random(5)
+    words = ["e", "ab", "bean", "soup", "pie", "leek", "roast", "lentils", "chicken", "red", "q"]
+    names = [" ".join(draw.choices(words, k=draw.randint(1, 11))) for _ in range(120)]
+    cuts = [n[draw.randint(0, 3) : len(n) - draw.randint(0, 3)].strip() for n in names[:60]]
+    titles = [t for t in cuts + [f"x{n}y z" for n in names[60:90]] + [" ".join(draw.choices(words, k=9)) for _ in range(40)] if t]
+    dishes = list(enumerate(names))
+    entries = spark.createDataFrame([(t,) for t in titles], "title string")
+    known = spark.createDataFrame([(i, n, i) for i, n in dishes], "recipe_id int, title string, listing_order int")
+    got = {r["title"]: (r["recipe_id"], r["score"]) for r in plan.fuzzy_title_match(entries, known).collect()}
+    # Scores are rounded to four digits in another way there.
+    wanted = _brute_force(titles, dishes)
+    assert {t: r for t, (r, _) in got.items()} == {t: r for t, (r, _) in wanted.items()} and len(got) > 10
+    assert all(got[t][1] == pytest.approx(wanted[t][1], abs=1.01e-4) for t in wanted)
+    client = {r["title"]: (r["recipe_id"], round(r["score"], 6)) for r in plan.client_title_match(entries, known).collect()}
+    assert client == _brute_force_client(titles, dishes) and len(client) > 10
+
+
+def _brute_force_client(titles, dishes):
+    """The token-only rule compared pair by pair, on titles without weekdays or brackets."""
+    def meal(text):
+        return " ".join(t[:-1] if len(t) > 4 and t.endswith("s") and not t.endswith(("ss", "us")) else t for t in text.split() if t not in P.STOPWORDS)
+
+    found = {}
+    for title in titles:
+        v = meal(title)
+        scored = []
+        for norm, (copies, rid) in {m: (sum(meal(n) == m for _, n in dishes), min(i for i, n in dishes if meal(n) == m)) for m in {meal(n) for _, n in dishes}}.items():
+            vt, rt = set(v.split()), set(norm.split())
+            shared = len(vt & rt)
+            s = shared / max(len(vt), len(rt)) * 0.5 + shared / len(vt) * 0.35 + 0.15 * (v in norm or norm in v)
+            s = 1.0 if v == norm else s + 0.08 * (vt <= rt) - 0.12 * (len(vt) == 1 and shared < 1)
+            if shared and s >= 0.8:
+                scored.append((s, copies, rid))
+        scored.sort(key=lambda x: -x[0])
+        if scored and scored[0][0] >= 0.81 and sum(c for s, c, _ in scored if scored[0][0] - s < 0.035) == 1:
+            found[title] = (scored[0][2], round(scored[0][0], 6))
+    return found
+
+
+def test_titles_apart_need_more_shared_tokens(spark):
+    names = ["one two three four nine ten", "zone two three fourty", "one two three four five six seven eight more"]
+    titles = spark.createDataFrame([(n,) for n in names], "norm string")
+    variants = spark.createDataFrame([("one two three four five six seven eight",) * 2], "title string, variant string")
+    met = plan._token_candidates(variants, titles, 0.4, P.meal_tokens, 0.75)
+    assert rows(met, "norm", "inside") == [(names[2], True)]
+    short = spark.createDataFrame([("ne two three four f",), ("ne two nine four f",)], "norm string")
+    inside = plan._inside_candidates(variants, short, 0.3, 0.75, P.meal_tokens)
+    assert rows(inside, "norm", "n_tokens") == []
+    inside = plan._inside_candidates(variants, spark.createDataFrame([("ne two three four five s",)], "norm string"), 0.4, 0.75, P.meal_tokens)
+    assert rows(inside, "norm", "inside", "coverage") == [("ne two three four five s", True, 0.5)]
+    bits = spark.createDataFrame([("aaaaaaaab c9", "caaaaaaab 9")], "l string, r string").select(
+        plan.most_matched(plan.character_bits(F.col("l")), plan.character_bits(F.col("r"))).alias("n")
+    )
+    assert rows(bits, "n") == [(11,)]
+
+
 def test_readings_of_titles_are_worked_out_in_many_tasks(spark):
     entries = spark.range(64).select(F.concat(F.lit("Dish "), "id").alias("title"))
     dishes = entries.select(F.lit(1).alias("recipe_id"), "title", F.lit(1).alias("listing_order"))
