@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import ranked, top_ranked
-from larder.session import cut_lineage, dealt
+from larder.session import cut_lineage, dealt, stored
 
 # Lengths of the ranked lists.
 TOP_NODES = 24
@@ -74,7 +74,7 @@ def cooccurrence(pairs: DataFrame, group: str = "recipe_id", item: str = "name")
     themselves are the result and combine before the shuffle. The two columns are written once
     and the input is read once; large groups are at most one in ``SMALL_GROUP`` rows.
     """
-    rows = cut_lineage(pairs.select(group, item))
+    rows = stored(pairs.select(group, item))
     sizes = cut_lineage(
         rows.groupBy(group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > SMALL_GROUP)
     )
@@ -126,9 +126,51 @@ def graph_scalars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _roots(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(name, component)``: each name hangs on its least neighbour below it, and its component is the top of that tree.
+
+    Trees become flat by pointer jumping. Only tops that hang on others themselves are joined; they are soon few.
+    """
+    hooks = pairs.groupBy(F.col("high").alias("name")).agg(F.min("low").alias("least"))
+    hooks = hooks.join(names.select(F.col("name").alias("least")), "least", "left_semi")
+    roots = stored(names.join(hooks, "name", "left").select("name", F.coalesce("least", "name").alias("component")))
+    while True:
+        in_use = roots.select(F.col("component").alias("name")).distinct()
+        moving = roots.where(F.col("name") != F.col("component")).join(in_use, "name", "left_semi").select(
+            F.col("name").alias("component"), F.col("component").alias("next")
+        )
+        moving = stored(moving)
+        if moving.isEmpty():
+            return roots
+        roots = stored(
+            roots.join(moving, "component", "left").select("name", F.coalesce("next", "component").alias("component"))
+        )
+
+
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(name, component)``, the component being its least name.
 
+    All edges are read twice and no more: once for the least neighbour of each node, and once to see which of the trees so
+    made they join. Rounds go over the edges between trees, which are few where nodes have many neighbours.
+    """
+    apart = edges.where(F.col("src") != F.col("dst"))
+    pairs = stored(apart.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")))
+    names = stored(nodes.select("name").where(F.col("name").isNotNull()).distinct())
+    roots = _roots(names, pairs)
+    low, high = (roots.select(F.col("name").alias(c), F.col("component").alias(to)) for c, to in (("low", "_a"), ("high", "_b")))
+    between = stored(
+        pairs.join(low, "low").join(high, "high").where(F.col("_a") != F.col("_b"))
+        .select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")).distinct()
+    )
+    ends = F.explode(F.array("src", "dst")).alias("name")
+    tops = _least_labels(between.select(ends).distinct(), between.withColumn("weight", F.lit(1)))
+    tops = tops.select(F.col("name").alias("component"), F.col("component").alias("top"))
+    return roots.join(tops, "component", "left").select("name", F.coalesce("top", "component").alias("component"))
+
+
+def _least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(name, component)``, the component being its least name, by rounds over all edges.
+
     Each round takes the least label around every node, then follows labels one step, which
     shortens long chains. Both joins have a unique side, so a hub only skews the edge side. The
     step joins the distinct labels only: once most nodes share one, that side is small and the

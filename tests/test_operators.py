@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from larder import session
 from larder.functions import metadata
 from larder.functions import plan_text as P
 from larder.operators import catalogue, documents, facets, hooks, network, ordering, plan, postings, profiles, search, toc
@@ -781,6 +782,40 @@ def test_rounds_do_not_shuffle_the_edges(spark, monkeypatch):
     assert "Sort [b" in written[0] and "RepartitionByExpression [b" in written[0]
 
 
+def test_rounds_read_only_the_edges_between_trees(spark, monkeypatch):
+    """All pairs of 30 names make one tree, so no round reads an edge; before, both ways of all 435 were written."""
+    written = []
+    monkeypatch.setattr(network, "cut_lineage", lambda df: written.append(df.count()) or df.localCheckpoint())
+    nodes = spark.range(30).select(F.col("id").alias("name"))
+    edges = nodes.crossJoin(nodes.select(F.col("name").alias("dst"))).where("name < dst").select(F.col("name").alias("src"), "dst")
+    assert rows(network.connected_components(nodes, edges), "component", "size") == [(0, 30)]
+    assert written[0] == 0
+
+
+def test_components_equal_a_search(spark):
+    draw = random.Random(3)
+    for size, count in ((40, 25), (60, 60), (12, 40)):
+        pairs = {tuple(sorted(draw.choices(range(size), k=2))) for _ in range(count)}
+        kept = [n for n in range(size) if n % 7]
+        # Names without a node, an edge from a name to itself and nulls join nothing.
+        edges = spark.createDataFrame([(a, b, 1) for a, b in pairs] + [(None, 1, 1), (2, None, 1)], "src long, dst long, weight long")
+        nodes = spark.createDataFrame([(n, 3) for n in [*kept, None]], "name long, frequency long")
+        found = {n: n for n in kept}
+        for _ in range(size):
+            for a, b in pairs:
+                if a in found and b in found:
+                    found[a] = found[b] = min(found[a], found[b])
+        assert dict(rows(network.component_labels(nodes, edges), "name", "component")) == found
+
+
+def test_stored_rows_leave_no_shuffle_behind(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    df = session.stored(spark.range(50).repartition(3, "id").groupBy((F.col("id") % 5).alias("k")).count())
+    assert sorted(rows(df, "k", "count")) == [(k, 10) for k in range(5)] and "Exchange" not in _plan(df)
+    assert spark.conf.get(key, None) == before
+
+
 def test_readers_do_not_hold_the_batches_they_have_read(spark):
     held = []
 
